@@ -1,8 +1,9 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from lodestone.llm import exact_dedup
+from lodestone.llm import exact_dedup, sharding
 
 QUERIES = {
+    "op1_kd_shards": sharding.op1_kd_shards,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
 }
 
