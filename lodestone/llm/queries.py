@@ -1,14 +1,16 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from lodestone.llm import bpe, exact_dedup, sharding, token_counts
+from lodestone.llm import bpe, chat, exact_dedup, sharding, token_counts
 
 QUERIES = {
     "op1_kd_shards": sharding.op1_kd_shards,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op4_chat": chat.op4_chat,
     "op6_token_counts": token_counts.op6_token_counts,
     "op9_bpe": bpe.op9_bpe,
 }
 
 SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op4_chat": chat.OP4_SQL,
 }
