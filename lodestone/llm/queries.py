@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from lodestone.llm import bpe, chat, exact_dedup, sharding, token_counts
+from lodestone.llm import bpe, chat, exact_dedup, knn, sharding, token_counts
 
 QUERIES = {
     "op1_kd_shards": sharding.op1_kd_shards,
@@ -8,9 +8,11 @@ QUERIES = {
     "op4_chat": chat.op4_chat,
     "op6_token_counts": token_counts.op6_token_counts,
     "op9_bpe": bpe.op9_bpe,
+    "op10_voronoi_knn": knn.op10_voronoi_knn,
 }
 
 SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op4_chat": chat.OP4_SQL,
+    "op10_voronoi_knn": knn.OP10_SQL,
 }
