@@ -45,11 +45,21 @@ def _clean() -> None:
             return
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of literals; unlike createDataFrame(), it starts no Python worker."""
+    names = [c.split()[0] for c in schema.split(",")]
+    if not rows:
+        return spark.createDataFrame([], schema)
+    made = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, r, strict=True)]) for r in rows])
+    kinds = ", ".join(":".join(c.split()) for c in schema.split(","))
+    return spark.range(1).select(F.inline(made.cast(f"array<struct<{kinds}>>")))
+
+
 #: lookup() broadcasts the keys that hold more than one row in HOT_SHARE; so there are fewer than HOT_SHARE of them.
 HOT_SHARE = 1024
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, rows_of_key: str, total: int) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, key: str | list[str], rows_of_key: str, total: int) -> DataFrame:
     """rows left joined with table (one row for each key) on key.
 
     rows_of_key is the column of table that says how many rows have the key. Keys with more than
@@ -57,7 +67,8 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, rows_of_key: str, total:
     """
     is_hot = F.col(rows_of_key) * HOT_SHARE > F.lit(total)
     hot, cold = table.where(is_hot), table.where(~is_hot)
-    more = [c for c in table.columns if c != key]
+    key = [key] if isinstance(key, str) else key
+    more = [c for c in table.columns if c not in key]
     marked = rows.join(F.broadcast(hot.withColumn("_ls_hot", F.lit(True))), key, "left")
     return marked.where("_ls_hot").drop("_ls_hot").unionByName(marked.where("_ls_hot IS NULL").drop("_ls_hot", *more).join(cold, key, "left"))
 
@@ -122,3 +133,23 @@ def text_slices(texts: list[bytes], most: int = 1 << 21):
             begin, size = i + 1, 0
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """v, root: for each node of links (a, b) but the roots, the smallest node that it is connected with.
+
+    Large-star and small-star steps in turn until nothing changes; a step's links are stored.
+    """
+    u, v = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
+    cur = stored(links.where("a <> b").select(u, v).distinct(), "links")
+    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = None
+    while before != (now := mark(cur)):
+        before = now
+        both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        large = stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        cur = stored(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "links")
+    return cur.select(F.col("u").alias("v"), F.col("v").alias("root"))
