@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import stored
+from lodestone.llm.common import small_table, stored
 
 #: Bits of a dimension's grid, and of the hash that breaks ties on it.
 GRID, TIE = 20, 42
@@ -38,7 +38,7 @@ def _splits(cur: DataFrame, dims: list[str], open_nodes: dict[int, int], per_lea
     cuts: dict[int, int] = {}
     while len(cuts) < len(state):
         asked = [(n, s["dim"], s["lo"], s["step"], int(s["goal"] - s["below"])) for n, s in state.items() if n not in cuts]
-        ask = F.broadcast(spark.createDataFrame(asked, "_ls_node int, dim int, lo long, step long, goal long"))  # one row for each open node
+        ask = F.broadcast(small_table(spark, asked, "_ls_node int, dim int, lo long, step long, goal long"))  # one row for each open node
         key = F.element_at(F.array(*[F.col(f"_ls_d{i}") for i in range(len(dims))]), F.col("dim") + 1) * F.lit(1 << TIE) + F.col("_ls_tie")
         bins = cur.join(ask, "_ls_node").withColumn("bin", F.call_function("div", key - F.col("lo"), F.col("step")))
         bins = bins.where((F.col("bin") >= 0) & (F.col("bin") < BINS)).groupBy("_ls_node", "goal", "bin").agg(F.sum("_ls_w").alias("w"))
@@ -89,10 +89,10 @@ def kd_shards(rows: DataFrame, weight: str, dims: dict[str, Column], tie: Column
             rows_of.append((n, dim, cut, a, b))
         for n in [n for n in open_nodes if n in leaves]:  # no row is left in it
             leaves[n] = 1
-        table = F.broadcast(spark.createDataFrame(rows_of, "_ls_node int, dim int, cut long, a int, b int"))  # one row for each node
+        table = F.broadcast(small_table(spark, rows_of, "_ls_node int, dim int, cut long, a int, b int"))  # one row for each node
         key = F.element_at(F.array(*[F.col(f"_ls_d{i}") for i in range(len(names))]), F.col("dim") + 1) * F.lit(1 << TIE) + F.col("_ls_tie")
         cur = cur.join(table, "_ls_node", "left").withColumn("_ls_node", F.when(F.col("cut").isNull(), F.col("_ls_node")).when(key < F.col("cut"), F.col("a")).otherwise(F.col("b"))).drop("dim", "cut", "a", "b")
-    table = F.broadcast(spark.createDataFrame([(n, first_shard[n]) for n in leaves], "_ls_node int, shard int"))
+    table = F.broadcast(small_table(spark, [(n, first_shard[n]) for n in leaves], "_ls_node int, shard int"))
     return cur.join(table, "_ls_node").select(*rows.columns, "shard")
 
 
