@@ -123,6 +123,13 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mixed(np.add.reduceat(parts, where) + lengths.astype(np.uint64)), first
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches of few rows, so that the Python objects made of one stay small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_slices(texts: list[bytes], most: int = 1 << 21):
     """(first, last) index ranges of about `most` bytes each, so that numpy's temporaries stay small."""
     begin = size = 0

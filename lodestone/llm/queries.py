@@ -1,12 +1,13 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from lodestone.llm import bpe, chat, exact_dedup, knn, near_dedup, sharding, token_counts
+from lodestone.llm import bpe, chat, exact_dedup, knn, near_dedup, quality, sharding, token_counts
 
 QUERIES = {
     "op1_kd_shards": sharding.op1_kd_shards,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_minhash_near_dedup": near_dedup.op3_minhash_near_dedup,
     "op4_chat": chat.op4_chat,
+    "op5_quality": quality.op5_quality,
     "op6_token_counts": token_counts.op6_token_counts,
     "op9_bpe": bpe.op9_bpe,
     "op10_voronoi_knn": knn.op10_voronoi_knn,
