@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from lodestone.llm import bpe, chat, exact_dedup, knn, mixing, near_dedup, quality, sharding, token_counts
+from lodestone.llm import bpe, chat, exact_dedup, knn, mixing, near_dedup, quality, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_kd_shards": sharding.op1_kd_shards,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_chat": chat.op4_chat,
     "op5_quality": quality.op5_quality,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op7_suffix_dedup": substring_dedup.op7_suffix_dedup,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_bpe": bpe.op9_bpe,
     "op10_voronoi_knn": knn.op10_voronoi_knn,
