@@ -34,9 +34,9 @@ def with_views(sql: str) -> str:
     used = [v for v in VIEWS if re.search(rf"\b{v}\b", sql)]
     if not used:
         return sql
-    recursive = "RECURSIVE " if " UNION ALL SELECT" in sql and "FROM r WHERE i <" in sql else ""
+    recursive = "RECURSIVE " if sql.strip().upper().startswith("WITH RECURSIVE") or "FROM r WHERE i <" in sql else ""
     head = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in used)
-    body = sql.strip()
+    body = re.sub(r"^WITH RECURSIVE\b", "WITH", sql.strip())
     return f"WITH {recursive}{head},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head}\n{body}"
 
 
