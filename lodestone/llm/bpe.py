@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import stored
+from lodestone.llm.common import slices, stored
 from lodestone.llm.tokenizers_io import default_path, load
 
 # The pattern of the tokenizer's file, for characters below U+0180.
@@ -58,11 +58,11 @@ def distinct_words(docs: DataFrame, text_col: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         emit = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 if text:
                     seen.update(words_of(text))
-                if len(seen) > 300_000:
+                if len(seen) > 200_000:
                     yield emit()
                     seen.clear()
         yield emit()
@@ -89,14 +89,14 @@ class Table:
     def __init__(self, keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray):
         order = np.argsort(keys, kind="stable")
         starts = np.cumsum(lengths) - lengths
-        self.keys, self.starts, self.lengths, self.ids = keys[order], starts[order].astype(np.int64), lengths[order].astype(np.int32), ids
+        self.keys, self.starts, self.lengths, self.ids = keys[order], starts[order].astype(np.uint32), lengths[order].astype(np.uint32), ids
         self.cache: dict[str, int] = {}
 
     def find(self, word: str) -> int:
         """The row of word, -1 if it has none."""
         at = self.cache.get(word)
         if at is None:
-            if len(self.cache) > 200_000:
+            if len(self.cache) > 100_000:
                 self.cache.clear()
             key = key_of(word)
             i = int(np.searchsorted(self.keys, key))
@@ -104,7 +104,7 @@ class Table:
         return at
 
     def gather(self, rows: np.ndarray) -> np.ndarray:
-        n = self.lengths[rows]
+        n = self.lengths[rows].astype(np.int64)
         at = np.repeat(self.starts[rows] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         return self.ids[at].astype("<u4")
 
@@ -125,8 +125,10 @@ def _fetch(table: DataFrame) -> Table:
     return Table(got.column("key").to_numpy().astype(np.int64), np.diff(offsets) // 4, small)
 
 
-def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, table_bytes: int = 96 << 20) -> DataFrame:
-    """docs' ids and each text's token ids: id_col, _ls_text (null as empty), ids (binary, little-endian unsigned 32-bit).
+def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, table_bytes: int = 64 << 20, decode: bool = False) -> DataFrame:
+    """id_col and each text's token ids, a binary of little-endian unsigned 32-bit numbers; a null text counts as empty.
+
+    With decode, also text: the ids decoded as by bpe_decode(), in the same pass.
 
     Of the word table, as many words as take table_bytes, the most frequent first, are broadcast.
     A text with other words gets those through a join on (word); both give the same ids.
@@ -137,87 +139,90 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     twice = table.groupBy("key").count().where("count > 1").select("key")  # keys that stand for two words
     unique = table.join(twice, "key", "left_anti").withColumn("often", F.floor(F.log2("n")).cast("int"))
     held, least, whole = 0, 64, True
-    for often, size in unique.groupBy("often").agg(F.sum(F.octet_length("ids") / 2 + 20)).orderBy(F.desc("often")).collect():  # a row for each power of two
+    for often, size in unique.groupBy("often").agg(F.sum(F.octet_length("ids") / 2 + 14)).orderBy(F.desc("often")).collect():  # a row for each power of two
         if held + size > table_bytes:
             whole = False
             break
         held, least = held + size, often
+    pieces = spark.sparkContext.broadcast(Pieces(path)) if decode else None
     shared = spark.sparkContext.broadcast(_fetch(unique.where(F.col("often") >= least)))
 
+    wanted = ["ids", "text"] if decode else ["ids"]
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", id_type), T.StructField("ids", T.BinaryType()), T.StructField("text", T.StringType()), T.StructField("missing", T.ArrayType(T.StringType()))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             ids, left, missing = [], [], []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
                 at = np.fromiter((known.find(w) for w in words), np.int64, len(words))
                 lost = np.flatnonzero(at < 0)
                 ids.append(None if len(lost) else known.gather(at).tobytes())
-                left.append(text if len(lost) else None)
+                left.append(text if len(lost) else pieces.value.text(np.frombuffer(ids[-1], "<u4")) if decode else None)
                 missing.append(list({words[i] for i in lost}) if len(lost) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(left, pa.string()), pa.array(missing, pa.list_(pa.string()))], ["id", "ids", "text", "missing"])
 
     def encode_left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             ids = []
             for text, more in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 own = {m["word"]: m["ids"] for m in more}
                 ids.append(b"".join(own[w] if w in own else known.gather(np.array([known.find(w)])).tobytes() for w in words_of(text)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
+            texts = [pieces.value.text(np.frombuffer(i, "<u4")) if decode else None for i in ids]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["id", "ids", "text"])
 
     done = rows.mapInArrow(encode, schema)
     if whole and not twice.head(1):
-        return done.select(F.col("id").alias(id_col), "ids")
+        return done.select(F.col("id").alias(id_col), *wanted)
     done = stored(done.withColumn("row", F.monotonically_increasing_id()), "encoded")
     left = done.where("missing IS NOT NULL")
     asked = left.select("row", F.explode("missing").alias("word"))
     found = asked.join(table.select("word", "ids"), "word").groupBy("row").agg(F.collect_list(F.struct("word", "ids")).alias("more"))
     back = left.select("row", "id", "text").join(found, "row").select("id", "text", "more")
-    out = done.where("missing IS NULL").select("id", "ids").unionByName(back.mapInArrow(encode_left, T.StructType(schema.fields[:2])))
-    return out.select(F.col("id").alias(id_col), "ids")
+    out = done.where("missing IS NULL").select("id", "ids", "text").unionByName(back.mapInArrow(encode_left, T.StructType(schema.fields[:3])))
+    return out.select(F.col("id").alias(id_col), *wanted)
+
+
+class Pieces:
+    """The id-to-piece table as flat bytes; it has as many rows as the tokenizer's vocabulary."""
+
+    def __init__(self, path: str):
+        tokenizer = load(path)
+        size = max(tokenizer.get_vocab(with_added_tokens=True).values(), default=-1) + 1
+        pieces = [tokenizer.id_to_token(i) for i in range(size)]
+        raw = [b"" if p is None else p.encode() + b" " for p in pieces]
+        self.flat, self.n = np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw], np.int64)
+        self.start = np.cumsum(self.n) - self.n
+
+    def text(self, ids: np.ndarray) -> str:
+        """The pieces of ids with a space between; ids without a piece are left out."""
+        ids = ids[ids < len(self.n)]
+        k = self.n[ids]
+        at = np.repeat(self.start[ids] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+        return self.flat[at].tobytes()[:-1].decode()
 
 
 def bpe_decode(encoded: DataFrame, id_col: str = "doc_id", tokenizer_path: str | None = None) -> DataFrame:
     """id_col, ids and text: the pieces of the ids, special ones too, as the library's decode() without a decoder joins them.
 
-    The id-to-piece table has as many rows as the tokenizer's vocabulary, so each task joins against a copy.
-    Ids beyond the vocabulary have no piece and are left out; null ids give a null text.
+    The id-to-piece table is broadcast. Ids beyond the vocabulary have no piece and are left out; null ids give a null text.
     """
-    path = tokenizer_path or default_path()
+    shared = encoded.sparkSession.sparkContext.broadcast(Pieces(tokenizer_path or default_path()))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(path)
-        size = max(tokenizer.get_vocab(with_added_tokens=True).values(), default=-1) + 1
-        pieces = [tokenizer.id_to_token(i) for i in range(size)]
-        there = np.array([p is not None for p in pieces], bool)
-        raw = [b"" if p is None else p.encode() + b" " for p in pieces]
-        flat = np.frombuffer(b"".join(raw), np.uint8)
-        n = np.array([len(r) for r in raw], np.int64)
-        start = np.cumsum(n) - n
-        for batch in batches:
-            texts = []
-            for got in batch.column(1).to_pylist():
-                if got is None:
-                    texts.append(None)
-                    continue
-                ids = np.frombuffer(got, "<u4")
-                ids = ids[ids < size]
-                ids = ids[there[ids]]
-                k = n[ids]
-                at = np.repeat(start[ids] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
-                texts.append(flat[at].tobytes()[:-1].decode())
+        for batch in slices(batches):
+            texts = [None if got is None else shared.value.text(np.frombuffer(got, "<u4")) for got in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "ids", "text"])
 
     schema = T.StructType([T.StructField("id", encoded.schema[id_col].dataType), T.StructField("ids", T.BinaryType()), T.StructField("text", T.StringType())])
     return encoded.select(F.col(id_col).alias("id"), "ids").mapInArrow(decode, schema).withColumnRenamed("id", id_col)
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    back = bpe_decode(bpe_encode(docs))
+def digests(docs: DataFrame, table_bytes: int = 64 << 20) -> DataFrame:
+    back = bpe_encode(docs, decode=True, table_bytes=table_bytes)
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 

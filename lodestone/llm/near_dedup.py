@@ -5,9 +5,10 @@ in at most 2 * CHUNKS - 1 symbols have a chunk with at most one difference (pige
 allowed errors are enumerated by leaving out each of its symbols in turn, which gives a document one key
 for each symbol. So every pair within that distance shares a key. Candidates are confirmed on full sets.
 
-Groups are joined in two rounds, so that a bucket of g near copies doesn't give g * g pairs: first each
-document is compared with the smallest one that most of its buckets name; then, within a bucket, only
-documents that are still in different components are compared, in blocks.
+Groups are joined in two rounds, so that g near copies don't give g * g rows. First each document names the one
+that most of its buckets begin with; those within the distance form clusters, and a cluster's full sets are
+compared tile by tile, a tile pair giving as many rows as it has documents at most. Then, within a bucket, only
+documents of different clusters and components are compared.
 """
 
 from __future__ import annotations
@@ -118,20 +119,93 @@ def _whole_keys(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.R
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def _tiles(members: DataFrame, group: str, weight, tile_rows: int) -> DataFrame:
+    """members dealt into pairs of tiles of their group: pair, own, low, high beside their columns."""
+    split = members.groupBy(group).agg(F.ceil(F.greatest(F.count("*") / tile_rows, F.sum(weight) / (tile_rows * 1024))).alias("tiles"))
+    dealt = members.join(split, group).withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    return dealt.withColumn("pair", F.xxhash64(group, low, high)).withColumn("low", low).withColumn("high", high).drop("tiles", "other")
+
+
+def _tile_components(ids: np.ndarray, across: np.ndarray | None, lengths: np.ndarray, values: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """(least id, id) for each document that links join to another; across: tiles of which only documents of different ones are compared."""
+    n = len(ids)
+    row = np.repeat(np.arange(n), lengths)
+    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count > 1)
+    place = np.full(len(count), -1)
+    place[shared] = np.arange(len(shared))
+    column = place[column]
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((n, n), np.float32)
+    for at in range(0, len(shared), 4096):
+        a, b = np.searchsorted(column, [at, at + 4096])
+        there = np.zeros((n, 4096), np.float32)
+        there[row[a:b], column[a:b] - at] = 1
+        common += there @ there.T
+    linked = 100 * common >= percent * (lengths[:, None] + lengths[None, :] - common)
+    if across is not None:
+        linked &= across[:, None] != across[None, :]
+    np.fill_diagonal(linked, False)
+    open_, out = linked.any(1), []
+    while open_.any():
+        part = np.zeros(n, bool)
+        part[np.flatnonzero(open_)[0]] = True
+        while (grown := part | linked[part].any(0)).sum() > part.sum():
+            part = grown
+        least = ids[part].min()
+        out += [(int(least), int(i)) for i in ids[part] if i != least]
+        open_ &= ~part
+    return out
+
+
+def _cluster_links(clusters: DataFrame, sets: DataFrame, percent: int, tile_rows: int = 256) -> DataFrame:
+    """a, b: connections that the links within clusters (cluster, id) make, from full sets."""
+    dealt = _tiles(clusters.join(sets, "id").withColumn("n", F.size("shingles")), "cluster", F.col("n"), tile_rows)
+    dealt = dealt.select("pair", "cluster", "id", "own", "low", "high", "shingles")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_keys(batches, 0):
+            pair, cluster, ids, own, low, high = (batch.column(c).to_numpy() for c in range(6))
+            offsets, values = batch.column(6).offsets.to_numpy(), batch.column(6).values.to_numpy()
+            edge = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (cluster[1:] != cluster[:-1]), [True]]))
+            found = []
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                if b - a > 1:
+                    found += _tile_components(ids[a:b], None if low[a] == high[a] else own[a:b], np.diff(offsets[a : b + 1]), values[offsets[a] : offsets[b]], percent)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+    return dealt.repartition("pair").sortWithinPartitions("pair", "cluster").mapInArrow(link, "a long, b long").distinct()
+
+
+def _within(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures differ in MOST_ERRORS symbols at most."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for c in (2, 3))
+                yield batch.select([0, 1]).filter(pa.array((x != y).sum(1) <= MOST_ERRORS))
+
+    sig = sets.select("id", "sig")
+    both = pairs.join(sig.withColumnsRenamed({"id": "b", "sig": "y"}), "b").join(sig.withColumnsRenamed({"id": "a", "sig": "x"}), "a")
+    return both.select("a", "b", "x", "y").mapInArrow(near, "a long, b long")
+
+
 def _near_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs within MOST_ERRORS, of sizes that allow the similarity, in different components, once each.
+    """a, b: pairs within MOST_ERRORS, of sizes that allow the similarity, in different clusters and components, once each.
 
-    members: key, id, comp, n, sig. Buckets of more than BLOCK rows are compared in pairs of blocks.
+    members: key, id, cluster, comp, n, sig. Buckets of more than BLOCK rows are compared in pairs of tiles.
     """
-    split = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = members.join(split, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("pair", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-    dealt = dealt.select("pair", "key", "id", "comp", "n", "sig", F.col("own").cast("int").alias("own"), (F.col("own") == F.col("other")).alias("same"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    dealt = _tiles(members, "key", F.lit(1), BLOCK).select("pair", "key", "id", "cluster", "comp", "n", "sig", "own", "low", "high")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_keys(batches, 0):
-            pair, key, ids, comp, n, own, low, high = (batch.column(c).to_numpy() for c in ("pair", "key", "id", "comp", "n", "own", "low", "high"))
+            pair, key, ids, cluster, comp, n, own, low, high = (batch.column(c).to_numpy() for c in ("pair", "key", "id", "cluster", "comp", "n", "own", "low", "high"))
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
             slot = key & 63
             out_a, out_b = [], []
@@ -139,7 +213,7 @@ def _near_pairs(members: DataFrame, percent: int) -> DataFrame:
                 same = pair[d:] == pair[:-d]
                 if not same.any():
                     break
-                i = np.flatnonzero(same & (key[d:] == key[:-d]) & (comp[d:] != comp[:-d]) & ((low[d:] == high[d:]) | (own[d:] != own[:-d])))
+                i = np.flatnonzero(same & (key[d:] == key[:-d]) & (comp[d:] != comp[:-d]) & (cluster[d:] != cluster[:-d]) & ((low[d:] == high[d:]) | (own[d:] != own[:-d])))
                 j = i + d
                 small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
                 ok = small * 100 >= large * percent
@@ -224,10 +298,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     full = stored(_full_sets(docs, wanted), "full-sets")
     votes = members.where("id <> p").groupBy("id", "p").count()
     star = votes.groupBy("id").agg(F.max(F.struct("count", (-F.col("p")).alias("p"))).alias("m")).select((-F.col("m.p")).alias("a"), F.col("id").alias("b"))
-    links = components(_confirmed(star, full, percent))
-    comp = members.select("key", "id").join(links.select(F.col("v").alias("id"), "root"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("comp"))
-    comp = stored(comp, "members")
-    open_keys = comp.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    star = components(_within(star, sets)).select(F.col("root").alias("cluster"), F.col("v").alias("id"))
+    clusters = stored(star.unionByName(star.select("cluster", F.col("cluster").alias("id")).distinct()), "clusters")
+    links = components(_cluster_links(clusters, full, percent))
+    comp = members.select("key", "id").join(clusters, "id", "left").join(links.select(F.col("v").alias("id"), "root"), "id", "left")
+    comp = stored(comp.select("key", "id", F.coalesce("cluster", "id").alias("cluster"), F.coalesce("root", "id").alias("comp")), "members")
+    open_keys = comp.groupBy("key").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y")).where("x <> y").select("key")
     still = comp.join(open_keys, "key", "left_semi").join(sets.select("id", F.col("n_shingles").alias("n"), "sig"), "id")
     pairs = stored(_near_pairs(still, percent), "pairs")
     later = _confirmed(pairs, full, percent)

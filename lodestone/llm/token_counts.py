@@ -1,4 +1,6 @@
-"""Token counts: whole texts in batches, huge ones by overlap resynchronisation.
+"""Token counts: short texts word by word, huge ones by overlap resynchronisation.
+
+The tokens of a short text are those of its words, and a task encodes a word that it has just seen only once.
 
 A huge text is encoded in chunks that overlap. Two neighbours are spliced at a position in their
 overlap where both end a token before white space, begin the next one after it, and agree on every
@@ -16,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.bpe import words_of
+from lodestone.llm.common import slices
 from lodestone.llm.tokenizers_io import default_path, load
 
 
@@ -69,23 +73,22 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) for each row; null text counts as empty.
 
     Without added special tokens; special strings in a text are read as the library's default does.
-    The tokenizer must end words at ASCII white space and give it no tokens of its own.
+    The tokenizer must be of the kind that bpe.words_of() splits for: white space ends words and has no tokens.
     """
     path = tokenizer_path or default_path()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
-        for batch in batches:
+        known: dict[str, int] = {}
+        for batch in slices(batches):
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-            short = [i for i, t in enumerate(texts) if len(t) <= chunk]
-            n = [0] * len(texts)
-            for at in range(0, len(short), 64):
-                part = short[at : at + 64]
-                for i, e in zip(part, tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False), strict=True):
-                    n[i] = len(e)
-            for i, t in enumerate(texts):
-                if len(t) > chunk:
-                    n[i] = count_huge(tokenizer, t, chunk, overlap)
+            n = [count_huge(tokenizer, t, chunk, overlap) if len(t) > chunk else 0 for t in texts]
+            words = [words_of(t) if len(t) <= chunk else [] for t in texts]
+            if len(known) > 200_000:
+                known.clear()
+            fresh = list({w for ws in words for w in ws if w not in known})
+            known.update(zip(fresh, map(len, tokenizer.encode_batch_fast(fresh, add_special_tokens=False)), strict=True))
+            n = [a + sum(map(known.__getitem__, ws)) for a, ws in zip(n, words, strict=True)]
             sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["id", "n_bytes", "n_tokens", "over_limit"])
 
