@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import components, lookup, mixed, stored, text_slices, word_hashes
 
 SYMBOLS, CHUNKS, SHINGLE = 64, 11, 5
+#: One-bit minhashes of a candidate's full set, and how many deviations below the mean a link's agreement may lie.
+BITS, DEVIATIONS = 1024, 5.5
 MOST_ERRORS = 2 * CHUNKS - 1
 BLOCK = 2048
 
@@ -32,6 +34,8 @@ _B = _rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
 _PLACE = mixed(_rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64))
 _CHUNK = np.repeat(np.arange(CHUNKS), [len(x) for x in np.array_split(np.arange(SYMBOLS), CHUNKS)])
 _CHUNK_START = np.searchsorted(_CHUNK, np.arange(CHUNKS))
+_BIT_A = _rng.integers(1, 2**31, BITS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_BIT_B = _rng.integers(0, 2**31, BITS, dtype=np.uint32)
 _WEIGHTS = mixed(np.arange(11, 11 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -60,6 +64,21 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (mixed(least) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """BITS one-bit minhashes: two sets of similarity J agree in a share of J + (1 - J) / 2 of them."""
+    least = np.full(BITS, np.iinfo(np.uint32).max, np.uint32)
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), 256):
+        least = np.minimum(least, (short[at : at + 256][:, None] * _BIT_A + _BIT_B).min(0))
+    return np.packbits(mixed(least.astype(np.uint64)) & np.uint64(1) != 0).tobytes()
+
+
+def least_agreement(percent: int) -> int:
+    """Fewer equal bits than this are DEVIATIONS below what a pair of this similarity has on average."""
+    p = (1 + percent / 100) / 2
+    return int(BITS * p - DEVIATIONS * np.sqrt(BITS * p * (1 - p)))
+
+
 def chunk_keys(signatures: np.ndarray) -> np.ndarray:
     """(rows, SYMBOLS) keys: in column k, the chunk of symbol k without it. The low 6 bits are k."""
     terms = mixed(signatures.astype(np.uint64) + (np.arange(SYMBOLS, dtype=np.uint64) << np.uint64(16)))
@@ -199,14 +218,17 @@ def _within(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _near_pairs(members: DataFrame, percent: int) -> DataFrame:
     """a, b: pairs within MOST_ERRORS, of sizes that allow the similarity, in different clusters and components, once each.
 
-    members: key, id, cluster, comp, n, sig. Buckets of more than BLOCK rows are compared in pairs of tiles.
+    members: key, id, cluster, comp, n, sig, bits. Buckets of more than BLOCK rows are compared in pairs of tiles.
+    Pairs whose sketches agree in fewer bits than least_agreement() are left out.
     """
-    dealt = _tiles(members, "key", F.lit(1), BLOCK).select("pair", "key", "id", "cluster", "comp", "n", "sig", "own", "low", "high")
+    dealt = _tiles(members, "key", F.lit(1), BLOCK).select("pair", "key", "id", "cluster", "comp", "n", "sig", "bits", "own", "low", "high")
+    agree = least_agreement(percent)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_keys(batches, 0):
             pair, key, ids, cluster, comp, n, own, low, high = (batch.column(c).to_numpy() for c in ("pair", "key", "id", "cluster", "comp", "n", "own", "low", "high"))
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
             slot = key & 63
             out_a, out_b = [], []
             for d in range(1, len(ids)):
@@ -220,6 +242,10 @@ def _near_pairs(members: DataFrame, percent: int) -> DataFrame:
                 i, j = i[ok], j[ok]
                 for at in range(0, len(i), 8192):
                     x, y = i[at : at + 8192], j[at : at + 8192]
+                    alike = BITS - np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) >= agree
+                    x, y = x[alike], y[alike]
+                    if not len(x):
+                        continue
                     wrong = sig[x] != sig[y]
                     errors = np.add.reduceat(wrong, _CHUNK_START, axis=1, dtype=np.int16)
                     chunk = (errors <= 1).argmax(1)
@@ -236,7 +262,7 @@ def _near_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, shingles: wanted (id, doc_id, hi) read again from the texts."""
+    """id, shingles, bits (their sketch): wanted (id, doc_id, hi) read again from the texts."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,9 +271,9 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if found:
                 lengths = np.cumsum([0, *(len(s) for _, s in found)])
                 values = pa.array(np.concatenate([s for _, s in found]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), values)], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), values), pa.array([sketch(s) for _, s in found], pa.binary())], ["id", "shingles", "bits"])
 
-    return docs.join(wanted, "doc_id").select("text", "id", "hi").mapInArrow(read, "id long, shingles array<long>").dropDuplicates(["id"])
+    return docs.join(wanted, "doc_id").select("text", "id", "hi").mapInArrow(read, "id long, shingles array<long>, bits binary").dropDuplicates(["id"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -284,7 +310,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     Links join documents whose sets of 5-word shingles have 100 * intersection >= percent * union; percent is 80 or
     more. Equal sets are one node, so copies aren't compared. component_id is the smallest id of those reachable;
     a document without words, or with a null id, is alone. MinHash can miss a link only if the signatures differ in more
-    than MOST_ERRORS symbols and share no key: at a similarity of 0.85, about one pair in 20,000.
+    than MOST_ERRORS symbols and share no key: at a similarity of 0.85, about one pair in 20,000. Of pairs of different
+    clusters, the sketches drop one link in 10 million at most before full sets are compared.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = stored(_profiles(docs), "profiles")
@@ -295,7 +322,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     named = keys.groupBy("key").agg(F.min("id").alias("p"), F.count("*").alias("g")).where("g > 1").drop("g")
     members = stored(keys.join(named, "key"), "members")
     wanted = members.select("id").distinct().join(sets.select("id", F.col("rep").alias("doc_id"), "hi"), "id")
-    full = stored(_full_sets(docs, wanted), "full-sets")
+    stored_sets = stored(_full_sets(docs, wanted), "full-sets")
+    full = stored_sets.drop("bits")
     votes = members.where("id <> p").groupBy("id", "p").count()
     star = votes.groupBy("id").agg(F.max(F.struct("count", (-F.col("p")).alias("p"))).alias("m")).select((-F.col("m.p")).alias("a"), F.col("id").alias("b"))
     star = components(_within(star, sets)).select(F.col("root").alias("cluster"), F.col("v").alias("id"))
@@ -304,7 +332,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     comp = members.select("key", "id").join(clusters, "id", "left").join(links.select(F.col("v").alias("id"), "root"), "id", "left")
     comp = stored(comp.select("key", "id", F.coalesce("cluster", "id").alias("cluster"), F.coalesce("root", "id").alias("comp")), "members")
     open_keys = comp.groupBy("key").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y")).where("x <> y").select("key")
-    still = comp.join(open_keys, "key", "left_semi").join(sets.select("id", F.col("n_shingles").alias("n"), "sig"), "id")
+    still = comp.join(open_keys, "key", "left_semi").join(sets.select("id", F.col("n_shingles").alias("n"), "sig"), "id").join(stored_sets.select("id", "bits"), "id")
     pairs = stored(_near_pairs(still, percent), "pairs")
     later = _confirmed(pairs, full, percent)
     links = components(links.select(F.col("root").alias("a"), F.col("v").alias("b")).unionByName(later))
