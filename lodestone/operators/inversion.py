@@ -68,27 +68,78 @@ def _dense(own: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return g, d, ids
 
 
-def sweep(kernel: DataFrame, data: DataFrame, dampings: list[float]) -> DataFrame:
-    """damping, misfit, norm: a solve for each damping, one task each, over the data-sized normal matrix G G' + damping^2 I.
+def data_matrix(kernel: DataFrame, block: int = 2048) -> DataFrame:
+    """i, j, k: G G' between observations. A task multiplies the columns of `block` cells; partial products are summed in Spark."""
+
+    def product(own: pd.DataFrame) -> pd.DataFrame:
+        obs, row = np.unique(own.obs_id.to_numpy(), return_inverse=True)
+        ids, col = np.unique(own.voxel_id.to_numpy(), return_inverse=True)
+        g = np.zeros((len(obs), len(ids)))
+        g[row, col] = own.val.to_numpy()
+        k = g @ g.T
+        i, j = np.nonzero(k)
+        return pd.DataFrame({"i": obs[i], "j": obs[j], "k": k[i, j]})
+
+    parts = kernel.select("obs_id", "voxel_id", "val", F.expr(f"voxel_id DIV {block}").alias("_block")).groupBy("_block").applyInPandas(product, "i long, j long, k double")
+    return parts.groupBy("i", "j").agg(F.sum("k").alias("k"))
+
+
+def _solved(own: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(observations, K, d, x) with (K + damping^2 I) x = d, of one damping's rows."""
+    obs, row = np.unique(own.i.to_numpy(), return_inverse=True)
+    k, d = np.zeros((len(obs), len(obs))), np.zeros(len(obs))
+    k[row, np.searchsorted(obs, own.j.to_numpy())] = own.k.to_numpy()
+    d[row] = own.d.to_numpy()
+    return obs, k, d, np.linalg.solve(k + float(own.damping.iloc[0]) ** 2 * np.eye(len(obs)), d)
+
+
+def _systems(kernel: DataFrame, data: DataFrame, dampings: list[float], most_obs: int) -> DataFrame:
+    if data.limit(most_obs + 1).count() > most_obs:
+        raise ValueError(f"more than {most_obs} observations; use cgls()")
+    known = data.select(F.col("obs_id").alias("i"), "d")
+    matrix = data_matrix(kernel.join(data.select("obs_id"), "obs_id", "left_semi"))
+    return stored(matrix, "data-matrix").join(known, "i").withColumn("damping", F.explode(F.array(*map(F.lit, dampings))))
+
 
-    The matrix is summed in Spark from pairs of observations that share a cell, so a task holds n_obs^2 numbers.
+def sweep(kernel: DataFrame, data: DataFrame, dampings: list[float], most_obs: int = 4096) -> DataFrame:
+    """damping, misfit, norm: a solve for each damping, one task each, over the matrix G G' + damping^2 I.
+
+    The matrix has the size of the data squared, at most most_obs^2 numbers, which is checked.
     """
-    a = kernel.withColumnsRenamed({"obs_id": "i", "val": "a"})
-    b = kernel.withColumnsRenamed({"obs_id": "j", "val": "b"})
-    normal = stored(a.join(b, "voxel_id").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("k")), "normal")
-    entries = normal.join(data.select(F.col("obs_id").alias("i"), "d"), "i")
-    cased = entries.withColumn("damping", F.explode(F.array(*map(F.lit, dampings))))
 
     def solve(own: pd.DataFrame) -> pd.DataFrame:
-        obs, row = np.unique(own.i.to_numpy(), return_inverse=True)
-        k, d = np.zeros((len(obs), len(obs))), np.zeros(len(obs))
-        k[row, np.searchsorted(obs, own.j.to_numpy())] = own.k.to_numpy()
-        d[row] = own.d.to_numpy()
-        damping = float(own.damping.iloc[0])
-        x = np.linalg.solve(k + damping**2 * np.eye(len(obs)), d)
-        return pd.DataFrame({"damping": [damping], "misfit": [float(np.linalg.norm(d - k @ x))], "norm": [float(np.sqrt(max(x @ k @ x, 0)))]})
-
-    return cased.groupBy("damping").applyInPandas(solve, "damping double, misfit double, norm double")
+        _, k, d, x = _solved(own)
+        return pd.DataFrame({"damping": [float(own.damping.iloc[0])], "misfit": [float(np.linalg.norm(d - k @ x))], "norm": [float(np.sqrt(max(x @ k @ x, 0)))]})
+
+    return _systems(kernel, data, dampings, most_obs).groupBy("damping").applyInPandas(solve, "damping double, misfit double, norm double")
+
+
+def solve_in_data_space(kernel: DataFrame, data: DataFrame, damping: float, most_obs: int = 4096) -> DataFrame:
+    """voxel_id, m = G' (G G' + damping^2 I)^-1 d: what cgls() tends to, in one pass, for at most most_obs observations."""
+
+    def solve(own: pd.DataFrame) -> pd.DataFrame:
+        obs, _, _, x = _solved(own)
+        return pd.DataFrame({"obs_id": obs, "y": x})
+
+    y = _systems(kernel, data, [float(damping)], most_obs).groupBy("damping").applyInPandas(solve, "obs_id long, y double")
+    return kernel.join(y, "obs_id").groupBy("voxel_id").agg(F.sum(F.col("val") * F.col("y")).alias("m"))
+
+
+def focused(kernel: DataFrame, data: DataFrame, weights: DataFrame, damping: float, rounds: int, upper: float) -> DataFrame:
+    """voxel_id, m: minimum-support inversion. Each round reweights cells by m / sqrt(m^2 + e^2), e a tenth of the largest m; in the end 0 <= m <= upper.
+
+    weights: voxel_id, w (of depth). damping is relative to the mean diagonal of the round's G G'.
+    """
+    w, model = weights.select("voxel_id", "w"), None
+    for _ in range(rounds + 1):
+        g = stored(scaled_kernel(kernel, w), "focused-kernel")
+        size = g.agg(F.sum(F.col("val") ** 2) / F.count_distinct("obs_id")).first()[0] or 0.0
+        solved = solve_in_data_space(g, data, damping * size**0.5)
+        model = stored(solved.join(w, "voxel_id").select("voxel_id", (F.col("m") * F.col("w")).alias("m")), "focused-model")
+        most = model.agg(F.max(F.abs("m"))).first()[0] or 1.0
+        up = F.greatest(F.col("m"), F.lit(0.0))
+        w = weights.join(model, "voxel_id").select("voxel_id", (F.col("w") * (up / F.sqrt(up * up + (0.1 * most) ** 2) + 1e-3)).alias("w"))
+    return model.select("voxel_id", F.greatest(F.least("m", F.lit(upper)), F.lit(0.0)).alias("m"))
 
 
 def posterior_std(kernel: DataFrame, damping: float, probes: int = 32, iterations: int = 50, seed: int = 0) -> DataFrame:

@@ -1,4 +1,4 @@
 """Every query of the library outside lodestone.llm."""
 
-from lodestone.plans import blockmodel, diagnostics, evaluation, inversion, mining, spatial, stations  # noqa: F401
+from lodestone.plans import blockmodel, diagnostics, evaluation, inversion, mining, spatial, stations, streams  # noqa: F401
 from lodestone.plans.registry import QUERIES, SQL  # noqa: F401

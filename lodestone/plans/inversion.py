@@ -33,12 +33,36 @@ def invert_gravity(spark, sf_dir):
     k = _kernel(spark, sf_dir)
     w = A.voxels(spark, sf_dir).select("voxel_id", F.sqrt(I.depth_weight(F.col("y"), 12.5, 1.0)).alias("w"))
     d = _data(spark, sf_dir, k)
-    m = I.cgls(I.scaled_kernel(k, w), d, 1.0, iterations=6)
+    m = I.solve_in_data_space(I.scaled_kernel(k, w), d, 1.0) if d.limit(4097).count() <= 4096 else I.cgls(I.scaled_kernel(k, w), d, 1.0)
     model = m.join(w, "voxel_id").select("voxel_id", (F.col("m") * F.col("w")).alias("contrast"))
     left = S.forward(k, model, "contrast").withColumnRenamed("d", "p").join(d, "obs_id").select("obs_id", (F.col("d") - F.col("p")).alias("r"))
     return model.join(I.relative_score(k, left), "voxel_id").select("voxel_id", "contrast", "score")
 
 
+def _cells(spark, nx, ny, nz, size):
+    i = F.col("id")
+    ix, iy, iz = i % nx, F.expr(f"id DIV {nx}") % ny, F.expr(f"id DIV {nx * ny}")
+    return spark.range(nx * ny * nz).select(i.alias("voxel_id"), *[(c * size + size / 2).alias(n) for c, n in ((ix, "x"), (iy, "y"), (iz, "z"))])
+
+
+@query("sphere_recovery")
+def sphere_recovery(spark, sf_dir):
+    """A sphere of 0.5 contrast, seen by 49 sensors through a mesh of 5 m cells, recovered on 256 cells of 15 m. No table is read."""
+    fine, coarse = _cells(spark, 24, 12, 24, 5.0), _cells(spark, 8, 4, 8, 15.0)
+    sensors = spark.range(49).select(F.col("id").alias("obs_id"), (F.expr("id DIV 7") * 20.0).alias("x_m"), F.lit(-1.0).alias("y_m"), (F.col("id") % 7 * 20.0).alias("z_m"))
+    inside = (F.col("x") - 60) ** 2 + (F.col("y") - 30) ** 2 + (F.col("z") - 60) ** 2 <= 400
+    body = fine.where(inside).withColumn("c", F.lit(0.5))
+    scaled = lambda k: k.withColumn("val", F.col("val") * 1e9)
+    data = I.stored(S.forward(scaled(S.gravity_kernel(sensors, body, 5.0, 500.0)), body, "c"), "sphere-data")
+    kernel = I.stored(scaled(S.gravity_kernel(sensors, coarse, 15.0, 500.0)), "sphere-kernel")
+    model = I.focused(kernel, data, coarse.select("voxel_id", F.pow(F.col("y") + 1, F.lit(1.25)).alias("w")), 0.1, 3, 0.5)
+    at = lambda c: F.floor(F.col(c) / 15)
+    truth = body.groupBy((at("x") + at("y") * 8 + at("z") * 32).alias("voxel_id")).agg((F.count("*") * 0.5 / 27).alias("t"))
+    both = coarse.join(truth, "voxel_id", "left").join(model, "voxel_id").select(F.coalesce("t", F.lit(0.0)).alias("t"), "m")
+    left = data.join(S.forward(kernel, model, "m").withColumnRenamed("d", "p"), "obs_id").agg((100 * F.sqrt(F.sum((F.col("d") - F.col("p")) ** 2) / F.sum(F.col("d") ** 2))).alias("misfit_percent"), F.count("*").alias("n_obs"))
+    return both.agg(F.count("*").alias("n_voxels"), F.corr("t", "m").alias("pearson")).join(left)
+
+
 @query("damping_sweep")
 def damping_sweep(spark, sf_dir):
     """damping, misfit, norm on an L-curve, a task for each damping."""
