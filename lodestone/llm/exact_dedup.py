@@ -22,8 +22,8 @@ def _cell(sha: str, which: int, cells: int) -> Column:
     return F.pmod(F.xxhash64(F.col(sha), F.lit(which)), F.lit(cells)) + 1
 
 
-def repeat_filters(hashes: DataFrame, sha: str, rows: int, cells_per_row: int = 8, max_cells: int = 1 << 29) -> tuple[list[DataFrame], int]:
-    """Two Bloom filters of the hashes that occur more than once, each as (bucket, bits) of 4 KB rows.
+def repeat_filters(hashes: DataFrame, sha: str, rows: int, cells_per_row: int = 8, max_cells: int = 1 << 29, n: int = 2, least: int = 2) -> tuple[list[DataFrame], int]:
+    """n (1 or 2) Bloom filters of the hashes that occur `least` times or more, each as (bucket, bits) of 4 KB rows.
 
     A filter has at most max_cells bits (64 MB by default) whatever the input, so it may be broadcast.
     """
@@ -31,15 +31,15 @@ def repeat_filters(hashes: DataFrame, sha: str, rows: int, cells_per_row: int =
     while cells < min(rows * cells_per_row, max_cells):
         cells *= 2
     out = []
-    for which in (0, 1):
-        hit = hashes.groupBy(_cell(sha, which, cells).alias("_ls_cell")).count().where("count > 1")
+    for which in range(n):
+        hit = hashes.groupBy(_cell(sha, which, cells).alias("_ls_cell")).count().where(F.col("count") >= least)
         bits = F.bitmap_construct_agg(F.bitmap_bit_position("_ls_cell")).alias(f"_ls_bits{which}")
         out.append(hit.groupBy(F.bitmap_bucket_number("_ls_cell").alias(f"_ls_bucket{which}")).agg(bits))
     return [stored(f, "repeat-filter") for f in out], cells
 
 
 def maybe_repeated(rows: DataFrame, sha: str, filters: list[DataFrame], cells: int) -> DataFrame:
-    """rows with _ls_maybe: false only if the hash occurs once."""
+    """rows with _ls_maybe: false only for hashes that the filters were not made of."""
     test = F.lit(True)
     for which, f in enumerate(filters):
         rows = rows.withColumn("_ls_cell", _cell(sha, which, cells)).withColumn(f"_ls_bucket{which}", F.bitmap_bucket_number("_ls_cell")).withColumn(f"_ls_pos{which}", F.bitmap_bit_position("_ls_cell"))

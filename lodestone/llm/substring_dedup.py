@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import _BYTE, lookup, mixed, powers, slices, stored
+from lodestone.llm.exact_dedup import maybe_repeated, repeat_filters
 from lodestone.llm.suffix_sort import deep_shallow_sort, matrix
 
 GRAM = 64
@@ -83,14 +84,17 @@ def _scan(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (c1, c2, rep and more) with the text of rep's row of docs."""
+    """wanted (c1, c2, rep and more) with the text of rep's row of docs. A Bloom filter of rep keeps other texts from the shuffle."""
+    wanted = stored(wanted, "wanted")
+    filters, cells = repeat_filters(wanted.select("rep"), "rep", wanted.count(), cells_per_row=16, n=1, least=1)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             keys = [_content(r) for r in _raw(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], ["rep", "text", "c1", "c2"])
 
-    rows = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("rep"), "text").mapInArrow(named, "rep long, text string, c1 long, c2 long")
+    asked = maybe_repeated(docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("rep"), "text"), "rep", filters, cells).where("_ls_maybe")
+    rows = asked.select("rep", "text").mapInArrow(named, "rep long, text string, c1 long, c2 long")
     return rows.join(wanted, ["c1", "c2", "rep"])
 
 
@@ -168,31 +172,36 @@ def repeated_spans(docs: DataFrame, length: int, most_in_task: int) -> tuple[Dat
     rows = scan.select("doc_id", "c1", "c2", "n_bytes", "sha")
     contents = stored(rows.groupBy("c1", "c2").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("rep"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes")), "contents")
     flat = scan.select("c1", "c2", F.explode(F.arrays_zip("pos", "kg", "ctx")).alias("a"), "n_bytes").select("a.kg", "a.ctx", "c1", "c2", "a.pos", "n_bytes")
-    places = flat.groupBy("kg", "ctx", "c1", "c2", "pos").agg(F.first("n_bytes").alias("n_bytes"))
-    classes = stored(places.groupBy("kg", "ctx").agg(F.count("*").alias("m"), F.min(F.struct("c1", "c2", "pos", "n_bytes")).alias("at")), "classes")
+    # most k-grams occur once: a Bloom filter of the others keeps those places from every shuffle
+    total = scan.agg(F.coalesce(F.sum(F.size("pos")), F.lit(0))).first()[0]
+    filters, cells = repeat_filters(flat.select("kg"), "kg", total, n=1)
+    flat = maybe_repeated(flat, "kg", filters, cells).where("_ls_maybe").drop("_ls_maybe")
+    place = F.xxhash64("c1", "c2", "pos")
+    classes = flat.groupBy("kg", "ctx").agg(F.count("*").alias("m"), (F.min(place) != F.max(place)).alias("again"), F.min(F.struct("c1", "c2", "pos")).alias("at"))
+    classes = stored(classes, "classes")
     shared = classes.groupBy("kg").agg(F.count("*").alias("q")).where("q > 1")
-    reps = stored(classes.join(shared, "kg").select("kg", "ctx", "m", "q", "at.c1", "at.c2", "at.pos"), "class-places")
+    reps = stored(classes.join(shared, "kg").select("kg", "ctx", "q", "at.c1", "at.c2", "at.pos"), "class-places")
 
     # places whose whole surroundings occur again
-    many = classes.where("m > 1").select("kg", "ctx", "m")
-    found = lookup(flat, stored(many, "repeated-classes"), ["kg", "ctx"], "m", classes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]).where("m IS NOT NULL")
+    many = classes.where("again").select("kg", "ctx", "m")
+    found = lookup(flat, stored(many, "repeated-classes"), ["kg", "ctx"], "m", total).where("m IS NOT NULL")
     start, end = F.greatest(F.col("pos") - before, F.lit(0)), F.least(F.col("pos") + length, F.col("n_bytes"))
     certain = found.select("c1", "c2", start.cast("long").alias("start"), end.cast("long").alias("end")).where(F.col("end") - F.col("start") >= length).distinct()
 
     # the others, by suffix arrays
-    wanted = reps.groupBy("c1", "c2").agg(F.collect_list(F.struct("kg", "ctx", "m", "q", "pos")).alias("places")).join(contents.select("c1", "c2", "rep"), ["c1", "c2"])
-
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
-            cols: list[list] = [[] for _ in range(9)]
+            cols: list[list] = [[] for _ in range(7)]
             for raw, c1, c2, places_of in zip(_raw(batch.column(0).to_pylist()), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 for p in places_of:
                     at = p["pos"]
-                    for c, v in zip(cols, (p["kg"], p["ctx"], p["m"], p["q"], c1, c2, at, raw[at : at + length], raw[max(0, at - before) : at][::-1]), strict=True):
+                    for c, v in zip(cols, (p["kg"], p["ctx"], c1, c2, at, raw[at : at + length], raw[max(0, at - before) : at][::-1]), strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:7]], *[pa.array(c, pa.binary()) for c in cols[7:]]], ["kg", "ctx", "m", "q", "c1", "c2", "pos", "right", "left"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:5]], *[pa.array(c, pa.binary()) for c in cols[5:]]], ["kg", "ctx", "c1", "c2", "pos", "right", "left"])
 
-    near = _texts_of(docs, wanted).select("text", "c1", "c2", "places").mapInArrow(around, "kg long, ctx long, m long, q long, c1 long, c2 long, pos long, right binary, left binary")
+    def near(some: DataFrame) -> DataFrame:
+        wanted = some.groupBy("c1", "c2").agg(F.collect_list(F.struct("kg", "ctx", "pos")).alias("places")).join(contents.select("c1", "c2", "rep"), ["c1", "c2"])
+        return _texts_of(docs, wanted).select("text", "c1", "c2", "places").mapInArrow(around, "kg long, ctx long, c1 long, c2 long, pos long, right binary, left binary")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _chunks(batches, most_in_task):
@@ -202,7 +211,7 @@ def repeated_spans(docs: DataFrame, length: int, most_in_task: int) -> tuple[Dat
             yield pa.RecordBatch.from_arrays([pa.array(t.column("c1").to_numpy()[ok]), pa.array(t.column("c2").to_numpy()[ok]), pa.array(pos - high[ok]), pa.array(pos - low[ok] + length)], ["c1", "c2", "start", "end"])
 
     span = "c1 long, c2 long, start long, end long"
-    sorted_ = near.where(F.col("q") <= most_in_task).repartition("kg").sortWithinPartitions("kg", "ctx").mapInArrow(solve, span)
+    sorted_ = near(reps.where(F.col("q") <= most_in_task)).repartition("kg").sortWithinPartitions("kg", "ctx").mapInArrow(solve, span)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
@@ -216,12 +225,17 @@ def repeated_spans(docs: DataFrame, length: int, most_in_task: int) -> tuple[Dat
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["c1", "c2", "pos", "start", "h1", "h2"])
 
     # k-grams with more places than a task may hold: count their strings by hash
-    beyond = near.where(F.col("q") > most_in_task)
-    strings = beyond.dropDuplicates(["c1", "c2", "pos"]).mapInArrow(windows, "c1 long, c2 long, pos long, start long, h1 long, h2 long")
-    if reps.where(F.col("q") > most_in_task).head(1):
+    beyond = reps.where(F.col("q") > most_in_task)
+    if beyond.head(1):
+        strings = near(beyond).dropDuplicates(["c1", "c2", "pos"]).mapInArrow(windows, "c1 long, c2 long, pos long, start long, h1 long, h2 long")
         strings = stored(strings, "strings")
-        twice = strings.groupBy("h1", "h2").agg(F.count_distinct("c1", "c2", "start").alias("n")).where("n > 1").drop("n")
-        counted = strings.join(twice, ["h1", "h2"], "left_semi").select("c1", "c2", "start", (F.col("start") + length).alias("end")).distinct()
+        n = strings.count()
+        filters, cells = repeat_filters(strings.select("h1"), "h1", n, n=1)
+        maybe = maybe_repeated(strings, "h1", filters, cells).where("_ls_maybe").drop("_ls_maybe")
+        place = F.xxhash64("c1", "c2", "start")
+        twice = maybe.groupBy("h1", "h2").agg(F.count("*").alias("n"), (F.min(place) != F.max(place)).alias("again")).where("again").select("h1", "h2", "n")
+        again = lookup(maybe, stored(twice, "repeated-strings"), ["h1", "h2"], "n", n).where("n IS NOT NULL")
+        counted = again.select("c1", "c2", "start", (F.col("start") + length).alias("end")).distinct()
         sorted_ = sorted_.unionByName(counted)
     return rows, contents, stored(certain.unionByName(sorted_), "spans")
 
