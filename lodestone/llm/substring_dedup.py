@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -122,6 +123,41 @@ def _ranges(rights: list[bytes], lefts: list[bytes], length: int) -> tuple[np.nd
     return low, high
 
 
+def _strings(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, int, int, bytes, list[int]]]:
+    """c1, c2, place of the first byte, bytes around a place, and the hashes of the strings of `length` bytes that hold the place's k-gram."""
+    for c1, c2, pos, right, left in zip(*[batch.column(c).to_pylist() for c in ("c1", "c2", "pos", "right", "left")], strict=True):
+        text = left[::-1] + right
+        yield c1, c2, pos - len(left), text, [_hash(text[s : s + length], 1) for s in range(min(len(left), len(text) - length) + 1)]
+
+
+def _cells(batches: Iterator[pa.RecordBatch], length: int, cells: int) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 64):
+        h = np.array([h for *_, hashes in _strings(batch, length) for h in hashes], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(h & (cells - 1))], ["cell"])
+
+
+def _bits(got: pa.Table, cells: int) -> np.ndarray:
+    """The bitmap as one array; buckets of 4 KB count from 1."""
+    out = np.zeros(cells // 8, np.uint8)
+    for bucket, bits in zip(got.column("bucket").to_pylist(), got.column("bits").to_pylist(), strict=True):
+        part = out[(bucket - 1) * 4096 : bucket * 4096]
+        part[:] = np.frombuffer(bits, np.uint8)[: len(part)]
+    return out
+
+
+def _windows(batches: Iterator[pa.RecordBatch], length: int, twice) -> Iterator[pa.RecordBatch]:
+    """c1, c2, start, h1, h2 of the strings whose cell is hit more than once."""
+    bits = twice.value
+    for batch in slices(batches, 64):
+        cols: list[list] = [[] for _ in range(5)]
+        for c1, c2, first, text, hashes in _strings(batch, length):
+            cell = np.array(hashes, np.int64) & (8 * len(bits) - 1)
+            for s in np.flatnonzero(bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).tolist():
+                for c, v in zip(cols, (c1, c2, first + s, hashes[s], _hash(text[s : s + length], 2)), strict=True):
+                    c.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["c1", "c2", "start", "h1", "h2"])
+
+
 def repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", most_in_task: int = 20_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs; see repeated_spans().
 
@@ -213,29 +249,22 @@ def repeated_spans(docs: DataFrame, length: int, most_in_task: int) -> tuple[Dat
     span = "c1 long, c2 long, start long, end long"
     sorted_ = near(reps.where(F.col("q") <= most_in_task)).repartition("kg").sortWithinPartitions("kg", "ctx").mapInArrow(solve, span)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 64):
-            cols: list[list] = [[] for _ in range(6)]
-            for c1, c2, pos, right, left in zip(*[batch.column(c).to_pylist() for c in ("c1", "c2", "pos", "right", "left")], strict=True):
-                text = left[::-1] + right
-                for s in range(max(0, len(text) - length + 1)):
-                    if s <= len(left):
-                        for c, v in zip(cols, (c1, c2, pos, pos - len(left) + s, *_content(text[s : s + length])), strict=True):
-                            c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["c1", "c2", "pos", "start", "h1", "h2"])
-
-    # k-grams with more places than a task may hold: count their strings by hash
+    # k-grams with more places than a task may hold: count their strings by hash, first in cells, then those in cells hit twice
     beyond = reps.where(F.col("q") > most_in_task)
     if beyond.head(1):
-        strings = near(beyond).dropDuplicates(["c1", "c2", "pos"]).mapInArrow(windows, "c1 long, c2 long, pos long, start long, h1 long, h2 long")
+        hot = stored(near(beyond).dropDuplicates(["c1", "c2", "pos"]).select("c1", "c2", "pos", "right", "left"), "hot-places")
+        cells = 1 << 15
+        while cells < min(8 * (before + 1) * hot.count(), 1 << 29):
+            cells *= 2
+        cell = hot.mapInArrow(partial(_cells, length=length, cells=cells), "cell long").groupBy("cell").count().where("count > 1").select(F.col("cell") + 1)
+        cell = cell.toDF("cell").groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
+        twice = hot.sparkSession.sparkContext.broadcast(_bits(cell.toArrow(), cells))  # a bit for each cell, 64 MB at most
+        strings = hot.mapInArrow(partial(_windows, length=length, twice=twice), "c1 long, c2 long, start long, h1 long, h2 long")
         strings = stored(strings, "strings")
-        n = strings.count()
-        filters, cells = repeat_filters(strings.select("h1"), "h1", n, n=1)
-        maybe = maybe_repeated(strings, "h1", filters, cells).where("_ls_maybe").drop("_ls_maybe")
         place = F.xxhash64("c1", "c2", "start")
-        twice = maybe.groupBy("h1", "h2").agg(F.count("*").alias("n"), (F.min(place) != F.max(place)).alias("again")).where("again").select("h1", "h2", "n")
-        again = lookup(maybe, stored(twice, "repeated-strings"), ["h1", "h2"], "n", n).where("n IS NOT NULL")
-        counted = again.select("c1", "c2", "start", (F.col("start") + length).alias("end")).distinct()
+        again = strings.groupBy("h1", "h2").agg(F.count("*").alias("n"), (F.min(place) != F.max(place)).alias("again")).where("again").select("h1", "h2", "n")
+        found = lookup(strings, stored(again, "repeated-strings"), ["h1", "h2"], "n", strings.count()).where("n IS NOT NULL")
+        counted = found.select("c1", "c2", "start", (F.col("start") + length).alias("end")).distinct()
         sorted_ = sorted_.unionByName(counted)
     return rows, contents, stored(certain.unionByName(sorted_), "spans")
 
