@@ -158,6 +158,24 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int, twice) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["c1", "c2", "start", "h1", "h2"])
 
 
+def _runs(batches: Iterator[pa.RecordBatch], length: int, known) -> Iterator[pa.RecordBatch]:
+    """c1, c2, start, end of the runs of strings that are known to repeat."""
+    h1, h2 = known.value
+    for batch in slices(batches, 64):
+        cols: list[list] = [[] for _ in range(4)]
+        for c1, c2, first, text, hashes in _strings(batch, length):
+            own = np.array(hashes, np.int64)
+            left, right = np.searchsorted(h1, own), np.searchsorted(h1, own, "right")
+            hit = [s for s in np.flatnonzero(left < right).tolist() if _hash(text[s : s + length], 2) in h2[left[s] : right[s]]]
+            for k, s in enumerate(hit):
+                if not k or hit[k - 1] != s - 1:
+                    for c, v in zip(cols, (c1, c2, first + s, first + s + length), strict=True):
+                        c.append(v)
+                else:
+                    cols[3][-1] = first + s + length
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["c1", "c2", "start", "end"])
+
+
 def repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", most_in_task: int = 20_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs; see repeated_spans().
 
@@ -197,11 +215,12 @@ def repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
 
 
-def repeated_spans(docs: DataFrame, length: int, most_in_task: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int, most_in_task: int, most_known: int = 1 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
     """rows (doc_id, c1, c2, n_bytes, sha), contents (c1, c2, rep, copies, n_bytes) and spans (c1, c2, start, end).
 
     A byte is in a span if a string of `length` bytes that covers it also begins at another place of any text.
-    Contents that occur more than once are repeated as a whole and have no spans.
+    Contents that occur more than once are repeated as a whole. Of hot k-grams, at most most_known repeated strings
+    (16 bytes each) are broadcast; more come back by a join.
     """
     before = length - GRAM
     scan = stored(_scan(docs, length), "anchors")
@@ -260,11 +279,18 @@ def repeated_spans(docs: DataFrame, length: int, most_in_task: int) -> tuple[Dat
         cell = cell.toDF("cell").groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
         twice = hot.sparkSession.sparkContext.broadcast(_bits(cell.toArrow(), cells))  # a bit for each cell, 64 MB at most
         strings = hot.mapInArrow(partial(_windows, length=length, twice=twice), "c1 long, c2 long, start long, h1 long, h2 long")
-        strings = stored(strings, "strings")
         place = F.xxhash64("c1", "c2", "start")
         again = strings.groupBy("h1", "h2").agg(F.count("*").alias("n"), (F.min(place) != F.max(place)).alias("again")).where("again").select("h1", "h2", "n")
-        found = lookup(strings, stored(again, "repeated-strings"), ["h1", "h2"], "n", strings.count()).where("n IS NOT NULL")
-        counted = found.select("c1", "c2", "start", (F.col("start") + length).alias("end")).distinct()
+        again = stored(again, "repeated-strings")
+        if again.count() <= most_known:
+            got = again.select("h1", "h2").toArrow()
+            order = np.argsort(got.column("h1").to_numpy())
+            known = hot.sparkSession.sparkContext.broadcast((got.column("h1").to_numpy()[order], got.column("h2").to_numpy()[order]))
+            counted = hot.mapInArrow(partial(_runs, length=length, known=known), span)
+        else:
+            strings = stored(strings, "strings")
+            found = lookup(strings, again, ["h1", "h2"], "n", strings.count()).where("n IS NOT NULL")
+            counted = found.select("c1", "c2", "start", (F.col("start") + length).alias("end")).distinct()
         sorted_ = sorted_.unionByName(counted)
     return rows, contents, stored(certain.unionByName(sorted_), "spans")
 
