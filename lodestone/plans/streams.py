@@ -12,8 +12,7 @@ from lodestone.streaming import stations as S
 @query("stream_request_windows", """
 SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS requests, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def stream_request_windows(spark, sf_dir):
-    path = f"{sf_dir}/events.parquet"
     schema = A.table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     out = S.run_to_table(S.request_windows(events, "1 hour"), "request-windows")
     return out.withColumn("total", F.round("total", 4))
