@@ -3,7 +3,7 @@
 A signature has SYMBOLS minhash values of 16 bits. Cut into CHUNKS chunks, two signatures that differ
 in at most 2 * CHUNKS - 1 symbols have a chunk with at most one difference (pigeonhole); a chunk's
 allowed errors are enumerated by leaving out each of its symbols in turn, which gives a document one key
-for each symbol. So every pair within that distance shares a key. Candidates are confirmed on full sets.
+for each symbol. So every pair within that distance shares a key, and most pairs beyond it do. Candidates are confirmed on full sets.
 
 Groups are joined in two rounds, so that g near copies don't give g * g rows. First each document names the one
 that most of its buckets begin with; those within the distance form clusters, and a cluster's full sets are
@@ -216,7 +216,7 @@ def _within(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _near_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs within MOST_ERRORS, of sizes that allow the similarity, in different clusters and components, once each.
+    """a, b: pairs that share a key, of sizes that allow the similarity, in different clusters and components, once each.
 
     members: key, id, cluster, comp, n, sig, bits. Buckets of more than BLOCK rows are compared in pairs of tiles.
     Pairs whose sketches agree in fewer bits than least_agreement() are left out.
@@ -252,7 +252,7 @@ def _near_pairs(members: DataFrame, percent: int) -> DataFrame:
                     start = _CHUNK_START[chunk]
                     masked = np.where(np.arange(SYMBOLS) >= start[:, None], wrong, False) & (_CHUNK[None, :] == chunk[:, None])
                     first = np.where(masked.any(1), masked.argmax(1), start)  # the pair's first shared key
-                    ok = (wrong.sum(1) <= MOST_ERRORS) & (slot[x] == first)
+                    ok = slot[x] == first
                     out_a.append(np.minimum(ids[x[ok]], ids[y[ok]]))
                     out_b.append(np.maximum(ids[x[ok]], ids[y[ok]]))
             if out_a and sum(map(len, out_a)):
@@ -309,9 +309,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
     Links join documents whose sets of 5-word shingles have 100 * intersection >= percent * union; percent is 80 or
     more. Equal sets are one node, so copies aren't compared. component_id is the smallest id of those reachable;
-    a document without words, or with a null id, is alone. MinHash can miss a link only if the signatures differ in more
-    than MOST_ERRORS symbols and share no key: at a similarity of 0.85, about one pair in 20,000. Of pairs of different
-    clusters, the sketches drop one link in 10 million at most before full sets are compared.
+    a document without words, or with a null id, is alone. MinHash can miss a link only if the signatures share no key:
+    at a similarity of 0.85 one pair in 26 million, at 0.80 one in 210,000. Of pairs of different clusters, the sketches
+    drop one link in 10 million at most before full sets are compared.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = stored(_profiles(docs), "profiles")

@@ -94,3 +94,15 @@ def test_pairs_within_the_distance_share_a_key():
         at = rng.permutation(near_dedup.SYMBOLS)[: near_dedup.MOST_ERRORS]
         b[i, at] ^= np.uint16(1) + rng.integers(0, 1 << 15, len(at), dtype=np.uint16)
     assert (near_dedup.chunk_keys(a) == near_dedup.chunk_keys(b)).any(1).all()
+
+
+def test_links_beyond_the_distance_that_share_a_key(spark):
+    """Pairs of similarity 0.8507 whose signatures differ in more than MOST_ERRORS symbols, but share a key."""
+    seeds = (4205, 5556, 9659, 29438)
+    pairs = [(prose(k, 190), _edited(prose(k, 190), 3, k)) for k in seeds]
+    for pair in pairs:
+        a, b = (near_dedup.signature(s) for s in near_dedup.shingle_sets([t.encode() for t in pair]))
+        assert (a != b).sum() > near_dedup.MOST_ERRORS
+    df = docs(spark, [t for pair in pairs for t in pair])
+    assert near_dedup.near_duplicates(df).where("NOT kept").count() == len(seeds)
+    _check(near_dedup.near_duplicates(df), df)
