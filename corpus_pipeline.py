@@ -25,8 +25,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents, the one with the smallest doc_id."""
-    gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    """Of documents linked at a similarity of 0.8 or more, the one with the smallest doc_id."""
+    gone = near_duplicates(docs, percent=80).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

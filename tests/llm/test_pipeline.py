@@ -1,9 +1,9 @@
 """The pipeline's stages, each against a brute-force version on its own input."""
 
 import corpus_pipeline
-from llm.fixtures import clashing, hard
+from llm.fixtures import clashing, docs, hard, prose
 from llm.test_exact_dedup import LOWER
-from llm.test_near_dedup import brute
+from llm.test_near_dedup import _edited, brute
 from llm.test_tokens import expected
 
 SF = "/root/testdata/sf0.01"
@@ -57,3 +57,10 @@ def test_hard_tables(spark):
             assert out.count() <= 3 * max(df.count(), 1), name
             if name != "bpe":
                 assert out.columns == df.columns, name
+
+
+def test_near_links_at_80_percent(spark):
+    """Pairs of similarity 0.80 exactly, with signatures 22 to 24 symbols apart, lose their second document."""
+    seeds = (234, 351, 709, 1149)
+    df = docs(spark, [t for k in seeds for t in (prose(k, 139), _edited(prose(k, 139), 3, k))])
+    assert sorted(r.doc_id for r in corpus_pipeline.near(spark, df, SF).collect()) == [0, 2, 4, 6]
