@@ -162,7 +162,7 @@ def octree_split(spark, sf_dir):
 def _octree(spark, sf_dir):
     edge = 512.0
     cells = spark.range(1).select(F.lit(0).cast("long").alias("cell_id"), F.lit(0).alias("level"), *[F.lit(edge * int(e)).alias(f"{a}{e}") for a in "xyz" for e in "01"])
-    s = A.sensors(spark, sf_dir).where("obs_id % 7 = 0")
+    s = A.sensors(spark, sf_dir).select("x_m", "y_m", "z_m").distinct()
     for _ in range(3):
         cells = S.octree_level(cells, s, 0.75)
     return cells
