@@ -112,17 +112,18 @@ class Table:
         return self.__dict__ | {"cache": {}}
 
 
-def _fetch(table: DataFrame) -> Table:
-    """Collects a table whose size has been checked."""
-    got = table.select("key", "ids").toArrow()
-    ids = got.column("ids").combine_chunks()
-    if isinstance(ids, pa.ChunkedArray):
-        ids = pa.concat_arrays(ids.chunks) if ids.num_chunks else pa.array([], pa.binary())
-    ids = ids.cast(pa.binary())
-    offsets = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
-    data = np.frombuffer(ids.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view("<u4") if len(ids) and ids.buffers()[2] is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint32)
-    small = data.astype(np.uint16) if not len(data) or data.max() < 1 << 16 else data.copy()
-    return Table(got.column("key").to_numpy().astype(np.int64), np.diff(offsets) // 4, small)
+def _fetch(table: DataFrame, parts: int = 4) -> Table:
+    """Collects a table whose size has been checked, a part of the keys at a time, so that the driver holds it hardly more than once."""
+    keys, lengths, ids = [], [], []
+    for part in range(parts):
+        for batch in table.where(F.pmod("key", F.lit(parts)) == part).select("key", "ids").toArrow().to_batches():
+            got = batch.column(1).cast(pa.binary())
+            offsets = np.frombuffer(got.buffers()[1], np.int32)[got.offset : got.offset + len(got) + 1] if len(got) else np.zeros(1, np.int32)
+            data = np.frombuffer(got.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view("<u4") if offsets[-1] > offsets[0] else np.zeros(0, np.uint32)
+            keys.append(batch.column(0).to_numpy().copy())
+            lengths.append(np.diff(offsets) // 4)
+            ids.append(data.astype(np.uint16) if not len(data) or data.max() < 1 << 16 else data.copy())
+    return Table(*[np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, lengths, ids)])
 
 
 def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, table_bytes: int = 64 << 20, decode: bool = False) -> DataFrame:
@@ -137,7 +138,8 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     table = stored(encode_table(distinct_words(rows, "text"), path), "words")
     twice = table.groupBy("key").count().where("count > 1").select("key")  # keys that stand for two words
-    unique = table.join(twice, "key", "left_anti").withColumn("often", F.floor(F.log2("n")).cast("int"))
+    clash = bool(twice.head(1))
+    unique = (table.join(twice, "key", "left_anti") if clash else table).withColumn("often", F.floor(F.log2("n")).cast("int"))
     held, least, whole = 0, 64, True
     for often, size in unique.groupBy("often").agg(F.sum(F.octet_length("ids") / 2 + 14)).orderBy(F.desc("often")).collect():  # a row for each power of two
         if held + size > table_bytes:
@@ -175,7 +177,7 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["id", "ids", "text"])
 
     done = rows.mapInArrow(encode, schema)
-    if whole and not twice.head(1):
+    if whole and not clash:
         return done.select(F.col("id").alias(id_col), *wanted)
     done = stored(done.withColumn("row", F.monotonically_increasing_id()), "encoded")
     left = done.where("missing IS NOT NULL")

@@ -65,10 +65,10 @@ def context_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.FixedSizeListArray.from_arrays(flat, DIM).cast(pa.list_(pa.int64()))], ["bucket", "v"])
 
     parts = docs.select(F.col(text_col)).mapInArrow(count, "bucket int, v array<long>")
-    sums = parts.groupBy("bucket").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DIM)]).toPandas()  # BUCKETS rows at most
+    sums = parts.groupBy("bucket").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DIM)]).toArrow()  # BUCKETS rows at most
     out = np.zeros((BUCKETS, DIM), np.float32)
-    values = sums.drop(columns="bucket").to_numpy(dtype=np.float64)
-    out[sums.bucket.to_numpy(dtype=np.int64)] = values / np.maximum(np.sqrt((values**2).sum(1, keepdims=True)), 1e-9)
+    values = np.stack([sums.column(f"v{i}").to_numpy() for i in range(DIM)], axis=1).astype(np.float64)
+    out[sums.column("bucket").to_numpy()] = values / np.maximum(np.sqrt((values**2).sum(1, keepdims=True)), 1e-9)
     return out
 
 
@@ -162,10 +162,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> M
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     pooled = rows.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(pool, "doc_id long, quality int, x array<float>")
     one_each = pooled.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("x").alias("x"))
-    got = one_each.toPandas().sort_values("doc_id")  # max_rows at most
-    width = 2 * DIM + SHAPE_DIM + 2
-    x = np.vstack(got.x.to_numpy()).astype(np.float64) if len(got) else np.zeros((0, width))
-    return train(x, (got.quality.to_numpy() > 0).astype(np.float64), vectors)
+    got = one_each.toArrow().sort_by("doc_id")  # max_rows at most; Arrow buffers, so that the driver makes no object for each number
+    shared.destroy()
+    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(got.num_rows, 2 * DIM + SHAPE_DIM + 2).astype(np.float64)
+    return train(x, (got.column("quality").to_numpy() > 0).astype(np.float64), vectors)
 
 
 def score_quality(docs: DataFrame, model: Model, cut: float = 0.3) -> DataFrame:

@@ -16,7 +16,7 @@ def _sets(text):
     return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
 
 
-def brute(rows):
+def brute(rows, percent=85):
     """(doc_id, n_shingles, component_id, kept) of rows (doc_id, text), all pairs on full sets."""
     sets = [_sets(t) for _, t in rows]
     root = list(range(len(rows)))
@@ -27,9 +27,9 @@ def brute(rows):
         return i
 
     for i, j in combinations(range(len(rows)), 2):
-        if rows[i][0] is None or rows[j][0] is None or not sets[i] or not sets[j] or min(len(sets[i]), len(sets[j])) * 100 < 85 * max(len(sets[i]), len(sets[j])):
+        if rows[i][0] is None or rows[j][0] is None or not sets[i] or not sets[j] or min(len(sets[i]), len(sets[j])) * 100 < percent * max(len(sets[i]), len(sets[j])):
             continue
-        if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+        if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
             root[find(i)] = find(j)
     least = {}
     for i, (doc, _) in enumerate(rows):

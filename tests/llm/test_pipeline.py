@@ -36,7 +36,7 @@ def test_stages(spark, tmp_path):
         last[key] = max(last.get(key, i), i)
     assert {r[0] for r in single} == set(last.values())
 
-    assert {r[0] for r in apart} == {r[0] for r in brute([(i, t) for i, t, _ in single]) if r[3]}
+    assert {r[0] for r in apart} == {r[0] for r in brute([(i, t) for i, t, _ in single], 80) if r[3]}
 
     assert {r[0] for r in mixed} == {r[0] for r in apart} and len(mixed) >= len(apart)
 
