@@ -100,27 +100,43 @@ def powers(n: int, base: np.uint64 = _STEP) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The 64-bit hashes of the words of all texts, in order, and where each text's begin (one more entry than texts).
-
-    A word is a longest run of bytes other than ASCII white space.
-    """
-    buffer = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-    if not len(buffer):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+def _hashed(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of a buffer, and where they begin in it."""
     solid = ~_SPACE[buffer]
     edge = np.flatnonzero(np.diff(solid.astype(np.int8), prepend=0, append=0))
     starts, ends = edge[::2], edge[1::2]
-    text_starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
-    first = np.searchsorted(starts, text_starts)
     if not len(starts):
-        return np.zeros(0, np.uint64), first
+        return np.zeros(0, np.uint64), starts
     lengths = ends - starts
     at = np.arange(len(buffer), dtype=np.int64)[solid]
     within = at - np.repeat(starts, lengths)
     parts = _BYTE[buffer[solid]] * powers(int(lengths.max()))[within]
     where = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    return mixed(np.add.reduceat(parts, where) + lengths.astype(np.uint64)), first
+    return mixed(np.add.reduceat(parts, where) + lengths.astype(np.uint64)), starts
+
+
+def word_hashes(texts: list[bytes], most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of the words of all texts, in order, and where each text's begin (one more entry than texts).
+
+    A word is a longest run of bytes other than ASCII white space. Beyond `most` bytes the work goes piece by piece, cut
+    at white space, so that of a very long text only its words' hashes are held at once.
+    """
+    buffer = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    hashes, starts, begin = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while begin < len(buffer):
+        end = begin + most
+        while end < len(buffer):
+            gap = np.flatnonzero(_SPACE[buffer[end : end + most]])
+            if len(gap):
+                end += int(gap[0])
+                break
+            end += most
+        h, at = _hashed(buffer[begin:end])
+        hashes.append(h)
+        starts.append(at + begin)
+        begin = end
+    text_starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), text_starts)
 
 
 def slices(batches, rows: int = 256):

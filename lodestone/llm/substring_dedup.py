@@ -5,6 +5,9 @@ that length; equal strings have equal anchors, so both occurrences of a repeated
 the places that share an anchor's k-gram. Such places are grouped by the k-gram. Places with the same
 bytes around them stand for each other; for the rest, suffix arrays of the texts right and left of the
 anchors (deep-shallow sorting) tell which strings around an anchor occur again.
+
+The words of a text, as hashes of 8 bytes each, are a second string of bytes, in which strings of WORDS
+words are sought in the same passes. The low bit of a k-gram's hash tells the kind.
 """
 
 from __future__ import annotations
@@ -15,17 +18,18 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import _BYTE, lookup, mixed, powers, slices, stored
+from lodestone.llm.common import _BYTE, lookup, mixed, powers, slices, stored, text_slices, word_hashes
 from lodestone.llm.exact_dedup import maybe_repeated, repeat_filters
 from lodestone.llm.suffix_sort import deep_shallow_sort, matrix
 
 GRAM = 64
-_P = 0x9E3779B97F4A7C15
-_INVERSE = pow(_P, -1, 1 << 64)
+#: Words of a repeated passage, and bytes of a word's hash.
+WORDS, WORD = 50, 8
 PIECE = 1 << 19
 _TOP = np.iinfo(np.uint64).max
 
@@ -39,19 +43,64 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchors(text: bytes, length: int) -> np.ndarray:
-    """Places of text whose k-gram has the least hash in some window of `length` bytes, ties included."""
-    found = []
-    w = length - GRAM + 1
-    for start in range(0, max(len(text) - length + 1, 0), PIECE):
-        x = np.frombuffer(text, np.uint8)[start : start + PIECE + length - 1]
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[x] * powers(len(x)))])
-        h = mixed((sums[GRAM:] - sums[:-GRAM]) * powers(len(x) - GRAM + 1, np.uint64(_INVERSE)))
-        least = _sliding_min(h, w)
-        edge = np.full(w - 1, _TOP, np.uint64)
-        most = ~_sliding_min(np.concatenate([edge, ~least, edge]), w)  # the greatest minimum of the windows that hold a place
-        found.append(np.flatnonzero(most == h) + start)
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+def _least(h: np.ndarray, ends: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Places whose gram's hash h is the least in some window of `length` units, ties included; a window ends by its first unit's ends."""
+    w = length - gram + 1
+    if len(h) < w:
+        return np.zeros(0, np.int64)
+    least = _sliding_min(h, w)
+    at = np.arange(len(h))
+    least[at[: len(least)] + length > ends[: len(least)]] = 0
+    edge = np.full(w - 1, _TOP, np.uint64)
+    most = ~_sliding_min(np.concatenate([edge, ~least, edge]), w)  # the greatest minimum of the windows that hold a place
+    return np.flatnonzero((most == h) & (at + gram <= ends[: len(h)]))
+
+
+class Rolling:
+    """Hashes of the strings of `width` bytes at any place of a buffer."""
+
+    def __init__(self, table: np.ndarray, base: int):
+        self.table, self.base, self.inverse = table, np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
+
+    def __call__(self, x: np.ndarray, width: int) -> np.ndarray:
+        if len(x) < width:
+            return np.zeros(0, np.uint64)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(self.table[x] * powers(len(x), self.base))])
+        return mixed((sums[width:] - sums[:-width]) * powers(len(x) - width + 1, self.inverse))
+
+
+_rng = np.random.default_rng(77)
+ROLL = [Rolling(_BYTE, 0x9E3779B97F4A7C15), *[Rolling(_rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1), int(_rng.integers(1, 2**62)) * 4 + 1) for _ in range(2)]]
+
+
+def _by_text(places: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Places in a buffer as places in its texts, which begin at `first`."""
+    at = np.searchsorted(places, first)
+    return [places[at[i] : at[i + 1]] - first[i] for i in range(len(first) - 1)]
+
+
+def anchors(texts: list[bytes], length: int) -> list[np.ndarray]:
+    """For each text, the places whose k-gram has the least hash in some window of `length` bytes, ties included."""
+    out: list[np.ndarray] = []
+    for a, b in text_slices(texts, PIECE):
+        first = np.concatenate([[0], np.cumsum([len(t) for t in texts[a:b]])]).astype(np.int64)
+        x = np.frombuffer(b"".join(texts[a:b]), np.uint8)
+        ends = np.repeat(first[1:], np.diff(first))
+        found = [np.zeros(0, np.int64)]
+        for at in range(0, max(len(x) - length + 1, 0), 2 * PIECE):  # a slice is longer than two pieces only if a text is
+            part = slice(at, at + 2 * PIECE + length - 1)
+            found.append(_least(ROLL[0](x[part], GRAM), ends[part] - at, length, GRAM) + at)
+        out += _by_text(np.unique(np.concatenate(found)), first)
+    return out
+
+
+def word_anchors(words: np.ndarray, first: np.ndarray, length: int) -> list[np.ndarray]:
+    """The same for texts that are hashes of words (8 bytes of a k-gram each), windows of `length` words; places count words."""
+    gram = GRAM // WORD
+    sums = np.zeros(max(len(words) - gram + 1, 0), np.uint64)
+    for k in range(gram if len(sums) else 0):
+        sums += words[k : len(words) - gram + 1 + k] * _BYTE[k]
+    return _by_text(_least(mixed(sums), np.repeat(first[1:], np.diff(first)), length, gram), first)
 
 
 def _hash(data: bytes, seed: int = 0) -> int:
@@ -66,22 +115,31 @@ def _raw(texts) -> list[bytes]:
     return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
 
 
-def _scan(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, c1, c2 (a hash of the text), n_bytes, sha, and the anchors' places, k-grams and surroundings as arrays."""
-    before = length - GRAM
+def _scan(docs: DataFrame, length: int, words_of: int) -> DataFrame:
+    """doc_id, c1, c2 (a hash of the text), n_bytes, n_words, sha, and the anchors' places, k-grams and surroundings as arrays."""
+    span = {0: length, 1: words_of * WORD}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            cols: list[list] = [[] for _ in range(7)]
-            for raw in _raw(batch.column(1).to_pylist()):
-                at = anchors(raw, length).tolist()
-                row = (*_content(raw), len(raw), hashlib.sha256(raw).hexdigest(), at, [_hash(raw[p : p + GRAM]) for p in at], [_hash(raw[max(0, p - before) : p + length], min(p, before)) for p in at])
-                for c, v in zip(cols, row, strict=True):
+            raws = _raw(batch.column(1).to_pylist())
+            cols: list[list] = [[] for _ in range(8)]
+            by_words: list[tuple[bytes, np.ndarray]] = []
+            for a, b in text_slices(raws):
+                words, first = word_hashes(raws[a:b])
+                by_words += [(words[first[i] : first[i + 1]].tobytes(), p * WORD) for i, p in enumerate(word_anchors(words, first, words_of))]
+            for raw, at, (coded, places) in zip(raws, anchors(raws, length), by_words, strict=True):
+                pos, kg, ctx = [], [], []
+                for kind, text, found in ((0, raw, at.tolist()), (1, coded, places.tolist())):
+                    before = span[kind] - GRAM
+                    pos += found
+                    kg += [_hash(text[p : p + GRAM]) & ~1 | kind for p in found]
+                    ctx += [_hash(text[max(0, p - before) : p + span[kind]], min(p, before)) for p in found]
+                for c, v in zip(cols, (*_content(raw), len(raw), len(coded) // WORD, hashlib.sha256(raw).hexdigest(), pos, kg, ctx), strict=True):
                     c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["doc_id", "c1", "c2", "n_bytes", "sha", "pos", "kg", "ctx"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["doc_id", "c1", "c2", "n_bytes", "n_words", "sha", "pos", "kg", "ctx"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, c1 long, c2 long, n_bytes long, sha string, pos array<int>, kg array<long>, ctx array<long>")
+    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, c1 long, c2 long, n_bytes long, n_words long, sha string, pos array<long>, kg array<long>, ctx array<long>")
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -99,8 +157,8 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(wanted, ["c1", "c2", "rep"])
 
 
-def _ranges(rights: list[bytes], lefts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each place, the least and greatest number of bytes left of it with which a string of `length` bytes occurs again (-1: none)."""
+def _ranges(rights: list[bytes], lefts: list[bytes], length: int, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """For each place, the least and greatest number of bytes left of it, a multiple of step, with which a string of `length` bytes occurs again (-1: none)."""
     n, before = len(rights), length - GRAM
     low, high = np.full(n, -1), np.full(n, -1)
     right_table, right_n = matrix(rights, length)
@@ -108,7 +166,7 @@ def _ranges(rights: list[bytes], lefts: list[bytes], length: int) -> tuple[np.nd
     right_order, right_lcp = deep_shallow_sort(rights, right_table, right_n)
     left_order, left_lcp = deep_shallow_sort(lefts, left_table, left_n)
     right_class, left_class = np.empty(n, np.int64), np.empty(n, np.int64)
-    for o in range(before + 1):
+    for o in range(0, before + 1, step):
         right_class[right_order] = np.concatenate([[0], np.cumsum(right_lcp[:-1] < length - o)])
         left_class[left_order] = np.concatenate([[0], np.cumsum(left_lcp[:-1] < o)])
         there = np.flatnonzero((left_n >= o) & (right_n >= length - o))
@@ -123,17 +181,23 @@ def _ranges(rights: list[bytes], lefts: list[bytes], length: int) -> tuple[np.nd
     return low, high
 
 
-def _strings(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, int, int, bytes, list[int]]]:
-    """c1, c2, place of the first byte, bytes around a place, and the hashes of the strings of `length` bytes that hold the place's k-gram."""
-    for c1, c2, pos, right, left in zip(*[batch.column(c).to_pylist() for c in ("c1", "c2", "pos", "right", "left")], strict=True):
-        text = left[::-1] + right
-        yield c1, c2, pos - len(left), text, [_hash(text[s : s + length], 1) for s in range(min(len(left), len(text) - length) + 1)]
+def _strings(batch: pa.RecordBatch, length: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """row, first byte in the row's text, and two hashes of the strings of `length` bytes, a multiple of step apart, that hold a row's k-gram."""
+    texts = [left[::-1] + right for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)]
+    n_left = np.array([len(x) for x in batch.column("left").to_pylist()], np.int64)
+    n = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(n) - n
+    many = np.maximum(np.minimum(n_left, n - length) // step + 1, 0)
+    row = np.repeat(np.arange(len(n)), many)
+    within = (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)) * step
+    x = np.frombuffer(b"".join(texts), np.uint8)
+    h1, h2 = (r(x, length)[begin[row] + within].view(np.int64) for r in ROLL[1:])
+    return row, batch.column("pos").to_numpy()[row] - n_left[row] + within, h1, h2
 
 
-def _cells(batches: Iterator[pa.RecordBatch], length: int, cells: int) -> Iterator[pa.RecordBatch]:
+def _cells(batches: Iterator[pa.RecordBatch], length: int, step: int, cells: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 64):
-        h = np.array([h for *_, hashes in _strings(batch, length) for h in hashes], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(h & (cells - 1))], ["cell"])
+        yield pa.RecordBatch.from_arrays([pa.array(_strings(batch, length, step)[2] & (cells - 1))], ["cell"])
 
 
 def _bits(got: pa.Table, cells: int) -> np.ndarray:
@@ -145,46 +209,55 @@ def _bits(got: pa.Table, cells: int) -> np.ndarray:
     return out
 
 
-def _windows(batches: Iterator[pa.RecordBatch], length: int, twice) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch], length: int, step: int, twice) -> Iterator[pa.RecordBatch]:
     """c1, c2, start, h1, h2 of the strings whose cell is hit more than once."""
     bits = twice.value
     for batch in slices(batches, 64):
-        cols: list[list] = [[] for _ in range(5)]
-        for c1, c2, first, text, hashes in _strings(batch, length):
-            cell = np.array(hashes, np.int64) & (8 * len(bits) - 1)
-            for s in np.flatnonzero(bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).tolist():
-                for c, v in zip(cols, (c1, c2, first + s, hashes[s], _hash(text[s : s + length], 2)), strict=True):
-                    c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["c1", "c2", "start", "h1", "h2"])
+        row, start, h1, h2 = _strings(batch, length, step)
+        cell = h1 & (8 * len(bits) - 1)
+        hit = np.flatnonzero(bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1)
+        c1, c2 = (batch.column(c).to_numpy()[row[hit]] for c in ("c1", "c2"))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (c1, c2, start[hit], h1[hit], h2[hit])], ["c1", "c2", "start", "h1", "h2"])
 
 
-def _runs(batches: Iterator[pa.RecordBatch], length: int, known) -> Iterator[pa.RecordBatch]:
-    """c1, c2, start, end of the runs of strings that are known to repeat."""
-    h1, h2 = known.value
+def _runs(batches: Iterator[pa.RecordBatch], length: int, step: int, known) -> Iterator[pa.RecordBatch]:
+    """c1, c2, start, end of the runs of strings that are known to repeat; known: pairs of hashes sorted by the first."""
+    k1, k2 = known.value
+    most = int(np.unique(k1, return_counts=True)[1].max(initial=0))  # 1, but for chance
     for batch in slices(batches, 64):
-        cols: list[list] = [[] for _ in range(4)]
-        for c1, c2, first, text, hashes in _strings(batch, length):
-            own = np.array(hashes, np.int64)
-            left, right = np.searchsorted(h1, own), np.searchsorted(h1, own, "right")
-            hit = [s for s in np.flatnonzero(left < right).tolist() if _hash(text[s : s + length], 2) in h2[left[s] : right[s]]]
-            for k, s in enumerate(hit):
-                if not k or hit[k - 1] != s - 1:
-                    for c, v in zip(cols, (c1, c2, first + s, first + s + length), strict=True):
-                        c.append(v)
-                else:
-                    cols[3][-1] = first + s + length
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["c1", "c2", "start", "end"])
-
-
-def repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", most_in_task: int = 20_000) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs; see repeated_spans().
-
-    Repeated rows are rows with the same text: all their bytes go, if there are `length` of them. Null texts are empty.
+        row, start, h1, h2 = _strings(batch, length, step)
+        at, hit = np.searchsorted(k1, h1), np.zeros(len(h1), bool)
+        for k in range(most):
+            i = np.minimum(at + k, len(k1) - 1)
+            hit |= (k1[i] == h1) & (k2[i] == h2)
+        row, start = row[hit], start[hit]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + step)
+        edge = np.flatnonzero(new)
+        last = np.append(edge[1:], len(row)) - 1
+        c1, c2 = (batch.column(c).to_numpy()[row[edge]] for c in ("c1", "c2"))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (c1, c2, start[edge], start[last] + length)], ["c1", "c2", "start", "end"])
+
+
+def _covered(spans) -> Column:
+    """The number of units that an array of (start, end) covers."""
+    step = lambda acc, s: F.struct((acc.n + F.greatest(F.lit(0), s.end - F.greatest(s.start, acc.end))).alias("n"), F.greatest(acc.end, s.end).alias("end"))
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+    return F.aggregate(F.sort_array(spans), none, step, lambda acc: acc.n)
+
+
+def repeated_bytes(docs: DataFrame, length: int = 400, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", most_in_task: int = 20_000) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated_words for each row of docs; see repeated_spans().
+
+    n_repeated_words counts the words that a string of `words` words covers that begins elsewhere too; nothing is
+    removed for it, as such a passage may be shorter than `length` bytes. Repeated rows are rows with the same text: all
+    their bytes go, if there are `length` of them. Null texts are empty.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows, contents, spans = repeated_spans(docs, length, most_in_task)
-    parts = spans.groupBy("c1", "c2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    cut = _texts_of(docs, contents.join(parts, ["c1", "c2"]).select("c1", "c2", "rep", "spans")).select("c1", "c2", "text", "spans")
+    rows, contents, spans = repeated_spans(docs, length, words, most_in_task)
+    parts = spans.groupBy("c1", "c2", "kind").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
+    cut = _texts_of(docs, contents.where(~whole).join(parts.where("kind = 0"), ["c1", "c2"]).select("c1", "c2", "rep", "spans")).select("c1", "c2", "text", "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -208,25 +281,33 @@ def repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["c1", "c2", "n_removed", "n_spans", "kept_sha256"])
 
     done = cut.mapInArrow(remove, "c1 long, c2 long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["c1", "c2"])
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    results = contents.where(~whole).join(done, ["c1", "c2"]).select("c1", "c2", "copies", "n_removed", "n_spans", "kept_sha256")
-    results = results.unionByName(contents.where(whole).select("c1", "c2", "copies", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256")))
+    in_words = parts.where("kind = 1").select("c1", "c2", (_covered("spans") / WORD).cast("long").alias("n_repeated_words"))
+    of = contents.join(done, ["c1", "c2"], "left").join(in_words, ["c1", "c2"], "left")
+    all_words = (F.col("copies") > 1) & (F.col("n_words") >= words)
+    results = of.select(
+        "c1", "c2", "copies", F.when(whole, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(whole, F.lit(1).cast("long")).otherwise(F.col("n_spans")).alias("n_spans"),
+        F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256"), F.when(all_words, F.col("n_words")).otherwise(F.col("n_repeated_words")).alias("n_repeated_words"),
+    ).where("n_removed > 0 OR n_repeated_words > 0")
     out = lookup(rows, stored(results, "removed"), ["c1", "c2"], "copies", rows.count())
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_removed", "n_spans")]
+    return out.select("doc_id", "n_bytes", *counts, F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.coalesce("n_repeated_words", F.lit(0)).alias("n_repeated_words"))
 
 
-def repeated_spans(docs: DataFrame, length: int, most_in_task: int, most_known: int = 1 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """rows (doc_id, c1, c2, n_bytes, sha), contents (c1, c2, rep, copies, n_bytes) and spans (c1, c2, start, end).
+def repeated_spans(docs: DataFrame, length: int, words: int, most_in_task: int, most_known: int = 1 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows (doc_id, c1, c2, n_bytes, sha), contents (c1, c2, rep, copies, n_bytes, n_words) and spans (c1, c2, kind, start, end).
 
-    A byte is in a span if a string of `length` bytes that covers it also begins at another place of any text.
-    Contents that occur more than once are repeated as a whole. Of hot k-grams, at most most_known repeated strings
-    (16 bytes each) are broadcast; more come back by a join.
+    A byte is in a span of kind 0 if a string of `length` bytes that covers it also begins at another place of any text;
+    spans of kind 1 are of `words` words, WORD units each. Contents that occur more than once are repeated as a whole. Of hot
+    k-grams, at most most_known repeated strings (16 bytes each) are broadcast; more come back by a join.
     """
-    before = length - GRAM
-    scan = stored(_scan(docs, length), "anchors")
+    of_kind = {0: (length, 1), 1: (words * WORD, WORD)}
+    by_kind = lambda a, b: F.when(F.col("kind") == 0, a).otherwise(b)
+    scan = stored(_scan(docs, length, words), "anchors")
     rows = scan.select("doc_id", "c1", "c2", "n_bytes", "sha")
-    contents = stored(rows.groupBy("c1", "c2").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("rep"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes")), "contents")
-    flat = scan.select("c1", "c2", F.explode(F.arrays_zip("pos", "kg", "ctx")).alias("a"), "n_bytes").select("a.kg", "a.ctx", "c1", "c2", "a.pos", "n_bytes")
+    contents = scan.groupBy("c1", "c2").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("rep"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("n_words").alias("n_words"))
+    contents = stored(contents, "contents")
+    flat = scan.select("c1", "c2", F.explode(F.arrays_zip("pos", "kg", "ctx")).alias("a"), "n_bytes", "n_words").withColumn("kind", F.col("a.kg").bitwiseAND(F.lit(1)).cast("int"))
+    flat = flat.select("a.kg", "a.ctx", "kind", "c1", "c2", "a.pos", by_kind(F.col("n_bytes"), F.col("n_words") * WORD).alias("n"))
     # most k-grams occur once: a Bloom filter of the others keeps those places from every shuffle
     total = scan.agg(F.coalesce(F.sum(F.size("pos")), F.lit(0))).first()[0]
     filters, cells = repeat_filters(flat.select("kg"), "kg", total, n=1)
@@ -234,64 +315,75 @@ def repeated_spans(docs: DataFrame, length: int, most_in_task: int, most_known:
     place = F.xxhash64("c1", "c2", "pos")
     classes = flat.groupBy("kg", "ctx").agg(F.count("*").alias("m"), (F.min(place) != F.max(place)).alias("again"), F.min(F.struct("c1", "c2", "pos")).alias("at"))
     classes = stored(classes, "classes")
-    shared = classes.groupBy("kg").agg(F.count("*").alias("q")).where("q > 1")
-    reps = stored(classes.join(shared, "kg").select("kg", "ctx", "q", "at.c1", "at.c2", "at.pos"), "class-places")
+    shared = stored(classes.groupBy("kg").agg(F.count("*").alias("q")).where("q > 1"), "shared-grams")
+    reps = lookup(classes, shared, "kg", "q", classes.count()).where("q IS NOT NULL")
+    reps = stored(reps.select("kg", "ctx", "q", "at.c1", "at.c2", "at.pos"), "class-places")
 
     # places whose whole surroundings occur again
     many = classes.where("again").select("kg", "ctx", "m")
     found = lookup(flat, stored(many, "repeated-classes"), ["kg", "ctx"], "m", total).where("m IS NOT NULL")
-    start, end = F.greatest(F.col("pos") - before, F.lit(0)), F.least(F.col("pos") + length, F.col("n_bytes"))
-    certain = found.select("c1", "c2", start.cast("long").alias("start"), end.cast("long").alias("end")).where(F.col("end") - F.col("start") >= length).distinct()
+    full = by_kind(F.lit(length), F.lit(words * WORD))
+    start, end = F.greatest(F.col("pos") - full + GRAM, F.lit(0)), F.least(F.col("pos") + full, F.col("n"))
+    certain = found.select("c1", "c2", "kind", start.cast("long").alias("start"), end.cast("long").alias("end")).where(F.col("end") - F.col("start") >= full).distinct()
 
     # the others, by suffix arrays
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
-            cols: list[list] = [[] for _ in range(7)]
-            for raw, c1, c2, places_of in zip(_raw(batch.column(0).to_pylist()), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            cols: list[list] = [[] for _ in range(8)]
+            raws = _raw(batch.column(0).to_pylist())
+            hashes, first = word_hashes(raws)
+            for i, (raw, c1, c2, places_of) in enumerate(zip(raws, batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                texts = (raw, hashes[first[i] : first[i + 1]].tobytes())
                 for p in places_of:
-                    at = p["pos"]
-                    for c, v in zip(cols, (p["kg"], p["ctx"], c1, c2, at, raw[at : at + length], raw[max(0, at - before) : at][::-1]), strict=True):
+                    at, kind = p["pos"], p["kg"] & 1
+                    size = of_kind[kind][0]
+                    for c, v in zip(cols, (p["kg"], p["ctx"], kind, c1, c2, at, texts[kind][at : at + size], texts[kind][max(0, at - size + GRAM) : at][::-1]), strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:5]], *[pa.array(c, pa.binary()) for c in cols[5:]]], ["kg", "ctx", "c1", "c2", "pos", "right", "left"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int32() if k == 2 else pa.int64()) for k, c in enumerate(cols[:6])], *[pa.array(c, pa.binary()) for c in cols[6:]]], ["kg", "ctx", "kind", "c1", "c2", "pos", "right", "left"])
 
     def near(some: DataFrame) -> DataFrame:
         wanted = some.groupBy("c1", "c2").agg(F.collect_list(F.struct("kg", "ctx", "pos")).alias("places")).join(contents.select("c1", "c2", "rep"), ["c1", "c2"])
-        return _texts_of(docs, wanted).select("text", "c1", "c2", "places").mapInArrow(around, "kg long, ctx long, c1 long, c2 long, pos long, right binary, left binary")
+        return _texts_of(docs, wanted).select("text", "c1", "c2", "places").mapInArrow(around, "kg long, ctx long, kind int, c1 long, c2 long, pos long, right binary, left binary")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _chunks(batches, most_in_task):
-            low, high = _ranges(t.column("right").to_pylist(), t.column("left").to_pylist(), length)
-            ok = np.flatnonzero(high >= 0)
-            pos = t.column("pos").to_numpy()[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(t.column("c1").to_numpy()[ok]), pa.array(t.column("c2").to_numpy()[ok]), pa.array(pos - high[ok]), pa.array(pos - low[ok] + length)], ["c1", "c2", "start", "end"])
+        for chunk in _chunks(batches, most_in_task):
+            for kind, (size, step) in of_kind.items():
+                t = chunk.filter(pc.equal(chunk.column("kind"), kind))
+                low, high = _ranges(t.column("right").to_pylist(), t.column("left").to_pylist(), size, step)
+                ok = np.flatnonzero(high >= 0)
+                pos = t.column("pos").to_numpy()[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(t.column("c1").to_numpy()[ok]), pa.array(t.column("c2").to_numpy()[ok]), pa.array(np.full(len(ok), kind, np.int32)), pa.array(pos - high[ok]), pa.array(pos - low[ok] + size)], ["c1", "c2", "kind", "start", "end"])
 
     span = "c1 long, c2 long, start long, end long"
-    sorted_ = near(reps.where(F.col("q") <= most_in_task)).repartition("kg").sortWithinPartitions("kg", "ctx").mapInArrow(solve, span)
+    sorted_ = near(reps.where(F.col("q") <= most_in_task)).repartition("kg").sortWithinPartitions("kg", "ctx").mapInArrow(solve, "c1 long, c2 long, kind int, start long, end long")
 
     # k-grams with more places than a task may hold: count their strings by hash, first in cells, then those in cells hit twice
     beyond = reps.where(F.col("q") > most_in_task)
     if beyond.head(1):
-        hot = stored(near(beyond).dropDuplicates(["c1", "c2", "pos"]).select("c1", "c2", "pos", "right", "left"), "hot-places")
-        cells = 1 << 15
-        while cells < min(8 * (before + 1) * hot.count(), 1 << 29):
-            cells *= 2
-        cell = hot.mapInArrow(partial(_cells, length=length, cells=cells), "cell long").groupBy("cell").count().where("count > 1").select(F.col("cell") + 1)
-        cell = cell.toDF("cell").groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
-        twice = hot.sparkSession.sparkContext.broadcast(_bits(cell.toArrow(), cells))  # a bit for each cell, 64 MB at most
-        strings = hot.mapInArrow(partial(_windows, length=length, twice=twice), "c1 long, c2 long, start long, h1 long, h2 long")
-        place = F.xxhash64("c1", "c2", "start")
-        again = strings.groupBy("h1", "h2").agg(F.count("*").alias("n"), (F.min(place) != F.max(place)).alias("again")).where("again").select("h1", "h2", "n")
-        again = stored(again, "repeated-strings")
-        if again.count() <= most_known:
-            got = again.select("h1", "h2").toArrow()
-            order = np.argsort(got.column("h1").to_numpy())
-            known = hot.sparkSession.sparkContext.broadcast((got.column("h1").to_numpy()[order], got.column("h2").to_numpy()[order]))
-            counted = hot.mapInArrow(partial(_runs, length=length, known=known), span)
-        else:
-            strings = stored(strings, "strings")
-            found = lookup(strings, again, ["h1", "h2"], "n", strings.count()).where("n IS NOT NULL")
-            counted = found.select("c1", "c2", "start", (F.col("start") + length).alias("end")).distinct()
-        sorted_ = sorted_.unionByName(counted)
+        every = stored(near(beyond).dropDuplicates(["c1", "c2", "kind", "pos"]).select("c1", "c2", "kind", "pos", "right", "left"), "hot-places")
+        for kind, (size, step) in of_kind.items():
+            hot = every.where(F.col("kind") == kind).drop("kind")
+            n = hot.count()
+            cells = 1 << 15
+            while cells < min(8 * ((size - GRAM) // step + 1) * n, 1 << 29):
+                cells *= 2
+            cell = hot.mapInArrow(partial(_cells, length=size, step=step, cells=cells), "cell long").groupBy("cell").count().where("count > 1").select(F.col("cell") + 1)
+            cell = cell.toDF("cell").groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
+            twice = hot.sparkSession.sparkContext.broadcast(_bits(cell.toArrow(), cells))  # a bit for each cell, 64 MB at most
+            strings = hot.mapInArrow(partial(_windows, length=size, step=step, twice=twice), "c1 long, c2 long, start long, h1 long, h2 long")
+            place = F.xxhash64("c1", "c2", "start")
+            again = strings.groupBy("h1", "h2").agg(F.count("*").alias("n"), (F.min(place) != F.max(place)).alias("again")).where("again").select("h1", "h2", "n")
+            again = stored(again, "repeated-strings")
+            if again.count() <= most_known:
+                got = again.select("h1", "h2").toArrow()
+                order = np.argsort(got.column("h1").to_numpy())
+                known = hot.sparkSession.sparkContext.broadcast((got.column("h1").to_numpy()[order], got.column("h2").to_numpy()[order]))
+                counted = hot.mapInArrow(partial(_runs, length=size, step=step, known=known), span)
+            else:
+                strings = stored(strings, "strings")
+                found = lookup(strings, again, ["h1", "h2"], "n", strings.count()).where("n IS NOT NULL")
+                counted = found.select("c1", "c2", "start", (F.col("start") + size).alias("end")).distinct()
+            sorted_ = sorted_.unionByName(counted.withColumn("kind", F.lit(kind)))
     return rows, contents, stored(certain.unionByName(sorted_), "spans")
 
 
@@ -323,4 +415,5 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """Strings of 400 bytes; n_repeated_words tells passages of 50 words too. Nulls and repeated rows as in repeated_bytes()."""
     return repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -31,7 +31,26 @@ def brute(rows, length):
     return sorted(out, key=str)
 
 
-def _check(df, source, length):
+def brute_words(rows, words):
+    """(doc_id, n_repeated_words)."""
+    lists = [(i, (t or "").encode().translate(bytes(32 if 9 <= b <= 13 else b for b in range(256))).split(b" ")) for i, t in rows]
+    lists = [(i, [w for w in ws if w]) for i, ws in lists]
+    at = defaultdict(list)
+    for k, (_, ws) in enumerate(lists):
+        for s in range(len(ws) - words + 1):
+            at[hashlib.md5(b" ".join(ws[s : s + words])).digest()].append((k, s))
+    gone = [np.zeros(len(ws) + 1, np.int64) for _, ws in lists]
+    for places in at.values():
+        if len(places) > 1:
+            for k, s in places:
+                gone[k][s] += 1
+                gone[k][s + words] -= 1
+    return sorted(((i, int((np.cumsum(g) > 0).sum())) for (i, _), g in zip(lists, gone, strict=True)), key=str)
+
+
+def _check(df, source, length, words=50):
+    df = df.persist()
+    assert sorted((tuple(r) for r in df.select("doc_id", "n_repeated_words").collect()), key=str) == brute_words([(r.doc_id, r.text) for r in source.collect()], words)
     got = sorted((tuple(r) for r in df.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()), key=str)
     assert got == brute([(r.doc_id, r.text) for r in source.collect()], length)
 
@@ -69,7 +88,30 @@ def test_passages_cut_anywhere(spark, seed, length):
 
 def test_passages_with_more_places_than_a_task_holds(spark):
     df = docs(spark, _mosaic(7, 60) + ["y" * 300 + prose(i, 5) for i in range(30)])
-    _check(substring_dedup.repeated_bytes(df, length=120, most_in_task=8), df, 120)
+    _check(substring_dedup.repeated_bytes(df, length=120, words=20, most_in_task=8), df, 120, 20)
+
+
+def test_short_passages_of_fifty_words(spark):
+    """Passages of 50 words and less than 400 bytes: nothing is removed, but the words are counted; 49 words are not."""
+    p = prose(5, 51, words=9)
+    texts = [prose(1, 90) + " " + p + " " + prose(2, 90), prose(3, 30) + "\n" + p.replace(" ", "  ") + "\t" + prose(4, 70), prose(6, 60) + " " + " ".join(p.split()[:49]) + " " + prose(8, 60)]
+    df = docs(spark, texts)
+    out = substring_dedup.repeated_bytes(df).persist()
+    assert {r.doc_id: (r.n_removed, r.n_repeated_words) for r in out.collect()} == {0: (0, 51), 1: (0, 51), 2: (0, 0)}
+    _check(out, df, 400)
+
+
+def test_long_texts_go_piece_by_piece(monkeypatch):
+    from lodestone.llm.common import word_hashes
+
+    texts = [(" ".join(f"w{i}" for i in range(k))).encode() for k in (0, 3, 500, 1)] + [b"x" * 300, b" \n ", b"a b"]
+    for most in (1, 7, 64, 1 << 22):
+        got = word_hashes(texts, most)
+        assert all((x == y).all() for x, y in zip(got, word_hashes(texts), strict=True))
+    monkeypatch.setattr(substring_dedup, "PIECE", 70)
+    pieces = substring_dedup.anchors(texts, 100)
+    monkeypatch.setattr(substring_dedup, "PIECE", 1 << 19)
+    assert all((x == y).all() for x, y in zip(pieces, substring_dedup.anchors(texts, 100), strict=True))
 
 
 def test_within_one_document(spark):
