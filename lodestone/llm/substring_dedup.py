@@ -234,7 +234,7 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int, step: int, known) -> I
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + step)
         edge = np.flatnonzero(new)
-        last = np.append(edge[1:], len(row)) - 1
+        last = np.append(edge, len(row))[1:] - 1
         c1, c2 = (batch.column(c).to_numpy()[row[edge]] for c in ("c1", "c2"))
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in (c1, c2, start[edge], start[last] + length)], ["c1", "c2", "start", "end"])
 
