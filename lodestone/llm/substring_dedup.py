@@ -6,7 +6,7 @@ the places that share an anchor's k-gram. Such places are grouped by the k-gram.
 bytes around them stand for each other; for the rest, suffix arrays of the texts right and left of the
 anchors (deep-shallow sorting) tell which strings around an anchor occur again.
 
-The words of a text, as hashes of 8 bytes each, are a second string of bytes, in which strings of WORDS
+The words of a text, as hashes of WORD bytes each, are a second string of bytes, in which strings of WORDS
 words are sought in the same passes. The low bit of a k-gram's hash tells the kind.
 """
 
@@ -28,8 +28,8 @@ from lodestone.llm.exact_dedup import maybe_repeated, repeat_filters
 from lodestone.llm.suffix_sort import deep_shallow_sort, matrix
 
 GRAM = 64
-#: Words of a repeated passage, and bytes of a word's hash.
-WORDS, WORD = 50, 8
+#: Words of a repeated passage, bytes of a word's hash, and words of a k-gram.
+WORDS, WORD, WORD_GRAM = 50, 5, 8
 PIECE = 1 << 19
 _TOP = np.iinfo(np.uint64).max
 
@@ -95,8 +95,8 @@ def anchors(texts: list[bytes], length: int) -> list[np.ndarray]:
 
 
 def word_anchors(words: np.ndarray, first: np.ndarray, length: int) -> list[np.ndarray]:
-    """The same for texts that are hashes of words (8 bytes of a k-gram each), windows of `length` words; places count words."""
-    gram = GRAM // WORD
+    """The same for texts that are hashes of words, windows of `length` words; places count words."""
+    gram = WORD_GRAM
     sums = np.zeros(max(len(words) - gram + 1, 0), np.uint64)
     for k in range(gram if len(sums) else 0):
         sums += words[k : len(words) - gram + 1 + k] * _BYTE[k]
@@ -115,9 +115,19 @@ def _raw(texts) -> list[bytes]:
     return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
 
 
+def _coded(words: np.ndarray) -> bytes:
+    """WORD bytes of each word's hash."""
+    return words.view(np.uint8).reshape(-1, 8)[:, :WORD].tobytes()
+
+
+def _kinds(length: int, words: int) -> dict[int, tuple[int, int, int]]:
+    """By kind, bytes of a string that is sought, of its k-gram, and from one place to the next."""
+    return {0: (length, GRAM, 1), 1: (words * WORD, WORD_GRAM * WORD, WORD)}
+
+
 def _scan(docs: DataFrame, length: int, words_of: int) -> DataFrame:
     """doc_id, c1, c2 (a hash of the text), n_bytes, n_words, sha, and the anchors' places, k-grams and surroundings as arrays."""
-    span = {0: length, 1: words_of * WORD}
+    of_kind = _kinds(length, words_of)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -126,14 +136,15 @@ def _scan(docs: DataFrame, length: int, words_of: int) -> DataFrame:
             by_words: list[tuple[bytes, np.ndarray]] = []
             for a, b in text_slices(raws):
                 words, first = word_hashes(raws[a:b])
-                by_words += [(words[first[i] : first[i + 1]].tobytes(), p * WORD) for i, p in enumerate(word_anchors(words, first, words_of))]
+                by_words += [(_coded(words[first[i] : first[i + 1]]), p * WORD) for i, p in enumerate(word_anchors(words, first, words_of))]
             for raw, at, (coded, places) in zip(raws, anchors(raws, length), by_words, strict=True):
                 pos, kg, ctx = [], [], []
                 for kind, text, found in ((0, raw, at.tolist()), (1, coded, places.tolist())):
-                    before = span[kind] - GRAM
+                    size, gram, _ = of_kind[kind]
+                    before = size - gram
                     pos += found
-                    kg += [_hash(text[p : p + GRAM]) & ~1 | kind for p in found]
-                    ctx += [_hash(text[max(0, p - before) : p + span[kind]], min(p, before)) for p in found]
+                    kg += [_hash(text[p : p + gram]) & ~1 | kind for p in found]
+                    ctx += [_hash(text[max(0, p - before) : p + size], min(p, before)) for p in found]
                 for c, v in zip(cols, (*_content(raw), len(raw), len(coded) // WORD, hashlib.sha256(raw).hexdigest(), pos, kg, ctx), strict=True):
                     c.append(v)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -157,21 +168,30 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(wanted, ["c1", "c2", "rep"])
 
 
-def _ranges(rights: list[bytes], lefts: list[bytes], length: int, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def _best_lcp(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """The longest prefix that each string has in common with any other: that with a neighbour in the sorted order."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum(lcp, np.concatenate([[0], lcp[:-1]]))
+    return out
+
+
+def _ranges(rights: list[bytes], lefts: list[bytes], length: int, before: int, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """For each place, the least and greatest number of bytes left of it, a multiple of step, with which a string of `length` bytes occurs again (-1: none)."""
-    n, before = len(rights), length - GRAM
+    n = len(rights)
     low, high = np.full(n, -1), np.full(n, -1)
     right_table, right_n = matrix(rights, length)
     left_table, left_n = matrix(lefts, before)
     right_order, right_lcp = deep_shallow_sort(rights, right_table, right_n)
     left_order, left_lcp = deep_shallow_sort(lefts, left_table, left_n)
+    # a string can begin between these only
+    least, most = length - _best_lcp(right_order, right_lcp), _best_lcp(left_order, left_lcp)
     right_class, left_class = np.empty(n, np.int64), np.empty(n, np.int64)
     for o in range(0, before + 1, step):
+        there = np.flatnonzero((least <= o) & (o <= most))
+        if len(there) < 2:
+            continue
         right_class[right_order] = np.concatenate([[0], np.cumsum(right_lcp[:-1] < length - o)])
         left_class[left_order] = np.concatenate([[0], np.cumsum(left_lcp[:-1] < o)])
-        there = np.flatnonzero((left_n >= o) & (right_n >= length - o))
-        if not len(there):
-            continue
         both = right_class[there] * n + left_class[there]
         order = np.argsort(both)
         same = both[order][1:] == both[order][:-1]
@@ -300,7 +320,7 @@ def repeated_spans(docs: DataFrame, length: int, words: int, most_in_task: int,
     spans of kind 1 are of `words` words, WORD units each. Contents that occur more than once are repeated as a whole. Of hot
     k-grams, at most most_known repeated strings (16 bytes each) are broadcast; more come back by a join.
     """
-    of_kind = {0: (length, 1), 1: (words * WORD, WORD)}
+    of_kind = _kinds(length, words)
     by_kind = lambda a, b: F.when(F.col("kind") == 0, a).otherwise(b)
     scan = stored(_scan(docs, length, words), "anchors")
     rows = scan.select("doc_id", "c1", "c2", "n_bytes", "sha")
@@ -320,10 +340,9 @@ def repeated_spans(docs: DataFrame, length: int, words: int, most_in_task: int,
     reps = stored(reps.select("kg", "ctx", "q", "at.c1", "at.c2", "at.pos"), "class-places")
 
     # places whose whole surroundings occur again
-    many = classes.where("again").select("kg", "ctx", "m")
-    found = lookup(flat, stored(many, "repeated-classes"), ["kg", "ctx"], "m", total).where("m IS NOT NULL")
-    full = by_kind(F.lit(length), F.lit(words * WORD))
-    start, end = F.greatest(F.col("pos") - full + GRAM, F.lit(0)), F.least(F.col("pos") + full, F.col("n"))
+    found = lookup(flat, classes.where("again").select("kg", "ctx", "m"), ["kg", "ctx"], "m", total).where("m IS NOT NULL")
+    full, before = (by_kind(F.lit(a), F.lit(b)) for a, b in zip(*[(size, size - gram) for size, gram, _ in of_kind.values()], strict=True))
+    start, end = F.greatest(F.col("pos") - before, F.lit(0)), F.least(F.col("pos") + full, F.col("n"))
     certain = found.select("c1", "c2", "kind", start.cast("long").alias("start"), end.cast("long").alias("end")).where(F.col("end") - F.col("start") >= full).distinct()
 
     # the others, by suffix arrays
@@ -333,11 +352,11 @@ def repeated_spans(docs: DataFrame, length: int, words: int, most_in_task: int,
             raws = _raw(batch.column(0).to_pylist())
             hashes, first = word_hashes(raws)
             for i, (raw, c1, c2, places_of) in enumerate(zip(raws, batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                texts = (raw, hashes[first[i] : first[i + 1]].tobytes())
+                texts = (raw, _coded(hashes[first[i] : first[i + 1]]))
                 for p in places_of:
                     at, kind = p["pos"], p["kg"] & 1
-                    size = of_kind[kind][0]
-                    for c, v in zip(cols, (p["kg"], p["ctx"], kind, c1, c2, at, texts[kind][at : at + size], texts[kind][max(0, at - size + GRAM) : at][::-1]), strict=True):
+                    size, gram, _ = of_kind[kind]
+                    for c, v in zip(cols, (p["kg"], p["ctx"], kind, c1, c2, at, texts[kind][at : at + size], texts[kind][max(0, at - size + gram) : at][::-1]), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int32() if k == 2 else pa.int64()) for k, c in enumerate(cols[:6])], *[pa.array(c, pa.binary()) for c in cols[6:]]], ["kg", "ctx", "kind", "c1", "c2", "pos", "right", "left"])
 
@@ -347,9 +366,9 @@ def repeated_spans(docs: DataFrame, length: int, words: int, most_in_task: int,
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches, most_in_task):
-            for kind, (size, step) in of_kind.items():
+            for kind, (size, gram, step) in of_kind.items():
                 t = chunk.filter(pc.equal(chunk.column("kind"), kind))
-                low, high = _ranges(t.column("right").to_pylist(), t.column("left").to_pylist(), size, step)
+                low, high = _ranges(t.column("right").to_pylist(), t.column("left").to_pylist(), size, size - gram, step)
                 ok = np.flatnonzero(high >= 0)
                 pos = t.column("pos").to_numpy()[ok]
                 yield pa.RecordBatch.from_arrays([pa.array(t.column("c1").to_numpy()[ok]), pa.array(t.column("c2").to_numpy()[ok]), pa.array(np.full(len(ok), kind, np.int32)), pa.array(pos - high[ok]), pa.array(pos - low[ok] + size)], ["c1", "c2", "kind", "start", "end"])
@@ -361,11 +380,11 @@ def repeated_spans(docs: DataFrame, length: int, words: int, most_in_task: int,
     beyond = reps.where(F.col("q") > most_in_task)
     if beyond.head(1):
         every = stored(near(beyond).dropDuplicates(["c1", "c2", "kind", "pos"]).select("c1", "c2", "kind", "pos", "right", "left"), "hot-places")
-        for kind, (size, step) in of_kind.items():
+        for kind, (size, gram, step) in of_kind.items():
             hot = every.where(F.col("kind") == kind).drop("kind")
             n = hot.count()
             cells = 1 << 15
-            while cells < min(8 * ((size - GRAM) // step + 1) * n, 1 << 29):
+            while cells < min(8 * ((size - gram) // step + 1) * n, 1 << 29):
                 cells *= 2
             cell = hot.mapInArrow(partial(_cells, length=size, step=step, cells=cells), "cell long").groupBy("cell").count().where("count > 1").select(F.col("cell") + 1)
             cell = cell.toDF("cell").groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))

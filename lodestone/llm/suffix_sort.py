@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-SHALLOW = 4  # words of 8 bytes
+SHALLOW = 16  # words of 8 bytes
 
 
 def matrix(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,33 +70,50 @@ class BlindTrie:
         return out
 
 
+def _shallow(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, begins of groups): rows sorted by their words, a multikey sort that goes on to the next word only within groups still equal."""
+    order, group = np.arange(len(words)), np.zeros(len(words), np.int64)
+    open_ = np.arange(len(words))  # places in order that hold groups of more than one row
+    for depth in range(words.shape[1]):
+        if not len(open_):
+            break
+        w = words[order[open_], depth]
+        by = np.lexsort((w, group[open_]))
+        order[open_] = order[open_][by]
+        w, g = w[by], group[open_]
+        edge = np.concatenate([[True], (g[1:] != g[:-1]) | (w[1:] != w[:-1])])
+        group[open_] = open_[np.maximum.accumulate(np.where(edge, np.arange(len(open_)), 0))]
+        g = group[open_]
+        twin = np.concatenate([[False], g[1:] == g[:-1]])
+        open_ = open_[twin | np.append(twin[1:], False)]
+    return order, np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+
+
 def deep_shallow_sort(strings: list[bytes], table: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, lcp): the sorted order of strings, and the common prefix of each with the next one in it (0 for the last).
 
-    table and lengths are matrix(strings).
+    table and lengths are matrix(strings). Equal strings enter the sort once.
     """
-    wide = np.pad(table[:, : 8 * SHALLOW], ((0, 0), (0, max(0, 8 * SHALLOW - table.shape[1]))))
-    words = np.ascontiguousarray(wide).view(">u8").astype(np.uint64)
-    out: list[np.ndarray] = []
-    stack = [(np.arange(len(strings)), 0)]
-    while stack:
-        rows, depth = stack.pop()
-        if depth == SHALLOW or (len(rows) <= 48 and len(rows) > 1):
+    first: dict[bytes, int] = {}
+    of = np.array([first.setdefault(s, i) for i, s in enumerate(strings)], np.int64)
+    once = np.flatnonzero(of == np.arange(len(of)))
+    wide = np.pad(table[once, : 8 * SHALLOW], ((0, 0), (0, max(0, 8 * SHALLOW - table.shape[1]))))
+    order, begins = _shallow(np.ascontiguousarray(wide).view(">u8").astype(np.uint64))
+    order = once[order]
+    edges = [*begins.tolist(), len(order)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if b - a > 1:
             trie = BlindTrie(strings)
-            for i in rows.tolist():
+            for i in order[a:b].tolist():
                 trie.insert(i)
-            out.append(np.array(trie.in_order(), np.int64))
-        elif len(rows) <= 1:
-            out.append(rows)
-        else:
-            w = words[rows, depth]
-            pivot = np.partition(w, len(w) // 2)[len(w) // 2]
-            stack += [(rows[w > pivot], depth), (rows[w == pivot], depth + 1), (rows[w < pivot], depth)]
-    order = np.concatenate(out) if out else np.zeros(0, np.int64)
+            order[a:b] = trie.in_order()
+    rank = np.empty(len(of), np.int64)
+    rank[order] = np.arange(len(order))
+    order = np.argsort(rank[of], kind="stable") if len(of) else order
     lcp = np.zeros(len(order), np.int64)
     for at in range(0, len(order) - 1, 4096):
         a, b = order[at : at + 4097][:-1], order[at + 1 : at + 4097]
         differ = table[a] != table[b]
-        first = np.where(differ.any(1), differ.argmax(1), table.shape[1])
-        lcp[at : at + len(a)] = np.minimum(first, np.minimum(lengths[a], lengths[b]))
+        found = np.where(differ.any(1), differ.argmax(1), table.shape[1])
+        lcp[at : at + len(a)] = np.minimum(found, np.minimum(lengths[a], lengths[b]))
     return order, lcp
