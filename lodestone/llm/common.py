@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import tempfile
 import uuid
 
@@ -46,13 +47,11 @@ def _clean() -> None:
 
 
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A table of literals; unlike createDataFrame(), it starts no Python worker."""
+    """A table from one literal, which also holds many thousands of rows; unlike createDataFrame(), it starts no Python worker."""
     names = [c.split()[0] for c in schema.split(",")]
-    if not rows:
-        return spark.createDataFrame([], schema)
-    made = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, r, strict=True)]) for r in rows])
     kinds = ", ".join(":".join(c.split()) for c in schema.split(","))
-    return spark.range(1).select(F.inline(made.cast(f"array<struct<{kinds}>>")))
+    made = F.from_json(F.lit(json.dumps([dict(zip(names, r, strict=True)) for r in rows])), f"array<struct<{kinds}>>")
+    return spark.range(1).select(F.inline(made))
 
 
 #: lookup() broadcasts the keys that hold more than one row in HOT_SHARE; so there are fewer than HOT_SHARE of them.

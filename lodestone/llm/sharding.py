@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import small_table, stored
 
-#: Bits of a dimension's grid, and of the hash that breaks ties on it.
-GRID, TIE = 20, 42
+#: Bits of a dimension's grid, of the hash that breaks ties on it, and of that part of it that tells equal rows apart.
+GRID, TIE, TWIN = 20, 42, 16
 BINS = 4096
+#: After so many levels the rows' nodes are stored, so that a level doesn't repeat all joins before it.
+STORE_LEVELS = 4
 
 
 def prefix_number(text: Column) -> Column:
@@ -59,12 +61,15 @@ def kd_shards(rows: DataFrame, weight: str, dims: dict[str, Column], tie: Column
     """rows with shard (int, from 0): leaves of near equal weight in a k-d tree over dims.
 
     Give the number of shards, or target_bytes for a leaf. dims are numeric columns, null as 0;
-    tie is a long that differs between most rows and separates rows that agree in a dimension.
-    Rows alike in dims and tie stay together. An empty table gives no rows.
+    tie is a long that differs between most rows and separates rows that agree in a dimension. Rows alike in
+    dims and tie are told apart by where they were read, so that many equal rows spread over shards too. An empty
+    table gives no rows; null weights count as 0.
     """
     spark = rows.sparkSession
     names = list(dims)
-    kept = rows.select("*", *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"_ls_v{i}") for i, c in enumerate(dims.values())], F.shiftrightunsigned(tie, 64 - TIE).alias("_ls_tie"), F.col(weight).cast("long").alias("_ls_w"))
+    kept = rows.select("*", *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"_ls_v{i}") for i, c in enumerate(dims.values())], F.monotonically_increasing_id().alias("_ls_row"), F.coalesce(F.col(weight).cast("long"), F.lit(0)).alias("_ls_w"))
+    apart = F.shiftrightunsigned(tie, 64 - TIE + TWIN) * F.lit(1 << TWIN) + F.shiftrightunsigned(F.xxhash64("_ls_row"), 64 - TWIN)
+    kept = kept.withColumn("_ls_tie", apart).drop("_ls_row")
     kept = stored(kept, "kd-rows")
     ends = kept.agg(F.sum("_ls_w").alias("w"), *[f(f"_ls_v{i}").alias(f"{n}{i}") for i in range(len(names)) for n, f in (("lo", F.min), ("hi", F.max))]).first()
     total = ends["w"] or 0
@@ -76,6 +81,7 @@ def kd_shards(rows: DataFrame, weight: str, dims: dict[str, Column], tie: Column
         cur = cur.withColumn(f"_ls_d{i}", F.floor((F.col(f"_ls_v{i}") - lo) * scale) if scale else F.lit(0).cast("long"))
     cur = cur.withColumn("_ls_node", F.lit(0))
     leaves, first_shard = {0: n_shards}, {0: 0}
+    level = 0
     while total and any(k > 1 for k in leaves.values()):
         open_nodes = {n: k for n, k in leaves.items() if k > 1}
         cuts = _splits(cur, names, open_nodes, total / n_shards, tolerance)
@@ -92,6 +98,9 @@ def kd_shards(rows: DataFrame, weight: str, dims: dict[str, Column], tie: Column
         table = F.broadcast(small_table(spark, rows_of, "_ls_node int, dim int, cut long, a int, b int"))  # one row for each node
         key = F.element_at(F.array(*[F.col(f"_ls_d{i}") for i in range(len(names))]), F.col("dim") + 1) * F.lit(1 << TIE) + F.col("_ls_tie")
         cur = cur.join(table, "_ls_node", "left").withColumn("_ls_node", F.when(F.col("cut").isNull(), F.col("_ls_node")).when(key < F.col("cut"), F.col("a")).otherwise(F.col("b"))).drop("dim", "cut", "a", "b")
+        level += 1
+        if level % STORE_LEVELS == 0 and any(k > 1 for k in leaves.values()):
+            cur = stored(cur, "kd-nodes")
     table = F.broadcast(small_table(spark, [(n, first_shard[n]) for n in leaves], "_ls_node int, shard int"))
     return cur.join(table, "_ls_node").select(*rows.columns, "shard")
 
@@ -99,10 +108,12 @@ def kd_shards(rows: DataFrame, weight: str, dims: dict[str, Column], tie: Column
 def with_slots(rows: DataFrame, group: str, order: Column, rows_per_bucket: int = 100_000) -> DataFrame:
     """rows with slot (long): gapless from 0 in each group, without sorting a whole group in one task.
 
-    Rows are dealt by `order`, a hash, into buckets; a bucket's slots begin after the rows of those before.
+    Rows are dealt by `order`, a hash, into buckets; a bucket's slots begin after the rows of those before. A row's
+    place in its input goes into the bucket as well, so that equal rows don't meet in one.
     """
     n = max(8, math.ceil(rows.count() / rows_per_bucket))
-    dealt = stored(rows.withColumn("_ls_bucket", F.pmod(order, F.lit(n))).withColumn("_ls_order", order), "slots")
+    dealt = rows.withColumn("_ls_order", order).withColumn("_ls_bucket", F.pmod(F.xxhash64("_ls_order", F.monotonically_increasing_id()), F.lit(n)))
+    dealt = stored(dealt, "slots")
     before = F.coalesce(F.sum("count").over(Window.partitionBy(group).orderBy("_ls_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = dealt.groupBy(group, "_ls_bucket").count().withColumn("_ls_base", before).drop("count")
     rank = F.row_number().over(Window.partitionBy(group, "_ls_bucket").orderBy("_ls_order"))
@@ -114,7 +125,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:
     """doc_id, size (UTF-8 bytes of the text and 1), text_crc32, shard and slot of each document.
 
     Dimensions: log of the size, source, lang, doc_id; a missing column is left out. A null text has
-    size 1 and the CRC of an empty one. Equal texts may go to different shards.
+    size 1 and the CRC of an empty one. Equal texts, and rows that are equal altogether, may go to different shards.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     dims = {"size": F.log2("size")} | {c: prefix_number(F.col(c).cast("string")) for c in ("source", "lang") if c in docs.columns} | {"doc_id": F.col("doc_id")}
@@ -125,6 +136,6 @@ def shard_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:
 
 
 def op1_kd_shards(spark, sf_dir: str) -> DataFrame:
-    """The law is `bytes`: the 16 shards hold nearly the same number of bytes."""
+    """The law is `bytes`: the 16 shards hold nearly the same number of bytes. Nulls and repeated rows as in shard_documents()."""
     out = shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -38,6 +38,34 @@ def test_one_source_and_repeated_rows(spark):
     _check(sharding.shard_documents(df, 4).collect(), df, 4)
 
 
+def _even(rows, n_shards):
+    """The law `bytes`: no shard holds more than its part and one row, give or take a thousandth."""
+    held = defaultdict(int)
+    for r in rows:
+        held[r.shard] += r["size"]
+    part = sum(held.values()) / n_shards
+    most = max(r["size"] for r in rows)
+    assert len(held) == n_shards
+    assert all(abs(h - part) <= 2 * most + 0.005 * part for h in held.values()), dict(held)
+
+
+def test_bytes_of_equal_rows(spark):
+    """2,000 equal rows, one source, null ids: equal rows spread over the shards as others do."""
+    for first in ((7, "the same row " * 20), (None, "the same row " * 20), (None, None)):
+        df = docs(spark, [first] * 2000 + [(i, f"text {i} " * (i % 5)) for i in range(400)])
+        rows = sharding.shard_documents(df).collect()
+        _check(rows, df)
+        _even(rows, 16)
+
+
+def test_many_shards(spark):
+    """More levels than STORE_LEVELS."""
+    df = docs(spark, [f"{i} " + "x" * (i * 7 % 90) for i in range(3000)])
+    rows = sharding.shard_documents(df, 48).collect()
+    _check(rows, df, 48)
+    _even(rows, 48)
+
+
 def test_empty_table(spark):
     assert sharding.shard_documents(docs(spark, [])).collect() == []
 
