@@ -26,8 +26,65 @@ def fit(df: DataFrame, observed: str, predicted: str) -> DataFrame:
     return r.agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("_r") ** 2)).alias("rmse"), F.avg(F.abs("_r")).alias("mae"), F.sqrt(F.sum(F.col("_r") ** 2)).alias("l2"), F.avg("_r").alias("bias"), F.stddev_pop("_r").alias("std"), F.avg((F.col("_r") / F.col("_s")) ** 2).alias("chi2"))
 
 
-def residual_level(residual: Column, rmse: Column) -> Column:
-    return F.when(F.abs(residual) > 2 * rmse, "HIGH").when(F.abs(residual) > rmse, "MEDIUM").otherwise("LOW")
+def qaqc(observations: DataFrame, domain_x: float, domain_z: float) -> DataFrame:
+    """One row: n, coverage of the domain, dynamic_range, mean, std and rms of g, warnings (array, in the order of the rules), survey_level, survey_score."""
+    span = lambda c: F.max(c) - F.min(c)
+    q = observations.agg(F.count("*").alias("n"), (span("x_m") / domain_x).alias("coverage_x"), (span("z_m") / domain_z).alias("coverage_z"), span("g").alias("dynamic_range"), F.avg("g").alias("mean"), F.stddev_pop("g").alias("std"), F.sqrt(F.avg(F.col("g") ** 2)).alias("rms"))
+    cx, cz = F.col("coverage_x"), F.col("coverage_z")
+    rules = (("low_coverage_x", cx < 0.35), ("low_coverage_z", cz < 0.35), ("low_dynamic_range", F.col("dynamic_range") <= 1e-6), ("few_observations", F.col("n") < 20), ("concentrated", (cx < 0.2) & (cz < 0.2)))
+    q = q.withColumn("warnings", F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules])))
+    q = q.withColumn("survey_level", level(F.size("warnings")))
+    return q.withColumn("survey_score", F.when(F.col("survey_level") == "GOOD", 1.0).when(F.col("survey_level") == "MEDIUM", 0.6).otherwise(0.3))
+
+
+def fit_level(df: DataFrame, observed: str, predicted: str) -> DataFrame:
+    """One row: normalized_rmse (by the largest observation) and fit_level."""
+    r = F.col(observed) - F.col(predicted)
+    n = df.agg((F.sqrt(F.avg(r**2)) / F.greatest(F.max(F.abs(observed)), F.lit(1e-12))).alias("normalized_rmse"))
+    return n.withColumn("fit_level", F.when(F.col("normalized_rmse") < 0.05, "GOOD").when(F.col("normalized_rmse") < 0.2, "MEDIUM").otherwise("LOW"))
+
+
+def residual_map(df: DataFrame, observed: str, predicted: str) -> DataFrame:
+    """df with residual, normalized (by the largest residual) and residual_level, of every sensor."""
+    r = df.withColumn("residual", F.col(observed) - F.col(predicted))
+    most = r.agg(F.greatest(F.max(F.abs("residual")), F.lit(1e-12)).alias("_most"))
+    r = r.join(F.broadcast(most)).withColumn("normalized", F.abs("residual") / F.col("_most")).drop("_most")
+    return r.withColumn("residual_level", F.when(F.col("normalized") < 0.33, "LOW").when(F.col("normalized") < 0.66, "MEDIUM").otherwise("HIGH"))
+
+
+def technical_summary(survey: DataFrame, fit: DataFrame, residuals: DataFrame) -> DataFrame:
+    """survey and fit (one row each) with high_ratio, n_residuals, residual_level and overall_level."""
+    high = F.coalesce(F.avg(F.when(F.col("residual_level") == "HIGH", 1.0).otherwise(0.0)), F.lit(0.0))
+    r = residuals.agg(high.alias("high_ratio"), F.count("*").alias("n_residuals"))
+    r = r.withColumn("residual_level", F.when(F.col("high_ratio") <= 0.1, "GOOD").when(F.col("high_ratio") <= 0.25, "MEDIUM").otherwise("LOW"))
+    three = ("survey_level", "fit_level", "residual_level")
+    good = F.lit(True)
+    for c in three:
+        good = good & (F.col(c) == "GOOD")
+    low = (F.col("survey_level") == "LOW") | (F.col("fit_level") == "LOW") | ((F.col("residual_level") == "LOW") & (F.col("n_residuals") >= 10))
+    return survey.join(fit).join(r).withColumn("overall_level", F.when(good, "GOOD").when(low, "LOW").otherwise("MEDIUM"))  # one row each
+
+
+def uncertainty(summary: DataFrame) -> DataFrame:
+    """technical_summary()'s row with uncertainty_score (a sum of penalties, 1 at most) and uncertainty_level."""
+    by = lambda c, medium, low: F.when(F.col(c) == "MEDIUM", medium).when(F.col(c) == "LOW", low).otherwise(0.0)
+    cx, cz = F.col("coverage_x") < 0.6, F.col("coverage_z") < 0.6
+    penalties = [
+        by("survey_level", 0.15, 0.30), F.when(cx & cz, 0.20).when(cx | cz, 0.10).otherwise(0.0), F.when(F.col("dynamic_range") <= 1e-6, 0.15).otherwise(0.0), F.when(F.col("std") <= 1e-9, 0.15).otherwise(0.0),
+        by("fit_level", 0.20, 0.40), F.when(F.col("high_ratio") > 0.25, 0.30).when(F.col("high_ratio") > 0.10, 0.15).otherwise(0.0), by("overall_level", 0.10, 0.25),
+    ]
+    total = penalties[0]
+    for p in penalties[1:]:
+        total = total + p
+    score = F.least(F.round(total, 3), F.lit(1.0))
+    return summary.withColumn("uncertainty_score", score).withColumn("uncertainty_level", F.when(score < 0.35, "LOW").when(score < 0.7, "MEDIUM").otherwise("HIGH"))
+
+
+def sensor_flags(residuals: DataFrame) -> DataFrame:
+    """residual_map()'s flagged rows with flags (array) and review_priority."""
+    extreme = F.col("normalized") >= 0.85
+    flags = F.array_compact(F.array(F.when(F.col("residual_level") == "HIGH", "HIGH_RESIDUAL"), F.when(extreme, "EXTREME_NORMALIZED_RESIDUAL")))
+    return residuals.withColumn("flags", flags).where(F.size("flags") > 0).withColumn("review_priority", F.when(extreme, "HIGH").otherwise("MEDIUM"))
 
 
 def depth_score(depth: Column) -> Column:

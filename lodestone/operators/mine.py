@@ -115,6 +115,29 @@ def schedule(blocks: DataFrame, mine_capacity: float, plant_capacity: float) ->
     return blocks.groupBy("run").applyInPandas(fold, "run int, voxel_id long, year int")
 
 
+def mine_method(blocks: DataFrame, ore: Column, overall_level: Column) -> DataFrame:
+    """One row: scores of open pit and underground from depth, strip ratio, geometry and tonnage of the ore, less for a poor run; the better one is recommended.
+
+    blocks: x, y (depth), z, density, kt. Without a row of `ore`, blocks at or above the 80th percentile of density count.
+    A score below 0.3, or no block, needs more data.
+    """
+    all_ = blocks.agg(F.count(F.when(ore, 1)).alias("_marked"), F.percentile("density", 0.8).alias("_q80"), F.count("*").alias("_total"))
+    span = lambda c: F.max(c) - F.min(c) + 1
+    kept = blocks.join(F.broadcast(all_)).where(F.when(F.col("_marked") > 0, ore).otherwise(F.col("density") >= F.col("_q80")))
+    o = kept.agg(F.count("*").alias("n"), F.first("_total").alias("total"), F.coalesce(F.max("y"), F.lit(0.0)).alias("depth_m"), (F.sqrt(span("x") * span("z")) / F.greatest(span("y"), F.lit(1.0))).alias("aspect"), F.coalesce(F.sum("kt"), F.lit(0.0)).alias("kt"))
+    d, kt = F.col("depth_m"), F.col("kt")
+    r = F.when(F.col("n") > 0, (F.col("total") - F.col("n")) / F.col("n")).otherwise(99.0)
+    shape = F.when(F.col("aspect") > 1.5, "massive").when(F.col("aspect") > 0.7, "intermediate").otherwise("narrow_deep")
+    of_shape = lambda massive, narrow: F.when(shape == "massive", massive).when(shape == "narrow_deep", narrow).otherwise(0.1)
+    quality = F.when(overall_level == "GOOD", 1.0).when(overall_level == "MEDIUM", 0.85).otherwise(0.6)
+    pit = F.when(d < 150, 0.4).when(d < 300, 0.25).when(d < 450, 0.1).otherwise(0.0) + F.when(r < 4, 0.3).when(r < 8, 0.15).otherwise(0.0) + of_shape(0.2, 0.0) + F.when(kt > 20_000, 0.1).otherwise(0.0)
+    under = F.when(d < 150, 0.0).when(d < 300, 0.1).when(d < 450, 0.25).otherwise(0.4) + F.when(r < 4, 0.0).when(r < 8, 0.05).otherwise(0.3) + of_shape(0.0, 0.2) + F.when(kt < 1000, 0.1).otherwise(0.0)
+    s = o.select(F.col("n").alias("ore_blocks"), "depth_m", F.round(r, 6).alias("strip_ratio"), shape.alias("geometry"), F.round("kt", 3).alias("tonnage_kt"), (quality * pit).alias("p"), (quality * under).alias("u"))
+    best = F.greatest("p", "u")
+    advice = F.when((F.col("ore_blocks") == 0) | (best < 0.3), "needs_more_data").when(F.col("p") >= F.col("u"), "open_pit").otherwise("underground")
+    return s.select("ore_blocks", "depth_m", "strip_ratio", "geometry", "tonnage_kt", F.round("p", 6).alias("open_pit"), F.round("u", 6).alias("underground"), F.round(best, 3).alias("confidence"), advice.alias("recommendation"))
+
+
 def npv(cash: DataFrame, rate: float) -> Column:
     return F.sum(F.col("cf") / F.pow(F.lit(1 + rate), F.col("year").cast("double")))
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.tables import stored
+
 
 def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
@@ -112,8 +114,9 @@ def rank_over(order: list[Column], partition: list[str] | None = None) -> Column
 
 def numbered(df: DataFrame, order: str, name: str, parts: int = 64) -> DataFrame:
     """df with name: the row's place from 0 in the order of a column. Ranges are numbered each for itself,
-    then shifted by the rows of those before, so no task sorts everything."""
-    ranged = df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id())
+    then shifted by the rows of those before, so no task sorts everything. The ranges are stored, so that both
+    readings of them are of the same ones, also after an executor is lost."""
+    ranged = stored(df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()), "ranges")
     within = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
     before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = ranged.groupBy("_part").count().withColumn("_base", before).drop("count")

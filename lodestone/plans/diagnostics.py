@@ -27,48 +27,71 @@ def fit_residuals(spark, sf_dir):
     return f.select("n", F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"), F.round("l2", 2).alias("l2"), F.round("bias", 4).alias("bias"), F.round("std", 4).alias("std"), F.round("chi2", 6).alias("chi2"))
 
 
-@query("residual_levels", f"""
-WITH {_FIT}, s AS (SELECT sqrt(avg(pow(d - p, 2))) AS rmse FROM f), l AS (SELECT CASE WHEN abs(d - p) > 2 * rmse THEN 'HIGH' WHEN abs(d - p) > rmse THEN 'MEDIUM' ELSE 'LOW' END AS level FROM f, s) SELECT level, count(*) AS n FROM l GROUP BY level""")
+# a survey on a domain of 6 by 25 km, and what a model predicts for it
+_SURVEY = """f AS (SELECT obs_id, g AS d, g * (CAST(0.9 AS DOUBLE) + CAST(obs_id % 21 AS DOUBLE) / 100) AS p FROM v_obs), e AS (SELECT greatest(max(abs(d - p)), CAST(1e-12 AS DOUBLE)) AS most FROM f),
+m AS (SELECT obs_id, d - p AS residual, abs(d - p) / most AS normalized FROM f, e), rm AS (SELECT *, CASE WHEN normalized < CAST(0.33 AS DOUBLE) THEN 'LOW' WHEN normalized < CAST(0.66 AS DOUBLE) THEN 'MEDIUM' ELSE 'HIGH' END AS residual_level FROM m)"""
+_QAQC = """q AS (SELECT count(*) AS n, (max(x_m) - min(x_m)) / 6000 AS coverage_x, (max(z_m) - min(z_m)) / 25000 AS coverage_z, max(g) - min(g) AS dynamic_range, avg(g) AS mean, stddev_pop(g) AS std, sqrt(avg(g * g)) AS rms FROM v_obs),
+w AS (SELECT *, list_filter([CASE WHEN coverage_x < CAST(0.35 AS DOUBLE) THEN 'low_coverage_x' END, CASE WHEN coverage_z < CAST(0.35 AS DOUBLE) THEN 'low_coverage_z' END, CASE WHEN dynamic_range <= CAST(1e-6 AS DOUBLE) THEN 'low_dynamic_range' END, CASE WHEN n < 20 THEN 'few_observations' END, CASE WHEN coverage_x < CAST(0.2 AS DOUBLE) AND coverage_z < CAST(0.2 AS DOUBLE) THEN 'concentrated' END], lambda x: x IS NOT NULL) AS warnings FROM q),
+s AS (SELECT *, CASE WHEN len(warnings) = 0 THEN 'GOOD' WHEN len(warnings) <= 2 THEN 'MEDIUM' ELSE 'LOW' END AS survey_level FROM w)"""
+_SUMMARY = f"""{_SURVEY}, {_QAQC}, fl AS (SELECT sqrt(avg(pow(d - p, 2))) / greatest(max(abs(d)), CAST(1e-12 AS DOUBLE)) AS normalized_rmse FROM f), r AS (SELECT avg(CASE WHEN residual_level = 'HIGH' THEN CAST(1 AS DOUBLE) ELSE 0 END) AS high_ratio, count(*) AS n_residuals FROM rm),
+l AS (SELECT *, CASE WHEN normalized_rmse < CAST(0.05 AS DOUBLE) THEN 'GOOD' WHEN normalized_rmse < CAST(0.2 AS DOUBLE) THEN 'MEDIUM' ELSE 'LOW' END AS fit_level, CASE WHEN high_ratio <= CAST(0.1 AS DOUBLE) THEN 'GOOD' WHEN high_ratio <= CAST(0.25 AS DOUBLE) THEN 'MEDIUM' ELSE 'LOW' END AS residual_level FROM s, fl, r),
+t AS (SELECT *, CASE WHEN survey_level = 'GOOD' AND fit_level = 'GOOD' AND residual_level = 'GOOD' THEN 'GOOD' WHEN survey_level = 'LOW' OR fit_level = 'LOW' OR (residual_level = 'LOW' AND n_residuals >= 10) THEN 'LOW' ELSE 'MEDIUM' END AS overall_level FROM l)"""
+
+
+def _survey(spark, sf_dir):
+    k = F.col("obs_id")
+    return A.observations(spark, sf_dir).select("obs_id", F.col("g").alias("d"), (F.col("g") * (0.9 + (k % 21).cast("double") / 100)).alias("p"))
+
+
+def _summary(spark, sf_dir):
+    f = _survey(spark, sf_dir)
+    return D.technical_summary(D.qaqc(A.observations(spark, sf_dir), 6000.0, 25000.0), D.fit_level(f, "d", "p"), D.residual_map(f, "d", "p"))
+
+
+@query("residual_levels", f"WITH {_SURVEY} SELECT residual_level AS level, count(*) AS n FROM rm GROUP BY residual_level")
 def residual_levels(spark, sf_dir):
-    f = _fitted(spark, sf_dir)
-    s = f.agg(F.sqrt(F.avg((F.col("d") - F.col("p")) ** 2)).alias("rmse"))
-    return f.join(F.broadcast(s)).groupBy(D.residual_level(F.col("d") - F.col("p"), F.col("rmse")).alias("level")).agg(F.count("*").alias("n"))
+    return D.residual_map(_survey(spark, sf_dir), "d", "p").groupBy(F.col("residual_level").alias("level")).agg(F.count("*").alias("n"))
 
 
 @query("sensor_flags", f"""
-WITH {_FIT}, s AS (SELECT sqrt(avg(pow(d - p, 2))) AS rmse FROM f)
-SELECT obs_id, round(d - p, 4) AS residual, CASE WHEN abs(d - p) > 3 * rmse THEN 'outlier' WHEN d <= 0 THEN 'dead' ELSE 'ok' END AS flag FROM f, s ORDER BY abs(d - p) DESC, obs_id LIMIT 50""")
+WITH {_SURVEY} SELECT obs_id, round(residual, 6) AS residual, round(normalized, 6) AS normalized, concat_ws(',', CASE WHEN residual_level = 'HIGH' THEN 'HIGH_RESIDUAL' END, CASE WHEN normalized >= CAST(0.85 AS DOUBLE) THEN 'EXTREME_NORMALIZED_RESIDUAL' END) AS flags, CASE WHEN normalized >= CAST(0.85 AS DOUBLE) THEN 'HIGH' ELSE 'MEDIUM' END AS review_priority
+FROM rm WHERE residual_level = 'HIGH' OR normalized >= CAST(0.85 AS DOUBLE) ORDER BY abs(rm.residual) DESC, obs_id LIMIT 50""")
 def sensor_flags(spark, sf_dir):
-    f = _fitted(spark, sf_dir)
-    s = f.agg(F.sqrt(F.avg((F.col("d") - F.col("p")) ** 2)).alias("rmse"))
-    r = F.abs(F.col("d") - F.col("p"))
-    flag = F.when(r > 3 * F.col("rmse"), "outlier").when(F.col("d") <= 0, "dead").otherwise("ok")
-    return f.join(F.broadcast(s)).orderBy(F.desc(r), "obs_id").limit(50).select("obs_id", F.round(F.col("d") - F.col("p"), 4).alias("residual"), flag.alias("flag"))
+    """The fifty flagged sensors with the largest residuals."""
+    top = D.sensor_flags(D.residual_map(_survey(spark, sf_dir), "d", "p")).orderBy(F.desc(F.abs("residual")), "obs_id").limit(50)
+    return top.select("obs_id", F.round("residual", 6).alias("residual"), F.round("normalized", 6).alias("normalized"), F.array_join("flags", ",").alias("flags"), "review_priority")
+
+
+@query("sensor_flag_level", f"""
+WITH {_SURVEY}, c AS (SELECT count(*) AS sensor_count, count(*) FILTER (residual_level = 'HIGH' OR normalized >= CAST(0.85 AS DOUBLE)) AS flagged_count FROM rm), x AS (SELECT *, CAST(flagged_count AS DOUBLE) / greatest(sensor_count, 1) AS ratio FROM c)
+SELECT sensor_count, flagged_count, round(ratio, 4) AS flagged_ratio, CASE WHEN ratio <= CAST(0.1 AS DOUBLE) THEN 'LOW' WHEN ratio <= CAST(0.25 AS DOUBLE) THEN 'MEDIUM' ELSE 'HIGH' END AS flag_level FROM x""")
+def sensor_flag_level(spark, sf_dir):
+    bad = (F.col("residual_level") == "HIGH") | (F.col("normalized") >= 0.85)
+    c = D.residual_map(_survey(spark, sf_dir), "d", "p").agg(F.count("*").alias("sensor_count"), F.count(F.when(bad, 1)).alias("flagged_count"))
+    ratio = F.col("flagged_count") / F.greatest(F.col("sensor_count"), F.lit(1))
+    return c.select("sensor_count", "flagged_count", F.round(ratio, 4).alias("flagged_ratio"), F.when(ratio <= 0.1, "LOW").when(ratio <= 0.25, "MEDIUM").otherwise("HIGH").alias("flag_level"))
 
 
-@query("technical_summary", f"""
-WITH {_FIT}, s AS (SELECT sqrt(avg(pow(d - p, 2))) AS rmse FROM f), q AS (SELECT avg(CASE WHEN abs(d - p) > 2 * rmse THEN CAST(1 AS DOUBLE) ELSE 0 END) AS high FROM f, s) SELECT round(high, 9) AS high_ratio, CASE WHEN high <= CAST(0.05 AS DOUBLE) THEN 'GOOD' WHEN high <= CAST(0.2 AS DOUBLE) THEN 'MEDIUM' ELSE 'LOW' END AS overall FROM q""")
+@query("technical_summary", f"WITH {_SUMMARY} SELECT survey_level, fit_level, residual_level, overall_level, round(high_ratio, 9) AS high_ratio, round(normalized_rmse, 9) AS normalized_rmse FROM t")
 def technical_summary(spark, sf_dir):
-    f = _fitted(spark, sf_dir)
-    s = f.agg(F.sqrt(F.avg((F.col("d") - F.col("p")) ** 2)).alias("rmse"))
-    high = f.join(F.broadcast(s)).agg(F.avg(F.when(F.abs(F.col("d") - F.col("p")) > 2 * F.col("rmse"), 1.0).otherwise(0.0)).alias("h"))
-    return high.select(F.round("h", 9).alias("high_ratio"), F.when(F.col("h") <= 0.05, "GOOD").when(F.col("h") <= 0.2, "MEDIUM").otherwise("LOW").alias("overall"))
+    return _summary(spark, sf_dir).select("survey_level", "fit_level", "residual_level", "overall_level", F.round("high_ratio", 9).alias("high_ratio"), F.round("normalized_rmse", 9).alias("normalized_rmse"))
 
 
-@query("qaqc_summary", """
-SELECT count(*) AS n, round(max(g) - min(g), 6) AS dynamic_range, round(sqrt(avg(g * g)), 6) AS rms, CASE CAST(count(*) < 30 AS INTEGER) + CAST(max(g) - min(g) <= 0 AS INTEGER) + CAST(max(x_m) - min(x_m) < 100 AS INTEGER) + CAST(avg(g) > 4000 AS INTEGER) WHEN 0 THEN 'GOOD' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM v_obs""")
+@query("qaqc_summary", f"WITH {_QAQC} SELECT n, round(coverage_x, 9) AS coverage_x, round(coverage_z, 9) AS coverage_z, round(dynamic_range, 6) AS dynamic_range, round(std, 6) AS std, round(rms, 6) AS rms, array_to_string(warnings, ',') AS warnings, survey_level AS level, CASE survey_level WHEN 'GOOD' THEN CAST(1 AS DOUBLE) WHEN 'MEDIUM' THEN CAST(0.6 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END AS score FROM s")
 def qaqc_summary(spark, sf_dir):
-    spread = F.max("g") - F.min("g")
-    flags = [F.count("*") < 30, spread <= 0, (F.max("x_m") - F.min("x_m")) < 100, F.avg("g") > 4000]
-    return A.observations(spark, sf_dir).agg(F.count("*").alias("n"), F.round(spread, 6).alias("dynamic_range"), F.round(F.sqrt(F.avg(F.col("g") ** 2)), 6).alias("rms"), D.level(sum((f.cast("int") for f in flags[1:]), flags[0].cast("int"))).alias("level"))
+    q = D.qaqc(A.observations(spark, sf_dir), 6000.0, 25000.0)
+    return q.select("n", F.round("coverage_x", 9).alias("coverage_x"), F.round("coverage_z", 9).alias("coverage_z"), *[F.round(c, 6).alias(c) for c in ("dynamic_range", "std", "rms")], F.array_join("warnings", ",").alias("warnings"), F.col("survey_level").alias("level"), F.col("survey_score").alias("score"))
+
+
+_BY = lambda c, medium, low: f"CASE {c} WHEN 'MEDIUM' THEN CAST({medium} AS DOUBLE) WHEN 'LOW' THEN CAST({low} AS DOUBLE) ELSE 0 END"
 
 
-@query("uncertainty_rubric", """
-SELECT voxel_id, round(least(1, CASE WHEN probability < CAST(0.3 AS DOUBLE) THEN CAST(0.35 AS DOUBLE) ELSE 0 END + CASE WHEN iz > 5 THEN CAST(0.25 AS DOUBLE) ELSE 0 END + CASE WHEN density > 4 THEN CAST(0.3 AS DOUBLE) ELSE 0 END + CASE WHEN domain = 0 THEN CAST(0.2 AS DOUBLE) ELSE 0 END), 6) AS uncertainty FROM v_voxels""")
+@query("uncertainty_rubric", f"""
+WITH {_SUMMARY}, u AS (SELECT least(round({_BY("survey_level", 0.15, 0.3)} + CASE WHEN coverage_x < CAST(0.6 AS DOUBLE) AND coverage_z < CAST(0.6 AS DOUBLE) THEN CAST(0.2 AS DOUBLE) WHEN coverage_x < CAST(0.6 AS DOUBLE) OR coverage_z < CAST(0.6 AS DOUBLE) THEN CAST(0.1 AS DOUBLE) ELSE 0 END + CASE WHEN dynamic_range <= CAST(1e-6 AS DOUBLE) THEN CAST(0.15 AS DOUBLE) ELSE 0 END + CASE WHEN std <= CAST(1e-9 AS DOUBLE) THEN CAST(0.15 AS DOUBLE) ELSE 0 END
++ {_BY("fit_level", 0.2, 0.4)} + CASE WHEN high_ratio > CAST(0.25 AS DOUBLE) THEN CAST(0.3 AS DOUBLE) WHEN high_ratio > CAST(0.1 AS DOUBLE) THEN CAST(0.15 AS DOUBLE) ELSE 0 END + {_BY("overall_level", 0.1, 0.25)}, 3), 1) AS uncertainty_score FROM t)
+SELECT uncertainty_score, CASE WHEN uncertainty_score < CAST(0.35 AS DOUBLE) THEN 'LOW' WHEN uncertainty_score < CAST(0.7 AS DOUBLE) THEN 'MEDIUM' ELSE 'HIGH' END AS uncertainty_level FROM u""")
 def uncertainty_rubric(spark, sf_dir):
-    rules = ((F.col("probability") < 0.3, 0.35), (F.col("iz") > 5, 0.25), (F.col("density") > 4, 0.3), (F.col("domain") == 0, 0.2))
-    total = sum((F.when(c, p).otherwise(0.0) for c, p in rules[1:]), F.when(rules[0][0], rules[0][1]).otherwise(0.0))
-    return A.voxels(spark, sf_dir).select("voxel_id", F.round(F.least(F.lit(1.0), total), 6).alias("uncertainty"))
+    return D.uncertainty(_summary(spark, sf_dir)).select("uncertainty_score", "uncertainty_level")
 
 
 @query("report_aggregates", """
@@ -186,9 +209,9 @@ def runs_per_project(spark, sf_dir):
     return A.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("project")).agg(F.count("*").alias("runs"), F.max("o_orderkey").alias("latest"))
 
 
-@query("run_artefacts", "SELECT o_orderkey AS run, coalesce(array_to_string(list_sort(list(DISTINCT l_returnflag || l_linestatus)), ','), '') AS artefacts FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey HAVING o_orderkey % 10 = 0")
+@query("run_artefacts", "SELECT o_orderkey AS run, coalesce(array_to_string(list_sort(list(DISTINCT l_returnflag || l_linestatus)), ','), '') AS artefacts FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def run_artefacts(spark, sf_dir):
-    o, li = A.table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0"), A.table(spark, sf_dir, "lineitem")
+    o, li = A.table(spark, sf_dir, "orders"), A.table(spark, sf_dir, "lineitem")
     return o.join(li, o.o_orderkey == li.l_orderkey, "left").groupBy(F.col("o_orderkey").alias("run")).agg(F.array_join(F.array_sort(F.collect_set(F.concat("l_returnflag", "l_linestatus"))), ",").alias("artefacts"))
 
 

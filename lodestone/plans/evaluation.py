@@ -88,14 +88,14 @@ def ensemble_vote(spark, sf_dir):
 
 
 @query("rebound", """
-WITH m AS (SELECT voxel_id AS it, density AS misfit, min(density) OVER (ORDER BY voxel_id ROWS UNBOUNDED PRECEDING) AS best FROM v_voxels WHERE iz = 0) SELECT it, misfit, misfit > best * CAST(1.05 AS DOUBLE) AS rebound FROM m""")
+WITH m AS (SELECT iz AS run, voxel_id AS it, density AS misfit, min(density) OVER (PARTITION BY iz ORDER BY voxel_id ROWS UNBOUNDED PRECEDING) AS best FROM v_voxels) SELECT run, it, misfit, misfit > best * CAST(1.05 AS DOUBLE) AS rebound FROM m""")
 def rebound(spark, sf_dir):
-    """Iterations of one run, 200 rows: worse than the best so far by more than 5 %."""
+    """Iterations of every run, 200 rows each: worse than the best so far by more than 5 %."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("iz").orderBy("voxel_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    m = A.voxels(spark, sf_dir).where("iz = 0").withColumn("best", F.min("density").over(w))
-    return m.select(F.col("voxel_id").alias("it"), F.col("density").alias("misfit"), (F.col("density") > F.col("best") * 1.05).alias("rebound"))
+    m = A.voxels(spark, sf_dir).withColumn("best", F.min("density").over(w))
+    return m.select(F.col("iz").alias("run"), F.col("voxel_id").alias("it"), F.col("density").alias("misfit"), (F.col("density") > F.col("best") * 1.05).alias("rebound"))
 
 
 @query("lcurve_corner", """

@@ -61,21 +61,22 @@ def pit_metrics(spark, sf_dir):
     return p.agg(F.round(F.sum(t), 2).alias("tonnage"), F.round(of(t, True), 2).alias("ore"), F.round(of(t, False), 2).alias("waste"), F.round(of(t, False) / of(t, True), 6).alias("strip_ratio"), F.round(of(t * F.col("grade"), True) / of(t, True), 6).alias("grade"), F.lit(round(100 * 8.0 / (0.85 * 900), 6)).alias("cutoff"))
 
 
-@query("mine_method", """
-WITH o AS (SELECT count(*) AS n, max(y) AS depth, sqrt((max(x) - min(x) + 1) * (max(z) - min(z) + 1)) / greatest(max(y) - min(y) + 1, 1) AS aspect FROM v_voxels WHERE domain = 1), a AS (SELECT count(*) AS total FROM v_voxels),
-s AS (SELECT *, CAST(total - n AS DOUBLE) / n AS strip FROM o, a)
-SELECT depth AS depth_m, round(strip, 6) AS strip_ratio, CASE WHEN aspect > CAST(1.5 AS DOUBLE) THEN 'massive' WHEN aspect > CAST(0.7 AS DOUBLE) THEN 'intermediate' ELSE 'narrow_deep' END AS geometry,
-round(CASE WHEN depth < 150 THEN CAST(0.4 AS DOUBLE) WHEN depth < 300 THEN CAST(0.25 AS DOUBLE) WHEN depth < 450 THEN CAST(0.1 AS DOUBLE) ELSE 0 END + CASE WHEN strip < 4 THEN CAST(0.3 AS DOUBLE) WHEN strip < 8 THEN CAST(0.15 AS DOUBLE) ELSE 0 END, 6) AS open_pit,
-round(CASE WHEN depth < 150 THEN 0 WHEN depth < 300 THEN CAST(0.1 AS DOUBLE) WHEN depth < 450 THEN CAST(0.25 AS DOUBLE) ELSE CAST(0.4 AS DOUBLE) END + CASE WHEN strip < 4 THEN 0 WHEN strip < 8 THEN CAST(0.05 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END, 6) AS underground FROM s""")
-def mine_method(spark, sf_dir):
-    v = A.voxels(spark, sf_dir)
-    span = lambda c: F.max(c) - F.min(c) + 1
-    o = v.where("domain = 1").agg(F.count("*").alias("n"), F.max("y").alias("depth_m"), (F.sqrt(span("x") * span("z")) / F.greatest(span("y"), F.lit(1.0))).alias("aspect"))
-    s = o.join(v.agg(F.count("*").alias("total"))).withColumn("strip", (F.col("total") - F.col("n")) / F.col("n"))
-    d, r = F.col("depth_m"), F.col("strip")
-    pit = F.when(d < 150, 0.4).when(d < 300, 0.25).when(d < 450, 0.1).otherwise(0.0) + F.when(r < 4, 0.3).when(r < 8, 0.15).otherwise(0.0)
-    under = F.when(d < 150, 0.0).when(d < 300, 0.1).when(d < 450, 0.25).otherwise(0.4) + F.when(r < 4, 0.0).when(r < 8, 0.05).otherwise(0.3)
-    return s.select("depth_m", F.round(r, 6).alias("strip_ratio"), F.when(F.col("aspect") > 1.5, "massive").when(F.col("aspect") > 0.7, "intermediate").otherwise("narrow_deep").alias("geometry"), F.round(pit, 6).alias("open_pit"), F.round(under, 6).alias("underground"))
+_METHOD = """b AS (SELECT *, density * 15625 / 1000 AS kt FROM v_voxels), c AS (SELECT count(*) FILTER (domain = {ore}) AS marked, quantile_cont(density, CAST(0.8 AS DOUBLE)) AS q80, count(*) AS total FROM b),
+o AS (SELECT count(*) AS n, any_value(total) AS total, coalesce(max(y), 0) AS depth, sqrt((max(x) - min(x) + 1) * (max(z) - min(z) + 1)) / greatest(max(y) - min(y) + 1, 1) AS aspect, coalesce(sum(kt), 0) AS kt FROM b, c WHERE CASE WHEN marked > 0 THEN domain = {ore} ELSE density >= q80 END),
+s AS (SELECT *, CASE WHEN n > 0 THEN CAST(total - n AS DOUBLE) / n ELSE 99 END AS strip, CASE WHEN aspect > CAST(1.5 AS DOUBLE) THEN 'massive' WHEN aspect > CAST(0.7 AS DOUBLE) THEN 'intermediate' ELSE 'narrow_deep' END AS geometry FROM o),
+g AS (SELECT *, CAST({quality} AS DOUBLE) * (CASE WHEN depth < 150 THEN CAST(0.4 AS DOUBLE) WHEN depth < 300 THEN CAST(0.25 AS DOUBLE) WHEN depth < 450 THEN CAST(0.1 AS DOUBLE) ELSE 0 END + CASE WHEN strip < 4 THEN CAST(0.3 AS DOUBLE) WHEN strip < 8 THEN CAST(0.15 AS DOUBLE) ELSE 0 END + CASE geometry WHEN 'massive' THEN CAST(0.2 AS DOUBLE) WHEN 'narrow_deep' THEN 0 ELSE CAST(0.1 AS DOUBLE) END + CASE WHEN kt > 20000 THEN CAST(0.1 AS DOUBLE) ELSE 0 END) AS pit,
+CAST({quality} AS DOUBLE) * (CASE WHEN depth < 150 THEN 0 WHEN depth < 300 THEN CAST(0.1 AS DOUBLE) WHEN depth < 450 THEN CAST(0.25 AS DOUBLE) ELSE CAST(0.4 AS DOUBLE) END + CASE WHEN strip < 4 THEN 0 WHEN strip < 8 THEN CAST(0.05 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END + CASE geometry WHEN 'massive' THEN 0 WHEN 'narrow_deep' THEN CAST(0.2 AS DOUBLE) ELSE CAST(0.1 AS DOUBLE) END + CASE WHEN kt < 1000 THEN CAST(0.1 AS DOUBLE) ELSE 0 END) AS under FROM s)
+SELECT n AS ore_blocks, depth AS depth_m, round(strip, 6) AS strip_ratio, geometry, round(kt, 3) AS tonnage_kt, round(pit, 6) AS open_pit, round(under, 6) AS underground, round(greatest(pit, under), 3) AS confidence,
+CASE WHEN n = 0 OR greatest(pit, under) < CAST(0.3 AS DOUBLE) THEN 'needs_more_data' WHEN pit >= under THEN 'open_pit' ELSE 'underground' END AS recommendation FROM g"""
+
+
+for _name, _ore, _overall in (("mine_method", 1, "MEDIUM"), ("mine_method_fallback", 7, "LOW")):
+
+    @query(_name, "WITH " + _METHOD.format(ore=_ore, quality={"GOOD": 1.0, "MEDIUM": 0.85}.get(_overall, 0.6)))
+    def mine_method(spark, sf_dir, ore=_ore, overall=_overall):
+        """Of ore blocks, those of a domain, or without one the fifth of highest density."""
+        v = A.voxels(spark, sf_dir).withColumn("kt", F.col("density") * 15625 / 1000)
+        return M.mine_method(v, F.col("domain") == ore, F.lit(overall))
 
 
 @query("mine_schedule")

@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.profile import first_of_duplicates, strict_number, to_ms2
+from lodestone.operators.profile import first_of_duplicates, numbered, strict_number, to_ms2
 
-# Column names of the station file contract, the first that is present wins.
+# Column names of the station file contract. Of gravity names the first of the list wins, of coordinates the first of the file.
 GRAVITY = ("gravity_anomaly", "g_corrected", "complete_bouguer_anomaly", "bouguer_anomaly", "free_air_anomaly", "cba", "faa", "gravity_mgal", "g_mgal", "observed_gravity", "observed_g", "residual_gravity", "gravity", "g", "g_raw")
 LON = ("lon", "longitude", "long", "lon_deg", "x_lon")
 LAT = ("lat", "latitude", "lat_deg", "y_lat")
@@ -41,8 +41,8 @@ class Layout:
 def resolve(headers: list[str]) -> Layout:
     """Slots from header names, without regard to case; x is east, z is north, y is depth."""
     by = {h.lower(): h for h in reversed(headers)}
-    first = lambda names: next((by[n] for n in names if n in by), None)
-    gravity = first(GRAVITY)
+    first = lambda names: next((h for h in headers if h.lower() in names), None)
+    gravity = next((by[n] for n in GRAVITY if n in by), None)
     if "x_m" in by and "z_m" in by:
         return Layout("legacy", by["x_m"], by.get("y_m"), by["z_m"], gravity)
     for kind, x, z, y in (("latlon", LON, LAT, DEPTH), ("utm", EASTING, NORTHING, DEPTH), ("local", LOCAL_X, LOCAL_Z, LOCAL_Y + DEPTH)):
@@ -76,9 +76,10 @@ def _text(rows: DataFrame, name: str) -> Column:
 def checked(rows: DataFrame, strict: bool = True, allow_raw: bool = False) -> DataFrame:
     """src_row, station_id, x_m, y_m, z_m, g, unit, g_ms2, gravity_type, coord_type and errors (array) of each row.
 
-    rows: strings and src_row. A missing station_id is ST_ and the row's number; a missing depth is 0.
+    rows: strings and src_row. A missing station_id is ST_ and the row's number, from 1 in the order of src_row; a missing depth is 0.
     """
-    layout = resolve([c for c in rows.columns if c != "src_row"])
+    rows = numbered(rows, "src_row", "_at")
+    layout = resolve([c for c in rows.columns if c not in ("src_row", "_at")])
     number = lambda c: strict_number(F.col(f"`{c}`")) if c else F.lit(None).cast("double")
     unit = F.replace(F.replace(_text(rows, "unit"), F.lit("²"), F.lit("2")), F.lit("µ"), F.lit("u"))
     kind, x, z, g = _text(rows, "gravity_type"), number(layout.x), number(layout.z), number(layout.gravity)
@@ -93,7 +94,7 @@ def checked(rows: DataFrame, strict: bool = True, allow_raw: bool = False) -> Da
         "gravity_type unsupported": (kind != "") & ~kind.isin(*GRAVITY_TYPES),
     }
     errors = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in problems.items()]))
-    name = F.coalesce(F.nullif(_text(rows, "station_id"), F.lit("")), F.format_string("ST_%06d", "src_row"))
+    name = F.coalesce(F.nullif(_text(rows, "station_id"), F.lit("")), F.format_string("ST_%06d", F.col("_at") + 1))
     y = F.coalesce(number(layout.y), F.lit(0.0))
     return rows.select("src_row", name.alias("station_id"), x.alias("x_m"), y.alias("y_m"), z.alias("z_m"), g.alias("g"), unit.alias("unit"), to_ms2(g, unit).alias("g_ms2"), kind.alias("gravity_type"), F.lit(layout.kind).alias("coord_type"), errors.alias("errors"))
 
