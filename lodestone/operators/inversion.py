@@ -23,10 +23,11 @@ def scaled_kernel(kernel: DataFrame, weights: DataFrame) -> DataFrame:
     return kernel.join(weights, "voxel_id").select("obs_id", "voxel_id", (F.col("val") * F.col("w")).alias("val"))
 
 
-def cgls(kernel: DataFrame, data: DataFrame, damping: float, iterations: int = 10, tolerance: float = 1e-6) -> DataFrame:
+def cgls(kernel: DataFrame, data: DataFrame, damping: float, iterations: int = 500, tolerance: float = 1e-8) -> DataFrame:
     """voxel_id, m that minimises |G m - d|^2 + damping^2 |m|^2; data: obs_id, d.
 
-    An iteration is two joins with partial sums and two stored tables of model and data size.
+    An iteration is two joins with partial sums and two stored tables of model and data size. It goes on until the
+    gradient is below `tolerance` of the first one; after `iterations` without that it raises.
     """
     g = stored(kernel, "kernel")
     model = stored(g.groupBy("voxel_id").agg(F.sum(F.lit(0.0)).alias("m")), "model")
@@ -48,6 +49,8 @@ def cgls(kernel: DataFrame, data: DataFrame, damping: float, iterations: int = 1
         now = fresh.agg(F.sum(F.col("s") ** 2)).first()[0] or 0.0
         state = fresh.select("voxel_id", "m", "s", (F.col("s") + now / gamma * F.col("p")).alias("p"))
         gamma = now
+    if gamma > tolerance**2 * start:
+        raise ArithmeticError(f"no convergence in {iterations} iterations")
     return state.select("voxel_id", "m")
 
 
@@ -57,17 +60,6 @@ def relative_score(kernel: DataFrame, residual: DataFrame) -> DataFrame:
     return s.join(F.broadcast(s.agg(F.max("s").alias("most")))).select("voxel_id", (1 - F.col("s") / F.nullif(F.col("most"), F.lit(0.0))).alias("score"))
 
 
-def _dense(own: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(G, d, voxel ids) of a group's rows."""
-    obs, row = np.unique(own.obs_id.to_numpy(), return_inverse=True)
-    ids, col = np.unique(own.voxel_id.to_numpy(), return_inverse=True)
-    g = np.zeros((len(obs), len(ids)))
-    g[row, col] = own.val.to_numpy()
-    d = np.zeros(len(obs))
-    d[row] = own.d.to_numpy()
-    return g, d, ids
-
-
 def data_matrix(kernel: DataFrame, block: int = 2048) -> DataFrame:
     """i, j, k: G G' between observations. A task multiplies the columns of `block` cells; partial products are summed in Spark."""
 
@@ -93,38 +85,179 @@ def _solved(own: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return obs, k, d, np.linalg.solve(k + float(own.damping.iloc[0]) ** 2 * np.eye(len(obs)), d)
 
 
-def _systems(kernel: DataFrame, data: DataFrame, dampings: list[float], most_obs: int) -> DataFrame:
-    if data.limit(most_obs + 1).count() > most_obs:
-        raise ValueError(f"more than {most_obs} observations; use cgls()")
+#: Observations up to which the data-sized system (128 MB at most) is one task's; beyond, conjugate gradients find the same model.
+MOST_OBS = 4096
+
+
+def _few(data: DataFrame, most_obs: int) -> bool:
+    return data.limit(most_obs + 1).count() <= most_obs
+
+
+def _systems(kernel: DataFrame, data: DataFrame, dampings: list[float]) -> DataFrame:
     known = data.select(F.col("obs_id").alias("i"), "d")
     matrix = data_matrix(kernel.join(data.select("obs_id"), "obs_id", "left_semi"))
     return stored(matrix, "data-matrix").join(known, "i").withColumn("damping", F.explode(F.array(*map(F.lit, dampings))))
 
 
-def sweep(kernel: DataFrame, data: DataFrame, dampings: list[float], most_obs: int = 4096) -> DataFrame:
-    """damping, misfit, norm: a solve for each damping, one task each, over the matrix G G' + damping^2 I.
+def sweep(kernel: DataFrame, data: DataFrame, dampings: list[float], most_obs: int = MOST_OBS) -> DataFrame:
+    """damping, misfit, norm of the damped solution, for each damping.
 
-    The matrix has the size of the data squared, at most most_obs^2 numbers, which is checked.
+    Up to most_obs observations by the matrix G G' + damping^2 I, a task for each damping; beyond, by cgls() for each
+    damping, with misfit and norm as sums over distributed tables.
     """
 
     def solve(own: pd.DataFrame) -> pd.DataFrame:
         _, k, d, x = _solved(own)
         return pd.DataFrame({"damping": [float(own.damping.iloc[0])], "misfit": [float(np.linalg.norm(d - k @ x))], "norm": [float(np.sqrt(max(x @ k @ x, 0)))]})
 
-    return _systems(kernel, data, dampings, most_obs).groupBy("damping").applyInPandas(solve, "damping double, misfit double, norm double")
+    if _few(data, most_obs):
+        return _systems(kernel, data, dampings).groupBy("damping").applyInPandas(solve, "damping double, misfit double, norm double")
+    g, out = stored(kernel, "kernel"), None
+    for damping in dampings:
+        m = stored(cgls(g, data, damping), "model")
+        left = data.join(g.join(m, "voxel_id").groupBy("obs_id").agg(F.sum(F.col("val") * F.col("m")).alias("p")), "obs_id", "left").agg(F.sqrt(F.sum((F.col("d") - F.coalesce("p", F.lit(0.0))) ** 2)).alias("misfit"))
+        row = left.join(m.agg(F.sqrt(F.sum(F.col("m") ** 2)).alias("norm"))).select(F.lit(float(damping)).alias("damping"), "misfit", "norm")  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
 
+def damped(kernel: DataFrame, data: DataFrame, damping: float, most_obs: int = MOST_OBS) -> DataFrame:
+    """voxel_id, m = G' (G G' + damping^2 I)^-1 d, in data space up to most_obs observations, by cgls() beyond: the same model."""
+    return solve_in_data_space(kernel, data, damping) if _few(data, most_obs) else cgls(kernel, data, damping)
 
-def solve_in_data_space(kernel: DataFrame, data: DataFrame, damping: float, most_obs: int = 4096) -> DataFrame:
-    """voxel_id, m = G' (G G' + damping^2 I)^-1 d: what cgls() tends to, in one pass, for at most most_obs observations."""
+
+def solve_in_data_space(kernel: DataFrame, data: DataFrame, damping: float) -> DataFrame:
+    """voxel_id, m in one pass; for data whose size has been checked."""
 
     def solve(own: pd.DataFrame) -> pd.DataFrame:
         obs, _, _, x = _solved(own)
         return pd.DataFrame({"obs_id": obs, "y": x})
 
-    y = _systems(kernel, data, [float(damping)], most_obs).groupBy("damping").applyInPandas(solve, "obs_id long, y double")
+    y = _systems(kernel, data, [float(damping)]).groupBy("damping").applyInPandas(solve, "obs_id long, y double")
     return kernel.join(y, "obs_id").groupBy("voxel_id").agg(F.sum(F.col("val") * F.col("y")).alias("m"))
 
 
+#: Numbers of a dense kernel up to which regularised() gives a case to one task.
+MOST_DENSE = 1 << 24
+
+
+def regularised(kernel: DataFrame, data: DataFrame, cells: DataFrame, edges: DataFrame, cases: list[tuple], most_dense: int = MOST_DENSE, lower: float | None = None, upper: float | None = None, iterations: int = 1000, tolerance: float = 1e-9, probes: int | None = None) -> DataFrame:
+    """case_id, voxel_id, m of every cell: for each case (case_id, damping, smooth, reference) the least
+
+        sum ((d - G m) / sigma)^2 + damping^2 sum (w (m - reference))^2 + smooth^2 sum over edges (m_src - m_dst)^2,
+
+    then held between lower and upper. data: obs_id, d, sigma; cells: voxel_id, w; edges: src, dst. Conjugate gradients on
+    the normal equations, scaled by their diagonal, to a relative residual of `tolerance`: dense in one task for each case
+    up to most_dense numbers, else all cases together as joins and partial sums. Both find the same model. With probes, a
+    seed, the right-hand side of a case is probe_sign() instead of the data's.
+    """
+    n_obs, n_cells = data.count(), cells.count()
+    solve = _dense_cases if n_obs * n_cells <= most_dense else _distributed_cases
+    out = solve(kernel, data, cells, edges, [(int(c), float(a), float(b), float(r)) for c, a, b, r in cases], iterations, tolerance, probes)
+    m = F.col("m")
+    m = m if lower is None else F.greatest(m, F.lit(float(lower)))
+    m = m if upper is None else F.least(m, F.lit(float(upper)))
+    return out.select("case_id", "voxel_id", m.alias("m"))
+
+
+def probe_sign(seed: int, voxel_id: Column) -> Column:
+    """1 or -1, at random by case and cell."""
+    return F.when(F.xxhash64("case_id", voxel_id, F.lit(seed)) % 2 == 0, 1.0).otherwise(-1.0)
+
+
+def _dense_cases(kernel: DataFrame, data: DataFrame, cells: DataFrame, edges: DataFrame, cases: list[tuple], iterations: int, tolerance: float, probes: int | None) -> DataFrame:
+    spark = kernel.sparkSession
+    row = lambda df, kind, i, j, v, u: df.select(F.lit(kind).alias("kind"), i.cast("long").alias("i"), j.cast("long").alias("j"), v.cast("double").alias("v"), u.cast("double").alias("u"))
+    none = F.lit(None)
+    rows = row(kernel, 0, F.col("obs_id"), F.col("voxel_id"), F.col("val"), none).unionByName(row(data, 1, F.col("obs_id"), none, F.col("d"), F.col("sigma")))
+    rows = rows.unionByName(row(cells, 2, none, F.col("voxel_id"), F.col("w"), none)).unionByName(row(edges, 3, F.col("src"), F.col("dst"), none, none))
+    table = spark.createDataFrame(cases, "case_id int, damping double, smooth double, reference double")
+
+    def solve(own: pd.DataFrame) -> pd.DataFrame:
+        case, damping, smooth, reference = (own[c].iloc[0] for c in ("case_id", "damping", "smooth", "reference"))
+        k, d, c, e = (own[own.kind == n] for n in range(4))
+        c = c.sort_values("j")
+        ids, w = c.j.to_numpy(np.int64), c.v.to_numpy()
+        obs = np.sort(d.i.to_numpy(np.int64))
+        d = d.sort_values("i")
+        g = np.zeros((len(obs), len(ids)))
+        k = k[k.i.isin(obs) & k.j.isin(ids)]
+        g[np.searchsorted(obs, k.i.to_numpy(np.int64)), np.searchsorted(ids, k.j.to_numpy(np.int64))] = k.v.to_numpy()
+        g /= d.u.to_numpy()[:, None]
+        a, b = (np.searchsorted(ids, e[n].to_numpy(np.int64)) for n in ("i", "j"))
+        n = len(ids)
+
+        def times(x: np.ndarray) -> np.ndarray:
+            jump = x[a] - x[b]
+            return g.T @ (g @ x) + damping**2 * w**2 * x + smooth**2 * (np.bincount(a, jump, n) - np.bincount(b, jump, n))
+
+        diagonal = (g**2).sum(0) + damping**2 * w**2 + smooth**2 * (np.bincount(a, minlength=n) + np.bincount(b, minlength=n))
+        diagonal[diagonal <= 0] = 1.0
+        r = g.T @ (d.v.to_numpy() / d.u.to_numpy() - reference * g.sum(1)) if probes is None else c.u.to_numpy(copy=True)
+        x, first = np.zeros(n), np.linalg.norm(r)
+        z = r / diagonal
+        p, rz = z.copy(), r @ z
+        for _ in range(iterations):
+            if np.linalg.norm(r) <= tolerance * first:
+                break
+            q = times(p)
+            alpha = rz / (p @ q)
+            x, r = x + alpha * p, r - alpha * q
+            z = r / diagonal
+            rz, old = r @ z, rz
+            p = z + rz / old * p
+        else:
+            raise ArithmeticError(f"case {case}: no convergence in {iterations} iterations")
+        return pd.DataFrame({"case_id": np.int32(case), "voxel_id": ids, "m": reference + x})
+
+    cased = rows.join(F.broadcast(table))  # a row of cases for each solve
+    if probes is not None:
+        cased = cased.withColumn("u", F.when(F.col("kind") == 2, probe_sign(probes, F.col("j"))).otherwise(F.col("u")))
+    return cased.groupBy("case_id").applyInPandas(solve, "case_id int, voxel_id long, m double")
+
+
+def _distributed_cases(kernel: DataFrame, data: DataFrame, cells: DataFrame, edges: DataFrame, cases: list[tuple], iterations: int, tolerance: float, probes: int | None) -> DataFrame:
+    of = lambda values: F.element_at(F.create_map(*[F.lit(x) for c, v in values.items() for x in (c, float(v))]), F.col("case_id"))
+    damping, smooth, reference = (of({c[0]: c[k] for c in cases}) for k in (1, 2, 3))
+    g = stored(kernel.join(data.select("obs_id", "sigma"), "obs_id").join(cells.select("voxel_id"), "voxel_id", "left_semi").select("obs_id", "voxel_id", (F.col("val") / F.col("sigma")).alias("val")), "kernel")
+    beside = stored(edges.select(F.col("src").alias("voxel_id"), F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("voxel_id"), F.col("src").alias("other"))), "neighbours")
+    own = cells.join(g.groupBy("voxel_id").agg(F.sum(F.col("val") ** 2).alias("gg")), "voxel_id", "left").join(beside.groupBy("voxel_id").agg(F.count("*").alias("degree")), "voxel_id", "left").na.fill(0, ["gg", "degree"])
+    every = F.explode(F.array(*[F.lit(c[0]) for c in cases])).alias("case_id")
+    diagonal = F.col("gg") + (damping * F.col("w")) ** 2 + smooth**2 * F.col("degree")
+    own = stored(own.select("voxel_id", "w", "gg", "degree", every).select("case_id", "voxel_id", "w", F.when(diagonal > 0, diagonal).otherwise(1.0).alias("diagonal")), "cells")
+    back = lambda q: g.join(q, "obs_id").groupBy("case_id", "voxel_id").agg(F.sum(F.col("val") * F.col("q")).alias("t"))
+    flat = g.groupBy("obs_id").agg(F.sum("val").alias("all"))
+    start = data.join(flat, "obs_id", "left").na.fill(0, ["all"]).select("obs_id", (F.col("d") / F.col("sigma")).alias("d"), "all", every).select("case_id", "obs_id", (F.col("d") - reference * F.col("all")).alias("q"))
+    r = F.coalesce("t", F.lit(0.0)) if probes is None else probe_sign(probes, F.col("voxel_id"))
+    state = (own.join(back(start), ["case_id", "voxel_id"], "left") if probes is None else own).select("case_id", "voxel_id", "w", "diagonal", F.lit(0.0).alias("x"), r.alias("r"), (r / F.col("diagonal")).alias("p"))
+    state = stored(state, "state")
+    sums = lambda df, *more: {x["case_id"]: x for x in df.groupBy("case_id").agg(F.sum(F.col("r") ** 2).alias("rr"), F.sum(F.col("r") ** 2 / F.col("diagonal")).alias("rz"), *more).collect()}  # noqa: E731  # a row for each case
+    now = sums(state)
+    first = {c: v["rr"] for c, v in now.items()}
+    for _ in range(iterations):
+        if all(v["rr"] <= tolerance**2 * first[c] for c, v in now.items()):
+            return state.select("case_id", "voxel_id", (F.col("x") + reference).alias("m"))
+        p = state.select("case_id", "voxel_id", "p")
+        q = g.join(p, "voxel_id").groupBy("case_id", "obs_id").agg(F.sum(F.col("val") * F.col("p")).alias("q"))
+        lap = beside.join(p.withColumnsRenamed({"voxel_id": "other", "p": "po"}), "other").groupBy("case_id", "voxel_id").agg(F.count("*").alias("k"), F.sum("po").alias("s"))
+        q = state.join(back(q), ["case_id", "voxel_id"], "left").join(lap, ["case_id", "voxel_id"], "left").na.fill(0, ["t", "k", "s"])
+        q = stored(q.withColumn("q", F.col("t") + (damping * F.col("w")) ** 2 * F.col("p") + smooth**2 * (F.col("k") * F.col("p") - F.col("s"))).drop("t", "k", "s"), "products")
+        pq = {x["case_id"]: x["pq"] for x in q.groupBy("case_id").agg(F.sum(F.col("p") * F.col("q")).alias("pq")).collect()}
+        alpha = of({c: now[c]["rz"] / pq[c] if pq[c] else 0.0 for c in now})
+        moved = stored(q.select("case_id", "voxel_id", "w", "diagonal", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("q")).alias("r"), "p"), "moved")
+        before, now = now, sums(moved)
+        beta = of({c: now[c]["rz"] / before[c]["rz"] if before[c]["rz"] else 0.0 for c in now})
+        state = moved.withColumn("p", F.col("r") / F.col("diagonal") + beta * F.col("p"))
+    raise ArithmeticError(f"no convergence in {iterations} iterations")
+
+
+def fit_of_cases(kernel: DataFrame, data: DataFrame, models: DataFrame) -> DataFrame:
+    """case_id, misfit_percent, chi2 (a datum) of models (case_id, voxel_id, m); data: obs_id, d, sigma."""
+    p = kernel.join(models, "voxel_id").groupBy("case_id", "obs_id").agg(F.sum(F.col("val") * F.col("m")).alias("p"))
+    r = F.col("d") - F.col("p")
+    return p.join(data, "obs_id").groupBy("case_id").agg((100 * F.sqrt(F.sum(r**2) / F.sum(F.col("d") ** 2))).alias("misfit_percent"), F.avg((r / F.col("sigma")) ** 2).alias("chi2"))
+
+
 def focused(kernel: DataFrame, data: DataFrame, weights: DataFrame, damping: float, rounds: int, upper: float) -> DataFrame:
     """voxel_id, m: minimum-support inversion. Each round reweights cells by m / sqrt(m^2 + e^2), e a tenth of the largest m; in the end 0 <= m <= upper.
 
@@ -134,7 +267,7 @@ def focused(kernel: DataFrame, data: DataFrame, weights: DataFrame, damping: flo
     for _ in range(rounds + 1):
         g = stored(scaled_kernel(kernel, w), "focused-kernel")
         size = g.agg(F.sum(F.col("val") ** 2) / F.count_distinct("obs_id")).first()[0] or 0.0
-        solved = solve_in_data_space(g, data, damping * size**0.5)
+        solved = damped(g, data, damping * size**0.5)
         model = stored(solved.join(w, "voxel_id").select("voxel_id", (F.col("m") * F.col("w")).alias("m")), "focused-model")
         most = model.agg(F.max(F.abs("m"))).first()[0] or 1.0
         up = F.greatest(F.col("m"), F.lit(0.0))
@@ -142,33 +275,13 @@ def focused(kernel: DataFrame, data: DataFrame, weights: DataFrame, damping: flo
     return model.select("voxel_id", F.greatest(F.least("m", F.lit(upper)), F.lit(0.0)).alias("m"))
 
 
-def posterior_std(kernel: DataFrame, damping: float, probes: int = 32, iterations: int = 50, seed: int = 0) -> DataFrame:
-    """voxel_id, std: Hutchinson's estimate of the diagonal of (G'G + damping^2 I)^-1; a task for each probe.
-
-    A probe's task holds the kernel once: at most 200,000 cells times the observations within the cut-off.
-    """
-    cased = kernel.withColumn("d", F.lit(0.0)).withColumn("probe", F.explode(F.sequence(F.lit(0), F.lit(probes - 1))))
-
-    def solve(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["obs_id", "voxel_id"])
-        g, _, ids = _dense(own)
-        z = np.random.default_rng([seed, int(own.probe.iloc[0])]).choice([-1.0, 1.0], len(ids))
-        x, r = np.zeros(len(ids)), z.copy()
-        diagonal = (g**2).sum(0) + damping**2
-        y = r / diagonal
-        p, rho = y.copy(), r @ y
-        for _ in range(iterations):
-            q = g.T @ (g @ p) + damping**2 * p
-            alpha = rho / (p @ q)
-            x, r = x + alpha * p, r - alpha * q
-            if np.linalg.norm(r) < 1e-9 * np.sqrt(len(ids)):
-                break
-            y = r / diagonal
-            rho, old = r @ y, rho
-            p = y + rho / old * p
-        return pd.DataFrame({"voxel_id": ids, "v": z * x})
-
-    return cased.groupBy("probe").applyInPandas(solve, "voxel_id long, v double").groupBy("voxel_id").agg(F.sqrt(F.greatest(F.avg("v"), F.lit(0.0))).alias("std"))
+def posterior_std(kernel: DataFrame, damping: float, probes: int = 32, seed: int = 0, most_dense: int = MOST_DENSE) -> DataFrame:
+    """voxel_id, std: Hutchinson's estimate of the diagonal of (G'G + damping^2 I)^-1 from random signs; probes are cases of regularised()."""
+    data = kernel.select("obs_id").distinct().select("obs_id", F.lit(0.0).alias("d"), F.lit(1.0).alias("sigma"))
+    cells = kernel.select("voxel_id").distinct().withColumn("w", F.lit(1.0))
+    none = cells.select(F.col("voxel_id").alias("src"), F.col("voxel_id").alias("dst")).where(F.lit(False))
+    x = regularised(kernel, data, cells, none, [(k, damping, 0.0, 0.0) for k in range(probes)], most_dense, probes=seed)
+    return x.groupBy("voxel_id").agg(F.sqrt(F.greatest(F.avg(probe_sign(seed, F.col("voxel_id")) * F.col("m")), F.lit(0.0))).alias("std"))
 
 
 def focus(model: DataFrame, value: str, epsilon: float, rounds: int = 3) -> DataFrame:
@@ -181,14 +294,29 @@ def focus(model: DataFrame, value: str, epsilon: float, rounds: int = 3) -> Data
     return out
 
 
-def cross_gradient(df: DataFrame, a: str, b: str, size: float) -> DataFrame:
-    """voxel_id and the length of grad a x grad b."""
+def _gradients(df: DataFrame, a: str, b: str, size: float) -> tuple[DataFrame, Column, Column, Column]:
+    """df with both gradients, and the lengths of grad a x grad b, grad a and grad b."""
     from lodestone.operators.spatial import gradient
 
     ga = gradient(df, a, size).withColumnsRenamed({"gx": "ax", "gy": "ay", "gz": "az"})
     g = gradient(ga, b, size)
     cross = [F.col(f"a{p}") * F.col(f"g{q}") - F.col(f"a{q}") * F.col(f"g{p}") for p, q in (("y", "z"), ("z", "x"), ("x", "y"))]
-    return g.select("voxel_id", F.sqrt(sum((c * c for c in cross[1:]), cross[0] * cross[0])).alias("cross"))
+    length = lambda v: F.sqrt(sum((c * c for c in v[1:]), v[0] * v[0]))
+    return g, length(cross), length([F.col(f"a{p}") for p in "xyz"]), length([F.col(f"g{p}") for p in "xyz"])
+
+
+def cross_gradient(df: DataFrame, a: str, b: str, size: float) -> DataFrame:
+    """voxel_id and the length of grad a x grad b."""
+    g, cross, _, _ = _gradients(df, a, b, size)
+    return g.select("voxel_id", cross.alias("cross"))
+
+
+def structural_similarity(df: DataFrame, a: str, b: str, size: float) -> DataFrame:
+    """One row: e_cell, the sum of |grad a x grad b| over that of |grad a| |grad b|, and e_l2, the same with the lengths of whole fields."""
+    g, cross, one, other = _gradients(df, a, b, size)
+    g = g.select(cross.alias("x"), one.alias("a"), other.alias("b"))
+    norm = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c)))
+    return g.agg((F.sum("x") / (F.sum(F.col("a") * F.col("b")) + 1e-12)).alias("e_cell"), (norm("x") / (norm("a") * norm("b") + 1e-12)).alias("e_l2"))
 
 
 def upward_continuation(grids: DataFrame, step: float, height: float) -> DataFrame:

@@ -30,10 +30,10 @@ def depth_weighting(spark, sf_dir):
 @query("invert_gravity")
 def invert_gravity(spark, sf_dir):
     """voxel_id, contrast, score: depth-weighted damped least squares."""
-    k = _kernel(spark, sf_dir)
+    k = I.stored(_kernel(spark, sf_dir), "kernel")
     w = A.voxels(spark, sf_dir).select("voxel_id", F.sqrt(I.depth_weight(F.col("y"), 12.5, 1.0)).alias("w"))
-    d = _data(spark, sf_dir, k)
-    m = I.solve_in_data_space(I.scaled_kernel(k, w), d, 1.0) if d.limit(4097).count() <= 4096 else I.cgls(I.scaled_kernel(k, w), d, 1.0)
+    d = I.stored(_data(spark, sf_dir, k), "data")
+    m = I.damped(I.scaled_kernel(k, w), d, 1.0)
     model = m.join(w, "voxel_id").select("voxel_id", (F.col("m") * F.col("w")).alias("contrast"))
     left = S.forward(k, model, "contrast").withColumnRenamed("d", "p").join(d, "obs_id").select("obs_id", (F.col("d") - F.col("p")).alias("r"))
     return model.join(I.relative_score(k, left), "voxel_id").select("voxel_id", "contrast", "score")
@@ -65,8 +65,8 @@ def sphere_recovery(spark, sf_dir):
 
 @query("damping_sweep")
 def damping_sweep(spark, sf_dir):
-    """damping, misfit, norm on an L-curve, a task for each damping."""
-    k = _kernel(spark, sf_dir)
+    """damping, misfit, norm on an L-curve."""
+    k = I.stored(_kernel(spark, sf_dir), "kernel")
     return I.sweep(k, _data(spark, sf_dir, k), [10.0**e for e in (-2, -1.5, -1, -0.5, 0, 0.5, 1, 1.5, 2)])
 
 
@@ -77,8 +77,7 @@ def damping_choice(spark, sf_dir):
 
 @query("posterior_std")
 def posterior_std(spark, sf_dir):
-    k = _kernel(spark, sf_dir)
-    return I.posterior_std(k, 5.0, probes=8)
+    return I.posterior_std(I.stored(_kernel(spark, sf_dir), "kernel"), 5.0)
 
 
 @query("focusing_weights", "WITH w0 AS (SELECT voxel_id, density - CAST(2.6 AS DOUBLE) AS m FROM v_voxels), w1 AS (SELECT *, m * m / (m * m + CAST(0.01 AS DOUBLE)) AS w FROM w0) SELECT voxel_id, round(pow(m * w, 2) / (pow(m * w, 2) + pow(CAST(0.09 AS DOUBLE), 2)), 6) AS weight FROM w1")
@@ -87,12 +86,6 @@ def focusing_weights(spark, sf_dir):
     return I.focus(m, "m", 0.1, 2).select("voxel_id", F.round("weight", 6).alias("weight"))
 
 
-@query("cross_gradient")
-def cross_gradient(spark, sf_dir):
-    """voxel_id, cross: 0 where the gradients of density and grade are parallel."""
-    return I.cross_gradient(A.voxels(spark, sf_dir), "density", "grade", 25.0)
-
-
 @query("upward_continuation")
 def upward_continuation(spark, sf_dir):
     """Four surveys of the elevation grid. Tests hold: a harmonic falls by exp(-k h)."""
@@ -100,15 +93,83 @@ def upward_continuation(spark, sf_dir):
     return I.upward_continuation(grids, 100.0, 250.0)
 
 
-@query("doi_index", """
-WITH m AS (SELECT voxel_id, density AS a, density * (CAST(0.9 AS DOUBLE) + probability / 10) AS b FROM v_voxels) SELECT voxel_id, round(abs(a - b) / abs(CAST(0.5 AS DOUBLE)), 6) AS doi FROM m""")
+def _problem(spark, sf_dir, kernel=None):
+    """(kernel, data with sigma, cells with depth weights, edges) of the sensors and voxels; data of the voxels' own contrast."""
+    k = I.stored(_kernel(spark, sf_dir) if kernel is None else kernel, "kernel")
+    d = _data(spark, sf_dir, k)
+    spread = d.agg((F.max("d") - F.min("d")).alias("_s"))
+    d = I.stored(d.join(F.broadcast(spread)).select("obs_id", "d", F.greatest(0.02 * F.abs("d"), 0.01 * F.col("_s"), F.lit(1e-30)).alias("sigma")), "data")
+    w = A.voxels(spark, sf_dir).select("voxel_id", I.depth_weight(F.col("y"), 12.5, 1.0).alias("w"))
+    w = w.join(F.broadcast(w.agg(F.avg("w").alias("_mean")))).select("voxel_id", (F.col("w") / F.col("_mean")).alias("w"))
+    return k, d, w, S.face_edges(A.voxels(spark, sf_dir)).select("src", "dst")
+
+
+@query("invert_smooth")
+def invert_smooth(spark, sf_dir):
+    """voxel_id, contrast: data weights, depth weights, a Laplacian, contrasts held between -0.6 and 1.6."""
+    return I.regularised(*_problem(spark, sf_dir), [(0, 3.0, 1.0, 0.0)], lower=-0.6, upper=1.6).select("voxel_id", F.col("m").alias("contrast"))
+
+
+@query("invert_magnetic")
+def invert_magnetic(spark, sf_dir):
+    """voxel_id, susceptibility from the total field of dipoles, held at 0 or above."""
+    k = S.magnetic_kernel(A.sensors(spark, sf_dir), A.voxels(spark, sf_dir), 25.0, 120.0, 25000.0, -30.0, 2.0).withColumn("val", F.col("val") / 1000)
+    return I.regularised(*_problem(spark, sf_dir, k), [(0, 1.0, 1.0, 0.0)], lower=0.0).select("voxel_id", F.col("m").alias("susceptibility"))
+
+
+@query("lambda_alpha_sweep")
+def lambda_alpha_sweep(spark, sf_dir):
+    """lambda, alpha, misfit_percent, chi2 on a grid of both."""
+    pairs = [(la, al) for la in (0.3, 1.0, 3.0) for al in (0.5, 2.0, 8.0)]
+    return _fits(spark, sf_dir, pairs)
+
+
+def _fits(spark, sf_dir, pairs):
+    k, d, w, e = _problem(spark, sf_dir)
+    fits = I.fit_of_cases(k, d, I.regularised(k, d, w, e, [(i, la, al, 0.0) for i, (la, al) in enumerate(pairs)]))
+    at = lambda n: F.element_at(F.array(*[F.lit(p[n]) for p in pairs]), F.col("case_id") + 1)
+    return fits.select(at(0).alias("lambda"), at(1).alias("alpha"), "misfit_percent", "chi2")
+
+
+@query("chi2_choice")
+def chi2_choice(spark, sf_dir):
+    """Of seven dampings the one whose chi-squared a datum is nearest to 1, ties to the greater."""
+    fits = _fits(spark, sf_dir, [(10.0**e, 1.0) for e in (-1.5, -1, -0.5, 0, 0.5, 1, 1.5)])
+    return fits.orderBy(F.abs(F.log("chi2")), F.desc("lambda")).limit(1)
+
+
+@query("doi_index")
 def doi_index(spark, sf_dir):
-    """Two models from references half a unit apart."""
-    b = F.col("density") * (0.9 + F.col("probability") / 10)
-    return A.voxels(spark, sf_dir).select("voxel_id", F.round(F.abs(F.col("density") - b) / 0.5, 6).alias("doi"))
+    """voxel_id, doi: how much of a shift of the reference model by 0.1 stays in the model; 0 where data decide, 1 where they don't."""
+    m = I.regularised(*_problem(spark, sf_dir), [(1, 3.0, 0.0, 0.0), (2, 3.0, 0.0, 0.1)])
+    of = lambda k: F.max(F.when(F.col("case_id") == k, F.col("m")))
+    return m.groupBy("voxel_id").agg((F.abs(of(1) - of(2)) / 0.1).alias("doi"))
+
+
+@query("checkerboard")
+def checkerboard(spark, sf_dir):
+    """pearson, sign_percent, label: a model of alternating cubes of four cells, seen by the sensors and inverted."""
+    k, d, w, e = _problem(spark, sf_dir)
+    at = sum((F.floor(F.col(a) / 4) for a in ("iy", "iz")), F.floor(F.col("ix") / 4))
+    truth = A.voxels(spark, sf_dir).select("voxel_id", F.when(at % 2 == 0, 0.3).otherwise(-0.3).alias("t"))
+    seen = S.forward(k, truth, "t").join(d.select("obs_id", "sigma"), "obs_id")
+    m = I.regularised(k, seen, w, e, [(0, 0.1, 0.0, 0.0)]).join(truth, "voxel_id").join(k.select("voxel_id").distinct(), "voxel_id", "left_semi")
+    c = F.corr("t", "m")
+    return m.agg(c.alias("pearson"), F.avg(F.when(F.signum("t") == F.signum("m"), 100.0).otherwise(0.0)).alias("sign_percent"), F.when(c >= 0.6, "PASS").when(c >= 0.4, "WARN").otherwise("FAIL").alias("label"))
 
 
-@query("structural_similarity", "SELECT round(sqrt(avg(pow(density - grade, 2))), 6) AS e_l2, round(avg(abs(density - grade)), 6) AS e_cell FROM v_voxels")
+_D = lambda c, w: f"CASE WHEN lag({c}) OVER {w} IS NULL THEN (lead({c}) OVER {w} - {c}) / 25 WHEN lead({c}) OVER {w} IS NULL THEN ({c} - lag({c}) OVER {w}) / 25 ELSE (lead({c}) OVER {w} - lag({c}) OVER {w}) / 50 END"
+_CROSS = f"""g AS (SELECT voxel_id, {", ".join(f"{_D(c, w)} AS {n}{w[1]}" for c, n in (("density", "a"), ("grade", "b")) for w in ("wx", "wy", "wz"))} FROM v_voxels WINDOW wx AS (PARTITION BY iy, iz ORDER BY ix), wy AS (PARTITION BY ix, iz ORDER BY iy), wz AS (PARTITION BY ix, iy ORDER BY iz)),
+c AS (SELECT voxel_id, sqrt(pow(ay * bz - az * by_, 2) + pow(az * bx - ax * bz, 2) + pow(ax * by_ - ay * bx, 2)) AS x, sqrt(ax * ax + ay * ay + az * az) AS a, sqrt(bx * bx + by_ * by_ + bz * bz) AS b FROM g)""".replace(" AS by,", " AS by_,")
+
+
+@query("structural_similarity", f"WITH {_CROSS} SELECT round(sum(x) / (sum(a * b) + CAST(1e-12 AS DOUBLE)), 9) AS e_cell, round(sqrt(sum(x * x)) / (sqrt(sum(a * a)) * sqrt(sum(b * b)) + CAST(1e-12 AS DOUBLE)), 9) AS e_l2 FROM c")
 def structural_similarity(spark, sf_dir):
-    d = F.col("density") - F.col("grade")
-    return A.voxels(spark, sf_dir).agg(F.round(F.sqrt(F.avg(d * d)), 6).alias("e_l2"), F.round(F.avg(F.abs(d)), 6).alias("e_cell"))
+    """How far the gradients of density and grade are from parallel: 0 if they are everywhere, 1 if they are at right angles everywhere (e_cell)."""
+    return I.structural_similarity(A.voxels(spark, sf_dir), "density", "grade", 25.0).select(F.round("e_cell", 9).alias("e_cell"), F.round("e_l2", 9).alias("e_l2"))
+
+
+@query("cross_gradient", f"WITH {_CROSS} SELECT voxel_id, round(x, 12) AS cross FROM c")
+def cross_gradient(spark, sf_dir):
+    """voxel_id, cross: 0 where the gradients of density and grade are parallel."""
+    return I.cross_gradient(A.voxels(spark, sf_dir), "density", "grade", 25.0).select("voxel_id", F.round("cross", 12).alias("cross"))

@@ -60,12 +60,51 @@ def _problem(spark, n_obs=12, n=30, seed=3):
 def test_least_squares_as_the_normal_equations(spark):
     g, d, kernel, data = _problem(spark)
     want = np.linalg.solve(g.T @ g + 0.25 * np.eye(g.shape[1]), g.T @ d)
-    got = {r.voxel_id: r.m for r in inversion.cgls(kernel, data, 0.5, iterations=15).collect()}
+    got = {r.voxel_id: r.m for r in inversion.cgls(kernel, data, 0.5).collect()}
     assert np.allclose([got[i] for i in range(len(want))], want, atol=1e-5)
     direct = {r.voxel_id: r.m for r in inversion.solve_in_data_space(kernel, data, 0.5).collect()}
     assert np.allclose([direct[i] for i in range(len(want))], want, atol=1e-9)
 
 
+def test_both_sides_of_the_size_agree(spark):
+    """One task or joins: the same model, sweep and regularised cases."""
+    g, d, kernel, data = _problem(spark, 8, 12)
+    for few in (0, 100):
+        got = {r.voxel_id: r.m for r in inversion.damped(kernel, data, 0.5, few).collect()}
+        assert np.allclose([got[i] for i in range(12)], np.linalg.solve(g.T @ g + 0.25 * np.eye(12), g.T @ d), atol=1e-6)
+    a, b = ([tuple(r) for r in inversion.sweep(kernel, data, [0.5, 2.0], few).orderBy("damping").collect()] for few in (0, 100))
+    assert np.allclose(a, b, rtol=1e-5)
+
+
+@pytest.mark.parametrize("dense", [0, 1 << 24])
+def test_regularised_cases_as_the_normal_equations(spark, dense):
+    n, cases = 9, [(1, 0.5, 0.0, 0.0), (2, 1.0, 2.0, 0.3)]
+    g, d, kernel, data = _problem(spark, 6, n)
+    sigma, w = 0.5 + np.arange(6) / 10, 1 + np.arange(n) / 5
+    edges = [(i, i + 1) for i in range(n - 1)]
+    out = inversion.regularised(
+        kernel, spark.createDataFrame([(i, float(x), float(s)) for i, (x, s) in enumerate(zip(d, sigma, strict=True))], "obs_id long, d double, sigma double"), spark.createDataFrame([(i, float(x)) for i, x in enumerate(w)], "voxel_id long, w double"),
+        spark.createDataFrame(edges, "src long, dst long"), cases, most_dense=dense, lower=-1.0, upper=1.0,
+    )
+    got = {(r.case_id, r.voxel_id): r.m for r in out.collect()}
+    lap = np.zeros((n, n))
+    for i, j in edges:
+        lap[[i, j], [i, j]] += 1
+        lap[[i, j], [j, i]] -= 1
+    for case, lam, alpha, ref in cases:
+        gw = g / sigma[:, None]
+        left = gw.T @ gw + lam**2 * np.diag(w**2) + alpha**2 * lap
+        want = ref + np.linalg.solve(left, gw.T @ (d / sigma - ref * gw.sum(1)))
+        assert np.allclose([got[case, i] for i in range(n)], np.clip(want, -1, 1), atol=1e-6)
+
+
+def test_chosen_damping_and_depth_of_investigation(spark):
+    fit = registry.QUERIES["chi2_choice"](spark, SF).first()
+    assert fit["lambda"] > 0 and fit["misfit_percent"] < 100
+    doi = [r.doi for r in registry.QUERIES["doi_index"](spark, SF).collect()]
+    assert min(doi) >= 0 and 0.9 < max(doi) < 1.2 and min(doi) < 0.5
+
+
 def test_damping_sweep_is_an_l_curve(spark):
     g, d, kernel, data = _problem(spark)
     rows = inversion.sweep(kernel, data, [0.1, 1.0, 10.0]).orderBy("damping").collect()
@@ -79,6 +118,8 @@ def test_posterior_deviation(spark):
     want = np.sqrt(np.diag(np.linalg.inv(g.T @ g + 25.0 * np.eye(8))))
     got = {r.voxel_id: r.std for r in inversion.posterior_std(kernel, 5.0, probes=200).collect()}
     assert np.allclose([got[i] for i in range(8)], want, rtol=0.15)
+    one, other = ({r.voxel_id: r.std for r in inversion.posterior_std(kernel, 5.0, probes=3, most_dense=n).collect()} for n in (0, 1 << 20))
+    assert all(one[i] == pytest.approx(other[i], abs=1e-7) for i in range(8))
 
 
 def test_upward_continuation_of_a_harmonic(spark):
