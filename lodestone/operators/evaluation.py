@@ -5,33 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.profile import running_sums
+
 
 def tie_curve(df: DataFrame, score: str, positive: Column) -> DataFrame:
-    """A row for each distinct score, best first: score, tp, fp (cumulative) and the totals p, n.
+    """A row for each distinct score: score, dp, dn, tp, fp (sums from the best score down) and the totals p, n.
 
-    Scores are grouped first, so the running sums go over distinct scores, not rows.
+    Scores are grouped first, and the running sums go by ranges of scores, so that no task holds all of them.
     """
     g = df.groupBy(F.col(score).alias("score")).agg(F.sum(positive.cast("long")).alias("dp"), F.sum((~positive).cast("long")).alias("dn"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = g.agg(F.sum("dp").alias("p"), F.sum("dn").alias("n"))
-    return g.withColumns({"tp": F.sum("dp").over(w), "fp": F.sum("dn").over(w)}).join(F.broadcast(total))
+    c = running_sums(g, "score", ["dp", "dn"]).withColumnsRenamed({"dp_sum": "tp", "dn_sum": "fp"})
+    return c.join(F.broadcast(c.agg(F.sum("dp").alias("p"), F.sum("dn").alias("n"))))
 
 
 def roc_auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
     """auc: the trapezoid over groups of equal scores; null without both classes."""
-    w = Window.orderBy(F.desc("score"))
-    c = tie_curve(df, score, positive).withColumns({"tp0": F.coalesce(F.lag("tp").over(w), F.lit(0)), "fp0": F.coalesce(F.lag("fp").over(w), F.lit(0))})
-    area = F.sum((F.col("fp") - F.col("fp0")) * (F.col("tp") + F.col("tp0")) / 2.0)
-    return c.agg((area / F.nullif(F.max("p") * F.max("n"), F.lit(0))).alias("auc"))
+    area = F.sum(F.col("dn") * (2 * F.col("tp") - F.col("dp")) / 2.0)
+    return tie_curve(df, score, positive).agg((area / F.nullif(F.max("p") * F.max("n"), F.lit(0))).alias("auc"))
 
 
 def pr_auc(df: DataFrame, score: str, positive: Column, anchored: bool = True) -> DataFrame:
     """auc of precision over recall by trapezoids; anchored: from (0, 1), else from the first point."""
-    w = Window.orderBy(F.desc("score"))
-    c = tie_curve(df, score, positive).select("score", (F.col("tp") / F.col("p")).alias("r"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("pr"))
-    first = (F.lit(0.0), F.lit(1.0)) if anchored else (F.col("r"), F.col("pr"))
-    c = c.withColumns({"r0": F.coalesce(F.lag("r").over(w), first[0]), "p0": F.coalesce(F.lag("pr").over(w), first[1])})
-    return c.agg(F.sum((F.col("r") - F.col("r0")) * (F.col("pr") + F.col("p0")) / 2).alias("auc"))
+    tp0, fp0 = F.col("tp") - F.col("dp"), F.col("fp") - F.col("dn")
+    precision = F.col("tp") / (F.col("tp") + F.col("fp"))
+    before = F.when(tp0 + fp0 > 0, tp0 / F.nullif(tp0 + fp0, F.lit(0)))
+    width = F.col("dp") / F.col("p") if anchored else F.when(tp0 + fp0 > 0, F.col("dp") / F.col("p")).otherwise(0.0)
+    return tie_curve(df, score, positive).agg(F.sum(width * (precision + F.coalesce(before, F.lit(1.0))) / 2).alias("auc"))
 
 
 def threshold_sweep(df: DataFrame, score: str, positive: Column, steps: int = 200) -> DataFrame:

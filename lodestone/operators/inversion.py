@@ -258,11 +258,14 @@ def fit_of_cases(kernel: DataFrame, data: DataFrame, models: DataFrame) -> DataF
     return p.join(data, "obs_id").groupBy("case_id").agg((100 * F.sqrt(F.sum(r**2) / F.sum(F.col("d") ** 2))).alias("misfit_percent"), F.avg((r / F.col("sigma")) ** 2).alias("chi2"))
 
 
-def focused(kernel: DataFrame, data: DataFrame, weights: DataFrame, damping: float, rounds: int, upper: float) -> DataFrame:
+def focused(kernel: DataFrame, data: DataFrame, weights: DataFrame, damping: float, rounds: int, upper: float, most_dense: int = MOST_DENSE) -> DataFrame:
     """voxel_id, m: minimum-support inversion. Each round reweights cells by m / sqrt(m^2 + e^2), e a tenth of the largest m; in the end 0 <= m <= upper.
 
-    weights: voxel_id, w (of depth). damping is relative to the mean diagonal of the round's G G'.
+    weights: voxel_id, w (of depth). damping is relative to the mean diagonal of the round's G G'. A kernel of at most
+    most_dense numbers goes through all rounds in one task; a larger one through a solve by damped() each. Same rounds, same model.
     """
+    if data.count() * weights.count() <= most_dense:
+        return _focused_dense(kernel, data, weights, damping, rounds, upper)
     w, model = weights.select("voxel_id", "w"), None
     for _ in range(rounds + 1):
         g = stored(scaled_kernel(kernel, w), "focused-kernel")
@@ -275,6 +278,25 @@ def focused(kernel: DataFrame, data: DataFrame, weights: DataFrame, damping: flo
     return model.select("voxel_id", F.greatest(F.least("m", F.lit(upper)), F.lit(0.0)).alias("m"))
 
 
+def _focused_dense(kernel: DataFrame, data: DataFrame, weights: DataFrame, damping: float, rounds: int, upper: float) -> DataFrame:
+    def solve(own: pd.DataFrame) -> pd.DataFrame:
+        obs, row = np.unique(own.obs_id.to_numpy(), return_inverse=True)
+        ids, col = np.unique(own.voxel_id.to_numpy(), return_inverse=True)
+        g, d, depth = np.zeros((len(obs), len(ids))), np.zeros(len(obs)), np.zeros(len(ids))
+        g[row, col], d[row], depth[col] = own.val.to_numpy(), own.d.to_numpy(), own.w.to_numpy()
+        w = depth
+        for _ in range(rounds + 1):
+            a = g * w
+            k = a @ a.T
+            m = w * (a.T @ np.linalg.solve(k + damping**2 * np.trace(k) / len(obs) * np.eye(len(obs)), d))
+            up = np.maximum(m, 0)
+            w = depth * (up / np.sqrt(up**2 + (0.1 * (np.abs(m).max() or 1.0)) ** 2) + 1e-3)
+        return pd.DataFrame({"voxel_id": ids, "m": np.clip(m, 0, upper)})
+
+    rows = kernel.join(F.broadcast(data.select("obs_id", "d")), "obs_id").join(weights.select("voxel_id", "w"), "voxel_id").withColumn("all", F.lit(1))  # data of a size that has been checked
+    return rows.groupBy("all").applyInPandas(solve, "voxel_id long, m double")
+
+
 def posterior_std(kernel: DataFrame, damping: float, probes: int = 32, seed: int = 0, most_dense: int = MOST_DENSE) -> DataFrame:
     """voxel_id, std: Hutchinson's estimate of the diagonal of (G'G + damping^2 I)^-1 from random signs; probes are cases of regularised()."""
     data = kernel.select("obs_id").distinct().select("obs_id", F.lit(0.0).alias("d"), F.lit(1.0).alias("sigma"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -50,15 +51,21 @@ def first_of_duplicates(df: DataFrame, keys: list[str], order: str) -> DataFrame
 
 
 def near_pairs(df: DataFrame, idc: str, coords: list[str], tolerance: float) -> DataFrame:
-    """(i, j, distance), j < i, of points with 0 < distance <= tolerance: an equi-join on cells of that width."""
-    cells = [F.floor(F.col(c) / tolerance).alias(f"_b{k}") for k, c in enumerate(coords)]
-    left = df.select(F.col(idc).alias("i"), *[F.col(c).alias(f"_i{k}") for k, c in enumerate(coords)], *cells)
-    right = df.select(F.col(idc).alias("j"), *[F.col(c).alias(f"_j{k}") for k, c in enumerate(coords)], *cells)
-    for k in range(len(coords)):
-        right = right.withColumn(f"_b{k}", F.explode(F.array(F.col(f"_b{k}") - 1, F.col(f"_b{k}"), F.col(f"_b{k}") + 1)))
-    d = F.sqrt(sum((F.pow(F.col(f"_i{k}") - F.col(f"_j{k}"), 2) for k in range(1, len(coords))), F.pow(F.col("_i0") - F.col("_j0"), 2)))
-    joined = left.join(right, [f"_b{k}" for k in range(len(coords))]).where("j < i").withColumn("distance", d)
-    return joined.where((F.col("distance") > 0) & (F.col("distance") <= tolerance)).select("i", "j", "distance")
+    """(i, j, distance), j < i, of points with 0 < distance <= tolerance: an equi-join on cells of that width.
+
+    A pair of cells meets once: a point is copied into its own cell and those neighbours that come after it, 14 of 27 in space.
+    """
+    n = len(coords)
+    own = F.array(*[F.floor(F.col(c) / tolerance) for c in coords])
+    ahead = [o for o in itertools.product((-1, 0, 1), repeat=n) if o >= (0,) * n]
+    point = F.struct(F.col(idc).alias("id"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(coords)])
+    left = df.select(own.alias("_cell"), point.alias("a"))
+    right = df.select(own.alias("_own"), point.alias("b"), F.explode(F.array(*[F.struct(F.array(*map(F.lit, o)).alias("by"), F.lit(any(o)).alias("other")) for o in ahead])).alias("o"))
+    right = right.select(F.zip_with("_own", "o.by", lambda x, y: x + y).alias("_cell"), "b", "o.other")
+    met = left.join(right, "_cell").where(F.col("other") | (F.col("b.id") < F.col("a.id")))
+    d = F.sqrt(sum((F.pow(F.col(f"a.c{k}") - F.col(f"b.c{k}"), 2) for k in range(1, n)), F.pow(F.col("a.c0") - F.col("b.c0"), 2)))
+    met = met.withColumn("distance", d).where((F.col("distance") > 0) & (F.col("distance") <= tolerance))
+    return met.select(F.greatest("a.id", "b.id").alias("i"), F.least("a.id", "b.id").alias("j"), "distance")
 
 
 def zscores(df: DataFrame, value: str) -> DataFrame:
@@ -123,5 +130,18 @@ def numbered(df: DataFrame, order: str, name: str, parts: int = 64) -> DataFrame
     return within.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.col("_rank") - 1).drop("_part", "_rank", "_base")
 
 
+def running_sums(df: DataFrame, order: str, columns: list[str], parts: int = 64) -> DataFrame:
+    """df with the sum of each column up to its row, from the greatest `order` down, under the same name with `_sum`.
+
+    As in numbered(), ranges are summed each for itself and shifted by the totals of those before.
+    """
+    ranged = stored(df.repartitionByRange(parts, F.desc(order)).withColumn("_part", F.spark_partition_id()), "ranges")
+    within = Window.partitionBy("_part").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # `parts` rows
+    base = ranged.groupBy("_part").agg(*[F.sum(c).alias(c) for c in columns]).select("_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_before_{c}") for c in columns])
+    out = ranged.withColumns({f"{c}_sum": F.sum(c).over(within) for c in columns}).join(F.broadcast(base), "_part")
+    return out.select(*df.columns, *[(F.col(f"{c}_sum") + F.col(f"_before_{c}")).alias(f"{c}_sum") for c in columns])
+
+
 def every_nth(df: DataFrame, order: str, n: int) -> DataFrame:
     return numbered(df, order, "_at").where(F.col("_at") % n == 0).drop("_at")

@@ -153,9 +153,20 @@ def gradient_stencil(spark, sf_dir):
     return S.gradient(A.voxels(spark, sf_dir), "density", 25.0).select("voxel_id", *[F.round(c, 9).alias(c) for c in ("gx", "gy", "gz")])
 
 
-@query("octree_split")
+def _octree_sql() -> str:
+    """c3: the leaves after three rounds, each a step of plain SQL."""
+    steps = ["s AS (SELECT DISTINCT x_m, y_m, z_m FROM v_sensors), c0 AS (SELECT CAST(0 AS BIGINT) AS cell_id, 0 AS level, " + ", ".join(f"CAST({512 * e} AS DOUBLE) AS {a}{e}" for a in "xyz" for e in (0, 1)) + ")"]
+    for k in range(3):
+        widest = "greatest(x1 - x0, y1 - y0, z1 - z0)"
+        steps.append(f"h{k} AS (SELECT *, EXISTS (SELECT 1 FROM s WHERE " + " + ".join(f"pow(({a}0 + {a}1) / 2 - {a}_m, 2)" for a in "xyz") + f" <= pow({widest} * CAST(0.75 AS DOUBLE), 2)) AS hit FROM c{k})")
+        side = ", ".join(f"CASE WHEN hit AND (range >> {b}) & 1 = 1 THEN ({a}0 + {a}1) / 2 ELSE {a}0 END AS {a}0, CASE WHEN hit AND (range >> {b}) & 1 = 0 THEN ({a}0 + {a}1) / 2 ELSE {a}1 END AS {a}1" for b, a in enumerate("xyz"))
+        steps.append(f"c{k + 1} AS (SELECT CASE WHEN hit THEN cell_id * 8 + range + 1 ELSE cell_id END AS cell_id, CASE WHEN hit THEN level + 1 ELSE level END AS level, {side} FROM h{k}, range(8) WHERE hit OR range = 0)")
+    return ",\n".join(steps)
+
+
+@query("octree_split", f"WITH {_octree_sql()} SELECT * FROM c3")
 def octree_split(spark, sf_dir):
-    """Three rounds from one cell. Tests hold: volumes add up, no leaves overlap."""
+    """Three rounds from one cell."""
     return _octree(spark, sf_dir)
 
 
@@ -168,9 +179,12 @@ def _octree(spark, sf_dir):
     return cells
 
 
-@query("octree_edges")
+_FACES = " UNION ALL ".join(f"SELECT a.cell_id AS src, b.cell_id AS dst, '{a}' AS axis, 2 / (a.{a}1 - a.{a}0 + b.{a}1 - b.{a}0) AS weight FROM c3 a JOIN c3 b ON a.{a}1 = b.{a}0 AND " + " AND ".join(f"a.{o}0 < b.{o}1 AND b.{o}0 < a.{o}1" for o in "xyz" if o != a) for a in "xyz")
+
+
+@query("octree_edges", f"WITH {_octree_sql()} {_FACES}")
 def octree_edges(spark, sf_dir):
-    """Tests hold: on a regular grid the edges equal the grid's."""
+    """Leaves that share part of a face."""
     return S.octree_edges(_octree(spark, sf_dir))
 
 

@@ -136,6 +136,33 @@ def test_sphere_is_recovered(spark):
     assert row.pearson >= 0.85 and row.misfit_percent < 5
 
 
+def test_focusing_in_one_task_or_by_joins(spark):
+    g, d, kernel, data = _problem(spark, 6, 10)
+    weights = spark.createDataFrame([(i, 1.0 + i / 10) for i in range(10)], "voxel_id long, w double")
+    one, other = ({r.voxel_id: r.m for r in inversion.focused(kernel, data, weights, 0.1, 2, 5.0, n).collect()} for n in (0, 1000))
+    assert all(one[i] == pytest.approx(other[i], abs=1e-8) for i in range(10))
+
+
+def test_running_sums_by_ranges(spark):
+    from lodestone.operators.profile import running_sums
+
+    df = spark.createDataFrame([(float(i * 7 % 101), i) for i in range(101)], "s double, k long")
+    total = 0
+    for r in running_sums(df, "s", ["k"], 5).orderBy(F.desc("s")).collect():
+        total += r.k
+        assert r.k_sum == total
+
+
+def test_near_pairs_meet_once(spark):
+    from lodestone.operators.profile import near_pairs
+
+    rng = np.random.default_rng(2)
+    at = rng.integers(0, 6, (60, 3)) / 2
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(at)], "id long, x double, y double, z double")
+    want = sorted((i, j) for i in range(60) for j in range(i) if 0 < np.linalg.norm(at[i] - at[j]) <= 1.0)
+    assert sorted((r.i, r.j) for r in near_pairs(df, "id", ["x", "y", "z"], 1.0).collect()) == want
+
+
 def test_cross_gradient_is_zero_for_parallel_fields(spark):
     from lodestone.sources import adapters
 
