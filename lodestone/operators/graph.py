@@ -13,21 +13,20 @@ from lodestone.sources.tables import stored
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node that it reaches) for every node of edges (src, dst) but the least ones.
 
-    Each step is an equi-join and an aggregate; steps double what a label reaches. A step is written to the shared folder.
+    Large-star and small-star steps in turn, equi-joins and aggregates, until nothing changes. Each step's edges are stored.
     """
     cur = stored(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges")
+    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = None
-    while True:
+    while seen != (now := mark(cur)):
+        seen = now
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        wide = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        wide = stored(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
         low = wide.groupBy("u").agg(F.min("v").alias("m"))
         tight = wide.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         cur = stored(tight.unionByName(low.withColumnRenamed("m", "v")).distinct(), "edges")
-        mark = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            return cur.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        seen = mark
+    return cur.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
 def labelled(nodes: DataFrame, edges: DataFrame, key: str = "voxel_id") -> DataFrame:

@@ -45,7 +45,7 @@ def keep_profiled(stations: DataFrame, table: str, checkpoint: str):
 
 
 def request_windows(events: DataFrame, width: str = "1 minute", delay: str = "5 minutes") -> DataFrame:
-    """window_start, event_type, requests, users (approximate) in event time; rows later than `delay` are left out by the watermark."""
+    """window_start, event_type, requests in event time; rows later than `delay` are left out by the watermark."""
     windows = events.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "event_type")
     return windows.agg(F.count("*").alias("requests"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "requests", "total")
 
