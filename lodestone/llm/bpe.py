@@ -229,4 +229,5 @@ def digests(docs: DataFrame, table_bytes: int = 64 << 20) -> DataFrame:
 
 
 def op9_bpe(spark, sf_dir: str) -> DataFrame:
+    """Every row of `documents`, repeated ones too; a null text counts as empty."""
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))

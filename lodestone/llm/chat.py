@@ -196,6 +196,7 @@ def read_back(segments: DataFrame) -> DataFrame:
 
 
 def op4_chat(spark, sf_dir: str) -> DataFrame:
+    """All conversations and one more, read back from their formatted text. Null roles and texts count as empty; repeated rows are turns each."""
     said = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, json.dumps({"messages": [{"role": r, "content": said} for r in ("user", "assistant")]}))], "conv_id long, record string")
     turns, _ = turns_of_records(more)

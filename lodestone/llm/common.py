@@ -2,49 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import json
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dir: dict[str, str] = {}
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _own_dir.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="lodestone-"))
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: cuts lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _clean() -> None:
-    """At the driver's normal end, removes what stored() has written."""
-    for spark, path in _written:
-        try:
-            jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-        except Exception:  # the session has ended; the folder's owner cleans up
-            return
-
+from lodestone.operators import graph
+from lodestone.sources.tables import shared_dir, stored  # noqa: F401
 
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A table from one literal, which also holds many thousands of rows; unlike createDataFrame(), it starts no Python worker."""
@@ -158,20 +123,5 @@ def text_slices(texts: list[bytes], most: int = 1 << 21):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """v, root: for each node of links (a, b) but the roots, the smallest node that it is connected with.
-
-    Large-star and small-star steps in turn until nothing changes; a step's links are stored.
-    """
-    u, v = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
-    cur = stored(links.where("a <> b").select(u, v).distinct(), "links")
-    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = None
-    while before != (now := mark(cur)):
-        before = now
-        both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        cur = stored(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "links")
-    return cur.select(F.col("u").alias("v"), F.col("v").alias("root"))
+    """v, root: for each node of links (a, b) but the roots, the smallest node that it is connected with."""
+    return graph.components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("v"), F.col("label").alias("root"))

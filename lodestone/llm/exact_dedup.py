@@ -88,6 +88,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str | None =
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """A-Z as a-z; a null text counts as empty. Ties and repeated rows as in exact_dedup()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     narrow = stored(docs.select("doc_id", text_sha256(F.col("text")).alias("text_sha256")), "text-hashes")
     return exact_dedup(narrow, text_col=None).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")

@@ -71,13 +71,13 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (big(q) @ big(x).T).astype(np.int64)
 
 
-def voronoi_topk(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256, n_pivots: int = 64, sample_rows: int = 4096) -> DataFrame:
+def voronoi_topk(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256, n_pivots: int | None = None, sample_rows: int = 4096) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (long): each query's k highest inner products among all other rows.
 
     is_query is a condition on rows. Ties go to the smaller id; with fewer candidates, all. A query's own
     row is the one with its id, so rows that repeat its id are no candidates either; repeated rows of another id
     are candidates each. Rows with a null id, and vectors null or with null or non-finite components, take no part; shorter ones are padded with zeros.
-    Pivots come from at most sample_rows rows; scores must fit in 64 bits.
+    Pivots, one for each BLOCK rows by default, 64 to 1024 of them, come from at most sample_rows rows; scores must fit in 64 bits.
     """
     spark = rows.sparkSession
     data = stored(integer_vectors(rows.select(F.col(id_col).alias("_ls_id"), F.col(vec_col).alias("_ls_v")), "_ls_id", "_ls_v", scale), "vectors")
@@ -87,6 +87,7 @@ def voronoi_topk(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id",
         return spark.createDataFrame([], result)
     dim = max(dim, 1)
     sample = data.orderBy(F.xxhash64("id"), "id").limit(sample_rows).toPandas()
+    n_pivots = n_pivots or min(max(64, n // BLOCK), 1024)
     pivots = pick_pivots(_matrix(sample.v, dim), min(n_pivots, len(sample)))
     shared = spark.sparkContext.broadcast(pivots)  # n_pivots vectors
 
@@ -163,6 +164,7 @@ def voronoi_topk(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id",
 
 
 def op10_voronoi_knn(spark, sf_dir: str) -> DataFrame:
+    """Five neighbours of every fiftieth vector. Null and non-finite vectors take no part; see voronoi_topk() for repeated rows and ties."""
     return voronoi_topk(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda i: i % 50 == 0)
 
 

@@ -59,7 +59,8 @@ def mix_sources(docs: DataFrame, source_col: str = "source", id_col: str = "doc_
     Give target_entropy, a share of the greatest possible, and the budget is the tokens there are; or
     repetition_limit, and the budget is the least for which every document is there once. Ordered by (mix_epoch,
     mix_key), a source's rows are permutations of it, the last one cut where the next document would go over its
-    part of the budget. A null source counts as an empty one; rows that repeat an id are in or out together.
+    part of the budget. A null source counts as an empty one; rows that repeat an id are in or out together,
+    and those with a null id are, too: their key is the hash of seed and epoch alone.
     """
     if (target_entropy is None) == (repetition_limit is None):
         raise ValueError("give target_entropy or repetition_limit")

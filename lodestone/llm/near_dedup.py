@@ -215,14 +215,14 @@ def _within(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(near, "a long, b long")
 
 
-def _near_pairs(members: DataFrame, percent: int) -> DataFrame:
+def _near_pairs(members: DataFrame, percent: int, sketches: bool) -> DataFrame:
     """a, b: pairs that share a key, of sizes that allow the similarity, in different clusters and components, once each.
 
     members: key, id, cluster, comp, n, sig, bits. Buckets of more than BLOCK rows are compared in pairs of tiles.
-    Pairs whose sketches agree in fewer bits than least_agreement() are left out.
+    With sketches, pairs whose sketches agree in fewer bits than least_agreement() are left out.
     """
     dealt = _tiles(members, "key", F.lit(1), BLOCK).select("pair", "key", "id", "cluster", "comp", "n", "sig", "bits", "own", "low", "high")
-    agree = least_agreement(percent)
+    agree = least_agreement(percent) if sketches else 0
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_keys(batches, 0):
@@ -304,14 +304,15 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "shingles").mapInArrow(confirm, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", sketches: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs.
 
     Links join documents whose sets of 5-word shingles have 100 * intersection >= percent * union; percent is 80 or
     more. Equal sets are one node, so copies aren't compared. component_id is the smallest id of those reachable;
     a document without words, or with a null id, is alone. MinHash can miss a link only if the signatures share no key:
     at a similarity of 0.85 one pair in 26 million, at 0.80 one in 210,000. Of pairs of different clusters, the sketches
-    drop one link in 10 million at most before full sets are compared.
+    drop one link in 10 million at most before full sets are compared; without sketches, every pair that shares a key is.
+    Rows that repeat an id are one document, which goes as a whole.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = stored(_profiles(docs), "profiles")
@@ -333,7 +334,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     comp = stored(comp.select("key", "id", F.coalesce("cluster", "id").alias("cluster"), F.coalesce("root", "id").alias("comp")), "members")
     open_keys = comp.groupBy("key").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y")).where("x <> y").select("key")
     still = comp.join(open_keys, "key", "left_semi").join(sets.select("id", F.col("n_shingles").alias("n"), "sig"), "id").join(stored_sets.select("id", "bits"), "id")
-    pairs = stored(_near_pairs(still, percent), "pairs")
+    pairs = stored(_near_pairs(still, percent, sketches), "pairs")
     later = _confirmed(pairs, full, percent)
     links = components(links.select(F.col("root").alias("a"), F.col("v").alias("b")).unionByName(later))
 
@@ -347,4 +348,5 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
 
 def op3_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """Links at 85 percent. A null or empty text, or a null id, is alone; see near_duplicates()."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -183,6 +183,7 @@ def score_quality(docs: DataFrame, model: Model, cut: float = 0.3) -> DataFrame:
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
+    """Every row of `documents`; a null or empty text has a score too. Repeated labels count once, the greatest."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     scored = score_quality(docs.select("doc_id", "text"), fit_quality(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -69,10 +69,10 @@ def count_huge(tokenizer, text: str, chunk: int, overlap: int) -> int:
     return total + sum(1 for t in left if t[0] >= begin)
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, chunk: int = 1 << 16, overlap: int = 256, limit: int = 2048) -> DataFrame:
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, chunk: int = 1 << 14, overlap: int = 256, limit: int = 2048) -> DataFrame:
     """id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) for each row; null text counts as empty.
 
-    Without added special tokens; special strings in a text are read as the library's default does.
+    Texts of more than `chunk` characters go through count_huge(), the others through their words. Without added special tokens; special strings in a text are read as the library's default does.
     The tokenizer must be of the kind that bpe.words_of() splits for: white space ends words and has no tokens.
     """
     path = tokenizer_path or default_path()
@@ -98,4 +98,5 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
+    """Every row of `documents`, repeated ones too; a null text counts as empty."""
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))

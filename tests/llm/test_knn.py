@@ -42,6 +42,23 @@ def test_nulls_and_non_finite(spark):
     _check(spark, rows)
 
 
+def test_clashing_columns_and_repeated_rows(spark):
+    """Columns with the names of helpers; queries and candidates that are there twice."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(40)]
+    df = spark.createDataFrame([*rows, rows[10], rows[11]], "vec_id long, embedding array<float>").withColumns({c: F.lit(f"own {c}") for c in ("id", "v", "cell", "r", "block", "floor", "rank", "score", "query_id")})
+    got = sorted(map(tuple, knn.voronoi_topk(df, lambda i: i % 10 == 0, n_pivots=3).select("query_id", "rank", "vec_id", "score").collect()))
+    assert got == brute([*rows, rows[11]], 5, lambda i: i % 10 == 0)
+
+
+def test_pivots_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK", 3)
+    rng = np.random.default_rng(9)
+    _check(spark, [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(400)])
+
+
 def test_fewer_candidates_than_k_and_empty(spark):
     _check(spark, [(0, [1.0]), (1, [2.0])])
     _check(spark, [(0, [1.0])])

@@ -81,6 +81,13 @@ def test_large_group_in_tiles(spark):
     _check(near_dedup.near_duplicates(df), df)
 
 
+def test_without_sketches(spark):
+    """The exact way: every pair that shares a key is held against full sets."""
+    texts = [_edited(prose(g, 120), k, 100 * g + k) for g in range(10) for k in range(6)]
+    df = docs(spark, texts)
+    _check(near_dedup.near_duplicates(df, sketches=False), df)
+
+
 def test_empty_table(spark):
     assert near_dedup.near_duplicates(docs(spark, [])).collect() == []
 
