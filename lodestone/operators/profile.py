@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,6 +112,28 @@ def auto_grid(x_extent: float, z_extent: float, n: int, limit: int = 200_000, le
     return {"block_size_m": size, "nx": c[0], "ny": c[1], "nz": c[2], "depth_m": depth, "cutoff_radius_m": max(3 * size, 2 * spacing), "rounds": rounds}
 
 
+def polynomial_trend(df: DataFrame, x: str, z: str, value: str, order: int) -> DataFrame:
+    """df with trend and residual: the least-squares polynomial of that order (1 to 4) in both coordinates, scaled to [0, 1].
+
+    The normal equations are sums in one aggregate, at most 60 numbers; the system of at most 15 unknowns is solved on the driver.
+    """
+    if not 1 <= order <= 4:
+        raise ValueError("order is 1 to 4")
+    ends = df.agg(*[f(c).alias(f"{n}{c}") for c in (x, z) for n, f in (("lo_", F.min), ("hi_", F.max))]).first()
+    scaled = lambda c: (F.col(c) - (ends[f"lo_{c}"] or 0.0)) / (((ends[f"hi_{c}"] or 0.0) - (ends[f"lo_{c}"] or 0.0)) or 1.0)
+    u, v = scaled(x), scaled(z)
+    terms = [(i, j) for i in range(order + 1) for j in range(order + 1 - i)]
+    power = lambda i, j: F.pow(u, F.lit(float(i))) * F.pow(v, F.lit(float(j)))
+    moments = {(i, j): F.sum(power(i, j)) for i in range(2 * order + 1) for j in range(2 * order + 1 - i)}
+    s = df.where(finite(F.col(value))).agg(*[c.alias(f"m{i}_{j}") for (i, j), c in moments.items()], *[F.sum(power(i, j) * F.col(value)).alias(f"b{i}_{j}") for i, j in terms]).first()
+    a = np.array([[s[f"m{i + k}_{j + m}"] or 0.0 for k, m in terms] for i, j in terms])
+    weights = np.linalg.lstsq(a, np.array([s[f"b{i}_{j}"] or 0.0 for i, j in terms]), rcond=None)[0]
+    trend = F.lit(0.0)
+    for (i, j), w in zip(terms, weights.tolist(), strict=True):
+        trend = trend + w * power(i, j)
+    return df.withColumn("trend", trend).withColumn("residual", F.col(value) - F.col("trend"))
+
+
 def first_value(c: str, order: str) -> Column:
     return F.min_by(c, order)
 

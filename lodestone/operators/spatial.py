@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -147,6 +148,14 @@ def face_edges(cells: DataFrame) -> DataFrame:
     return out
 
 
+def touching_edges(cells: DataFrame) -> DataFrame:
+    """src, dst of cells (voxel_id, ix, iy, iz) that share a face, an edge or a corner, each pair once: 13 of the 26 neighbours come after a cell."""
+    ahead = [o for o in itertools.product((-1, 0, 1), repeat=3) if o > (0, 0, 0)]
+    steps = F.explode(F.array(*[F.struct(*[F.lit(d).alias(a) for d, a in zip(o, "xyz", strict=True)]) for o in ahead])).alias("d")
+    near = cells.select(F.col("voxel_id").alias("src"), "ix", "iy", "iz", steps).select("src", *[(F.col(f"i{a}") + F.col(f"d.{a}")).alias(f"i{a}") for a in "xyz"])
+    return near.join(cells.select(F.col("voxel_id").alias("dst"), "ix", "iy", "iz"), ["ix", "iy", "iz"]).select("src", "dst")
+
+
 def gradient(df: DataFrame, value: str, size: float) -> DataFrame:
     """df with gx, gy, gz: central differences inside, one-sided at the edges."""
     for axis, name in (("ix", "gx"), ("iy", "gy"), ("iz", "gz")):

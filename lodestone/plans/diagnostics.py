@@ -157,6 +157,15 @@ def bodies(spark, sf_dir):
     return c.join(v, "voxel_id").groupBy("label").agg(F.count("*").alias("cells"), *[F.round(F.avg(a), 6).alias(a) for a in "xyz"], F.max("density").alias("densest"))
 
 
+@query("bodies_26", f"WITH RECURSIVE {_COMP.replace('abs(a.ix - b.ix) + abs(a.iy - b.iy) + abs(a.iz - b.iz) = 1', 'greatest(abs(a.ix - b.ix), abs(a.iy - b.iy), abs(a.iz - b.iz)) = 1')} SELECT label, count(*) AS cells, count(*) * 15625 AS volume_m3 FROM c GROUP BY label")
+def bodies_26(spark, sf_dir):
+    """Bodies whose cells may touch at an edge or a corner only."""
+    v = A.voxels(spark, sf_dir)
+    mask = v.join(F.broadcast(v.agg(F.percentile("density", 0.9).alias("cut")))).where("density >= cut").drop("cut")
+    c = G.labelled(mask.select("voxel_id"), S.touching_edges(mask))
+    return c.groupBy("label").agg(F.count("*").alias("cells"), (F.count("*") * 15625).alias("volume_m3"))
+
+
 @query("fav_coherence", f"WITH RECURSIVE {_COMP}, s AS (SELECT count(*) AS n FROM c GROUP BY label) SELECT round(CAST(max(n) AS DOUBLE) / sum(n), 9) AS score FROM s")
 def fav_coherence(spark, sf_dir):
     s = _bodies(spark, sf_dir)[2].groupBy("label").agg(F.count("*").alias("n"))

@@ -209,6 +209,12 @@ def regional_trend(spark, sf_dir):
     return o.join(F.broadcast(fit)).select("obs_id", F.round(F.col("g") - (F.col("a") + F.col("b") * F.col("x_m")), 4).alias("residual"))
 
 
+@query("regional_trend_cubic")
+def regional_trend_cubic(spark, sf_dir):
+    """obs_id, residual beside a cubic surface. Solved from sums, so there is no SQL; tests hold it against least squares on all rows."""
+    return P.polynomial_trend(A.observations(spark, sf_dir), "x_m", "z_m", "g", 3).select("obs_id", F.round("residual", 4).alias("residual"))
+
+
 @query("status_latest", """
 SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS n_updates, max(ts) AS at FROM events GROUP BY user_id""")
 def status_latest(spark, sf_dir):

@@ -5,10 +5,16 @@ Text is written by Spark as part files whose names follow the order of the rows;
 
 from __future__ import annotations
 
+import io
+import json
+import zipfile
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.runs import manifest
+
 NO_DATA = -9999.0
 
 
@@ -52,6 +58,21 @@ def arrow_bytes(model: DataFrame, columns: list[str], limit: int) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def run_bundle(spark: SparkSession, folder: str, most_bytes: int = 64 << 20) -> bytes:
+    """A ZIP of a run's files and their manifest, for a download; of at most most_bytes, a size that is checked before anything is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    size = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    if size > most_bytes:
+        raise ValueError(f"{size} bytes; a bundle has {most_bytes} at most")
+    listed = [r.asDict() for r in manifest(spark, folder).orderBy("file").collect()]
+    sink = io.BytesIO()
+    with zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED) as out:
+        for r in files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").orderBy("file").collect():
+            out.writestr(r["file"], bytes(r["content"]))
+        out.writestr("manifest.json", json.dumps({"files": listed}, indent=1))
+    return sink.getvalue()
+
+
 def rectilinear_grid(model: DataFrame, value: str, nx: int, ny: int, nz: int, size: float, most_cells: int = 200_000) -> str:
     """A VTK rectilinear grid as XML; for grids of at most most_cells, a size that is checked."""
     if nx * ny * nz > most_cells:

@@ -32,6 +32,32 @@ def artefacts(spark: SparkSession, root: str, schema: str) -> DataFrame:
     return texts.select(part(3).alias("project"), part(2).alias("run"), part(1).alias("file"), parsed.alias("p")).select("project", "run", "file", F.when(F.col("p._bad").isNull(), F.col("p").dropFields("_bad")).alias("payload"), F.col("p._bad").isNotNull().alias("error"))
 
 
+def model_of_run(files: DataFrame, project: str | None, run: str | None, name: str | None = None, legacy: tuple[str, ...] = ("block_model_001.parquet",), strict: bool = False) -> str | None:
+    """project/run/file of a model in a catalog(): a run's own one, else the first legacy file that is there.
+
+    Without a project and run, strict refuses to guess unless a file is named.
+    """
+    if project and run:
+        wanted = [(project, run, name or "block_model.parquet")]
+    else:
+        if strict and not (name or "").strip():
+            raise ValueError("give a project and run, or a file; there is no silent fall-back")
+        wanted = [(None, None, n) for n in ((name,) if name else ()) + (() if strict else legacy)]
+    for p, r, n in wanted:  # a few names
+        found = files.where(F.col("file") == n)
+        found = found.where((F.col("project") == p) & (F.col("run") == r)) if p else found
+        got = found.orderBy("project", "run").select("project", "run", "file").limit(1).collect()
+        if got:
+            return "/".join(got[0])
+    return None
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """file, bytes, sha256 of every file of a run's folder; hashed in tasks."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 def model_problems(model: DataFrame) -> list[str]:
     """What a block model lacks of its contract; one row is read."""
     missing = [c for c in REQUIRED if c not in model.columns]

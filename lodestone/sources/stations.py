@@ -99,6 +99,15 @@ def checked(rows: DataFrame, strict: bool = True, allow_raw: bool = False) -> Da
     return rows.select("src_row", name.alias("station_id"), x.alias("x_m"), y.alias("y_m"), z.alias("z_m"), g.alias("g"), unit.alias("unit"), to_ms2(g, unit).alias("g_ms2"), kind.alias("gravity_type"), F.lit(layout.kind).alias("coord_type"), errors.alias("errors"))
 
 
+def extent(spark: SparkSession, path: str) -> DataFrame:
+    """One row: n and the extent in x and z of a station file; only those two columns are read as numbers."""
+    rows = read_delimited(spark, path)
+    layout = resolve([c for c in rows.columns if c != "src_row"])
+    at = lambda c: strict_number(F.col(f"`{c}`")) if c else F.lit(None).cast("double")
+    both = rows.select(at(layout.x).alias("x"), at(layout.z).alias("z")).where("x IS NOT NULL AND z IS NOT NULL")
+    return both.agg(F.count("*").alias("n"), *[f(c).alias(f"{c}_{n}") for c in ("x", "z") for n, f in (("min", F.min), ("max", F.max))])
+
+
 def import_stations(spark: SparkSession, path: str, strict: bool = True, allow_raw: bool = False) -> tuple[DataFrame, list[str]]:
     """(stations, reasons to reject the file). Of stations at one place, the first stays.
 

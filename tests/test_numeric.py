@@ -153,6 +153,20 @@ def test_running_sums_by_ranges(spark):
         assert r.k_sum == total
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_polynomial_trend_as_least_squares(spark, order):
+    from lodestone.operators.profile import polynomial_trend
+
+    rng = np.random.default_rng(order)
+    x, z, g = rng.uniform(100, 900, 200), rng.uniform(-5, 5, 200), rng.normal(size=200)
+    df = spark.createDataFrame([(i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(x, z, g, strict=True))], "k long, x double, z double, g double")
+    u, v = (x - x.min()) / (x.max() - x.min()), (z - z.min()) / (z.max() - z.min())
+    m = np.stack([u**i * v**j for i in range(order + 1) for j in range(order + 1 - i)], 1)
+    want = g - m @ np.linalg.lstsq(m, g, rcond=None)[0]
+    got = {r.k: r.residual for r in polynomial_trend(df, "x", "z", "g", order).collect()}
+    assert np.allclose([got[i] for i in range(200)], want, atol=1e-6)
+
+
 def test_near_pairs_meet_once(spark):
     from lodestone.operators.profile import near_pairs
 

@@ -120,3 +120,41 @@ def test_kernel_batches(spark, tmp_path):
     export.write_kernel(k, f"file://{tmp_path}/k", batch=4)
     assert sorted(p.name for p in (tmp_path / "k").glob("obs_batch=*")) == ["obs_batch=0", "obs_batch=1", "obs_batch=2"]
     assert json.dumps(spark.read.parquet(f"file://{tmp_path}/k").where("obs_batch = 1").count()) == "12"
+
+
+def test_coordinates_by_file_order_and_ids_without_gaps(spark, tmp_path):
+    """Of two names for a coordinate the file's first counts; ids go on from 1 over all partitions."""
+    path = tmp_path / "s.csv"
+    path.write_text("longitude,lon,latitude,lat,g,unit,gravity_type\n" + "".join(f"{-70 - i / 100},{i},{-30 + i / 100},{-i},{i + 1},mGal,bouguer_mgal\n" for i in range(40)))
+    layout = stations.resolve(["longitude", "lon", "latitude", "lat", "g"])
+    assert (layout.x, layout.z) == ("longitude", "latitude")
+    rows = stations.checked(stations.read_delimited(spark, str(path)).repartition(3)).collect()
+    assert sorted(r.station_id for r in rows) == [f"ST_{i:06d}" for i in range(1, 41)]
+    e = stations.extent(spark, str(path)).first()
+    assert (e.n, e.x_max, e.z_min) == (40, -70.0, -30.0)
+
+
+def test_run_bundle_and_model_of_run(spark, tmp_path):
+    import hashlib
+    import io
+    import json
+    import zipfile
+
+    from lodestone.sinks import export
+    from lodestone.sources import runs
+
+    for project, run, name, text in (("p", "r1", "block_model.parquet", "one"), ("p", "r1", "report.json", "{}"), ("old", "x", "block_model_001.parquet", "two")):
+        folder = tmp_path / "data" / project / run
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text(text)
+    files = runs.catalog(spark, f"{tmp_path}/data")
+    assert runs.model_of_run(files, "p", "r1") == "p/r1/block_model.parquet" and runs.model_of_run(files, "p", "r2") is None
+    assert runs.model_of_run(files, None, None) == "old/x/block_model_001.parquet"
+    with pytest.raises(ValueError):
+        runs.model_of_run(files, None, None, strict=True)
+    with zipfile.ZipFile(io.BytesIO(export.run_bundle(spark, f"{tmp_path}/data/p/r1"))) as z:
+        assert sorted(z.namelist()) == ["block_model.parquet", "manifest.json", "report.json"]
+        listed = {f["file"]: f["sha256"] for f in json.loads(z.read("manifest.json"))["files"]}
+    assert listed["block_model.parquet"] == hashlib.sha256(b"one").hexdigest()
+    with pytest.raises(ValueError):
+        export.run_bundle(spark, f"{tmp_path}/data/p/r1", most_bytes=3)
