@@ -6,9 +6,11 @@ tables too. The driver sees a few scalars in each iteration.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.sources.tables import stored
@@ -141,7 +143,7 @@ def solve_in_data_space(kernel: DataFrame, data: DataFrame, damping: float) -> D
 MOST_DENSE = 1 << 24
 
 
-def regularised(kernel: DataFrame, data: DataFrame, cells: DataFrame, edges: DataFrame, cases: list[tuple], most_dense: int = MOST_DENSE, lower: float | None = None, upper: float | None = None, iterations: int = 1000, tolerance: float = 1e-9, probes: int | None = None) -> DataFrame:
+def regularised(kernel: DataFrame, data: DataFrame, cells: DataFrame, edges: DataFrame, cases: list[tuple], most_dense: int = MOST_DENSE, lower: float | None = None, upper: float | None = None, iterations: int = 1000, tolerance: float = 1e-9, probes: int | None = None, penalty: DataFrame | None = None, pull: DataFrame | None = None) -> DataFrame:
     """case_id, voxel_id, m of every cell: for each case (case_id, damping, smooth, reference) the least
 
         sum ((d - G m) / sigma)^2 + damping^2 sum (w (m - reference))^2 + smooth^2 sum over edges (m_src - m_dst)^2,
@@ -149,11 +151,14 @@ def regularised(kernel: DataFrame, data: DataFrame, cells: DataFrame, edges: Dat
     then held between lower and upper. data: obs_id, d, sigma; cells: voxel_id, w; edges: src, dst. Conjugate gradients on
     the normal equations, scaled by their diagonal, to a relative residual of `tolerance`: dense in one task for each case
     up to most_dense numbers, else all cases together as joins and partial sums. Both find the same model. With probes, a
-    seed, the right-hand side of a case is probe_sign() instead of the data's.
+    seed, the right-hand side of a case is probe_sign() instead of the data's. penalty (i, j, q, both halves of a symmetric
+    matrix whose rows add up to 0) adds the sum of q m_i m_j, pull (voxel_id, b) takes off twice the sum of b m.
     """
     n_obs, n_cells = data.count(), cells.count()
+    penalty = edges.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.lit(0.0).alias("q")).where(F.lit(False)) if penalty is None else penalty
+    pull = cells.select("voxel_id", F.lit(0.0).alias("b")).where(F.lit(False)) if pull is None else pull
     solve = _dense_cases if n_obs * n_cells <= most_dense else _distributed_cases
-    out = solve(kernel, data, cells, edges, [(int(c), float(a), float(b), float(r)) for c, a, b, r in cases], iterations, tolerance, probes)
+    out = solve(kernel, data, cells, edges, [(int(c), float(a), float(b), float(r)) for c, a, b, r in cases], iterations, tolerance, probes, penalty, pull)
     m = F.col("m")
     m = m if lower is None else F.greatest(m, F.lit(float(lower)))
     m = m if upper is None else F.least(m, F.lit(float(upper)))
@@ -165,17 +170,18 @@ def probe_sign(seed: int, voxel_id: Column) -> Column:
     return F.when(F.xxhash64("case_id", voxel_id, F.lit(seed)) % 2 == 0, 1.0).otherwise(-1.0)
 
 
-def _dense_cases(kernel: DataFrame, data: DataFrame, cells: DataFrame, edges: DataFrame, cases: list[tuple], iterations: int, tolerance: float, probes: int | None) -> DataFrame:
+def _dense_cases(kernel: DataFrame, data: DataFrame, cells: DataFrame, edges: DataFrame, cases: list[tuple], iterations: int, tolerance: float, probes: int | None, penalty: DataFrame, pull: DataFrame) -> DataFrame:
     spark = kernel.sparkSession
     row = lambda df, kind, i, j, v, u: df.select(F.lit(kind).alias("kind"), i.cast("long").alias("i"), j.cast("long").alias("j"), v.cast("double").alias("v"), u.cast("double").alias("u"))
     none = F.lit(None)
     rows = row(kernel, 0, F.col("obs_id"), F.col("voxel_id"), F.col("val"), none).unionByName(row(data, 1, F.col("obs_id"), none, F.col("d"), F.col("sigma")))
     rows = rows.unionByName(row(cells, 2, none, F.col("voxel_id"), F.col("w"), none)).unionByName(row(edges, 3, F.col("src"), F.col("dst"), none, none))
+    rows = rows.unionByName(row(penalty, 4, F.col("i"), F.col("j"), F.col("q"), none)).unionByName(row(pull, 5, none, F.col("voxel_id"), F.col("b"), none))
     table = spark.createDataFrame(cases, "case_id int, damping double, smooth double, reference double")
 
     def solve(own: pd.DataFrame) -> pd.DataFrame:
         case, damping, smooth, reference = (own[c].iloc[0] for c in ("case_id", "damping", "smooth", "reference"))
-        k, d, c, e = (own[own.kind == n] for n in range(4))
+        k, d, c, e, more, pulled = (own[own.kind == n] for n in range(6))
         c = c.sort_values("j")
         ids, w = c.j.to_numpy(np.int64), c.v.to_numpy()
         obs = np.sort(d.i.to_numpy(np.int64))
@@ -185,15 +191,18 @@ def _dense_cases(kernel: DataFrame, data: DataFrame, cells: DataFrame, edges: Da
         g[np.searchsorted(obs, k.i.to_numpy(np.int64)), np.searchsorted(ids, k.j.to_numpy(np.int64))] = k.v.to_numpy()
         g /= d.u.to_numpy()[:, None]
         a, b = (np.searchsorted(ids, e[n].to_numpy(np.int64)) for n in ("i", "j"))
+        mi, mj = (np.searchsorted(ids, more[n].to_numpy(np.int64)) for n in ("i", "j"))
+        mq = more.v.to_numpy()
         n = len(ids)
 
         def times(x: np.ndarray) -> np.ndarray:
             jump = x[a] - x[b]
-            return g.T @ (g @ x) + damping**2 * w**2 * x + smooth**2 * (np.bincount(a, jump, n) - np.bincount(b, jump, n))
+            return g.T @ (g @ x) + damping**2 * w**2 * x + smooth**2 * (np.bincount(a, jump, n) - np.bincount(b, jump, n)) + np.bincount(mi, mq * x[mj], n)
 
-        diagonal = (g**2).sum(0) + damping**2 * w**2 + smooth**2 * (np.bincount(a, minlength=n) + np.bincount(b, minlength=n))
+        diagonal = (g**2).sum(0) + damping**2 * w**2 + smooth**2 * (np.bincount(a, minlength=n) + np.bincount(b, minlength=n)) + np.bincount(mi[mi == mj], mq[mi == mj], n)
         diagonal[diagonal <= 0] = 1.0
         r = g.T @ (d.v.to_numpy() / d.u.to_numpy() - reference * g.sum(1)) if probes is None else c.u.to_numpy(copy=True)
+        r = r + np.bincount(np.searchsorted(ids, pulled.j.to_numpy(np.int64)), pulled.v.to_numpy(), n)
         x, first = np.zeros(n), np.linalg.norm(r)
         z = r / diagonal
         p, rz = z.copy(), r @ z
@@ -216,19 +225,20 @@ def _dense_cases(kernel: DataFrame, data: DataFrame, cells: DataFrame, edges: Da
     return cased.groupBy("case_id").applyInPandas(solve, "case_id int, voxel_id long, m double")
 
 
-def _distributed_cases(kernel: DataFrame, data: DataFrame, cells: DataFrame, edges: DataFrame, cases: list[tuple], iterations: int, tolerance: float, probes: int | None) -> DataFrame:
+def _distributed_cases(kernel: DataFrame, data: DataFrame, cells: DataFrame, edges: DataFrame, cases: list[tuple], iterations: int, tolerance: float, probes: int | None, penalty: DataFrame, pull: DataFrame) -> DataFrame:
     of = lambda values: F.element_at(F.create_map(*[F.lit(x) for c, v in values.items() for x in (c, float(v))]), F.col("case_id"))
     damping, smooth, reference = (of({c[0]: c[k] for c in cases}) for k in (1, 2, 3))
     g = stored(kernel.join(data.select("obs_id", "sigma"), "obs_id").join(cells.select("voxel_id"), "voxel_id", "left_semi").select("obs_id", "voxel_id", (F.col("val") / F.col("sigma")).alias("val")), "kernel")
     beside = stored(edges.select(F.col("src").alias("voxel_id"), F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("voxel_id"), F.col("src").alias("other"))), "neighbours")
-    own = cells.join(g.groupBy("voxel_id").agg(F.sum(F.col("val") ** 2).alias("gg")), "voxel_id", "left").join(beside.groupBy("voxel_id").agg(F.count("*").alias("degree")), "voxel_id", "left").na.fill(0, ["gg", "degree"])
+    penalty = stored(penalty, "penalty")
+    own = cells.join(g.groupBy("voxel_id").agg(F.sum(F.col("val") ** 2).alias("gg")), "voxel_id", "left").join(penalty.where("i = j").groupBy(F.col("i").alias("voxel_id")).agg(F.sum("q").alias("qq")), "voxel_id", "left").join(pull.groupBy("voxel_id").agg(F.sum("b").alias("b")), "voxel_id", "left").join(beside.groupBy("voxel_id").agg(F.count("*").alias("degree")), "voxel_id", "left").na.fill(0, ["gg", "degree", "qq", "b"])
     every = F.explode(F.array(*[F.lit(c[0]) for c in cases])).alias("case_id")
-    diagonal = F.col("gg") + (damping * F.col("w")) ** 2 + smooth**2 * F.col("degree")
-    own = stored(own.select("voxel_id", "w", "gg", "degree", every).select("case_id", "voxel_id", "w", F.when(diagonal > 0, diagonal).otherwise(1.0).alias("diagonal")), "cells")
+    diagonal = F.col("gg") + F.col("qq") + (damping * F.col("w")) ** 2 + smooth**2 * F.col("degree")
+    own = stored(own.select("voxel_id", "w", "gg", "degree", "qq", "b", every).select("case_id", "voxel_id", "w", "b", F.when(diagonal > 0, diagonal).otherwise(1.0).alias("diagonal")), "cells")
     back = lambda q: g.join(q, "obs_id").groupBy("case_id", "voxel_id").agg(F.sum(F.col("val") * F.col("q")).alias("t"))
     flat = g.groupBy("obs_id").agg(F.sum("val").alias("all"))
     start = data.join(flat, "obs_id", "left").na.fill(0, ["all"]).select("obs_id", (F.col("d") / F.col("sigma")).alias("d"), "all", every).select("case_id", "obs_id", (F.col("d") - reference * F.col("all")).alias("q"))
-    r = F.coalesce("t", F.lit(0.0)) if probes is None else probe_sign(probes, F.col("voxel_id"))
+    r = (F.coalesce("t", F.lit(0.0)) if probes is None else probe_sign(probes, F.col("voxel_id"))) + F.col("b")
     state = (own.join(back(start), ["case_id", "voxel_id"], "left") if probes is None else own).select("case_id", "voxel_id", "w", "diagonal", F.lit(0.0).alias("x"), r.alias("r"), (r / F.col("diagonal")).alias("p"))
     state = stored(state, "state")
     sums = lambda df, *more: {x["case_id"]: x for x in df.groupBy("case_id").agg(F.sum(F.col("r") ** 2).alias("rr"), F.sum(F.col("r") ** 2 / F.col("diagonal")).alias("rz"), *more).collect()}  # noqa: E731  # a row for each case
@@ -240,8 +250,9 @@ def _distributed_cases(kernel: DataFrame, data: DataFrame, cells: DataFrame, edg
         p = state.select("case_id", "voxel_id", "p")
         q = g.join(p, "voxel_id").groupBy("case_id", "obs_id").agg(F.sum(F.col("val") * F.col("p")).alias("q"))
         lap = beside.join(p.withColumnsRenamed({"voxel_id": "other", "p": "po"}), "other").groupBy("case_id", "voxel_id").agg(F.count("*").alias("k"), F.sum("po").alias("s"))
-        q = state.join(back(q), ["case_id", "voxel_id"], "left").join(lap, ["case_id", "voxel_id"], "left").na.fill(0, ["t", "k", "s"])
-        q = stored(q.withColumn("q", F.col("t") + (damping * F.col("w")) ** 2 * F.col("p") + smooth**2 * (F.col("k") * F.col("p") - F.col("s"))).drop("t", "k", "s"), "products")
+        extra = penalty.join(p.withColumnRenamed("voxel_id", "j"), "j").groupBy("case_id", F.col("i").alias("voxel_id")).agg(F.sum(F.col("q") * F.col("p")).alias("e"))
+        q = state.join(back(q), ["case_id", "voxel_id"], "left").join(lap, ["case_id", "voxel_id"], "left").join(extra, ["case_id", "voxel_id"], "left").na.fill(0, ["t", "k", "s", "e"])
+        q = stored(q.withColumn("q", F.col("t") + (damping * F.col("w")) ** 2 * F.col("p") + smooth**2 * (F.col("k") * F.col("p") - F.col("s")) + F.col("e")).drop("t", "k", "s", "e"), "products")
         pq = {x["case_id"]: x["pq"] for x in q.groupBy("case_id").agg(F.sum(F.col("p") * F.col("q")).alias("pq")).collect()}
         alpha = of({c: now[c]["rz"] / pq[c] if pq[c] else 0.0 for c in now})
         moved = stored(q.select("case_id", "voxel_id", "w", "diagonal", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("q")).alias("r"), "p"), "moved")
@@ -341,16 +352,142 @@ def structural_similarity(df: DataFrame, a: str, b: str, size: float) -> DataFra
     return g.agg((F.sum("x") / (F.sum(F.col("a") * F.col("b")) + 1e-12)).alias("e_cell"), (norm("x") / (norm("a") * norm("b") + 1e-12)).alias("e_l2"))
 
 
-def upward_continuation(grids: DataFrame, step: float, height: float) -> DataFrame:
-    """survey, row, col, g: each survey's grid continued by `height`, exp(-k h) in the wave numbers. A survey's grid is one task's."""
+def edge_penalty(edges: DataFrame) -> DataFrame:
+    """i, j, q of the sum over edges (src, dst, weight) of (weight (m_src - m_dst))^2."""
+    w = F.col("weight") ** 2
+    four = [F.struct(F.col(a).alias("i"), F.col(b).alias("j"), (w if a == b else -w).alias("q")) for a in ("src", "dst") for b in ("src", "dst")]
+    return edges.select(F.inline(F.array(*four))).groupBy("i", "j").agg(F.sum("q").alias("q"))
+
+
+def cross_penalty(cells: DataFrame, value: str, size: float, factor: float) -> DataFrame:
+    """i, j, q of factor^2 times the sum over cells of |grad m x u|^2, u the unit vector along the gradient of `value` (1e-12 under its root).
+
+    cells: voxel_id, ix, iy, iz, value. A difference has two ends, so that a cell gives at most 36 products; they are summed by (i, j).
+    """
+    from lodestone.operators.spatial import gradient
+
+    g = gradient(cells, value, size)
+    u = {a: F.coalesce(F.col(f"g{a}"), F.lit(0.0)) for a in "xyz"}
+    length = F.sqrt(u["x"] ** 2 + u["y"] ** 2 + u["z"] ** 2 + 1e-12)
+    g = g.withColumns({f"u{a}": u[a] / length for a in "xyz"})
+    # what a step along each axis adds to grad m x u
+    turned = {"x": (F.lit(0.0), -F.col("uz"), F.col("uy")), "y": (F.col("uz"), F.lit(0.0), -F.col("ux")), "z": (-F.col("uy"), F.col("ux"), F.lit(0.0))}
+    ends = []
+    for a in "xyz":
+        w = Window.partitionBy(*[f"i{o}" for o in "xyz" if o != a]).orderBy(f"i{a}")
+        g = g.withColumns({f"b{a}": F.lag("voxel_id").over(w), f"a{a}": F.lead("voxel_id").over(w)})
+        before, after = F.col(f"b{a}"), F.col(f"a{a}")
+        step = F.when(before.isNotNull() & after.isNotNull(), 2 * size).when(before.isNotNull() | after.isNotNull(), size)
+        for end, sign in ((F.coalesce(after, "voxel_id"), 1.0), (F.coalesce(before, "voxel_id"), -1.0)):
+            ends.append(F.struct(end.alias("c"), *[(F.coalesce(sign / step, F.lit(0.0)) * t).alias(n) for t, n in zip(turned[a], "xyz", strict=True)]))
+    g = g.select(F.array(*ends).alias("e"))
+    product = lambda s, t: F.struct(s["c"].alias("i"), t["c"].alias("j"), (s["x"] * t["x"] + s["y"] * t["y"] + s["z"] * t["z"]).alias("q"))
+    pairs = g.select(F.inline(F.flatten(F.transform("e", lambda s: F.transform("e", lambda t: product(s, t))))))
+    return pairs.groupBy("i", "j").agg((factor**2 * F.sum("q")).alias("q"))
+
+
+def joint(cells: DataFrame, physics: list[tuple], edges: DataFrame, size: float, cross_most: float, rounds: int = 10, most_dense: int = MOST_DENSE) -> tuple[DataFrame, DataFrame]:
+    """(voxel_id, a, b; history) of two physics that should share their structure.
+
+    cells: voxel_id, ix, iy, iz, w. physics: for a and b (kernel, data, damping, smooth, lower, upper). Each is inverted alone; then,
+    in turns, each again about its last model, with its gradient drawn to that of the other's by cross_penalty(), whose factor is
+    cross_most (1 - exp(-round / 4)). It ends when both models move by less than 1e-3 and e_cell of structural_similarity() by less
+    than 1e-2, or e_cell is below 0.1, or after `rounds`. history: round, factor, e_cell, e_l2, moved_a, moved_b, stop of each round.
+    """
+    place = cells.select("voxel_id", "ix", "iy", "iz")
+
+    def solve(k: int, last: DataFrame | None, other: DataFrame | None, factor: float) -> DataFrame:
+        kernel, data, damping, smooth, lower, upper = physics[k]
+        penalty = None if other is None else cross_penalty(place.join(other, "voxel_id"), "m", size, factor)
+        pull = None if last is None else cells.join(last, "voxel_id").select("voxel_id", ((damping * F.col("w")) ** 2 * F.col("m")).alias("b"))
+        m = regularised(kernel, data, cells.select("voxel_id", "w"), edges, [(0, damping, smooth, 0.0)], most_dense, lower, upper, penalty=penalty, pull=pull)
+        return stored(m.select("voxel_id", "m"), "joint-model")
+
+    def alike(a: DataFrame, b: DataFrame) -> tuple[float, float]:
+        both = place.join(a.withColumnRenamed("m", "a"), "voxel_id").join(b.withColumnRenamed("m", "b"), "voxel_id")
+        return tuple(structural_similarity(both, "a", "b", size).first())
+
+    def moved(new: DataFrame, old: DataFrame) -> float:
+        d = new.join(old.withColumnRenamed("m", "o"), "voxel_id").agg(F.sqrt(F.sum((F.col("m") - F.col("o")) ** 2)) / (F.sqrt(F.sum(F.col("o") ** 2)) + 1e-12))
+        return d.first()[0]
+
+    a, b = solve(0, None, None, 0.0), solve(1, None, None, 0.0)
+    e, l2 = alike(a, b)
+    history = [(0, 0.0, e, l2, None, None, None)]
+    for k in range(1, rounds + 1):
+        factor = cross_most * (1 - math.exp(-k / 4))
+        new_a = solve(0, a, b, factor)
+        new_b = solve(1, b, new_a, factor)
+        before, (e, l2) = e, alike(new_a, new_b)
+        da, db = moved(new_a, a), moved(new_b, b)
+        a, b = new_a, new_b
+        still = da < 1e-3 and db < 1e-3 and abs(e - before) / (before + 1e-12) < 1e-2
+        stop = "models and e_cell stay" if still else "e_cell is small" if e < 0.1 else "rounds are over" if k == rounds else None
+        history.append((k, factor, e, l2, da, db, stop))
+        if stop:
+            break
+    told = cells.sparkSession.createDataFrame(history, "round int, factor double, e_cell double, e_l2 double, moved_a double, moved_b double, stop string")
+    return a.withColumnRenamed("m", "a").join(b.withColumnRenamed("m", "b"), "voxel_id"), told
+
+
+def upward_continuation(grids: DataFrame, step: float, height: float, padded: bool = False) -> DataFrame:
+    """survey, row, col, g: each survey's grid continued by `height`, exp(-k h) in the wave numbers. A survey's grid is one task's.
+
+    padded repeats the last row and column up to the next power of two from twice the size, so that opposite edges don't meet.
+    """
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         n, m = int(own.row.max()) + 1, int(own.col.max()) + 1
         g = np.full((n, m), own.g.mean())
         g[own.row.to_numpy(), own.col.to_numpy()] = own.g.to_numpy()
-        k = 2 * np.pi * np.hypot(np.fft.fftfreq(n, step)[:, None], np.fft.rfftfreq(m, step)[None, :])
-        out = np.fft.irfft2(np.fft.rfft2(g) * np.exp(-k * height), (n, m))
+        if padded:
+            g = np.pad(g, [(0, (1 << (2 * k - 1).bit_length()) - k) for k in (n, m)], mode="edge")
+        k = 2 * np.pi * np.hypot(np.fft.fftfreq(g.shape[0], step)[:, None], np.fft.rfftfreq(g.shape[1], step)[None, :])
+        out = np.fft.irfft2(np.fft.rfft2(g) * np.exp(-k * height), g.shape)[:n, :m]
         r, c = np.mgrid[0:n, 0:m]
         return pd.DataFrame({"survey": own.survey.iloc[0], "row": r.ravel(), "col": c.ravel(), "g": out.ravel()})
 
     return grids.groupBy("survey").applyInPandas(run, "survey int, row long, col long, g double")
+
+
+def corners(points: DataFrame, step: float) -> DataFrame:
+    """survey, x0, z0, rows, cols, mean of the lattice over each survey's stations (survey, obs_id, x, z, g)."""
+    c = points.groupBy("survey").agg(F.min("x").alias("x0"), F.min("z").alias("z0"), F.max("x").alias("_x"), F.max("z").alias("_z"), F.avg("g").alias("mean"))
+    return c.select("survey", "x0", "z0", (F.ceil((F.col("_z") - F.col("z0")) / step) + 1).alias("rows"), (F.ceil((F.col("_x") - F.col("x0")) / step) + 1).alias("cols"), "mean")
+
+
+def gridded(points: DataFrame, step: float, reach: int = 2) -> DataFrame:
+    """survey, row, col, g on the lattice of corners(): the mean of stations less than `reach` steps away along both axes, weighted by the inverse
+    square of their distance; the survey's mean where there is none. A station goes to 4 reach^2 nodes, summed before they shuffle.
+    """
+    c = corners(points, step)
+    p = points.join(c, "survey").withColumns({"_v": (F.col("z") - F.col("z0")) / step, "_u": (F.col("x") - F.col("x0")) / step})
+    near = lambda u: F.explode(F.sequence(F.floor(u) - (reach - 1), F.floor(u) + reach))
+    p = p.withColumn("row", near("_v")).withColumn("col", near("_u")).where((F.col("row") >= 0) & (F.col("row") < F.col("rows")) & (F.col("col") >= 0) & (F.col("col") < F.col("cols")))
+    w = 1 / ((F.col("row") - F.col("_v")) ** 2 + (F.col("col") - F.col("_u")) ** 2 + 1e-9)
+    seen = p.groupBy("survey", "row", "col").agg((F.sum(w * F.col("g")) / F.sum(w)).alias("g"))
+    nodes = c.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)))
+    return nodes.join(seen, ["survey", "row", "col"], "left").select("survey", "row", "col", F.coalesce("g", "mean").alias("g"))
+
+
+def at_stations(grid: DataFrame, points: DataFrame, step: float, values: list[str]) -> DataFrame:
+    """survey, obs_id and the values of a grid (survey, row, col, ...) on the lattice of corners(), bilinear between four nodes."""
+    p = points.join(corners(points, step), "survey").withColumns({"_v": (F.col("z") - F.col("z0")) / step, "_u": (F.col("x") - F.col("x0")) / step})
+    four = F.explode(F.array(*[F.struct((F.floor("_v") + r).alias("row"), (F.floor("_u") + c).alias("col")) for r in (0, 1) for c in (0, 1)])).alias("n")
+    p = p.select("survey", "obs_id", "_u", "_v", four).select("survey", "obs_id", F.col("n.row").alias("row"), F.col("n.col").alias("col"), ((1 - F.abs(F.col("n.row") - F.col("_v"))) * (1 - F.abs(F.col("n.col") - F.col("_u")))).alias("_w"))
+    return p.where("_w > 0").join(grid, ["survey", "row", "col"]).groupBy("survey", "obs_id").agg(*[F.sum(F.col("_w") * F.col(v)).alias(v) for v in values])
+
+
+def regional_residual(points: DataFrame, step: float, height: float, highpass: bool = True) -> DataFrame:
+    """survey, obs_id, regional, residual: the field continued by `height`, and what is left of it, less its own continuation by half the height (highpass).
+
+    points: survey, obs_id (one row each), x, z, g. Surveys are gridded and sampled by joins; the filter takes one survey's grid a task.
+    """
+    key = ["survey", "row", "col"]
+    g = stored(gridded(points, step), "survey-grid")
+    both = g.join(upward_continuation(g, step, height, True).withColumnRenamed("g", "regional"), key).select(*key, "regional", (F.col("g") - F.col("regional")).alias("residual"))
+    if highpass:
+        both = stored(both, "survey-residual")
+        again = upward_continuation(both.select(*key, F.col("residual").alias("g")), step, height / 2, True)
+        both = both.join(again, key).select(*key, "regional", (F.col("residual") - F.col("g")).alias("residual"))
+    return at_stations(both, points, step, ["regional", "residual"])

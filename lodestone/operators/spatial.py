@@ -64,7 +64,7 @@ def point_mass(dx: Column, dy: Column, dz: Column, volume: Column) -> Column:
     return G_NEWTON * volume * dy / (r2 * F.sqrt(r2))
 
 
-def prism(dx: Column, dy: Column, dz: Column, hx: float, hy: float, hz: float, eps: float = 1e-12) -> Column:
+def prism(dx: Column, dy: Column, dz: Column, hx: Column | float, hy: Column | float, hz: Column | float, eps: float = 1e-12) -> Column:
     """Attraction along y of a prism of unit density, half sizes hx, hy, hz, its centre at (dx, dy, dz): the sum over eight corners."""
     total = F.lit(0.0)
     for i in (-1, 1):
@@ -95,6 +95,17 @@ def gravity_kernel(sensors: DataFrame, cells: DataFrame, size: float, cutoff: fl
     return pairs.select("obs_id", "voxel_id", F.when(F.col("r") <= near, prism(*d, h, h, h)).otherwise(point_mass(*d, F.lit(size**3))).alias("val"))
 
 
+def sized_kernel(sensors: DataFrame, cells: DataFrame, cutoff: float) -> DataFrame:
+    """gravity_kernel() for cells of their own sizes: voxel_id, x0, x1, y0, y1, z0, z1. Near and far are told apart by each cell's size."""
+    c = cells.select("voxel_id", *[((F.col(f"{a}0") + F.col(f"{a}1")) / 2).alias(a) for a in "xyz"], *[((F.col(f"{a}1") - F.col(f"{a}0")) / 2).alias(f"h{a}") for a in "xyz"])
+    pairs = within_radius(sensors.select("obs_id", "x_m", "y_m", "z_m"), c, [("x_m", "x"), ("y_m", "y"), ("z_m", "z")], cutoff)
+    d = [F.col(a) - F.col(f"{a}_m") for a in "xyz"]
+    h = [F.col(f"h{a}") for a in "xyz"]
+    volume = 8 * h[0] * h[1] * h[2]
+    near = 4 * F.cbrt(3 * volume / (4 * math.pi))
+    return pairs.select("obs_id", "voxel_id", F.when(F.col("r") <= near, prism(*d, *h)).otherwise(point_mass(*d, volume)).alias("val"))
+
+
 def magnetic_kernel(sensors: DataFrame, cells: DataFrame, size: float, cutoff: float, field: float, inclination: float, declination: float) -> DataFrame:
     pairs = within_radius(sensors.select("obs_id", "x_m", "y_m", "z_m"), cells.select("voxel_id", "x", "y", "z"), [("x_m", "x"), ("y_m", "y"), ("z_m", "z")], cutoff)
     d = [F.col(a) - F.col(b) for a, b in (("x", "x_m"), ("y", "y_m"), ("z", "z_m"))]

@@ -93,6 +93,28 @@ def upward_continuation(spark, sf_dir):
     return I.upward_continuation(grids, 100.0, 250.0)
 
 
+@query("survey_grid", """
+WITH p AS (SELECT c.obs_id, n.c_nationkey AS survey, c.x_m AS x, c.z_m AS z, c.g FROM v_obs c JOIN customer n ON n.c_custkey = c.obs_id), k AS (SELECT survey, min(x) AS x0, min(z) AS z0, CAST(ceil((max(z) - min(z)) / 500) AS BIGINT) + 1 AS nr, CAST(ceil((max(x) - min(x)) / 500) AS BIGINT) + 1 AS nc, avg(g) AS mean FROM p GROUP BY survey),
+n AS (SELECT k.*, r.range AS row, c.range AS col FROM k, range(0, 12) r, range(0, 12) c WHERE r.range < nr AND c.range < nc),
+w AS (SELECT n.survey, n.row, n.col, p.g, 1 / (pow(n.row - (p.z - n.z0) / 500, 2) + pow(n.col - (p.x - n.x0) / 500, 2) + CAST(1e-9 AS DOUBLE)) AS w FROM n JOIN p ON p.survey = n.survey AND n.row - floor((p.z - n.z0) / 500) BETWEEN -1 AND 2 AND n.col - floor((p.x - n.x0) / 500) BETWEEN -1 AND 2),
+s AS (SELECT survey, row, col, sum(w * g) / sum(w) AS g FROM w GROUP BY ALL)
+SELECT n.survey, n.row, n.col, round(coalesce(s.g, n.mean), 6) AS g FROM n LEFT JOIN s ON s.survey = n.survey AND s.row = n.row AND s.col = n.col""")
+def survey_grid(spark, sf_dir):
+    """Stations of each survey on a lattice of 500 m."""
+    return I.gridded(_stations(spark, sf_dir), 500.0).withColumn("g", F.round("g", 6))
+
+
+@query("regional_residual")
+def regional_residual(spark, sf_dir):
+    """survey, obs_id, regional, residual in two passes of continuation. Tests hold: a constant has no residual, a short wave stays."""
+    return I.regional_residual(_stations(spark, sf_dir), 500.0, 1000.0)
+
+
+def _stations(spark, sf_dir):
+    survey = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("obs_id"), F.col("c_nationkey").cast("int").alias("survey"))
+    return A.observations(spark, sf_dir).join(survey, "obs_id").select("survey", "obs_id", F.col("x_m").alias("x"), F.col("z_m").alias("z"), "g")
+
+
 def _problem(spark, sf_dir, kernel=None):
     """(kernel, data with sigma, cells with depth weights, edges) of the sensors and voxels; data of the voxels' own contrast."""
     k = I.stored(_kernel(spark, sf_dir) if kernel is None else kernel, "kernel")
@@ -117,6 +139,44 @@ def invert_magnetic(spark, sf_dir):
     return I.regularised(*_problem(spark, sf_dir, k), [(0, 1.0, 1.0, 0.0)], lower=0.0).select("voxel_id", F.col("m").alias("susceptibility"))
 
 
+@query("joint_inversion")
+def joint_inversion(spark, sf_dir):
+    """voxel_id, contrast, susceptibility of the same cells, their gradients drawn together."""
+    return _joint(spark, sf_dir)[0]
+
+
+@query("joint_history")
+def joint_history(spark, sf_dir):
+    """round, factor, e_cell, e_l2, moved_a, moved_b, stop of joint_inversion."""
+    return _joint(spark, sf_dir)[1]
+
+
+def _joint(spark, sf_dir):
+    k, d, w, e = _problem(spark, sf_dir)
+    magnetic = S.magnetic_kernel(A.sensors(spark, sf_dir), A.voxels(spark, sf_dir), 25.0, 120.0, 25000.0, -30.0, 2.0).withColumn("val", F.col("val") / 1000)
+    km, dm, _, _ = _problem(spark, sf_dir, magnetic)
+    cells = I.stored(A.voxels(spark, sf_dir).select("voxel_id", "ix", "iy", "iz").join(w, "voxel_id"), "cells")
+    models, history = I.joint(cells, [(k, d, 3.0, 1.0, -0.6, 1.6), (km, dm, 1.0, 1.0, 0.0, None)], I.stored(e, "edges"), 25.0, 200.0, 4)
+    return models.withColumnsRenamed({"a": "contrast", "b": "susceptibility"}), history
+
+
+@query("octree_inversion")
+def octree_inversion(spark, sf_dir):
+    """voxel_id (the leaf), x0 to z1, contrast held between -0.6 and 1.6: leaves round the sensors, data of the voxels' own contrast."""
+    from lodestone.plans.spatial import octree
+
+    leaves = I.stored(octree(spark, sf_dir), "leaves")
+    cells = leaves.select(F.col("cell_id").alias("voxel_id"), *[f"{a}{e}" for a in "xyz" for e in "01"])
+    _, d, _, _ = _problem(spark, sf_dir)
+    kernel = I.stored(S.sized_kernel(A.sensors(spark, sf_dir), cells, 250.0).withColumn("val", F.col("val") * 1e9), "kernel")
+    z0 = cells.agg((F.avg(F.col("y1") - F.col("y0")) / 2).alias("_z0"))
+    w = cells.join(F.broadcast(z0)).select("voxel_id", (1 / (F.greatest((F.col("y0") + F.col("y1")) / 2, F.lit(1.0)) + F.col("_z0"))).alias("w"))
+    w = w.join(F.broadcast(w.agg(F.avg("w").alias("_mean")))).select("voxel_id", (F.col("w") / F.col("_mean")).alias("w"))
+    faces = S.octree_edges(leaves)
+    m = I.regularised(kernel, d, w, faces.select("src", "dst"), [(0, 3.0, 0.0, 0.0)], lower=-0.6, upper=1.6, penalty=I.edge_penalty(faces.withColumn("weight", 64 * F.col("weight"))))
+    return cells.join(m, "voxel_id").select(*cells.columns, F.col("m").alias("contrast"))
+
+
 @query("lambda_alpha_sweep")
 def lambda_alpha_sweep(spark, sf_dir):
     """lambda, alpha, misfit_percent, chi2 on a grid of both."""

@@ -167,10 +167,10 @@ def _octree_sql() -> str:
 @query("octree_split", f"WITH {_octree_sql()} SELECT * FROM c3")
 def octree_split(spark, sf_dir):
     """Three rounds from one cell."""
-    return _octree(spark, sf_dir)
+    return octree(spark, sf_dir)
 
 
-def _octree(spark, sf_dir):
+def octree(spark, sf_dir):
     edge = 512.0
     cells = spark.range(1).select(F.lit(0).cast("long").alias("cell_id"), F.lit(0).alias("level"), *[F.lit(edge * int(e)).alias(f"{a}{e}") for a in "xyz" for e in "01"])
     s = A.sensors(spark, sf_dir).select("x_m", "y_m", "z_m").distinct()
@@ -185,7 +185,7 @@ _FACES = " UNION ALL ".join(f"SELECT a.cell_id AS src, b.cell_id AS dst, '{a}' A
 @query("octree_edges", f"WITH {_octree_sql()} {_FACES}")
 def octree_edges(spark, sf_dir):
     """Leaves that share part of a face."""
-    return S.octree_edges(_octree(spark, sf_dir))
+    return S.octree_edges(octree(spark, sf_dir))
 
 
 @query("mask_jaccard", """

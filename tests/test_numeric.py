@@ -85,16 +85,21 @@ def test_regularised_cases_as_the_normal_equations(spark, dense):
     out = inversion.regularised(
         kernel, spark.createDataFrame([(i, float(x), float(s)) for i, (x, s) in enumerate(zip(d, sigma, strict=True))], "obs_id long, d double, sigma double"), spark.createDataFrame([(i, float(x)) for i, x in enumerate(w)], "voxel_id long, w double"),
         spark.createDataFrame(edges, "src long, dst long"), cases, most_dense=dense, lower=-1.0, upper=1.0,
+        penalty=inversion.edge_penalty(spark.createDataFrame([(0, 4, 1.5), (2, 7, 0.5)], "src long, dst long, weight double")), pull=spark.createDataFrame([(3, 0.7), (8, -0.2)], "voxel_id long, b double"),
     )
     got = {(r.case_id, r.voxel_id): r.m for r in out.collect()}
     lap = np.zeros((n, n))
     for i, j in edges:
         lap[[i, j], [i, j]] += 1
         lap[[i, j], [j, i]] -= 1
+    mixed = np.zeros((n, n))
+    for i, j, weight in ((0, 4, 1.5), (2, 7, 0.5)):
+        mixed[[i, j], [i, j]] += weight**2
+        mixed[[i, j], [j, i]] -= weight**2
     for case, lam, alpha, ref in cases:
         gw = g / sigma[:, None]
-        left = gw.T @ gw + lam**2 * np.diag(w**2) + alpha**2 * lap
-        want = ref + np.linalg.solve(left, gw.T @ (d / sigma - ref * gw.sum(1)))
+        left = gw.T @ gw + lam**2 * np.diag(w**2) + alpha**2 * lap + mixed
+        want = ref + np.linalg.solve(left, gw.T @ (d / sigma - ref * gw.sum(1)) + np.array([0, 0, 0, 0.7, 0, 0, 0, 0, -0.2]))
         assert np.allclose([got[case, i] for i in range(n)], np.clip(want, -1, 1), atol=1e-6)
 
 
@@ -184,6 +189,56 @@ def test_cross_gradient_is_zero_for_parallel_fields(spark):
     assert inversion.cross_gradient(v, "density", "twice", 25.0).agg(F.max("cross")).first()[0] < 1e-9
 
 
+def test_cross_penalty_is_the_cross_product(spark):
+    rng = np.random.default_rng(7)
+    shape, size = (3, 4, 2), 5.0
+    a, m = rng.normal(size=shape), rng.normal(size=shape)
+    cells = [(int(np.ravel_multi_index(p, shape)), *p, float(a[p])) for p in np.ndindex(*shape)]
+    q = np.zeros((24, 24))
+    for r in inversion.cross_penalty(spark.createDataFrame(cells, "voxel_id long, ix int, iy int, iz int, v double"), "v", size, 3.0).collect():
+        q[r.i, r.j] += r.q
+    ga, gm = (np.stack(np.gradient(f, size)) for f in (a, m))
+    cross = np.cross(gm, ga / np.sqrt((ga**2).sum(0) + 1e-12), axis=0)
+    assert m.ravel() @ q @ m.ravel() == pytest.approx(9 * (cross**2).sum(), rel=1e-9)
+    assert np.allclose(q, q.T) and np.allclose(q.sum(1), 0, atol=1e-12)
+
+
+def test_joint_inversion_draws_structures_together(spark):
+    history = registry.QUERIES["joint_history"](spark, SF).orderBy("round").collect()
+    assert history[0].round == 0 and history[0].factor == 0 and history[-1].stop
+    assert history[1].factor == pytest.approx(200 * (1 - math.exp(-0.25)))
+    assert history[-1].e_cell < 0.8 * history[0].e_cell and 0 <= history[-1].e_l2 <= history[-1].e_cell + 1
+
+
+def test_sized_kernel_as_the_one_of_equal_cells(spark):
+    from lodestone.operators import spatial
+    from lodestone.sources import adapters
+
+    s, v = adapters.sensors(spark, SF), adapters.voxels(spark, SF)
+    boxes = v.select("voxel_id", *[(F.col(a) + h).alias(f"{a}{e}") for a in "xyz" for e, h in ((0, -12.5), (1, 12.5))])
+    got = spatial.sized_kernel(s, boxes, 120.0).withColumnRenamed("val", "other").join(spatial.gravity_kernel(s, v, 25.0, 120.0), ["obs_id", "voxel_id"], "full")
+    row = got.agg(F.max(F.abs(F.col("val") - F.col("other")) / F.abs("val")).alias("off"), F.count(F.when(F.col("val").isNull() | F.col("other").isNull(), 1)).alias("alone")).first()
+    assert row.off < 1e-6 and row.alone == 0
+
+
+def test_octree_inversion_explains_the_data(spark):
+    m = registry.QUERIES["octree_inversion"](spark, SF).agg(F.min("contrast"), F.max("contrast"), F.count("*")).first()
+    assert -0.6 <= m[0] < m[1] <= 1.6 and m[2] == registry.QUERIES["octree_split"](spark, SF).count()
+
+
+def test_regional_and_residual_of_stations(spark):
+    def parts(f):
+        rows = [(1, r * 40 + c, c * 500.0, r * 500.0, float(f(c, r))) for r in range(40) for c in range(40)]
+        out = inversion.regional_residual(spark.createDataFrame(rows, "survey int, obs_id long, x double, z double, g double"), 500.0, 2000.0).collect()
+        assert len(out) == 1600
+        return {divmod(r.obs_id, 40): (r.regional, r.residual) for r in out}
+
+    assert all(abs(a - 7) < 1e-6 and abs(b) < 1e-6 for a, b in parts(lambda c, r: 7.0).values())
+    wave = parts(lambda c, r: math.cos(math.pi * c / 2))  # of 2000 m: hardly anything is left 2000 m up
+    inside = [(wave[r, c], math.cos(math.pi * c / 2)) for r in range(10, 30) for c in range(10, 30)]
+    assert all(abs(a) < 0.02 and abs(b - g) < 0.1 for (a, b), g in inside)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001), (1001, 1002), (5, 5)], "src long, dst long")
     got = {r.node: r.label for r in graph.components(edges).collect()}
