@@ -6,9 +6,11 @@ from collections import deque
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.tables import stored
+
 
 def economics(blocks: DataFrame, price: Column, recovery: float, mining: float, processing: float, haulage: float, ramp: float, size: float, nx: int, nz: int) -> DataFrame:
     """blocks (ix, iy, iz, tonnage, grade, domain) with haul_m, cost, revenue and profit."""
@@ -94,25 +96,66 @@ def pits(blocks: DataFrame, arcs: DataFrame) -> DataFrame:
     return blocks.groupBy("scenario").cogroup(every.groupBy("of")).applyInPandas(solve, "scenario int, voxel_id long")
 
 
+def _sums_by_range(ranged: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """ranged (_part, run, ...) with running sums over each run: each range for itself, shifted by the totals of the run's ranges before."""
+    within = Window.partitionBy("_part", "run").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("run").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    totals = ranged.groupBy("_part", "run").agg(*[F.sum(v).alias(n) for n, v in sums.items()])
+    base = totals.select("_part", "run", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_before_{n}") for n in sums])
+    out = ranged.withColumns({n: F.sum(v).over(within) for n, v in sums.items()}).join(base, ["_part", "run"])
+    return out.select(*ranged.columns, *[(F.col(n) + F.col(f"_before_{n}")).alias(n) for n in sums])
+
+
+def _first_beyond(points: DataFrame, asked: DataFrame) -> DataFrame:
+    """run, at, to: for each row of asked (run, at, v, tie) the pos of the first of points (run, pos, v) with (v, pos) > (v, tie); none is left out.
+
+    An as-of join: both sides in one order over ranges, the next point within the range, else the first of the run's later ranges.
+    """
+    none = F.lit(None).cast("long")
+    rows = points.select("run", "v", F.col("pos").alias("tie"), F.lit(0).alias("kind"), "pos", none.alias("at")).unionByName(asked.select("run", "v", "tie", F.lit(1).alias("kind"), none.alias("pos"), "at"))
+    ranged = stored(rows.repartitionByRange("run", "v", "tie", "kind").withColumn("_part", F.spark_partition_id()), "year-ranges")
+    ahead = Window.partitionBy("_part", "run").orderBy(*[F.desc(c) for c in ("v", "tie", "kind")]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    later = Window.partitionBy("run").orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    firsts = ranged.groupBy("_part", "run").agg(F.min("pos").alias("first")).select("_part", "run", F.min("first").over(later).alias("_later"))
+    found = ranged.withColumn("_own", F.min("pos").over(ahead)).where("kind = 1").join(firsts, ["_part", "run"])
+    return found.select("run", "at", F.coalesce("_own", "_later").alias("to")).where("to IS NOT NULL")
+
+
 def schedule(blocks: DataFrame, mine_capacity: float, plant_capacity: float) -> DataFrame:
     """run, voxel_id, year: blocks in the order of phase, bench and value a ton; a block that doesn't fit opens the next year.
 
-    The rule depends on what went before, so each run's blocks are folded in order by one task, runs in parallel.
+    With running tonnages, the block that would end a year begun at any block is an as-of join. The years that do begin are the
+    ones reached from a run's first block; marking them doubles its reach each round, so the rounds are the logarithm of the years.
+    No run is held in one task. Tonnages are 0 or more; a block above a capacity uses up its year. Sums are in doubles, so a year
+    that is full to the last digit may end a block sooner or later than by taking tonnages off one by one.
     """
-
-    def fold(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.assign(vpt=np.where(own.tonnage > 0, own.profit / own.tonnage.where(own.tonnage > 0, 1), 0.0))
-        own = own.sort_values(["phase", "iy", "vpt", "voxel_id"], ascending=[True, True, False, True])
-        year, mine, plant, out = 1, mine_capacity, plant_capacity, []
-        for t, ore in zip(own.tonnage.to_numpy(), own.profit.to_numpy() > 0, strict=True):
-            if mine < t or (ore and plant < t):
-                year, mine, plant = year + 1, mine_capacity, plant_capacity
-            mine -= t
-            plant -= t if ore else 0.0
-            out.append(year)
-        return pd.DataFrame({"run": own.run, "voxel_id": own.voxel_id, "year": out})
-
-    return blocks.groupBy("run").applyInPandas(fold, "run int, voxel_id long, year int")
+    t, ore = F.col("tonnage"), F.col("profit") > 0
+    vpt = F.when(t > 0, F.col("profit") / t).otherwise(0.0)
+    order = [F.col("phase"), F.col("iy"), F.desc("vpt"), F.col("voxel_id")]
+    rows = blocks.select("run", "voxel_id", "phase", "iy", t.cast("double").alias("tonnage"), F.when(ore, t).otherwise(0.0).cast("double").alias("milled"), ore.alias("ore"), vpt.alias("vpt"))
+    ranged = stored(rows.repartitionByRange("run", *order).withColumn("_part", F.spark_partition_id()), "schedule-ranges")
+    rows = stored(_sums_by_range(ranged, order, {"mined": F.col("tonnage"), "fed": F.col("milled"), "pos": F.lit(1).cast("long")}), "schedule-sums")
+
+    def ends(total: str, own: str, capacity: float, what: Column) -> DataFrame:
+        over = F.col(own) > capacity
+        bound = F.when(over, F.col(total)).otherwise(F.col(total) - F.col(own) + capacity)
+        asked = rows.select("run", F.col("pos").alias("at"), bound.alias("v"), F.when(over, F.col("pos")).otherwise(F.lit(2**63 - 1)).alias("tie"))
+        return _first_beyond(rows.where(what).select("run", "pos", F.col(total).alias("v")), asked)
+
+    jump = ends("mined", "tonnage", mine_capacity, F.lit(True)).unionByName(ends("fed", "milled", plant_capacity, F.col("ore")))
+    jump = stored(jump.groupBy("run", "at").agg(F.min("to").alias("to")), "year-jumps")
+    too_large = (F.col("tonnage") > mine_capacity) | (F.col("milled") > plant_capacity)
+    # a run's first block above a capacity leaves year 1 empty
+    begun = stored(rows.where("pos = 1").select("run", "pos", F.when(too_large, 2).otherwise(1).alias("opens")), "years")
+    while True:
+        reached = stored(begun.join(jump, (begun.run == jump.run) & (begun.pos == jump["at"])).select(begun.run, F.col("to").alias("pos"), F.lit(1).alias("opens")), "years")
+        if not reached.head(1):
+            break
+        begun = begun.unionByName(reached)
+        far = jump.select("run", F.col("at").alias("to"), F.col("to").alias("_far"))
+        jump = stored(jump.join(far, ["run", "to"]).select("run", "at", F.col("_far").alias("to")), "year-jumps")
+    flagged = rows.select("_part", "run", "voxel_id", "pos").join(begun, ["run", "pos"], "left").na.fill(0, ["opens"])
+    return _sums_by_range(flagged, [F.col("pos")], {"year": F.col("opens")}).select("run", "voxel_id", F.col("year").cast("int").alias("year"))
 
 
 def mine_method(blocks: DataFrame, ore: Column, overall_level: Column) -> DataFrame:

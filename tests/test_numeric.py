@@ -44,6 +44,29 @@ def test_schedule_keeps_order_and_capacity(spark):
         assert sum(r.tonnage for r in own) <= 50.0 and sum(r.tonnage for r in own if r.profit > 0) <= 25.0
 
 
+def test_schedule_as_a_fold(spark):
+    """Three runs with blocks of no tonnage and above both capacities, block by block."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for run, n, most in ((1, 150, 9), (2, 40, 70), (3, 1, 5)):
+        for i in range(n):
+            t = float(rng.integers(0, most)) if rng.random() < 0.9 else 0.0
+            rows.append((run, i, int(rng.integers(0, 3)), int(rng.integers(0, 4)), t, float(rng.integers(-3, 4))))
+    df = spark.createDataFrame(rows, "run int, voxel_id long, phase int, iy int, tonnage double, profit double")
+    want = {}
+    for run in (1, 2, 3):
+        own = sorted((r for r in rows if r[0] == run), key=lambda r: (r[2], r[3], -(r[5] / r[4] if r[4] > 0 else 0.0), r[1]))
+        year, mine_left, plant_left = 1, 50.0, 25.0
+        for _, k, _, _, t, profit in own:
+            if mine_left < t or (profit > 0 and plant_left < t):
+                year, mine_left, plant_left = year + 1, 50.0, 25.0
+            mine_left -= t
+            plant_left -= t if profit > 0 else 0.0
+            want[run, k] = year
+    assert {(r.run, r.voxel_id): r.year for r in mine.schedule(df, 50.0, 25.0).collect()} == want
+    assert mine.schedule(df.limit(0), 50.0, 25.0).collect() == []
+
+
 def test_fleet_is_repeatable_and_bounded(spark):
     a, b = (sorted(map(tuple, registry.QUERIES["fleet_simulation"](spark, SF).collect())) for _ in range(2))
     assert a == b and all(0 < trips <= 480 / (3.0 * 0.9) + 1 for _, trips in a)
