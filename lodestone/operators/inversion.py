@@ -328,11 +328,11 @@ def focus(model: DataFrame, value: str, epsilon: float, rounds: int = 3) -> Data
 
 
 def _gradients(df: DataFrame, a: str, b: str, size: float) -> tuple[DataFrame, Column, Column, Column]:
-    """df with both gradients, and the lengths of grad a x grad b, grad a and grad b."""
+    """df with both gradients, and the lengths of grad a x grad b, grad a and grad b. A cell alone along an axis has no slope there."""
     from lodestone.operators.spatial import gradient
 
     ga = gradient(df, a, size).withColumnsRenamed({"gx": "ax", "gy": "ay", "gz": "az"})
-    g = gradient(ga, b, size)
+    g = gradient(ga, b, size).na.fill(0.0, [f"{n}{p}" for n in "ag" for p in "xyz"])
     cross = [F.col(f"a{p}") * F.col(f"g{q}") - F.col(f"a{q}") * F.col(f"g{p}") for p, q in (("y", "z"), ("z", "x"), ("x", "y"))]
     length = lambda v: F.sqrt(sum((c * c for c in v[1:]), v[0] * v[0]))
     return g, length(cross), length([F.col(f"a{p}") for p in "xyz"]), length([F.col(f"g{p}") for p in "xyz"])

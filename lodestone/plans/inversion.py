@@ -218,7 +218,7 @@ def checkerboard(spark, sf_dir):
     return m.agg(c.alias("pearson"), F.avg(F.when(F.signum("t") == F.signum("m"), 100.0).otherwise(0.0)).alias("sign_percent"), F.when(c >= 0.6, "PASS").when(c >= 0.4, "WARN").otherwise("FAIL").alias("label"))
 
 
-_D = lambda c, w: f"CASE WHEN lag({c}) OVER {w} IS NULL THEN (lead({c}) OVER {w} - {c}) / 25 WHEN lead({c}) OVER {w} IS NULL THEN ({c} - lag({c}) OVER {w}) / 25 ELSE (lead({c}) OVER {w} - lag({c}) OVER {w}) / 50 END"
+_D = lambda c, w: f"coalesce(CASE WHEN lag({c}) OVER {w} IS NULL THEN (lead({c}) OVER {w} - {c}) / 25 WHEN lead({c}) OVER {w} IS NULL THEN ({c} - lag({c}) OVER {w}) / 25 ELSE (lead({c}) OVER {w} - lag({c}) OVER {w}) / 50 END, 0)"
 _CROSS = f"""g AS (SELECT voxel_id, {", ".join(f"{_D(c, w)} AS {n}{w[1]}" for c, n in (("density", "a"), ("grade", "b")) for w in ("wx", "wy", "wz"))} FROM v_voxels WINDOW wx AS (PARTITION BY iy, iz ORDER BY ix), wy AS (PARTITION BY ix, iz ORDER BY iy), wz AS (PARTITION BY ix, iy ORDER BY iz)),
 c AS (SELECT voxel_id, sqrt(pow(ay * bz - az * by_, 2) + pow(az * bx - ax * bz, 2) + pow(ax * by_ - ay * bx, 2)) AS x, sqrt(ax * ax + ay * ay + az * az) AS a, sqrt(bx * bx + by_ * by_ + bz * bz) AS b FROM g)""".replace(" AS by,", " AS by_,")
 
