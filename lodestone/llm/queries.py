@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from lodestone.llm import bpe, chat, exact_dedup, knn, mixing, near_dedup, quality, sharding, simhash, substring_dedup, token_counts
+from lodestone.llm import bpe, chat, exact_dedup, knn, mixing, near_dedup, prefix_trie, quality, sharding, simhash, substring_dedup, token_counts
 
 QUERIES = {
     "op1_kd_shards": sharding.op1_kd_shards,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_bpe": bpe.op9_bpe,
     "op10_voronoi_knn": knn.op10_voronoi_knn,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_simhash": simhash.op12_simhash,
 }
 
@@ -21,4 +22,5 @@ SQL = {
     "op4_chat": chat.OP4_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
     "op10_voronoi_knn": knn.OP10_SQL,
+    "op11_prefix_trie": prefix_trie.OP11_SQL,
 }
