@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from lodestone.llm import bpe, chat, exact_dedup, knn, mixing, near_dedup, prefix_trie, quality, sharding, simhash, substring_dedup, token_counts
+from lodestone.llm import bpe, chat, exact_dedup, knn, mixing, near_dedup, phrases, prefix_trie, quality, sharding, simhash, substring_dedup, token_counts
 
 QUERIES = {
     "op1_kd_shards": sharding.op1_kd_shards,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_voronoi_knn": knn.op10_voronoi_knn,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_simhash": simhash.op12_simhash,
+    "op13_phrases": phrases.op13_phrases,
 }
 
 SQL = {
@@ -23,4 +24,5 @@ SQL = {
     "op8_mix_sources": mixing.OP8_SQL,
     "op10_voronoi_knn": knn.OP10_SQL,
     "op11_prefix_trie": prefix_trie.OP11_SQL,
+    "op13_phrases": phrases.OP13_SQL,
 }
