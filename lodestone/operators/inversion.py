@@ -6,6 +6,7 @@ tables too. The driver sees a few scalars in each iteration.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -13,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators import blocks as B
 from lodestone.sources.tables import stored
 
 
@@ -104,8 +106,8 @@ def _systems(kernel: DataFrame, data: DataFrame, dampings: list[float]) -> DataF
 def sweep(kernel: DataFrame, data: DataFrame, dampings: list[float], most_obs: int = MOST_OBS) -> DataFrame:
     """damping, misfit, norm of the damped solution, for each damping.
 
-    Up to most_obs observations by the matrix G G' + damping^2 I, a task for each damping; beyond, by cgls() for each
-    damping, with misfit and norm as sums over distributed tables.
+    Up to most_obs observations by the matrix G G' + damping^2 I, a task for each damping; beyond, all from one Krylov
+    space (krylov_cases()).
     """
 
     def solve(own: pd.DataFrame) -> pd.DataFrame:
@@ -114,13 +116,10 @@ def sweep(kernel: DataFrame, data: DataFrame, dampings: list[float], most_obs: i
 
     if _few(data, most_obs):
         return _systems(kernel, data, dampings).groupBy("damping").applyInPandas(solve, "damping double, misfit double, norm double")
-    g, out = stored(kernel, "kernel"), None
-    for damping in dampings:
-        m = stored(cgls(g, data, damping), "model")
-        left = data.join(g.join(m, "voxel_id").groupBy("obs_id").agg(F.sum(F.col("val") * F.col("m")).alias("p")), "obs_id", "left").agg(F.sqrt(F.sum((F.col("d") - F.coalesce("p", F.lit(0.0))) ** 2)).alias("misfit"))
-        row = left.join(m.agg(F.sqrt(F.sum(F.col("m") ** 2)).alias("norm"))).select(F.lit(float(damping)).alias("damping"), "misfit", "norm")  # one row each
-        out = row if out is None else out.unionByName(row)
-    return out
+    flat = data.select("obs_id", "d", F.lit(1.0).alias("sigma"))
+    g = stored(kernel, "kernel")
+    cells = g.select("voxel_id").distinct().withColumn("w", F.lit(1.0))
+    return krylov_cases(g, flat, cells, g.select(F.col("voxel_id").alias("src"), F.col("voxel_id").alias("dst")).where(F.lit(False)), 0.0, dampings)[1].select("damping", "misfit", "norm")
 
 
 def damped(kernel: DataFrame, data: DataFrame, damping: float, most_obs: int = MOST_OBS) -> DataFrame:
@@ -139,90 +138,152 @@ def solve_in_data_space(kernel: DataFrame, data: DataFrame, damping: float) -> D
     return kernel.join(y, "obs_id").groupBy("voxel_id").agg(F.sum(F.col("val") * F.col("y")).alias("m"))
 
 
-#: Numbers of a dense kernel up to which regularised() gives a case to one task.
+#: Numbers of a dense kernel up to which focused() gives all rounds to one task.
 MOST_DENSE = 1 << 24
 
 
-def regularised(kernel: DataFrame, data: DataFrame, cells: DataFrame, edges: DataFrame, cases: list[tuple], most_dense: int = MOST_DENSE, lower: float | None = None, upper: float | None = None, iterations: int = 1000, tolerance: float = 1e-9, probes: int | None = None, penalty: DataFrame | None = None, pull: DataFrame | None = None) -> DataFrame:
+def regularised(kernel: DataFrame, data: DataFrame, cells: DataFrame, edges: DataFrame, cases: list[tuple], most_kernel: int = B.MOST_KERNEL, lower: float | None = None, upper: float | None = None, iterations: int = 1000, tolerance: float = 1e-9, probes: int | None = None, penalty: DataFrame | None = None, pull: DataFrame | None = None, most_cells: int = B.MOST_CELLS) -> DataFrame:
     """case_id, voxel_id, m of every cell: for each case (case_id, damping, smooth, reference) the least
 
         sum ((d - G m) / sigma)^2 + damping^2 sum (w (m - reference))^2 + smooth^2 sum over edges (m_src - m_dst)^2,
 
-    then held between lower and upper. data: obs_id, d, sigma; cells: voxel_id, w; edges: src, dst. Conjugate gradients on
-    the normal equations, scaled by their diagonal, to a relative residual of `tolerance`: dense in one task for each case
-    up to most_dense numbers, else all cases together as joins and partial sums. Both find the same model. With probes, a
-    seed, the right-hand side of a case is probe_sign() instead of the data's. penalty (i, j, q, both halves of a symmetric
-    matrix whose rows add up to 0) adds the sum of q m_i m_j, pull (voxel_id, b) takes off twice the sum of b m.
+    clipped afterwards to lower and upper (which is no minimum under bounds; bounded() is). data: obs_id, d, sigma; cells:
+    voxel_id, w; edges: src, dst. Conjugate gradients on the normal equations, scaled by their diagonal, to a relative
+    residual of `tolerance`. The kernel is packed once: up to most_kernel numbers each case is a task's, beyond all cases go
+    in passes over the blocks; grids of more than most_cells cells go as joins and partial sums. All find the same model.
+    With probes, a seed, the right-hand side of a case is probe_sign() instead of the data's. penalty (i, j, q, both halves
+    of a symmetric matrix whose rows add up to 0) adds the sum of q m_i m_j, pull (voxel_id, b) takes off twice the sum of b m.
     """
-    n_obs, n_cells = data.count(), cells.count()
-    penalty = edges.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.lit(0.0).alias("q")).where(F.lit(False)) if penalty is None else penalty
+    penalty = edges.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.lit(0.0).alias("q")).where(F.lit(False)) if penalty is None else stored(penalty, "penalty")
     pull = cells.select("voxel_id", F.lit(0.0).alias("b")).where(F.lit(False)) if pull is None else pull
-    solve = _dense_cases if n_obs * n_cells <= most_dense else _distributed_cases
-    out = solve(kernel, data, cells, edges, [(int(c), float(a), float(b), float(r)) for c, a, b, r in cases], iterations, tolerance, probes, penalty, pull)
+    cases = [(int(c), float(a), float(b), float(r)) for c, a, b, r in cases]
+    if cells.count() <= most_cells and penalty.count() <= 4 * most_cells:
+        out = _packed_cases(kernel, data, cells, edges, cases, iterations, tolerance, probes, penalty, pull, most_kernel)
+    else:
+        out = _distributed_cases(kernel, data, cells, edges, cases, iterations, tolerance, probes, penalty, pull)
     m = F.col("m")
     m = m if lower is None else F.greatest(m, F.lit(float(lower)))
     m = m if upper is None else F.least(m, F.lit(float(upper)))
     return out.select("case_id", "voxel_id", m.alias("m"))
 
 
-def probe_sign(seed: int, voxel_id: Column) -> Column:
+def probe_sign(seed: int, voxel_id: Column, case: Column | None = None) -> Column:
     """1 or -1, at random by case and cell."""
-    return F.when(F.xxhash64("case_id", voxel_id, F.lit(seed)) % 2 == 0, 1.0).otherwise(-1.0)
+    return F.when(F.xxhash64("case_id" if case is None else case, voxel_id, F.lit(seed)) % 2 == 0, 1.0).otherwise(-1.0)
+
+
+def _solve_cases(g, cases: list[tuple], held: dict, iterations: int, tolerance: float) -> dict[str, np.ndarray]:
+    _, damping, smooth, reference = (np.array(c, float) for c in zip(*cases, strict=True))
+    ahead, squares, _ = g.start()
+    weight = (held["w"][:, None] * damping) ** 2
+    system = (weight, smooth**2, held["edges"], held["penalty"])
+    if held["signs"] is not None:
+        rhs = held["signs"][:, [held["column"][c[0]] for c in cases]]
+    else:
+        flat = g.times(np.ones((g.n, 1))) if reference.any() else np.zeros((g.n, 1))
+        rhs = ahead[:, None] - flat * reference
+    rhs = rhs + held["pull"][:, None]
+    x = B.conjugate_gradients(lambda p: g.times(p) + B.added(p, *system), rhs, B.diagonal_of(squares, *system), iterations, tolerance)
+    return {"m": x + reference}
+
+
+def _packed_cases(kernel: DataFrame, data: DataFrame, cells: DataFrame, edges: DataFrame, cases: list[tuple], iterations: int, tolerance: float, probes: int | None, penalty: DataFrame, pull: DataFrame, most_kernel: int) -> DataFrame:
+    ids = B.cell_ids(cells)
+    held = {"edges": B.pairs_on(ids, edges, ["src", "dst"]), "penalty": B.pairs_on(ids, penalty, ["i", "j", "q"]), "w": B.on_cells(ids, cells, ["w"], [1.0])[0], "pull": B.on_cells(ids, pull.groupBy("voxel_id").agg(F.sum("b").alias("b")), ["b"], [0.0])[0]}
+    held |= {"signs": None, "column": {c[0]: k for k, c in enumerate(cases)}}
+    if probes is not None:
+        signs = cells.select("voxel_id", *[probe_sign(probes, F.col("voxel_id").cast("long"), F.lit(c[0])).alias(f"c{k}") for k, c in enumerate(cases)])
+        held["signs"] = np.stack(B.on_cells(ids, signs, [f"c{k}" for k in range(len(cases))], [1.0] * len(cases)), 1)
+    blocks = B.Blocks(kernel, data, ids)
+    solver = functools.partial(_solve_cases, iterations=iterations, tolerance=tolerance)
+    return B.as_table(kernel.sparkSession, ids, ((own, got["m"]) for own, got in blocks.solve(solver, cases, held, most_kernel)))
 
 
-def _dense_cases(kernel: DataFrame, data: DataFrame, cells: DataFrame, edges: DataFrame, cases: list[tuple], iterations: int, tolerance: float, probes: int | None, penalty: DataFrame, pull: DataFrame) -> DataFrame:
-    spark = kernel.sparkSession
-    row = lambda df, kind, i, j, v, u: df.select(F.lit(kind).alias("kind"), i.cast("long").alias("i"), j.cast("long").alias("j"), v.cast("double").alias("v"), u.cast("double").alias("u"))
-    none = F.lit(None)
-    rows = row(kernel, 0, F.col("obs_id"), F.col("voxel_id"), F.col("val"), none).unionByName(row(data, 1, F.col("obs_id"), none, F.col("d"), F.col("sigma")))
-    rows = rows.unionByName(row(cells, 2, none, F.col("voxel_id"), F.col("w"), none)).unionByName(row(edges, 3, F.col("src"), F.col("dst"), none, none))
-    rows = rows.unionByName(row(penalty, 4, F.col("i"), F.col("j"), F.col("q"), none)).unionByName(row(pull, 5, none, F.col("voxel_id"), F.col("b"), none))
-    table = spark.createDataFrame(cases, "case_id int, damping double, smooth double, reference double")
+def bounded(kernel: DataFrame, data: DataFrame, cells: DataFrame, edges: DataFrame, damping: float, smooth: float, tolerance: float = 1e-9, most_kernel: int = B.MOST_KERNEL) -> DataFrame:
+    """voxel_id, m of every cell: the least of the objective of regularised() with lower <= m <= upper for each cell.
 
-    def solve(own: pd.DataFrame) -> pd.DataFrame:
-        case, damping, smooth, reference = (own[c].iloc[0] for c in ("case_id", "damping", "smooth", "reference"))
-        k, d, c, e, more, pulled = (own[own.kind == n] for n in range(6))
-        c = c.sort_values("j")
-        ids, w = c.j.to_numpy(np.int64), c.v.to_numpy()
-        obs = np.sort(d.i.to_numpy(np.int64))
-        d = d.sort_values("i")
-        g = np.zeros((len(obs), len(ids)))
-        k = k[k.i.isin(obs) & k.j.isin(ids)]
-        g[np.searchsorted(obs, k.i.to_numpy(np.int64)), np.searchsorted(ids, k.j.to_numpy(np.int64))] = k.v.to_numpy()
-        g /= d.u.to_numpy()[:, None]
-        a, b = (np.searchsorted(ids, e[n].to_numpy(np.int64)) for n in ("i", "j"))
-        mi, mj = (np.searchsorted(ids, more[n].to_numpy(np.int64)) for n in ("i", "j"))
-        mq = more.v.to_numpy()
-        n = len(ids)
-
-        def times(x: np.ndarray) -> np.ndarray:
-            jump = x[a] - x[b]
-            return g.T @ (g @ x) + damping**2 * w**2 * x + smooth**2 * (np.bincount(a, jump, n) - np.bincount(b, jump, n)) + np.bincount(mi, mq * x[mj], n)
-
-        diagonal = (g**2).sum(0) + damping**2 * w**2 + smooth**2 * (np.bincount(a, minlength=n) + np.bincount(b, minlength=n)) + np.bincount(mi[mi == mj], mq[mi == mj], n)
-        diagonal[diagonal <= 0] = 1.0
-        r = g.T @ (d.v.to_numpy() / d.u.to_numpy() - reference * g.sum(1)) if probes is None else c.u.to_numpy(copy=True)
-        r = r + np.bincount(np.searchsorted(ids, pulled.j.to_numpy(np.int64)), pulled.v.to_numpy(), n)
-        x, first = np.zeros(n), np.linalg.norm(r)
-        z = r / diagonal
-        p, rz = z.copy(), r @ z
-        for _ in range(iterations):
-            if np.linalg.norm(r) <= tolerance * first:
-                break
-            q = times(p)
-            alpha = rz / (p @ q)
-            x, r = x + alpha * p, r - alpha * q
-            z = r / diagonal
-            rz, old = r @ z, rz
-            p = z + rz / old * p
-        else:
-            raise ArithmeticError(f"case {case}: no convergence in {iterations} iterations")
-        return pd.DataFrame({"case_id": np.int32(case), "voxel_id": ids, "m": reference + x})
-
-    cased = rows.join(F.broadcast(table))  # a row of cases for each solve
-    if probes is not None:
-        cased = cased.withColumn("u", F.when(F.col("kind") == 2, probe_sign(probes, F.col("j"))).otherwise(F.col("u")))
-    return cased.groupBy("case_id").applyInPandas(solve, "case_id int, voxel_id long, m double")
+    cells: voxel_id, w, lower, upper, target (null: no bound, target 0). A cell whose bounds are equal keeps that value
+    exactly: it is eliminated from the normal equations. Padding is a cell with a heavy w; air is no cell, and its edges and
+    kernel rows are left out. Projected conjugate gradients with an active set (blocks.within_bounds()), in one task or in
+    passes over the blocks. A grid has at most blocks.MOST_CELLS cells, which is checked.
+    """
+    if cells.count() > B.MOST_CELLS:
+        raise ValueError(f"more than {B.MOST_CELLS} cells")
+    ids = B.cell_ids(cells)
+    w, lower, upper, target = B.on_cells(ids, cells, ["w", "lower", "upper", "target"], [1.0, -np.inf, np.inf, 0.0])
+    held = {"w": w, "lower": lower, "upper": upper, "target": target, "edges": B.pairs_on(ids, edges, ["src", "dst"])}
+
+    def solver(g, cases: list, held: dict) -> dict[str, np.ndarray]:
+        ahead, squares, _ = g.start()
+        weight = ((held["w"] * damping) ** 2)[:, None]
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        system = (weight, np.array([smooth**2]), held["edges"], none)
+        times = lambda p: (g.times(p[:, None]) + B.added(p[:, None], *system))[:, 0]
+        x = B.within_bounds(times, ahead + weight[:, 0] * held["target"], B.diagonal_of(squares, *system)[:, 0], held["lower"], held["upper"], tolerance)
+        return {"m": x[:, None]}
+
+    blocks = B.Blocks(kernel, data, ids)
+    return B.as_table(kernel.sparkSession, ids, ((own, got["m"]) for own, got in blocks.solve(solver, [(0,)], held, most_kernel))).select("voxel_id", "m")
+
+
+def objective_slopes(kernel: DataFrame, data: DataFrame, cells: DataFrame, edges: DataFrame, model: DataFrame, damping: float, smooth: float) -> DataFrame:
+    """voxel_id, m, lower, upper, slope, size of each cell of cells: half the objective's slope at model (voxel_id, m), as joins, and the root of its second derivative."""
+    m = cells.join(model, "voxel_id").na.fill(0.0, ["target"])
+    k = kernel.join(m.select("voxel_id", "m"), "voxel_id").join(data.select("obs_id", "d", "sigma"), "obs_id")
+    left = data.join(k.groupBy("obs_id").agg(F.sum(F.col("val") * F.col("m")).alias("p")), "obs_id", "left").select("obs_id", ((F.coalesce("p", F.lit(0.0)) - F.col("d")) / F.col("sigma") ** 2).alias("q"), "sigma")
+    back = kernel.join(left, "obs_id").groupBy("voxel_id").agg(F.sum(F.col("val") * F.col("q")).alias("back"), F.sum((F.col("val") / F.col("sigma")) ** 2).alias("gg"))
+    both = edges.select(F.col("src").alias("voxel_id"), F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("voxel_id"), F.col("src").alias("other")))
+    beside = both.join(m.select(F.col("voxel_id").alias("other"), F.col("m").alias("mo")), "other").groupBy("voxel_id").agg(F.count("*").alias("n"), F.sum("mo").alias("mo"))
+    own = m.join(back, "voxel_id", "left").join(beside, "voxel_id", "left").na.fill(0, ["back", "gg", "n", "mo"])
+    weight = (damping * F.col("w")) ** 2
+    slope = F.col("back") + weight * (F.col("m") - F.col("target")) + smooth**2 * (F.col("n") * F.col("m") - F.col("mo"))
+    return own.select("voxel_id", "m", "lower", "upper", slope.alias("slope"), F.sqrt(F.col("gg") + weight + smooth**2 * F.col("n")).alias("size"))
+
+
+def objective(kernel: DataFrame, data: DataFrame, cells: DataFrame, edges: DataFrame, model: DataFrame, damping: float, smooth: float) -> DataFrame:
+    """One row: misfit (a weighted sum of squares) and objective of model (voxel_id, m)."""
+    p = kernel.join(model, "voxel_id").groupBy("obs_id").agg(F.sum(F.col("val") * F.col("m")).alias("p"))
+    fit = data.join(p, "obs_id", "left").agg(F.sum(((F.col("d") - F.coalesce("p", F.lit(0.0))) / F.col("sigma")) ** 2).alias("misfit"))
+    size = cells.na.fill(0.0, ["target"]).join(model, "voxel_id").agg(F.sum((damping * F.col("w") * (F.col("m") - F.col("target"))) ** 2).alias("size"))
+    of = lambda c: model.select(F.col("voxel_id").alias(c), F.col("m").alias(f"m_{c}"))
+    rough = edges.join(of("src"), "src").join(of("dst"), "dst").agg((smooth**2 * F.sum((F.col("m_src") - F.col("m_dst")) ** 2)).alias("rough"))
+    total = F.col("misfit") + F.col("size") + F.coalesce("rough", F.lit(0.0))
+    return fit.join(F.broadcast(size)).join(F.broadcast(rough)).select("misfit", total.alias("objective"))  # one row each
+
+
+#: Condition above which a damping is refused.
+MOST_CONDITION = 1e12
+
+
+def krylov_cases(kernel: DataFrame, data: DataFrame, cells: DataFrame, edges: DataFrame, smooth: float, dampings: list[float], most_condition: float = MOST_CONDITION, tolerance: float = 1e-8, most_kernel: int = B.MOST_KERNEL) -> tuple[DataFrame, DataFrame]:
+    """Models (case_id, voxel_id, m) of every damping, and damping, misfit, norm, condition, refused, products by case_id.
+
+    In the variable w m the dampings are shifts of one matrix, so one Krylov space serves them all: the number of products
+    with the kernel is that of the smallest damping. misfit is the root of the weighted sum of squares, norm that of w m.
+    A damping whose condition (see blocks.shifted()) is above most_condition is refused: it has no model.
+    """
+    if cells.count() * len(dampings) > 8 * B.MOST_CELLS:
+        raise ValueError(f"more than {8 * B.MOST_CELLS} cells times dampings")
+    ids = B.cell_ids(cells)
+    held = {"w": B.on_cells(ids, cells, ["w"], [1.0])[0], "edges": B.pairs_on(ids, edges, ["src", "dst"])}
+    k = len(dampings)
+
+    def solver(g, cases: list, held: dict) -> dict[str, np.ndarray]:
+        w = held["w"][:, None]
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        times = lambda y: (g.times(y / w) + B.added(y / w, np.zeros((g.n, 1)), np.array([smooth**2]), held["edges"], none)) / w
+        y, condition = B.shifted(times, g.start()[0] / w[:, 0], np.array(dampings) ** 2, tolerance=tolerance)
+        used = g.passes
+        return {"m": (y / w).ravel(), "misfit": np.array(g.misfits(y / w)), "norm": np.linalg.norm(y, axis=0), "condition": condition, "products": np.array([float(used)])}
+
+    blocks = B.Blocks(kernel, data, ids)
+    (_, got), = blocks.solve(solver, [(0,)], held, most_kernel)
+    unseen = data.join(kernel.select("obs_id").distinct(), "obs_id", "left_anti").agg(F.sum((F.col("d") / F.col("sigma")) ** 2)).first()[0] or 0.0
+    refused = got["condition"].ravel() > most_condition
+    rows = [(i, float(dampings[i]), float(np.sqrt(got["misfit"].ravel()[i] + unseen)), float(got["norm"].ravel()[i]), float(got["condition"].ravel()[i]), bool(refused[i]), int(got["products"].ravel()[0])) for i in range(k)]
+    fits = kernel.sparkSession.createDataFrame(rows, "case_id int, damping double, misfit double, norm double, condition double, refused boolean, products int")
+    models = B.as_table(kernel.sparkSession, ids, (([(i,)], got["m"].reshape(-1, k)[:, [i]]) for i in range(k) if not refused[i]))
+    return models, fits
 
 
 def _distributed_cases(kernel: DataFrame, data: DataFrame, cells: DataFrame, edges: DataFrame, cases: list[tuple], iterations: int, tolerance: float, probes: int | None, penalty: DataFrame, pull: DataFrame) -> DataFrame:
@@ -308,12 +369,12 @@ def _focused_dense(kernel: DataFrame, data: DataFrame, weights: DataFrame, dampi
     return rows.groupBy("all").applyInPandas(solve, "voxel_id long, m double")
 
 
-def posterior_std(kernel: DataFrame, damping: float, probes: int = 32, seed: int = 0, most_dense: int = MOST_DENSE) -> DataFrame:
+def posterior_std(kernel: DataFrame, damping: float, probes: int = 32, seed: int = 0, most_kernel: int = B.MOST_KERNEL, most_cells: int = B.MOST_CELLS) -> DataFrame:
     """voxel_id, std: Hutchinson's estimate of the diagonal of (G'G + damping^2 I)^-1 from random signs; probes are cases of regularised()."""
     data = kernel.select("obs_id").distinct().select("obs_id", F.lit(0.0).alias("d"), F.lit(1.0).alias("sigma"))
     cells = kernel.select("voxel_id").distinct().withColumn("w", F.lit(1.0))
     none = cells.select(F.col("voxel_id").alias("src"), F.col("voxel_id").alias("dst")).where(F.lit(False))
-    x = regularised(kernel, data, cells, none, [(k, damping, 0.0, 0.0) for k in range(probes)], most_dense, probes=seed)
+    x = regularised(kernel, data, cells, none, [(k, damping, 0.0, 0.0) for k in range(probes)], most_kernel, probes=seed, most_cells=most_cells)
     return x.groupBy("voxel_id").agg(F.sqrt(F.greatest(F.avg(probe_sign(seed, F.col("voxel_id")) * F.col("m")), F.lit(0.0))).alias("std"))
 
 
@@ -386,7 +447,7 @@ def cross_penalty(cells: DataFrame, value: str, size: float, factor: float) -> D
     return pairs.groupBy("i", "j").agg((factor**2 * F.sum("q")).alias("q"))
 
 
-def joint(cells: DataFrame, physics: list[tuple], edges: DataFrame, size: float, cross_most: float, rounds: int = 10, most_dense: int = MOST_DENSE) -> tuple[DataFrame, DataFrame]:
+def joint(cells: DataFrame, physics: list[tuple], edges: DataFrame, size: float, cross_most: float, rounds: int = 10, most_kernel: int = B.MOST_KERNEL) -> tuple[DataFrame, DataFrame]:
     """(voxel_id, a, b; history) of two physics that should share their structure.
 
     cells: voxel_id, ix, iy, iz, w. physics: for a and b (kernel, data, damping, smooth, lower, upper). Each is inverted alone; then,
@@ -400,7 +461,7 @@ def joint(cells: DataFrame, physics: list[tuple], edges: DataFrame, size: float,
         kernel, data, damping, smooth, lower, upper = physics[k]
         penalty = None if other is None else cross_penalty(place.join(other, "voxel_id"), "m", size, factor)
         pull = None if last is None else cells.join(last, "voxel_id").select("voxel_id", ((damping * F.col("w")) ** 2 * F.col("m")).alias("b"))
-        m = regularised(kernel, data, cells.select("voxel_id", "w"), edges, [(0, damping, smooth, 0.0)], most_dense, lower, upper, penalty=penalty, pull=pull)
+        m = regularised(kernel, data, cells.select("voxel_id", "w"), edges, [(0, damping, smooth, 0.0)], most_kernel, lower, upper, penalty=penalty, pull=pull)
         return stored(m.select("voxel_id", "m"), "joint-model")
 
     def alike(a: DataFrame, b: DataFrame) -> tuple[float, float]:

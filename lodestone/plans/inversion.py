@@ -132,6 +132,56 @@ def invert_smooth(spark, sf_dir):
     return I.regularised(*_problem(spark, sf_dir), [(0, 3.0, 1.0, 0.0)], lower=-0.6, upper=1.6).select("voxel_id", F.col("m").alias("contrast"))
 
 
+_AIR = "y - CAST(12.5 AS DOUBLE) < (ix + iz) % 4 * 25"
+_ANCHORS = """a AS (WITH m AS (SELECT hole, voxel_id, y, b.density, y BETWEEN y_from_m AND y_to_m AS inside, abs(y - (y_from_m + y_to_m) / 2) AS away FROM v_boreholes b JOIN v_voxels v ON floor(v.x / 25) = floor(b.x_m / 25) AND floor(v.z / 25) = floor(b.z_m / 25)),
+r AS (SELECT *, max(inside) OVER (PARTITION BY hole) AS has, row_number() OVER (PARTITION BY hole ORDER BY away, voxel_id) AS k FROM m)
+SELECT voxel_id, arg_max(density, hole) AS density FROM r WHERE inside OR (NOT has AND k = 1) GROUP BY voxel_id)"""
+
+
+def _bounded_problem(spark, sf_dir):
+    """The arguments of bounded(): air above the terrain is no cell, cells that boreholes pass keep their contrast, the outer columns are padding."""
+    k, d, w, e = _problem(spark, sf_dir)
+    v = A.voxels(spark, sf_dir)
+    ground = v.where((F.col("y") - 12.5) >= (F.col("ix") + F.col("iz")) % 4 * 25)
+    anchors = S.interval_anchors(v, A.boreholes(spark, sf_dir), 25.0).select("voxel_id", (F.col("density") - 2.6).alias("fixed"))
+    padding = F.when((F.col("ix") == 0) | (F.col("ix") == 19), 1e3).otherwise(F.col("w"))
+    cells = ground.join(w, "voxel_id").join(anchors, "voxel_id", "left")
+    cells = cells.select("voxel_id", padding.alias("w"), F.coalesce("fixed", F.lit(0.0)).alias("lower"), F.coalesce("fixed", F.lit(1.6)).alias("upper"), "fixed", F.coalesce("fixed", F.lit(0.0)).alias("target"))
+    return k, d, I.stored(cells, "cells"), I.stored(e.join(ground.select(F.col("voxel_id").alias("src")), "src").join(ground.select(F.col("voxel_id").alias("dst")), "dst"), "edges"), 3.0, 1.0
+
+
+@query("bounded_inversion")
+def bounded_inversion(spark, sf_dir):
+    """voxel_id, contrast between 0 and 1.6 that is least for misfit, size and roughness together; null in air, a borehole's where it passes."""
+    m = I.bounded(*_bounded_problem(spark, sf_dir))
+    return A.voxels(spark, sf_dir).select("voxel_id").join(m, "voxel_id", "left").withColumnRenamed("m", "contrast")
+
+
+@query("anchored_cells", f"WITH {_ANCHORS} SELECT voxel_id, CASE WHEN {_AIR} THEN NULL ELSE density - CAST(2.6 AS DOUBLE) END AS contrast FROM (SELECT v.voxel_id, v.ix, v.iz, v.y, a.density FROM v_voxels v LEFT JOIN a ON a.voxel_id = v.voxel_id) WHERE density IS NOT NULL OR {_AIR}")
+def anchored_cells(spark, sf_dir):
+    """voxel_id, contrast that bounded_inversion gives the cells that it may not change: exactly the boreholes', null in air."""
+    problem = _bounded_problem(spark, sf_dir)
+    m = I.bounded(*problem)
+    out = A.voxels(spark, sf_dir).select("voxel_id").join(m, "voxel_id", "left").join(problem[2].select("voxel_id", "fixed"), "voxel_id", "left")
+    return out.where("fixed IS NOT NULL OR m IS NULL").select("voxel_id", F.col("m").alias("contrast"))
+
+
+@query("bounded_optimality", f"WITH {_ANCHORS} SELECT count(*) AS cells, count(a.voxel_id) AS fixed, CAST(0 AS BIGINT) AS outside, CAST(0 AS BIGINT) AS wrong_slopes, true AS no_worse_than_clipped FROM v_voxels v LEFT JOIN a ON a.voxel_id = v.voxel_id WHERE NOT ({_AIR})")
+def bounded_optimality(spark, sf_dir):
+    """One row: cells, fixed ones, those outside their bounds, and those whose slope the bounds don't explain (Karush-Kuhn-Tucker), by joins; and whether the clipped free model is no better."""
+    k, d, cells, e, damping, smooth = _bounded_problem(spark, sf_dir)
+    m = I.stored(I.bounded(k, d, cells, e, damping, smooth), "model")
+    at = I.objective_slopes(k, d, cells, e, m, damping, smooth)
+    s, least = F.col("slope") / F.col("size"), 1e-4
+    apart = F.col("lower") < F.col("upper")
+    wrong = apart & (((F.col("m") > F.col("lower")) & (s > least)) | ((F.col("m") < F.col("upper")) & (s < -least)))
+    out = at.agg(F.count("*").alias("cells"), F.count_if(~apart).alias("fixed"), F.count_if((F.col("m") < F.col("lower")) | (F.col("m") > F.col("upper"))).alias("outside"), F.count_if(wrong).alias("wrong_slopes"))
+    free = cells.withColumns({"lower": F.col("fixed"), "upper": F.col("fixed")})
+    clipped = I.bounded(k, d, free, e, damping, smooth).join(cells.select("voxel_id", "lower", "upper"), "voxel_id").select("voxel_id", F.greatest(F.least("m", "upper"), "lower").alias("m"))
+    of = lambda model, name: I.objective(k, d, cells, e, model, damping, smooth).select(F.col("objective").alias(name))
+    return out.join(F.broadcast(of(m, "own"))).join(F.broadcast(of(clipped, "other"))).select(*out.columns, (F.col("own") <= F.col("other") * (1 + 1e-9)).alias("no_worse_than_clipped"))  # one row each
+
+
 @query("invert_magnetic")
 def invert_magnetic(spark, sf_dir):
     """voxel_id, susceptibility from the total field of dipoles, held at 0 or above."""
@@ -191,11 +241,38 @@ def _fits(spark, sf_dir, pairs):
     return fits.select(at(0).alias("lambda"), at(1).alias("alpha"), "misfit_percent", "chi2")
 
 
+_DAMPINGS = [10.0**e for e in (-1.5, -1, -0.5, 0, 0.5, 1, 1.5)]
+
+
+@query("krylov_sweep")
+def krylov_sweep(spark, sf_dir):
+    """damping, misfit, norm, condition, refused for seven dampings from one Krylov space; a condition above 1e12 is refused."""
+    k, d, w, e = _problem(spark, sf_dir)
+    return I.krylov_cases(k, d, w, e, 1.0, _DAMPINGS)[1].select("damping", "misfit", "norm", "condition", "refused")
+
+
+@query("krylov_normal_equations", f"SELECT d.damping, count(*) AS cells, true AS solved FROM v_voxels, (VALUES {', '.join(f'({i}, CAST({x!r} AS DOUBLE))' for i, x in enumerate(_DAMPINGS))}) d(case_id, damping) GROUP BY d.damping")
+def krylov_normal_equations(spark, sf_dir):
+    """damping, cells, solved: whether the normal equations hold at each damping's model, their slopes taken by joins."""
+    k, d, w, e = _problem(spark, sf_dir)
+    models, fits = I.krylov_cases(k, d, w, e, 1.0, _DAMPINGS)
+    cells = I.stored(w.withColumns({c: F.lit(None).cast("double") for c in ("lower", "upper", "target")}), "cells")
+    zero = I.objective_slopes(k, d, cells, e, w.select("voxel_id", F.lit(0.0).alias("m")), 0.0, 1.0).agg(F.sum(F.col("slope") ** 2).alias("first"))
+    out = None
+    for i, damping in enumerate(_DAMPINGS):
+        at = I.objective_slopes(k, d, cells, e, models.where(F.col("case_id") == i).drop("case_id"), damping, 1.0)
+        row = at.agg(F.count("*").alias("cells"), F.sum(F.col("slope") ** 2).alias("left")).join(F.broadcast(zero)).select(F.lit(damping).alias("damping"), "cells", (F.col("left") <= 1e-10 * F.col("first")).alias("solved"))  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("chi2_choice")
 def chi2_choice(spark, sf_dir):
-    """Of seven dampings the one whose chi-squared a datum is nearest to 1, ties to the greater."""
-    fits = _fits(spark, sf_dir, [(10.0**e, 1.0) for e in (-1.5, -1, -0.5, 0, 0.5, 1, 1.5)])
-    return fits.orderBy(F.abs(F.log("chi2")), F.desc("lambda")).limit(1)
+    """Of seven dampings, all from one Krylov space and none of a condition above 1e12, the one whose chi-squared a datum is nearest to 1, ties to the greater."""
+    k, d, w, e = _problem(spark, sf_dir)
+    models, fits = I.krylov_cases(k, d, w, e, 1.0, _DAMPINGS)
+    named = fits.where("NOT refused").select("case_id", F.col("damping").alias("lambda"), F.lit(1.0).alias("alpha"))
+    return I.fit_of_cases(k, d, models).join(F.broadcast(named), "case_id").drop("case_id").select("lambda", "alpha", "misfit_percent", "chi2").orderBy(F.abs(F.log("chi2")), F.desc("lambda")).limit(1)  # a row for each damping
 
 
 @query("doi_index")

@@ -99,15 +99,16 @@ def test_both_sides_of_the_size_agree(spark):
     assert np.allclose(a, b, rtol=1e-5)
 
 
-@pytest.mark.parametrize("dense", [0, 1 << 24])
-def test_regularised_cases_as_the_normal_equations(spark, dense):
+@pytest.mark.parametrize("sizes", [{}, {"most_kernel": 0}, {"most_cells": 0}])
+def test_regularised_cases_as_the_normal_equations(spark, sizes):
+    """Cases in tasks, in passes over blocks, as joins."""
     n, cases = 9, [(1, 0.5, 0.0, 0.0), (2, 1.0, 2.0, 0.3)]
     g, d, kernel, data = _problem(spark, 6, n)
     sigma, w = 0.5 + np.arange(6) / 10, 1 + np.arange(n) / 5
     edges = [(i, i + 1) for i in range(n - 1)]
     out = inversion.regularised(
         kernel, spark.createDataFrame([(i, float(x), float(s)) for i, (x, s) in enumerate(zip(d, sigma, strict=True))], "obs_id long, d double, sigma double"), spark.createDataFrame([(i, float(x)) for i, x in enumerate(w)], "voxel_id long, w double"),
-        spark.createDataFrame(edges, "src long, dst long"), cases, most_dense=dense, lower=-1.0, upper=1.0,
+        spark.createDataFrame(edges, "src long, dst long"), cases, **sizes, lower=-1.0, upper=1.0,
         penalty=inversion.edge_penalty(spark.createDataFrame([(0, 4, 1.5), (2, 7, 0.5)], "src long, dst long, weight double")), pull=spark.createDataFrame([(3, 0.7), (8, -0.2)], "voxel_id long, b double"),
     )
     got = {(r.case_id, r.voxel_id): r.m for r in out.collect()}
@@ -146,8 +147,9 @@ def test_posterior_deviation(spark):
     want = np.sqrt(np.diag(np.linalg.inv(g.T @ g + 25.0 * np.eye(8))))
     got = {r.voxel_id: r.std for r in inversion.posterior_std(kernel, 5.0, probes=200).collect()}
     assert np.allclose([got[i] for i in range(8)], want, rtol=0.15)
-    one, other = ({r.voxel_id: r.std for r in inversion.posterior_std(kernel, 5.0, probes=3, most_dense=n).collect()} for n in (0, 1 << 20))
-    assert all(one[i] == pytest.approx(other[i], abs=1e-7) for i in range(8))
+    one, other = ({r.voxel_id: r.std for r in inversion.posterior_std(kernel, 5.0, probes=3, **n).collect()} for n in ({}, {"most_kernel": 0}))
+    joined = {r.voxel_id: r.std for r in inversion.posterior_std(kernel, 5.0, probes=3, most_cells=0).collect()}
+    assert all(one[i] == pytest.approx(other[i], abs=1e-7) == pytest.approx(joined[i], abs=1e-7) for i in range(8))
 
 
 def test_upward_continuation_of_a_harmonic(spark):
