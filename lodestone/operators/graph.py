@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.profile import numbered
+from lodestone.operators.spatial import within_radius
 from lodestone.sources.tables import stored
 
 
@@ -34,6 +36,35 @@ def labelled(nodes: DataFrame, edges: DataFrame, key: str = "voxel_id") -> DataF
     return nodes.join(components(edges).withColumnRenamed("node", key), key, "left").select(key, F.coalesce("label", key).alias("label"))
 
 
+def radius_edges(points: DataFrame, radius: float, key: str = "voxel_id", coords: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """src, dst: points at most radius apart, src before dst; an equi-join on cells of that width.
+
+    points are the centres of different grid cells, so a bucket holds a bounded number of them.
+    """
+    left = points.select(F.col(key).alias("src"), *[F.col(c).alias(f"_l{c}") for c in coords])
+    right = points.select(F.col(key).alias("dst"), *[F.col(c).alias(f"_r{c}") for c in coords])
+    return within_radius(left, right, [(f"_l{c}", f"_r{c}") for c in coords], radius).where("src < dst").select("src", "dst")
+
+
+def joint_bodies(cells: DataFrame, a: str, b: str, size: float, volume: float, threshold: float = 0.6, factor: float = 1.5, least: int = 5) -> DataFrame:
+    """rank, label, cells, volume_m3, x, y, z, a_mean, a_max, b_mean, b_max, correlation of the bodies of cells (voxel_id, x, y, z, a, b).
+
+    A cell counts if the root of the sum of squares of both excesses (above the median, as a share of the range up to
+    the maximum, 0 without a range) is above threshold. Cells within factor times size, the largest cell edge, belong
+    together; bodies of fewer than `least` cells are left out. Largest first, ties to the smaller label (least voxel_id);
+    correlation is null where a value doesn't vary.
+    """
+    ends = cells.agg(*[f(c).alias(f"_{n}{c}") for c in (a, b) for n, f in (("mid", lambda c: F.percentile(c, 0.5)), ("top", F.max))])
+    excess = lambda c: F.when(F.col(f"_top{c}") > F.col(f"_mid{c}"), F.greatest((F.col(c) - F.col(f"_mid{c}")) / (F.col(f"_top{c}") - F.col(f"_mid{c}")), F.lit(0.0))).otherwise(0.0)
+    mask = cells.join(F.broadcast(ends)).where(F.sqrt(excess(a) ** 2 + excess(b) ** 2) > threshold).select("voxel_id", "x", "y", "z", a, b)  # ends is one row
+    mask = stored(mask, "mask")
+    own = mask.join(labelled(mask.select("voxel_id"), radius_edges(mask, factor * size)), "voxel_id")
+    varies = (F.max(a) > F.min(a)) & (F.max(b) > F.min(b))
+    stats = [F.avg(c).alias(c) for c in "xyz"] + [f(c).alias(f"{n}_{m}") for n, c in (("a", a), ("b", b)) for m, f in (("mean", F.avg), ("max", F.max))]
+    out = own.groupBy("label").agg(F.count("*").alias("cells"), (F.count("*") * F.lit(float(volume))).alias("volume_m3"), *stats, F.when(varies, F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))).alias("correlation"))
+    return numbered(out.where(F.col("cells") >= least).withColumn("_order", F.struct((-F.col("cells")).alias("n"), "label")), "_order", "rank").select("rank", *out.columns)
+
+
 def precedence_arcs(blocks: DataFrame, dx: float, dy: float, angle: float) -> DataFrame:
     """src, dst: every block needs those one level up (iy - 1) within dy / tan(angle) sideways. Blocks have voxel_id, ix, iy, iz."""
     reach = dy / math.tan(math.radians(angle))

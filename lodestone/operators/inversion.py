@@ -142,7 +142,7 @@ def solve_in_data_space(kernel: DataFrame, data: DataFrame, damping: float) -> D
 MOST_DENSE = 1 << 24
 
 
-def regularised(kernel: DataFrame, data: DataFrame, cells: DataFrame, edges: DataFrame, cases: list[tuple], most_kernel: int = B.MOST_KERNEL, lower: float | None = None, upper: float | None = None, iterations: int = 1000, tolerance: float = 1e-9, probes: int | None = None, penalty: DataFrame | None = None, pull: DataFrame | None = None, most_cells: int = B.MOST_CELLS) -> DataFrame:
+def regularised(kernel: DataFrame, data: DataFrame, cells: DataFrame, edges: DataFrame, cases: list[tuple], most_kernel: int = B.MOST_KERNEL, lower: float | None = None, upper: float | None = None, iterations: int = 5000, tolerance: float = 1e-9, probes: int | None = None, penalty: DataFrame | None = None, pull: DataFrame | None = None, most_cells: int = B.MOST_CELLS) -> DataFrame:
     """case_id, voxel_id, m of every cell: for each case (case_id, damping, smooth, reference) the least
 
         sum ((d - G m) / sigma)^2 + damping^2 sum (w (m - reference))^2 + smooth^2 sum over edges (m_src - m_dst)^2,
