@@ -3,14 +3,17 @@
 The tokens of a short text are those of its words, and a task encodes a word that it has just seen only once.
 
 A huge text is encoded in chunks that overlap. Two neighbours are spliced at a position in their
-overlap where both end a token before white space, begin the next one after it, and agree on every
-token from there to the overlap's last such boundary. White space ends words for this tokenizer, so
-tokens on one side don't depend on the other; that both encodings agree is checked, not assumed.
-Without such a position the overlap is doubled, up to the whole text.
+overlap where both end a token at a word's end, begin the next one after it, and agree on every
+token from there to the overlap's last such boundary. White space ends words for this tokenizer, and
+so do digits and a change between letters and punctuation, so tokens on one side don't depend on the
+other; that both encodings agree is checked, not assumed. Without such a position the overlap is
+doubled, up to all that is open; without one there, the open text is doubled and encoded anew, so
+that a text without boundaries costs twice its own encoding.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,22 +26,45 @@ from lodestone.llm.common import slices
 from lodestone.llm.tokenizers_io import default_path, load
 
 
+_SPACES = " \t\n\r\x0b\x0c"
+#: Characters that the tokenizer's contractions and special strings are made of.
+_JOINS = "'<|>"
+
+
 def _encoded(tokenizer, text: str, start: int, end: int) -> list[tuple[int, int, int]]:
     """(begin, end, id) of the tokens of text[start:end], positions in text."""
     e = tokenizer.encode(text[start:end], add_special_tokens=False)
     return [(a + start, b + start, i) for (a, b), i in zip(e.offsets, e.ids, strict=True)]
 
 
-def _splice(text: str, left: list, right: list, start: int, end: int) -> int | None:
-    """The first stable boundary of the overlap text[start:end]: left's tokens count before it, right's from it.
+def _ends_word(a: str, b: str) -> bool:
+    """Whether a word surely ends between two neighbouring characters, whatever stands around them.
 
-    The first white space in the overlap comes after what may be half a word in `right`, and the last
-    one before what may be half a word in `left`; between them both must have the same tokens.
+    Not beside marks, which may join the character before, nor beside apostrophes and the signs of special strings.
     """
-    spaces = [i for i in range(start, end) if text[i] in " \t\n\r\x0b\x0c"]
-    if len(spaces) < 2:
+    if a in _SPACES or b in _SPACES:
+        return True
+    x, y = unicodedata.category(a)[0], unicodedata.category(b)[0]
+    if x == "N" and y in "LN" or x == "L" and y == "N":
+        return True
+    return (x == "L" and y in "PS" and b not in _JOINS) or (x in "PS" and y == "L" and a not in _JOINS)
+
+
+def _cuts(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """The first and the last position in text[start:end] before which a word surely ends; None if there aren't two."""
+    first = next((i for i in range(start + 1, end) if _ends_word(text[i - 1], text[i])), None)
+    if first is None:
         return None
-    first, last = spaces[0] + 1, spaces[-1]
+    last = next(i for i in range(end - 1, start, -1) if _ends_word(text[i - 1], text[i]))
+    return (first, last) if last > first else None
+
+
+def _splice(left: list, right: list, first: int, last: int) -> int | None:
+    """first, if it is a stable boundary: left's tokens count before it, right's from it.
+
+    The first cut of the overlap comes after what may be half a word in `right`, and the last one before
+    what may be half a word in `left`; between them both must have the same tokens.
+    """
     inner = lambda tokens: [t for t in tokens if t[0] >= first and t[1] <= last]
     crossing = lambda tokens: any(t[0] < p < t[1] for t in tokens for p in (first, last))
     a, b = inner(left), inner(right)
@@ -46,18 +72,20 @@ def _splice(text: str, left: list, right: list, start: int, end: int) -> int | N
 
 
 def count_huge(tokenizer, text: str, chunk: int, overlap: int) -> int:
-    """The number of tokens of text, from overlapping chunks of about `chunk` characters."""
+    """The number of tokens of text, from overlapping chunks of about `chunk` characters, longer ones where words don't end."""
     if len(text) <= chunk:
         return len(tokenizer.encode(text, add_special_tokens=False).ids)
     total, begin = 0, 0  # tokens of text[:begin] are counted
-    start, end = 0, chunk
-    left = _encoded(tokenizer, text, start, end)
+    end = chunk
+    left = _encoded(tokenizer, text, 0, end)
     while end < len(text):
+        to = min(len(text), end + (chunk if end - begin <= 2 * chunk else end - begin))
         width = min(overlap, end - begin)
         while True:
-            to = min(len(text), end + chunk)
-            right = _encoded(tokenizer, text, end - width, to)
-            cut = _splice(text, left, right, end - width, end)
+            cut, found = None, _cuts(text, end - width, end)
+            if found:
+                right = _encoded(tokenizer, text, end - width, to)
+                cut = _splice(left, right, *found)
             if cut is not None or width == end - begin:
                 break
             width = min(2 * width, end - begin)

@@ -84,3 +84,27 @@ def test_words_encode_as_the_whole_text():
     for seed in range(3000):
         text = _random(seed, 12)
         assert [i for w in bpe.words_of(text) for i in t.encode(w, add_special_tokens=False).ids] == t.encode(text, add_special_tokens=False).ids
+
+
+def test_texts_without_white_space():
+    """Letters, digits, punctuation, one word, marks: the library's counts, and few characters encoded more than twice."""
+    tokenizer, rng = load(default_path()), random.Random(4)
+    texts = ["".join(rng.choice("中文字。，漢") for _ in range(60_000)), "".join(rng.choice("abc019.,-_") for _ in range(60_000)), "".join(rng.choice("abcdefgh") for _ in range(60_000)), "7" * 30_000, "é" * 30_000, "don't" * 20_000, "x" * 200_000]
+    for text in texts:
+        seen = [0]
+
+        class Counted:
+            def encode(self, part, seen=seen, **how):
+                seen[0] += len(part)
+                return tokenizer.encode(part, **how)
+
+        assert token_counts.count_huge(Counted(), text, 1 << 12, 256) == len(tokenizer.encode(text, add_special_tokens=False).ids)
+        assert seen[0] < 5 * len(text)
+
+
+def test_splices_of_odd_strings():
+    """Chunks of a few characters, cut between contractions, special strings, marks, digits and punctuation."""
+    tokenizer, rng = load(default_path()), random.Random(11)
+    for _ in range(400):
+        text = "".join(rng.choice(PARTS) for _ in range(rng.randrange(20, 120)))
+        assert token_counts.count_huge(tokenizer, text, rng.choice([16, 24, 40]), rng.choice([4, 8, 16])) == len(tokenizer.encode(text, add_special_tokens=False).ids), text
