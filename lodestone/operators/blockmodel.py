@@ -127,16 +127,25 @@ def grid(spark, nx: int, ny: int, nz: int) -> DataFrame:
     return spark.range(nx * ny * nz).select(i.alias("voxel_id"), (i % nx).alias("ix"), (F.expr(f"id DIV {nx}") % ny).alias("iy"), F.expr(f"id DIV {nx * ny}").alias("iz"))
 
 
-def padded_axis(spark, n: int, size: float, padding: int, growth: float = 1.3) -> DataFrame:
-    """i, width, edge (where the cell begins) and centre of an axis of n cells with `padding` growing cells at either end."""
-    i = F.col("id")
+def padded_axes(axes: DataFrame, size: float, padding: int, growth: float = 1.3) -> DataFrame:
+    """axis, i, width, edge (where the cell begins) and centre of the cells of axes (axis, n), with `padding` growing cells at either end."""
+    i, n = F.col("i"), F.col("n")
     out = F.when(i < padding, padding - i).when(i >= padding + n, i - padding - n + 1).otherwise(0)
-    cells = spark.range(n + 2 * padding).select(i.alias("i"), (size * F.pow(F.lit(growth), out.cast("double"))).alias("width"))
+    cells = axes.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), n + 2 * padding - 1))).select("axis", i.alias("i"), (size * F.pow(F.lit(growth), out.cast("double"))).alias("width"))
     left = sum(size * growth**k for k in range(1, padding + 1))
-    ends = cells.withColumn("edge", F.sum("width").over(Window.orderBy("i")) - F.col("width") - F.lit(left))  # as many rows as the axis has cells
+    ends = cells.withColumn("edge", F.sum("width").over(Window.partitionBy("axis").orderBy("i")) - F.col("width") - F.lit(left))  # as many rows as an axis has cells
     return ends.withColumn("centre", F.col("edge") + F.col("width") / 2)
 
 
+def header_stats(model: DataFrame, size: float) -> DataFrame:
+    """One row that goes with an Arrow payload: total_voxels, bounds_min, bounds_max, cell_size, domain_l, domain_h, domain_w (four decimals), density_min, density_max (six), all but the first as text."""
+    text = lambda c, n=4: F.format_string(f"%.{n}f", c)
+    ends = model.agg(F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in ("x", "y", "z", "density") for k, f in (("lo", F.min), ("hi", F.max))])
+    bounds = lambda k: F.concat_ws(",", *[text(F.col(f"{k}_{c}")) for c in "xyz"])
+    spans = [text(F.col(f"hi_{c}") - F.col(f"lo_{c}")).alias(f"domain_{d}") for c, d in zip("xyz", "lhw", strict=True)]
+    return ends.select(F.col("n").alias("total_voxels"), bounds("lo").alias("bounds_min"), bounds("hi").alias("bounds_max"), text(F.lit(float(size))).alias("cell_size"), *spans, *[text(F.col(f"{k}_density"), 6).alias(f"density_{m}") for k, m in (("lo", "min"), ("hi", "max"))])
+
+
 def rounded_stat(c: Column) -> Column:
     r = F.round(F.when(finite(c), c), 6)
     return F.when(r == 0, 0.0).otherwise(r)

@@ -107,3 +107,14 @@ def aggregate_score(factors: DataFrame, multiplier: Column, cap: Column) -> Data
     e = factors.where("value IS NOT NULL").agg((F.sum(F.col("value") * F.col("weight")) / F.nullif(F.sum("weight"), F.lit(0.0))).alias("evidence"), F.sum("weight").alias("weight"))
     raw = 100 * F.coalesce("evidence", F.lit(0.0)) * multiplier
     return e.select("evidence", "weight", raw.alias("raw"), F.least(F.greatest(raw, F.lit(0.0)), F.coalesce(cap, F.lit(100.0))).alias("score"))
+
+
+def report_signal(model: DataFrame, cutoff: float) -> DataFrame:
+    """One row of model (density, probability, grade, mass): anomaly_score, max_probability, avg_grade (by mass), preliminary_signal, risk_level. Null probabilities and grades count as 0; cells without density are left out."""
+    p, mass = F.coalesce("probability", F.lit(0.0)), F.greatest(F.coalesce("mass", F.lit(0.0)), F.lit(1e-9))
+    excess = F.least(F.greatest((F.col("density") - 2.6) / 1.6, F.lit(0.0)), F.lit(1.0))
+    a = model.where("density IS NOT NULL").agg(F.avg(p * excess).alias("anomaly_score"), F.max(p).alias("max_probability"), F.max("density").alias("_d"), (F.sum(F.coalesce("grade", F.lit(0.0)) * mass) / F.sum(mass)).alias("avg_grade"))
+    # What makes a candidate, and the steps of risk.
+    signal = F.when((F.col("_d") >= 2.75) & (F.col("max_probability") >= 0.45) & (F.col("avg_grade") >= 0.3), "DRILL_CANDIDATE").otherwise("OBSERVE")
+    risk = F.when((F.col("max_probability") < 0.45) | (F.col("_d") < cutoff), "HIGH").when(F.col("max_probability") < 0.75, "MEDIUM").otherwise("LOW")
+    return a.select("anomaly_score", "max_probability", "avg_grade", signal.alias("preliminary_signal"), risk.alias("risk_level"))

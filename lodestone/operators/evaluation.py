@@ -73,11 +73,13 @@ def mask_metrics(df: DataFrame, truth: Column, guess: Column) -> DataFrame:
 def lcurve_corner(curve: DataFrame, order: str, misfit: str, norm: str) -> DataFrame:
     """The row of curve with the greatest Menger curvature of its consecutive triples, log-log and scaled to the unit square.
 
-    A curve has a few dozen points. Segments shorter than 1e-3 give no curvature.
+    A curve has a few dozen points. Segments shorter than 1e-3 give no curvature. Where no triple has any (a straight
+    line, fewer than three points, points that coincide), the point farthest from the line between the ends is taken, the
+    first of equals, with a null curvature; if the ends coincide, the middle one.
     """
-    c = curve.withColumns({"u": F.log10(misfit), "v": F.log10(norm)})
-    ends = c.agg(F.min("u").alias("u0"), F.max("u").alias("u1"), F.min("v").alias("v0"), F.max("v").alias("v1"))
-    c = c.join(F.broadcast(ends)).withColumns({"u": (F.col("u") - F.col("u0")) / F.greatest(F.col("u1") - F.col("u0"), F.lit(1e-12)), "v": (F.col("v") - F.col("v0")) / F.greatest(F.col("v1") - F.col("v0"), F.lit(1e-12))})
+    c = curve.withColumns({"_a": F.log10(F.col(misfit) + 1e-30), "_b": F.log10(F.col(norm) + 1e-30)})
+    ends = c.agg(F.min("_a").alias("u0"), F.max("_a").alias("u1"), F.min("_b").alias("v0"), F.max("_b").alias("v1"), *[f(x, order).alias(f"_{n}{x}") for n, f in (("first", F.min_by), ("last", F.max_by)) for x in ("_a", "_b")], F.count("*").alias("_n"))
+    c = c.join(F.broadcast(ends)).withColumns({"u": (F.col("_a") - F.col("u0")) / F.greatest(F.col("u1") - F.col("u0"), F.lit(1e-12)), "v": (F.col("_b") - F.col("v0")) / F.greatest(F.col("v1") - F.col("v0"), F.lit(1e-12))})
     w = Window.orderBy(order)
     for n, f in (("a", F.lag), ("b", F.lead)):
         c = c.withColumns({f"u{n}": f("u").over(w), f"v{n}": f("v").over(w)})
@@ -85,7 +87,11 @@ def lcurve_corner(curve: DataFrame, order: str, misfit: str, norm: str) -> DataF
     d1, d2, d3 = side("a", ""), side("", "b"), side("a", "b")
     cross = (F.col("u") - F.col("ua")) * (F.col("vb") - F.col("va")) - (F.col("v") - F.col("va")) * (F.col("ub") - F.col("ua"))
     bent = F.when(F.least(d1, d2, d3) >= 1e-3, 2 * F.abs(cross) / (d1 * d2 * d3))
-    return c.withColumn("curvature", bent).where("curvature IS NOT NULL").orderBy(F.desc("curvature"), order).limit(1).select(*curve.columns, "curvature")
+    dx, dy = F.col("_last_a") - F.col("_first_a"), F.col("_last_b") - F.col("_first_b")
+    away = F.abs(dx * (F.col("_b") - F.col("_first_b")) - dy * (F.col("_a") - F.col("_first_a"))) / F.nullif(F.hypot(dx, dy), F.lit(0.0))
+    middle = -F.abs(F.row_number().over(w) - 1 - F.floor(F.col("_n") / 2))
+    c = c.withColumn("curvature", F.when(bent > 0, bent)).withColumn("_far", F.when(F.hypot(dx, dy) < 1e-12, middle.cast("double")).otherwise(away))
+    return c.orderBy(F.desc_nulls_last("curvature"), F.desc("_far"), order).limit(1).select(*curve.columns, "curvature")
 
 
 def weighted_centroid(df: DataFrame, weight: Column, coords: list[str]) -> DataFrame:

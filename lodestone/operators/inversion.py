@@ -22,6 +22,19 @@ def depth_weight(depth: Column, z0: float, beta: float) -> Column:
     return 1 / F.pow(depth + z0, F.lit(beta))
 
 
+def gaussian_body(cells: DataFrame, centre: tuple[Column, Column, Column], width: float, peak: float) -> DataFrame:
+    """cells (x, y, z) with c, a contrast that falls off from centre: peak * exp(-r^2 / (2 width^2))."""
+    r2 = sum(((F.col(a) - at) ** 2 for a, at in zip("xyz", centre, strict=True)), F.lit(0.0))
+    return cells.withColumn("c", peak * F.exp(-r2 / (2 * width**2)))
+
+
+def noisy(data: DataFrame, errors: DataFrame, share: float) -> DataFrame:
+    """data (obs_id, d) with errors (obs_id, error of the order of one) times share of the largest datum's size; no error where there is none."""
+    most = data.agg(F.max(F.abs("d")).alias("_most"))
+    out = data.join(errors, "obs_id", "left").join(F.broadcast(most))  # most is one row
+    return out.select("obs_id", (F.col("d") + share * F.col("_most") * F.coalesce("error", F.lit(0.0))).alias("d"))
+
+
 def scaled_kernel(kernel: DataFrame, weights: DataFrame) -> DataFrame:
     """Columns times weights (voxel_id, w)."""
     return kernel.join(weights, "voxel_id").select("obs_id", "voxel_id", (F.col("val") * F.col("w")).alias("val"))

@@ -229,8 +229,44 @@ def union_by_name(spark, sf_dir):
     return v.select("voxel_id", "density").unionByName(v.select("voxel_id", "grade"), allowMissingColumns=True)
 
 
-@query("padded_axis", "WITH c AS (SELECT range AS i, 25 * pow(CAST(1.3 AS DOUBLE), CASE WHEN range < 3 THEN 3 - range WHEN range >= 23 THEN range - 22 ELSE 0 END) AS width FROM range(0, 26)), e AS (SELECT *, sum(width) OVER (ORDER BY i) - width - 25 * (CAST(1.3 AS DOUBLE) + pow(CAST(1.3 AS DOUBLE), 2) + pow(CAST(1.3 AS DOUBLE), 3)) AS edge FROM c) SELECT i, round(width, 6) AS width, round(edge, 6) AS edge, round(edge + width / 2, 6) AS centre FROM e")
+@query("padded_axis", """
+WITH a AS (SELECT 'x' AS axis, max(ix) + 1 AS n FROM v_voxels UNION ALL SELECT 'y', max(iy) + 1 FROM v_voxels UNION ALL SELECT 'z', max(iz) + 1 FROM v_voxels),
+c AS (SELECT axis, i, 25 * pow(CAST(1.3 AS DOUBLE), CASE WHEN i < 3 THEN 3 - i WHEN i >= n + 3 THEN i - n - 2 ELSE 0 END) AS width FROM (SELECT axis, n, unnest(range(0, n + 6)) AS i FROM a)), e AS (SELECT *, sum(width) OVER (PARTITION BY axis ORDER BY i) - width - 25 * (CAST(1.3 AS DOUBLE) + pow(CAST(1.3 AS DOUBLE), 2) + pow(CAST(1.3 AS DOUBLE), 3)) AS edge FROM c)
+SELECT axis, i, round(width, 6) AS width, round(edge, 6) AS edge, round(edge + width / 2, 6) AS centre FROM e""")
 def padded_axis(spark, sf_dir):
-    return B.padded_axis(spark, 20, 25.0, 3).select("i", *[F.round(c, 6).alias(c) for c in ("width", "edge", "centre")])
+    """The three axes of the voxels' grid, with three growing cells at either end."""
+    counts = A.voxels(spark, sf_dir).agg(*[(F.max(f"i{a}") + 1).alias(a) for a in "xyz"])
+    axes = counts.select(F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("n")) for a in "xyz"])).alias("a")).select("a.axis", "a.n")
+    return B.padded_axes(axes, 25.0, 3).select("axis", "i", *[F.round(c, 6).alias(c) for c in ("width", "edge", "centre")])
 
 
+@query("arrow_header", """
+SELECT count(*) AS total_voxels, printf('%.4f,%.4f,%.4f', min(x), min(y), min(z)) AS bounds_min, printf('%.4f,%.4f,%.4f', max(x), max(y), max(z)) AS bounds_max, (SELECT printf('%.4f', min(gap)) FROM (SELECT x - lag(x) OVER (ORDER BY x) AS gap FROM (SELECT DISTINCT x FROM v_voxels)) WHERE gap > 0) AS cell_size, printf('%.4f', max(x) - min(x)) AS domain_l, printf('%.4f', max(y) - min(y)) AS domain_h, printf('%.4f', max(z) - min(z)) AS domain_w,
+printf('%.6f', min(density)) AS density_min, printf('%.6f', max(density)) AS density_max FROM v_voxels""")
+def arrow_header(spark, sf_dir):
+    """What goes with the Arrow payload: bounds, cell size, extents and density range of the whole model."""
+    v = A.voxels(spark, sf_dir)
+    return B.header_stats(v, B.cell_size(v, ["x", "y", "z"]).first()[0])
+
+
+_RANKINGS = {"density": "density", "probability": "probability", "grade": "grade"}
+
+
+@query("rankings_top10", " UNION ALL ".join(f"(SELECT '{n}' AS ranking, row_number() OVER (ORDER BY {c} DESC, voxel_id) AS rank, voxel_id, {c} AS value FROM v_voxels ORDER BY {c} DESC, voxel_id LIMIT 10)" for n, c in _RANKINGS.items()).join(("SELECT * FROM (", ")")))
+def rankings_top10(spark, sf_dir):
+    """The first ten cells by density, by probability and by grade; ties to the smaller voxel_id. A top-k for each."""
+    out = None
+    for n, c in _RANKINGS.items():
+        ten = A.voxels(spark, sf_dir).orderBy(F.desc(c), "voxel_id").limit(10).select(F.lit(n).alias("ranking"), "voxel_id", F.col(c).alias("value"))
+        out = ten if out is None else out.unionByName(ten)
+    rank = P.rank_over([F.desc("value"), F.col("voxel_id")], ["ranking"])
+    return out.select("ranking", rank.cast("long").alias("rank"), "voxel_id", "value")  # thirty rows
+
+
+@query("percentile_print", "SELECT unnest([0, 10, 25, 50, 75, 90, 100]) AS percent, unnest([round(q, 9) FOR q IN quantile_cont(density, [CAST(x AS DOUBLE) FOR x IN [0, 0.1, 0.25, 0.5, 0.75, 0.9, 1]])]) AS density, unnest([round(q, 9) FOR q IN quantile_cont(grade, [CAST(x AS DOUBLE) FOR x IN [0, 0.1, 0.25, 0.5, 0.75, 0.9, 1]])]) AS grade FROM v_voxels".replace("[CAST(x AS DOUBLE) FOR x IN [0, 0.1, 0.25, 0.5, 0.75, 0.9, 1]]", "[CAST(0 AS DOUBLE), CAST(0.1 AS DOUBLE), CAST(0.25 AS DOUBLE), CAST(0.5 AS DOUBLE), CAST(0.75 AS DOUBLE), CAST(0.9 AS DOUBLE), CAST(1 AS DOUBLE)]"))
+def percentile_print(spark, sf_dir):
+    """percent, density, grade at seven percentiles, both columns in one pass."""
+    at = [0, 10, 25, 50, 75, 90, 100]
+    v = A.voxels(spark, sf_dir).agg(*[F.percentile(c, F.array(*[F.lit(p / 100) for p in at])).alias(c) for c in ("density", "grade")])
+    rows = v.select(F.explode(F.arrays_zip(F.array(*map(F.lit, at)).alias("percent"), "density", "grade")).alias("r"))
+    return rows.select("r.percent", F.round("r.density", 9).alias("density"), F.round("r.grade", 9).alias("grade"))

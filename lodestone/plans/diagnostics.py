@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import diagnostics as D
 from lodestone.operators import graph as G
 from lodestone.operators import spatial as S
-from lodestone.plans.registry import query
+from lodestone.plans.registry import QUERIES, SQL, query
 from lodestone.sources import adapters as A
 
 # observed and predicted values of orders stand for those of sensors
@@ -195,15 +198,39 @@ def fav_jaccard(spark, sf_dir):
     return v.join(F.broadcast(q)).agg(F.round(F.count(F.when(x & y, 1)).cast("double") / F.greatest(F.count(F.when(x | y, 1)), F.lit(1)), 9).alias("score"))
 
 
-@query("fav_aggregate", """
-WITH f(value, weight) AS (VALUES (CAST(0.8 AS DOUBLE), CAST(0.25 AS DOUBLE)), (CAST(1 AS DOUBLE), CAST(0.15 AS DOUBLE)), (CAST(0.4 AS DOUBLE), CAST(0.2 AS DOUBLE)), (CAST(0.3 AS DOUBLE), CAST(0.15 AS DOUBLE)), (CAST(0.2 AS DOUBLE), CAST(0.15 AS DOUBLE)), (NULL, CAST(0.1 AS DOUBLE)))
+_SCORES = {"anomaly_intensity": "fav_intensity", "depth_accessibility": "fav_depth", "core_coherence": "fav_coherence", "structural_gradient": "fav_gradient", "msx_support": "fav_jaccard"}
+
+
+def _factor_sql():
+    """The six factors' own SQL, a row each."""
+    from lodestone.plans import contract  # noqa: F401  (registers fav_satellite)
+
+    rows = [f"SELECT CAST({D.WEIGHTS[f]} AS DOUBLE) AS weight, (SELECT score FROM ({SQL[q]})) AS value" for f, q in _SCORES.items()]
+    return " UNION ALL ".join([*rows, f"SELECT CAST({D.WEIGHTS['satellite_support']} AS DOUBLE), (SELECT avg(value) FROM ({SQL['fav_satellite']}) WHERE status = 'evaluated')"])
+
+
+@query("fav_aggregate", f"""
+WITH f AS (SELECT weight, least(greatest(value, 0), 1) AS value FROM ({_factor_sql()}))
 SELECT round(sum(value * weight) / sum(weight), 6) AS evidence, round(sum(weight), 6) AS weight, round(100 * sum(value * weight) / sum(weight) * CAST(0.6 AS DOUBLE) * (1 - CAST(0.4 AS DOUBLE) * CAST(0.5 AS DOUBLE)), 6) AS raw, round(least(100 * sum(value * weight) / sum(weight) * CAST(0.6 AS DOUBLE) * (1 - CAST(0.4 AS DOUBLE) * CAST(0.5 AS DOUBLE)), 60), 6) AS score FROM f WHERE value IS NOT NULL""")
 def fav_aggregate(spark, sf_dir):
-    f = spark.createDataFrame(list(zip((0.8, 1.0, 0.4, 0.3, 0.2, None), D.WEIGHTS.values(), strict=True)), "value double, weight double")
+    """The six factors' own results together; favorability_of_runs does it for many runs, with their gates."""
+    rows = [QUERIES[q](spark, sf_dir).select(F.lit(D.WEIGHTS[f]).alias("weight"), F.col("score").cast("double").alias("value")) for f, q in _SCORES.items()]
+    rows.append(QUERIES["fav_satellite"](spark, sf_dir).where("status = 'evaluated'").agg(F.avg("value").alias("value")).select(F.lit(D.WEIGHTS["satellite_support"]).alias("weight"), "value"))
+    f = reduce(DataFrame.unionByName, rows).select("weight", F.least(F.greatest("value", F.lit(0.0)), F.lit(1.0)).alias("value")).where("value IS NOT NULL")
     out = D.aggregate_score(f, F.lit(0.6) * (1 - F.lit(0.4) * 0.5), F.lit(60.0))
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
+@query("report_signal", """
+WITH a AS (SELECT avg(probability * least(greatest((density - CAST(2.6 AS DOUBLE)) / CAST(1.6 AS DOUBLE), 0), 1)) AS s, max(probability) AS p, max(density) AS d, sum(grade * greatest(density * 15625, CAST(1e-9 AS DOUBLE))) / sum(greatest(density * 15625, CAST(1e-9 AS DOUBLE))) AS g FROM v_voxels)
+SELECT round(s, 6) AS anomaly_score, p AS max_probability, round(g, 6) AS avg_grade, CASE WHEN d >= CAST(2.75 AS DOUBLE) AND p >= CAST(0.45 AS DOUBLE) AND g >= CAST(0.3 AS DOUBLE) THEN 'DRILL_CANDIDATE' ELSE 'OBSERVE' END AS preliminary_signal, CASE WHEN p < CAST(0.45 AS DOUBLE) OR d < CAST(2.75 AS DOUBLE) THEN 'HIGH' WHEN p < CAST(0.75 AS DOUBLE) THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM a""")
+def report_signal(spark, sf_dir):
+    """One row: anomaly score, weighted grade, signal and risk level of the model."""
+    v = A.voxels(spark, sf_dir).select("density", "probability", "grade", (F.col("density") * 15625).alias("mass"))
+    out = D.report_signal(v, 2.75)
+    return out.select(F.round("anomaly_score", 6).alias("anomaly_score"), "max_probability", F.round("avg_grade", 6).alias("avg_grade"), "preliminary_signal", "risk_level")
+
+
 @query("run_compare", """
 WITH a AS (SELECT o_orderpriority AS metric, avg(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_orderpriority AS metric, avg(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
 SELECT metric, round(a.v, 4) AS a, round(b.v, 4) AS b, round(b.v - a.v, 4) AS delta FROM a FULL JOIN b USING (metric)""")

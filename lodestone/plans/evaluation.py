@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import blockmodel as B
 from lodestone.operators import evaluation as E
+from lodestone.operators import profile as P
 from lodestone.plans.registry import query
 from lodestone.sources import adapters as A
 
@@ -99,13 +100,16 @@ def rebound(spark, sf_dir):
 
 
 @query("lcurve_corner", """
-WITH c AS (SELECT range AS i, CAST(0.1 AS DOUBLE) + pow(CAST(1.6 AS DOUBLE), range - 12) AS misfit, 1 + 100 * exp(-CAST(range AS DOUBLE) / 2) AS norm FROM range(0, 20)), l AS (SELECT *, log10(misfit) AS a, log10(norm) AS b FROM c), e AS (SELECT min(a) AS a0, max(a) AS a1, min(b) AS b0, max(b) AS b1 FROM l),
+WITH h AS (SELECT iy AS i, sum(density) AS d, sum(grade) AS g FROM v_voxels GROUP BY iy), c AS (SELECT i, sum(d) OVER (ORDER BY i) AS misfit, sum(g) OVER (ORDER BY i DESC) AS norm FROM h), l AS (SELECT *, log10(misfit) AS a, log10(norm) AS b FROM c), e AS (SELECT min(a) AS a0, max(a) AS a1, min(b) AS b0, max(b) AS b1 FROM l),
 n AS (SELECT i, misfit, norm, (a - a0) / (a1 - a0) AS u, (b - b0) / (b1 - b0) AS v FROM l, e), t AS (SELECT *, lag(u) OVER o AS ua, lag(v) OVER o AS va, lead(u) OVER o AS ub, lead(v) OVER o AS vb FROM n WINDOW o AS (ORDER BY i)),
 d AS (SELECT *, sqrt(pow(u - ua, 2) + pow(v - va, 2)) AS d1, sqrt(pow(u - ub, 2) + pow(v - vb, 2)) AS d2, sqrt(pow(ub - ua, 2) + pow(vb - va, 2)) AS d3 FROM t), k AS (SELECT i, misfit, norm, 2 * abs((u - ua) * (vb - va) - (v - va) * (ub - ua)) / (d1 * d2 * d3) AS curvature FROM d WHERE least(d1, d2, d3) >= CAST(0.001 AS DOUBLE))
 SELECT i, round(misfit, 6) AS misfit, round(norm, 6) AS norm, round(curvature, 4) AS curvature FROM k ORDER BY k.curvature DESC, i LIMIT 1""")
 def lcurve_corner(spark, sf_dir):
-    i = F.col("id")
-    curve = spark.range(20).select(i.alias("i"), (0.1 + F.pow(F.lit(1.6), i - 12)).alias("misfit"), (1 + 100 * F.exp(-i / 2.0)).alias("norm"))
+    """The corner of the curve of mass above against grade below each level of depth."""
+    from pyspark.sql import Window
+
+    h = A.voxels(spark, sf_dir).groupBy(F.col("iy").alias("i")).agg(F.sum("density").alias("d"), F.sum("grade").alias("g"))  # a row for each level
+    curve = h.select("i", F.sum("d").over(Window.orderBy("i")).alias("misfit"), F.sum("g").over(Window.orderBy(F.desc("i"))).alias("norm"))
     return E.lcurve_corner(curve, "i", "misfit", "norm").select("i", F.round("misfit", 6).alias("misfit"), F.round("norm", 6).alias("norm"), F.round("curvature", 4).alias("curvature"))
 
 
@@ -114,8 +118,11 @@ def sweep_best(spark, sf_dir):
     return A.voxels(spark, sf_dir).orderBy("density", F.desc("grade"), "probability", "voxel_id").limit(12).select("voxel_id", F.col("density").alias("nrmse"), F.col("grade").alias("quality"), F.col("probability").alias("lambda"))
 
 
-@query("sweep_cases", "SELECT CAST(row_number() OVER (ORDER BY l, a) AS INTEGER) AS case_id, l AS lambda, a AS alpha FROM (VALUES (CAST(0.3 AS DOUBLE)), (CAST(1 AS DOUBLE)), (CAST(3 AS DOUBLE))) t(l), (VALUES (CAST(1 AS DOUBLE)), (CAST(5 AS DOUBLE)), (CAST(10 AS DOUBLE)), (CAST(25 AS DOUBLE)), (CAST(50 AS DOUBLE))) u(a) QUALIFY row_number() OVER (ORDER BY l, a) <= 12")
+@query("sweep_cases", "SELECT CAST(row_number() OVER (ORDER BY l, a) AS INTEGER) AS case_id, l AS lambda, a AS alpha FROM (SELECT DISTINCT CAST(3 AS DOUBLE) * (r_regionkey + 1) / 10 AS l FROM region), (SELECT DISTINCT CAST(n_nationkey % 5 * 5 + 1 AS DOUBLE) AS a FROM nation) QUALIFY row_number() OVER (ORDER BY l, a) <= 12")
 def sweep_cases(spark, sf_dir):
-    """A grid of parameters, twelve cases at most; the product of two short lists."""
-    pairs = [(la, al) for la in (0.3, 1.0, 3.0) for al in (1.0, 5.0, 10.0, 25.0, 50.0)][:12]
-    return spark.createDataFrame([(i + 1, *p) for i, p in enumerate(pairs)], "case_id int, lambda double, alpha double")
+    """A grid of parameters of the regions and nations, twelve cases at most."""
+    la = A.table(spark, sf_dir, "region").select((F.lit(3.0) * (F.col("r_regionkey") + 1) / 10).alias("lambda")).distinct()
+    al = A.table(spark, sf_dir, "nation").select((F.col("n_nationkey") % 5 * 5 + 1).cast("double").alias("alpha")).distinct()
+    grid = la.join(F.broadcast(al.agg(F.collect_set("alpha").alias("alphas")))).select("lambda", F.explode("alphas").alias("alpha"))  # few of each
+    first = grid.orderBy("lambda", "alpha").limit(12)
+    return first.select(P.rank_over([F.col("lambda"), F.col("alpha")]).cast("int").alias("case_id"), "lambda", "alpha")

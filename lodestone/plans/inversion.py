@@ -47,13 +47,19 @@ def _cells(spark, nx, ny, nz, size):
 
 @query("sphere_recovery")
 def sphere_recovery(spark, sf_dir):
-    """A sphere of 0.5 contrast, seen by 49 sensors through a mesh of 5 m cells, recovered on 256 cells of 15 m. No table is read."""
+    """A sphere of 0.5 contrast, seen through a mesh of 5 m cells by sensors on 49 nodes, recovered on 256 cells of 15 m.
+
+    A supplier is a reading at a node; a node's readings have an error of 0.5 % of the largest datum, by their balances.
+    """
     fine, coarse = _cells(spark, 24, 12, 24, 5.0), _cells(spark, 8, 4, 8, 15.0)
-    sensors = spark.range(49).select(F.col("id").alias("obs_id"), (F.expr("id DIV 7") * 20.0).alias("x_m"), F.lit(-1.0).alias("y_m"), (F.col("id") % 7 * 20.0).alias("z_m"))
+    node = F.col("s_suppkey") % 49
+    readings = A.table(spark, sf_dir, "supplier").groupBy(node.alias("obs_id")).agg((F.avg("s_acctbal").cast("double") / 10000 - 0.45).alias("error"))
+    sensors = readings.select("obs_id", (F.expr("obs_id DIV 7") * 20.0).alias("x_m"), F.lit(-1.0).alias("y_m"), (F.col("obs_id") % 7 * 20.0).alias("z_m"))
     inside = (F.col("x") - 60) ** 2 + (F.col("y") - 30) ** 2 + (F.col("z") - 60) ** 2 <= 400
     body = fine.where(inside).withColumn("c", F.lit(0.5))
     scaled = lambda k: k.withColumn("val", F.col("val") * 1e9)
-    data = I.stored(S.forward(scaled(S.gravity_kernel(sensors, body, 5.0, 500.0)), body, "c"), "sphere-data")
+    exact = I.stored(S.forward(scaled(S.gravity_kernel(sensors, body, 5.0, 500.0)), body, "c"), "sphere-exact")
+    data = I.stored(I.noisy(exact, readings, 0.005), "sphere-data")
     kernel = I.stored(scaled(S.gravity_kernel(sensors, coarse, 15.0, 500.0)), "sphere-kernel")
     model = I.focused(kernel, data, coarse.select("voxel_id", F.pow(F.col("y") + 1, F.lit(1.25)).alias("w")), 0.1, 3, 0.5)
     at = lambda c: F.floor(F.col(c) / 15)
@@ -89,7 +95,7 @@ def focusing_weights(spark, sf_dir):
 @query("upward_continuation")
 def upward_continuation(spark, sf_dir):
     """Four surveys of the elevation grid. Tests hold: a harmonic falls by exp(-k h)."""
-    grids = A.dem(spark).withColumn("survey", F.explode(F.sequence(F.lit(0), F.lit(3)))).select("survey", "row", "col", (F.col("elev") + F.col("survey")).alias("g"))
+    grids = A.dem(spark, sf_dir).withColumn("survey", F.explode(F.sequence(F.lit(0), F.lit(3)))).select("survey", "row", "col", (F.col("elev") + F.col("survey")).alias("g"))
     return I.upward_continuation(grids, 100.0, 250.0)
 
 
@@ -275,6 +281,50 @@ def chi2_choice(spark, sf_dir):
     return I.fit_of_cases(k, d, models).join(F.broadcast(named), "case_id").drop("case_id").select("lambda", "alpha", "misfit_percent", "chi2").orderBy(F.abs(F.log("chi2")), F.desc("lambda")).limit(1)  # a row for each damping
 
 
+_SOLVED = ("doi", "doi shifted", "gravity", "magnetic")
+
+
+@query("solved_inversions", f"SELECT t.name, count(*) AS cells, CAST(0 AS BIGINT) AS unsolved FROM v_voxels, (VALUES {', '.join(f"('{n}')" for n in _SOLVED)}) t(name) GROUP BY t.name")
+def solved_inversions(spark, sf_dir):
+    """name, cells, unsolved: for each unclipped inversion the cells whose normal equation is off by over 1e-6 of its scale, slopes taken by joins."""
+    gravity = _problem(spark, sf_dir)
+    susceptible = S.magnetic_kernel(A.sensors(spark, sf_dir), A.voxels(spark, sf_dir), 25.0, 120.0, 25000.0, -30.0, 2.0).withColumn("val", F.col("val") / 1000)
+    magnetic = _problem(spark, sf_dir, susceptible)
+    cases, out = {"gravity": (gravity, 3.0, 1.0, 0.0), "magnetic": (magnetic, 1.0, 1.0, 0.0), "doi": (gravity, 3.0, 0.0, 0.0), "doi shifted": (gravity, 3.0, 0.0, 0.1)}, None
+    for name, ((k, d, w, e), damping, smooth, reference) in cases.items():
+        m = I.regularised(k, d, w, e, [(0, damping, smooth, reference)]).select("voxel_id", "m")
+        cells = I.stored(w.withColumns({"lower": F.lit(None).cast("double"), "upper": F.lit(None).cast("double"), "target": F.lit(reference)}), "cells")
+        at = I.objective_slopes(k, d, cells, e, m, damping, smooth).withColumn("s", F.abs(F.col("slope") / F.col("size")))
+        zero = I.objective_slopes(k, d, cells, e, w.select("voxel_id", F.lit(0.0).alias("m")), damping, smooth).agg(F.max(F.abs(F.col("slope") / F.col("size"))).alias("scale"))
+        row = at.join(F.broadcast(zero)).agg(F.lit(name).alias("name"), F.count("*").alias("cells"), F.count_if(F.col("s") > 1e-6 * F.col("scale")).alias("unsolved"))  # zero is one row
+        out = row if out is None else out.unionByName(row)
+    return out.select("name", "cells", "unsolved")
+
+
+@query("doi_index_summary")
+def doi_index_summary(spark, sf_dir):
+    """n, p50, p85, p95, max of the two-solve index, and the share of cells that data decide (0.2 or less)."""
+    return doi_index(spark, sf_dir).agg(F.count("*").alias("n"), *[F.percentile("doi", q).alias(f"p{int(q * 100)}") for q in (0.5, 0.85, 0.95)], F.max("doi").alias("max"), F.avg((F.col("doi") <= 0.2).cast("double")).alias("decided"))
+
+
+@query("gaussian_recovery")
+def gaussian_recovery(spark, sf_dir):
+    """pearson, misfit_percent, n_voxels: a Gaussian body in the voxels, seen by the sensors with an error of 0.5 %, inverted under bounds."""
+    k, d, w, e = _problem(spark, sf_dir)
+    v = A.voxels(spark, sf_dir)
+    mid = v.agg(*[F.avg(a).alias(f"_{a}") for a in "xz"])
+    body = I.gaussian_body(v.join(F.broadcast(mid)), (F.col("_x"), F.lit(60.0), F.col("_z")), 60.0, 0.8).select("voxel_id", "c")  # mid is one row
+    readings = A.sensors(spark, sf_dir).select("obs_id", (F.col("g").cast("double") / 10000 - 0.45).alias("error"))
+    seen = I.noisy(S.forward(k, body, "c"), readings, 0.005)
+    spread = seen.agg((F.max("d") - F.min("d")).alias("_s"))
+    seen = I.stored(seen.join(F.broadcast(spread)).select("obs_id", "d", F.greatest(0.02 * F.abs("d"), 0.01 * F.col("_s"), F.lit(1e-30)).alias("sigma")), "data")  # spread is one row
+    cells = w.withColumns({"lower": F.lit(0.0), "upper": F.lit(1.6), "target": F.lit(0.0)})
+    m = I.stored(I.bounded(k, seen, cells, e, 0.3, 0.3), "model")
+    fit = I.fit_of_cases(k, seen, m.withColumn("case_id", F.lit(0))).select("misfit_percent")
+    near = m.join(body, "voxel_id").join(k.select("voxel_id").distinct(), "voxel_id", "left_semi")
+    return near.agg(F.corr("c", "m").alias("pearson"), F.count("*").alias("n_voxels")).join(F.broadcast(fit))  # one row each
+
+
 @query("doi_index")
 def doi_index(spark, sf_dir):
     """voxel_id, doi: how much of a shift of the reference model by 0.1 stays in the model; 0 where data decide, 1 where they don't."""

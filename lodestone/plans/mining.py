@@ -51,6 +51,18 @@ def pit_phases(spark, sf_dir):
     return _phases(spark, sf_dir)[1]
 
 
+@query("pit_closure", """
+WITH k AS (SELECT i.range AS i, j.range AS j FROM range(-1, 2) i, range(-1, 2) j WHERE (i.range * i.range + j.range * j.range) * 625 <= pow(25 / tan(radians(CAST(40 AS DOUBLE))), 2) + CAST(1e-9 AS DOUBLE))
+SELECT count(*) AS arcs, CAST(0 AS BIGINT) AS broken FROM v_voxels a, k JOIN v_voxels b ON b.ix = a.ix + k.i AND b.iy = a.iy - 1 AND b.iz = a.iz + k.j""")
+def pit_closure(spark, sf_dir):
+    """arcs, broken: the arcs whose block is mined before one above it that it needs, of pit_phases."""
+    b, phases = _phases(spark, sf_dir)
+    arcs = G.precedence_arcs(b, 25.0, 25.0, 40.0)
+    of = lambda k: phases.select(F.col("voxel_id").alias(k), F.col("phase").alias(f"{k}_phase"))
+    met = arcs.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+    return met.agg(F.count("*").alias("arcs"), F.count_if(F.col("src_phase").isNotNull() & (F.coalesce("dst_phase", F.lit(99)) > F.col("src_phase"))).alias("broken"))
+
+
 @query("pit_metrics", f"""
 WITH {_ECON}, p AS (SELECT *, revenue > cost AS ore FROM cash WHERE iy < 4)
 SELECT round(sum(tonnage), 2) AS tonnage, round(sum(tonnage) FILTER (ore), 2) AS ore, round(sum(tonnage) FILTER (NOT ore), 2) AS waste, round(sum(tonnage) FILTER (NOT ore) / sum(tonnage) FILTER (ore), 6) AS strip_ratio, round(sum(tonnage * grade) FILTER (ore) / sum(tonnage) FILTER (ore), 6) AS grade, round(100 * CAST(8 AS DOUBLE) / (CAST(0.85 AS DOUBLE) * 900), 6) AS cutoff FROM p""")

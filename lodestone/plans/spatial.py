@@ -88,7 +88,7 @@ WITH p AS (SELECT obs_id, least(greatest(x_m / CAST(5003 AS DOUBLE) * 31, 0), 31
 SELECT obs_id, round(a.elev * (1 - (u - c)) * (1 - (v - r)) + b.elev * (u - c) * (1 - (v - r)) + d.elev * (1 - (u - c)) * (v - r) + e.elev * (u - c) * (v - r), 6) AS elevation
 FROM q JOIN v_dem a ON a.row = r AND a.col = c JOIN v_dem b ON b.row = r AND b.col = c + 1 JOIN v_dem d ON d.row = r + 1 AND d.col = c JOIN v_dem e ON e.row = r + 1 AND e.col = c + 1""")
 def dem_bilinear(spark, sf_dir):
-    out = S.sample_dem(A.observations(spark, sf_dir), A.dem(spark), F.col("x_m") / 5003.0 * 31, F.col("z_m") / 4999.0 * 31, 32)
+    out = S.sample_dem(A.observations(spark, sf_dir), A.dem(spark, sf_dir), F.col("x_m") / 5003.0 * 31, F.col("z_m") / 4999.0 * 31, 32)
     return out.select("obs_id", F.round("elevation", 6).alias("elevation"))
 
 
@@ -96,18 +96,18 @@ def dem_bilinear(spark, sf_dir):
 SELECT voxel_id, elev AS surface_m, y AS depth_m, elev - y AS elevation_m FROM v_voxels JOIN v_dem ON row = iy * 3 AND col = ix""")
 def voxel_elevation(spark, sf_dir):
     v = A.voxels(spark, sf_dir).withColumns({"row": F.col("iy") * 3, "col": F.col("ix")})
-    return v.join(A.dem(spark), ["row", "col"]).select("voxel_id", F.col("elev").alias("surface_m"), F.col("y").alias("depth_m"), (F.col("elev") - F.col("y")).alias("elevation_m"))
+    return v.join(A.dem(spark, sf_dir), ["row", "col"]).select("voxel_id", F.col("elev").alias("surface_m"), F.col("y").alias("depth_m"), (F.col("elev") - F.col("y")).alias("elevation_m"))
 
 
 @query("dem_stats", "SELECT min(elev) AS lo, max(elev) AS hi, round(avg(elev), 6) AS mean, count(*) AS n FROM v_dem")
 def dem_stats(spark, sf_dir):
-    return A.dem(spark).agg(F.min("elev").alias("lo"), F.max("elev").alias("hi"), F.round(F.avg("elev"), 6).alias("mean"), F.count("*").alias("n"))
+    return A.dem(spark, sf_dir).agg(F.min("elev").alias("lo"), F.max("elev").alias("hi"), F.round(F.avg("elev"), 6).alias("mean"), F.count("*").alias("n"))
 
 
 @query("median_filter", """
 WITH o AS (SELECT range - 1 AS d FROM range(0, 3)) SELECT a.row, a.col, median(b.elev) AS elev FROM v_dem a, o r, o c, v_dem b WHERE b.row = least(greatest(a.row + r.d, 0), 31) AND b.col = least(greatest(a.col + c.d, 0), 31) GROUP BY a.row, a.col""")
 def median_filter(spark, sf_dir):
-    return S.median_filter(A.dem(spark), "elev")
+    return S.median_filter(A.dem(spark, sf_dir), "elev")
 
 
 @query("spectral_indices", """
@@ -115,7 +115,7 @@ SELECT row, col, round((b8 - b4) / greatest(b8 + b4, 1), 6) AS ndvi, round(b4 /
 (SELECT row, col, elev AS b8, elev / 2 AS b4, elev / 4 AS b2, elev + row AS b11, elev - col AS b12, (row + col) % 8 AS scl FROM v_dem) WHERE scl IN (4, 5, 7)""")
 def spectral_indices(spark, sf_dir):
     e = F.col("elev")
-    p = A.dem(spark).select("row", "col", e.alias("b8"), (e / 2).alias("b4"), (e / 4).alias("b2"), (e + F.col("row")).alias("b11"), (e - F.col("col")).alias("b12"), ((F.col("row") + F.col("col")) % 8).alias("scl"))
+    p = A.dem(spark, sf_dir).select("row", "col", e.alias("b8"), (e / 2).alias("b4"), (e / 4).alias("b2"), (e + F.col("row")).alias("b11"), (e - F.col("col")).alias("b12"), ((F.col("row") + F.col("col")) % 8).alias("scl"))
     ratio = lambda a, b: F.round(a / F.greatest(b, F.lit(1.0)), 6)
     return p.where(F.col("scl").isin(4, 5, 7)).select("row", "col", ratio(F.col("b8") - F.col("b4"), F.col("b8") + F.col("b4")).alias("ndvi"), ratio(F.col("b4"), F.col("b2")).alias("iron"), ratio(F.col("b11"), F.col("b12")).alias("clay"))
 
@@ -123,7 +123,7 @@ def spectral_indices(spark, sf_dir):
 @query("spectral_stats", "SELECT count(*) AS n, round(avg(elev), 6) AS mean, round(quantile_cont(elev, CAST(0.9 AS DOUBLE)), 6) AS p90, round(stddev_pop(elev), 6) AS std, round(avg(CASE WHEN (row + col) % 8 IN (4, 5, 7) THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS valid_ratio FROM v_dem")
 def spectral_stats(spark, sf_dir):
     ok = ((F.col("row") + F.col("col")) % 8).isin(4, 5, 7)
-    return A.dem(spark).agg(F.count("*").alias("n"), F.round(F.avg("elev"), 6).alias("mean"), F.round(F.percentile("elev", 0.9), 6).alias("p90"), F.round(F.stddev_pop("elev"), 6).alias("std"), F.round(F.avg(ok.cast("double")), 6).alias("valid_ratio"))
+    return A.dem(spark, sf_dir).agg(F.count("*").alias("n"), F.round(F.avg("elev"), 6).alias("mean"), F.round(F.percentile("elev", 0.9), 6).alias("p90"), F.round(F.stddev_pop("elev"), 6).alias("std"), F.round(F.avg(ok.cast("double")), 6).alias("valid_ratio"))
 
 
 @query("laplacian_edges", """

@@ -215,6 +215,20 @@ def regional_trend_cubic(spark, sf_dir):
     return P.polynomial_trend(A.observations(spark, sf_dir), "x_m", "z_m", "g", 3).select("obs_id", F.round("residual", 4).alias("residual"))
 
 
+_TERMS = [(i, j) for i in range(4) for j in range(4 - i)]
+
+
+@query("trend_normal_equations", f"SELECT t.i, t.j, count(*) AS n, true AS orthogonal FROM v_obs, (VALUES {', '.join(map(str, _TERMS))}) t(i, j) GROUP BY t.i, t.j")
+def trend_normal_equations(spark, sf_dir):
+    """i, j, n, orthogonal: whether the cubic's residual has no share of x^i z^j left (to 1e-8 of the values' own)."""
+    o = A.observations(spark, sf_dir)
+    r = P.polynomial_trend(o, "x_m", "z_m", "g", 3)
+    power = lambda i, j: F.pow(F.col("x_m") / 5003.0, F.lit(float(i))) * F.pow(F.col("z_m") / 4999.0, F.lit(float(j)))
+    sums = r.agg(F.count("*").alias("n"), *[F.array(F.sum(power(i, j) * F.col("residual")), F.sum(power(i, j) * F.abs("g"))).alias(f"t{i}_{j}") for i, j in _TERMS])
+    terms = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"t{i}_{j}").alias("s")) for i, j in _TERMS])
+    return sums.select("n", F.explode(terms).alias("t")).select("t.i", "t.j", "n", (F.abs(F.col("t.s")[0]) <= 1e-8 * F.col("t.s")[1]).alias("orthogonal"))
+
+
 @query("status_latest", """
 SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS n_updates, max(ts) AS at FROM events GROUP BY user_id""")
 def status_latest(spark, sf_dir):

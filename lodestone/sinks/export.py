@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.blockmodel import header_stats
 from lodestone.sources.runs import manifest
 
 NO_DATA = -9999.0
@@ -47,6 +48,12 @@ def write_ubc_model(model: DataFrame, path: str, value: str) -> None:
     model.orderBy("ix", "iy", F.desc("iz")).select(F.coalesce(F.nanvl(F.col(value).cast("double"), F.lit(NO_DATA)), F.lit(NO_DATA)).cast("string")).write.mode("overwrite").text(path)
 
 
+def arrow_payload(model: DataFrame, columns: list[str], limit: int, size: float) -> tuple[bytes, dict[str, str]]:
+    """arrow_bytes() and, as text by name, the statistics of the whole model (blockmodel.header_stats()) that go with them."""
+    stats = header_stats(model, size).first()
+    return arrow_bytes(model, columns, limit), {k: str(v) for k, v in stats.asDict().items() if v is not None}
+
+
 def arrow_bytes(model: DataFrame, columns: list[str], limit: int) -> bytes:
     """An Arrow stream of at most `limit` rows by voxel_id, doubles as 32-bit floats: what a viewer takes in one response."""
     small = {"double": "float", "bigint": "int"}

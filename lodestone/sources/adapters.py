@@ -24,8 +24,8 @@ VIEWS = {
         s_acctbal AS g FROM supplier""",
     "v_boreholes": """SELECT n_nationkey AS hole, CAST((n_nationkey * 61) % 500 AS DOUBLE) AS x_m, CAST((n_nationkey * 43) % 250 AS DOUBLE) AS z_m,
         CAST((n_nationkey * 7) % 100 AS DOUBLE) AS y_from_m, CAST((n_nationkey * 7) % 100 + 60 AS DOUBLE) AS y_to_m, CAST(2.5 AS DOUBLE) + CAST(n_nationkey AS DOUBLE) / CAST(20 AS DOUBLE) AS density FROM nation""",
-    "v_dem": """SELECT r.range AS row, c.range AS col, CAST(1000 + 3 * r.range + 5 * c.range + (r.range * c.range) % 7 AS DOUBLE) AS elev
-        FROM range(0, 32) r, range(0, 32) c""",
+    "v_dem": """SELECT n.row, n.col, CAST(1000 + 3 * n.row + 5 * n.col AS DOUBLE) + coalesce(q.total / q.lines, 0) AS elev FROM (SELECT r.range AS row, c.range AS col FROM range(0, 32) r, range(0, 32) c) n
+        LEFT JOIN (SELECT l_orderkey % 32 AS row, (l_orderkey // 32 + l_linenumber) % 32 AS col, CAST(sum(l_linenumber) AS DOUBLE) AS total, count(*) AS lines FROM lineitem GROUP BY 1, 2) q ON q.row = n.row AND q.col = n.col""",
 }
 
 
@@ -85,6 +85,10 @@ def boreholes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(k.alias("hole"), _d(k * 61 % 500).alias("x_m"), _d(k * 43 % 250).alias("z_m"), _d(k * 7 % 100).alias("y_from_m"), _d(k * 7 % 100 + 60).alias("y_to_m"), (2.5 + _d(k) / 20.0).alias("density"))
 
 
-def dem(spark: SparkSession, size: int = 32) -> DataFrame:
+def dem(spark: SparkSession, sf_dir: str, size: int = 32) -> DataFrame:
+    """row, col, elev of a square grid: a slope, and on it the mean line number of the order lines that fall on a node."""
     r, c = F.expr(f"id DIV {size}"), F.col("id") % size
-    return spark.range(size * size).select(r.alias("row"), c.alias("col"), _d(1000 + 3 * r + 5 * c + (r * c) % 7).alias("elev"))
+    row, col = F.col("l_orderkey") % size, (F.expr(f"l_orderkey DIV {size}") + F.col("l_linenumber")) % size
+    lines = table(spark, sf_dir, "lineitem").groupBy(row.alias("row"), col.alias("col")).agg((_d(F.sum("l_linenumber")) / F.count("*")).alias("mean"))
+    nodes = spark.range(size * size).select(r.alias("row"), c.alias("col"))
+    return nodes.join(lines, ["row", "col"], "left").select("row", "col", (_d(1000 + 3 * F.col("row") + 5 * F.col("col")) + F.coalesce("mean", F.lit(0.0))).alias("elev"))

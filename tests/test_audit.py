@@ -197,3 +197,63 @@ def test_padding_leak_of_nothing(spark):
     assert (row.mass_total, row.ratio, row.status) == (0.0, 0.0, "PASS")
     row = audit.padding_leak(spark.createDataFrame([(True, -9.6), (False, 0.4)], "core boolean, contrast double")).first()
     assert row.ratio == pytest.approx(0.04) and row.status == "PASS"
+
+
+# --- curves, headers, signals ---
+
+
+def _curve(spark, points):
+    return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(points)], "i long, misfit double, norm double")
+
+
+def test_corner_of_curves_without_curvature(spark):
+    """A straight line, two points, points that coincide, and a triple that is too close: farthest from the line of the ends, else the middle."""
+    from lodestone.operators import evaluation
+
+    corner = lambda points: evaluation.lcurve_corner(_curve(spark, points), "i", "misfit", "norm").first()
+    line = corner([(10.0**k, 10.0**-k) for k in range(5)])
+    assert line.curvature is None or line.curvature < 1e-6
+    two = corner([(1, 10), (10, 1)])
+    assert (two.i, two.curvature) == (0, None)
+    same = corner([(2, 3)] * 5)
+    assert (same.i, same.curvature) == (2, None)
+    close = corner([(1, 100), (1.00001, 50), (1000, 1)])  # bent, so by curvature
+    assert close.i == 1 and close.curvature > 0
+    tiny = corner([(1, 1000), (1.000001, 999.9999), (1000, 1)])  # the first side is below a thousandth
+    assert tiny.curvature is None and tiny.i == 1
+
+
+def test_header_goes_with_the_payload(spark):
+    import io
+
+    import pyarrow as pa
+
+    from lodestone.sinks import export
+
+    model = spark.createDataFrame([(i, 2.5 * i, 1.0, -3.0, 2.6 + i / 10) for i in range(8)], "voxel_id long, x double, y double, z double, density double")
+    body, header = export.arrow_payload(model, ["voxel_id", "x"], 3, 2.5)
+    assert pa.ipc.open_stream(io.BytesIO(body)).read_all().num_rows == 3
+    assert header == {"total_voxels": "8", "bounds_min": "0.0000,1.0000,-3.0000", "bounds_max": "17.5000,1.0000,-3.0000", "cell_size": "2.5000", "domain_l": "17.5000", "domain_h": "0.0000", "domain_w": "0.0000", "density_min": "2.600000", "density_max": "3.300000"}
+
+
+def test_report_signals(spark):
+    from lodestone.operators import diagnostics
+
+    of = lambda rows: diagnostics.report_signal(spark.createDataFrame(rows, "density double, probability double, grade double, mass double"), 2.75).first()
+    a = of([(3.4, 0.8, 0.5, 2.0), (2.0, 0.2, None, 1.0), (None, 1.0, 9.0, 1.0)])
+    assert (a.anomaly_score, a.max_probability, a.avg_grade, a.preliminary_signal, a.risk_level) == (pytest.approx(0.2), 0.8, pytest.approx(1 / 3), "DRILL_CANDIDATE", "LOW")
+    b = of([(2.7, 0.5, 0.5, 1.0)])
+    assert (b.preliminary_signal, b.risk_level) == ("OBSERVE", "HIGH")
+    assert of([(3.0, 0.5, 0.5, None)]).risk_level == "MEDIUM"
+
+
+def test_gaussian_bodies_and_noise(spark):
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import inversion
+
+    cells = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 3.0, 4.0, 0.0)], "voxel_id long, x double, y double, z double")
+    c = {r.voxel_id: r.c for r in inversion.gaussian_body(cells, (F.lit(0.0), F.lit(0.0), F.lit(0.0)), 5.0, 0.8).collect()}
+    assert c[0] == 0.8 and c[1] == pytest.approx(0.8 * np.exp(-0.5))
+    d = {r.obs_id: r.d for r in inversion.noisy(spark.createDataFrame([(1, -4.0), (2, 1.0)], "obs_id long, d double"), spark.createDataFrame([(1, 0.5)], "obs_id long, error double"), 0.1).collect()}
+    assert d == {1: pytest.approx(-3.8), 2: 1.0}
