@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import stored
 
-BLOCK = 4096
+#: Data in a block of a cell, and queries that meet a block in one group.
+BLOCK, QUERIES = 4096, 16_384
 
 
 def integer_vectors(rows: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -148,18 +149,26 @@ def voronoi_topk(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id",
                     out += [(q, int(ids[i]), int(line[i])) for i in best]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
+    def met(asking: DataFrame) -> DataFrame:
+        """The solutions of queries (with cell and block) among their blocks. Where many queries ask for a group, they are parted and its blocks copied for each part."""
+        asked = asking.groupBy("cell").count().collect()  # n_pivots rows
+        parts = {r["cell"]: p for r in asked if (p := -(-r["count"] // (blocks[r["cell"]] * QUERIES))) > 1}
+        n = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for c in parts.items() for x in c]), F.col("cell")), F.lit(1)) if parts else F.lit(1)
+        own = asking.withColumn("part", F.pmod(F.xxhash64("id"), n).cast("int"))
+        members = data_blocks.select("id", "v", "cell", "block", F.explode(F.sequence(F.lit(0), n - 1)).alias("part"))
+        key = ["cell", "block", "part"]
+        return own.groupBy(*key).cogroup(members.groupBy(*key)).applyInPandas(solve, local)
+
     kinds = "id long, v array<double>, cell int, block int, floor double"
     local = "query_id long, vec_id long, score long"
-    grouped = data_blocks.select("id", "v", "cell", "block")
     first = queries.mapInPandas(home, kinds)
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = stored(first.groupBy("cell", "block").cogroup(grouped.groupBy("cell", "block")).applyInPandas(solve, local), "home-scores")
+    found = stored(met(first), "home-scores")
     raised = found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("kth"))
     homes = first.groupBy("id").agg(F.first("v").alias("v"), F.first("cell").alias("home"), F.first("floor").alias("floor"))
     again = homes.join(raised, "id", "left").withColumn("floor", F.greatest("floor", F.coalesce("kth", F.lit(float("-inf")))))
     others = again.select("id", "v", "home", "floor").mapInPandas(rest, kinds)
-    more = others.groupBy("cell", "block").cogroup(grouped.groupBy("cell", "block")).applyInPandas(solve, local)
-    ranked = found.unionByName(more).withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
+    ranked = found.unionByName(met(others)).withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

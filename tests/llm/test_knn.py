@@ -67,3 +67,13 @@ def test_fewer_candidates_than_k_and_empty(spark):
 
 def test_large_values_stay_exact(spark):
     _check(spark, [(i, [3.0e5 + i, -2.0e5, 7.1e4 * i]) for i in range(30)])
+
+
+def test_many_queries_of_one_cell_are_parted(spark, monkeypatch):
+    """No group holds more than some queries, and the neighbours stay the same."""
+    monkeypatch.setattr(knn, "QUERIES", 20)
+    monkeypatch.setattr(knn, "BLOCK", 50)
+    rng = np.random.default_rng(12)
+    rows = [(i, (np.ones(6) + rng.normal(size=6) * 0.01).astype(np.float32).tolist()) for i in range(500)]
+    _check(spark, rows, every=2, n_pivots=1, sample_rows=10)
+    _check(spark, rows, every=1, n_pivots=3, sample_rows=30)
