@@ -14,6 +14,7 @@ that a text without boundaries costs twice its own encoding.
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,10 +32,25 @@ _SPACES = " \t\n\r\x0b\x0c"
 _JOINS = "'<|>"
 
 
-def _encoded(tokenizer, text: str, start: int, end: int) -> list[tuple[int, int, int]]:
-    """(begin, end, id) of the tokens of text[start:end], positions in text."""
-    e = tokenizer.encode(text[start:end], add_special_tokens=False)
-    return [(a + start, b + start, i) for (a, b), i in zip(e.offsets, e.ids, strict=True)]
+class _Encoded:
+    """The tokens of text[start:end]: offsets (relative to start) and ids."""
+
+    def __init__(self, tokenizer, text: str, start: int, end: int):
+        e = tokenizer.encode(text[start:end], add_special_tokens=False)
+        self.start, self.offsets, self.ids = start, e.offsets, e.ids
+
+    def at(self, place: int) -> int:
+        """The number of tokens that begin before a place in the text."""
+        return bisect_left(self.offsets, (place - self.start,))
+
+    def ends_by(self, place: int) -> bool:
+        """Whether the tokens that begin before a place end there at the latest."""
+        i = self.at(place)
+        return not i or self.offsets[i - 1][1] <= place - self.start
+
+    def between(self, first: int, last: int) -> list[tuple[int, int, int]]:
+        i, j = self.at(first), self.at(last)
+        return [(a + self.start, b + self.start, t) for (a, b), t in zip(self.offsets[i:j], self.ids[i:j], strict=True)]
 
 
 def _ends_word(a: str, b: str) -> bool:
@@ -59,16 +75,16 @@ def _cuts(text: str, start: int, end: int) -> tuple[int, int] | None:
     return (first, last) if last > first else None
 
 
-def _splice(left: list, right: list, first: int, last: int) -> int | None:
+def _splice(left: _Encoded, right: _Encoded, first: int, last: int) -> int | None:
     """first, if it is a stable boundary: left's tokens count before it, right's from it.
 
     The first cut of the overlap comes after what may be half a word in `right`, and the last one before
     what may be half a word in `left`; between them both must have the same tokens.
     """
-    inner = lambda tokens: [t for t in tokens if t[0] >= first and t[1] <= last]
-    crossing = lambda tokens: any(t[0] < p < t[1] for t in tokens for p in (first, last))
-    a, b = inner(left), inner(right)
-    return first if a and a == b and not crossing(left) and not crossing(right) else None
+    if not all(tokens.ends_by(p) for tokens in (left, right) for p in (first, last)):
+        return None
+    a = left.between(first, last)
+    return first if a and a == right.between(first, last) else None
 
 
 def count_huge(tokenizer, text: str, chunk: int, overlap: int) -> int:
@@ -77,24 +93,24 @@ def count_huge(tokenizer, text: str, chunk: int, overlap: int) -> int:
         return len(tokenizer.encode(text, add_special_tokens=False).ids)
     total, begin = 0, 0  # tokens of text[:begin] are counted
     end = chunk
-    left = _encoded(tokenizer, text, 0, end)
+    left = _Encoded(tokenizer, text, 0, end)
     while end < len(text):
         to = min(len(text), end + (chunk if end - begin <= 2 * chunk else end - begin))
         width = min(overlap, end - begin)
         while True:
             cut, found = None, _cuts(text, end - width, end)
             if found:
-                right = _encoded(tokenizer, text, end - width, to)
+                right = _Encoded(tokenizer, text, end - width, to)
                 cut = _splice(left, right, *found)
             if cut is not None or width == end - begin:
                 break
             width = min(2 * width, end - begin)
         if cut is None:  # no boundary in all that is open: one chunk from its beginning
-            left, end = _encoded(tokenizer, text, begin, to), to
+            left, end = _Encoded(tokenizer, text, begin, to), to
             continue
-        total += sum(1 for t in left if t[0] >= begin and t[1] <= cut)
+        total += left.at(cut) - left.at(begin)
         begin, left, end = cut, right, to
-    return total + sum(1 for t in left if t[0] >= begin)
+    return total + len(left.ids) - left.at(begin)
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, chunk: int = 1 << 14, overlap: int = 256, limit: int = 2048) -> DataFrame:
