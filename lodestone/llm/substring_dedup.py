@@ -347,7 +347,7 @@ def repeated_spans(docs: DataFrame, length: int, words: int, most_in_task: int,
 
     # the others, by suffix arrays
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 64):
+        for batch in slices(batches, 8):  # a place takes over a kilobyte, and a long text has hundreds
             cols: list[list] = [[] for _ in range(8)]
             raws = _raw(batch.column(0).to_pylist())
             hashes, first = word_hashes(raws)
