@@ -60,47 +60,62 @@ class Rolling:
     """Hashes of the strings of `width` bytes at any place of a buffer."""
 
     def __init__(self, table: np.ndarray, base: int):
-        self.table, self.base, self.inverse = table, np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
+        self.table, self.kept = table, [powers(1, np.uint64(b)) for b in (base, pow(base, -1, 1 << 64))]
+        self.bases = [np.uint64(b) for b in (base, pow(base, -1, 1 << 64))]
+
+    def _powers(self, n: int, which: int) -> np.ndarray:
+        """The first n powers; those of one piece are kept."""
+        if n > 3 * PIECE:
+            return powers(n, self.bases[which])
+        if len(self.kept[which]) < n:
+            self.kept[which] = powers(max(n, 2 * len(self.kept[which])), self.bases[which])
+        return self.kept[which][:n]
 
     def __call__(self, x: np.ndarray, width: int) -> np.ndarray:
         if len(x) < width:
             return np.zeros(0, np.uint64)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(self.table[x] * powers(len(x), self.base))])
-        return mixed((sums[width:] - sums[:-width]) * powers(len(x) - width + 1, self.inverse))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(self.table[x] * self._powers(len(x), 0))])
+        return mixed((sums[width:] - sums[:-width]) * self._powers(len(x) - width + 1, 1))
 
 
 _rng = np.random.default_rng(77)
 ROLL = [Rolling(_BYTE, 0x9E3779B97F4A7C15), *[Rolling(_rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1), int(_rng.integers(1, 2**62)) * 4 + 1) for _ in range(2)]]
 
 
-def _by_text(places: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """Places in a buffer as places in its texts, which begin at `first`."""
+def _by_text(places: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places in a buffer as places in its texts, which begin at `first`, with the hashes of their k-grams."""
     at = np.searchsorted(places, first)
-    return [places[at[i] : at[i + 1]] - first[i] for i in range(len(first) - 1)]
+    return [(places[at[i] : at[i + 1]] - first[i], hashes[at[i] : at[i + 1]]) for i in range(len(first) - 1)]
 
 
-def anchors(texts: list[bytes], length: int) -> list[np.ndarray]:
-    """For each text, the places whose k-gram has the least hash in some window of `length` bytes, ties included."""
-    out: list[np.ndarray] = []
+def anchors(texts: list[bytes], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text, the places whose k-gram has the least hash in some window of `length` bytes, ties included, and those hashes."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
     for a, b in text_slices(texts, PIECE):
         first = np.concatenate([[0], np.cumsum([len(t) for t in texts[a:b]])]).astype(np.int64)
         x = np.frombuffer(b"".join(texts[a:b]), np.uint8)
         ends = np.repeat(first[1:], np.diff(first))
-        found = [np.zeros(0, np.int64)]
+        found, grams = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for at in range(0, max(len(x) - length + 1, 0), 2 * PIECE):  # a slice is longer than two pieces only if a text is
             part = slice(at, at + 2 * PIECE + length - 1)
-            found.append(_least(ROLL[0](x[part], GRAM), ends[part] - at, length, GRAM) + at)
-        out += _by_text(np.unique(np.concatenate(found)), first)
+            h = ROLL[0](x[part], GRAM)
+            places = _least(h, ends[part] - at, length, GRAM)
+            found.append(places + at)
+            grams.append(h[places])
+        places, once = np.unique(np.concatenate(found), return_index=True)
+        out += _by_text(places, np.concatenate(grams)[once], first)
     return out
 
 
-def word_anchors(words: np.ndarray, first: np.ndarray, length: int) -> list[np.ndarray]:
+def word_anchors(words: np.ndarray, first: np.ndarray, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """The same for texts that are hashes of words, windows of `length` words; places count words."""
     gram = WORD_GRAM
     sums = np.zeros(max(len(words) - gram + 1, 0), np.uint64)
     for k in range(gram if len(sums) else 0):
         sums += words[k : len(words) - gram + 1 + k] * _BYTE[k]
-    return _by_text(_least(mixed(sums), np.repeat(first[1:], np.diff(first)), length, gram), first)
+    h = mixed(sums)
+    places = _least(h, np.repeat(first[1:], np.diff(first)), length, gram)
+    return _by_text(places, h[places], first)
 
 
 def _hash(data: bytes, seed: int = 0) -> int:
@@ -128,6 +143,7 @@ def _kinds(length: int, words: int) -> dict[int, tuple[int, int, int]]:
 def _scan(docs: DataFrame, length: int, words_of: int) -> DataFrame:
     """doc_id, c1, c2 (a hash of the text), n_bytes, n_words, sha, and the anchors' places, k-grams and surroundings as arrays."""
     of_kind = _kinds(length, words_of)
+    xxh, half, one = xxhash.xxh3_64_intdigest, 1 << 63, np.uint64(1)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -136,15 +152,15 @@ def _scan(docs: DataFrame, length: int, words_of: int) -> DataFrame:
             by_words: list[tuple[bytes, np.ndarray]] = []
             for a, b in text_slices(raws):
                 words, first = word_hashes(raws[a:b])
-                by_words += [(_coded(words[first[i] : first[i + 1]]), p * WORD) for i, p in enumerate(word_anchors(words, first, words_of))]
-            for raw, at, (coded, places) in zip(raws, anchors(raws, length), by_words, strict=True):
-                pos, kg, ctx = [], [], []
-                for kind, text, found in ((0, raw, at.tolist()), (1, coded, places.tolist())):
+                by_words += [(_coded(words[first[i] : first[i + 1]]), (p * WORD, h)) for i, (p, h) in enumerate(word_anchors(words, first, words_of))]
+            for raw, of_bytes, (coded, of_words) in zip(raws, anchors(raws, length), by_words, strict=True):
+                ctx = []
+                for kind, text, (at, _) in ((0, raw, of_bytes), (1, coded, of_words)):
                     size, gram, _ = of_kind[kind]
                     before = size - gram
-                    pos += found
-                    kg += [_hash(text[p : p + gram]) & ~1 | kind for p in found]
-                    ctx += [_hash(text[max(0, p - before) : p + size], min(p, before)) for p in found]
+                    ctx += [xxh(text[p - before if p > before else 0 : p + size], p if p < before else before) - half for p in at.tolist()]
+                pos = np.concatenate([of_bytes[0], of_words[0]])
+                kg = np.concatenate([of_bytes[1] | one, of_words[1] & ~one]).view(np.int64) ^ 1
                 for c, v in zip(cols, (*_content(raw), len(raw), len(coded) // WORD, hashlib.sha256(raw).hexdigest(), pos, kg, ctx), strict=True):
                     c.append(v)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -153,6 +169,39 @@ def _scan(docs: DataFrame, length: int, words_of: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, c1 long, c2 long, n_bytes long, n_words long, sha string, pos array<long>, kg array<long>, ctx array<long>")
 
 
+def _twice(cells_hit: DataFrame, cells: int):
+    """A broadcast bitmap of the cells (column cell) that are hit more than once: a bit for each of at most 2^29 cells, 64 MB."""
+    twice = cells_hit.groupBy("cell").count().where("count > 1").select((F.col("cell") + 1).alias("cell"))
+    bits = twice.groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
+    return cells_hit.sparkSession.sparkContext.broadcast(_bits(bits.toArrow(), cells))
+
+
+def _n_cells(n: int) -> int:
+    cells = 1 << 15
+    while cells < min(8 * n, 1 << 29):
+        cells *= 2
+    return cells
+
+
+def _hit(cell: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1)
+
+
+def _places(batches: Iterator[pa.RecordBatch], twice) -> Iterator[pa.RecordBatch]:
+    """One row for each place of the arrays of _scan() whose k-gram's cell is hit more than once."""
+    bits = twice.value
+    for batch in slices(batches, 1024):
+        of = {c: batch.column(c) for c in batch.schema.names}
+        pos, kg, ctx = (of[c].flatten().to_numpy() for c in ("pos", "kg", "ctx"))
+        row = np.repeat(np.arange(batch.num_rows), np.diff(of["pos"].offsets.to_numpy()))
+        hit = _hit(kg >> 1 & 8 * len(bits) - 1, bits)
+        kg, row = kg[hit], row[hit]
+        kind = (kg & 1).astype(np.int32)
+        n = np.where(kind == 0, of["n_bytes"].to_numpy()[row], of["n_words"].to_numpy()[row] * WORD)
+        cols = (kg, ctx[hit], kind, of["c1"].to_numpy()[row], of["c2"].to_numpy()[row], pos[hit], n)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kg", "ctx", "kind", "c1", "c2", "pos", "n"])
+
+
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (c1, c2, rep and more) with the text of rep's row of docs. A Bloom filter of rep keeps other texts from the shuffle."""
     wanted = stored(wanted, "wanted")
@@ -235,7 +284,7 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int, step: int, twice) -
     for batch in slices(batches, 64):
         row, start, h1, h2 = _strings(batch, length, step)
         cell = h1 & (8 * len(bits) - 1)
-        hit = np.flatnonzero(bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1)
+        hit = _hit(cell, bits)
         c1, c2 = (batch.column(c).to_numpy()[row[hit]] for c in ("c1", "c2"))
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in (c1, c2, start[hit], h1[hit], h2[hit])], ["c1", "c2", "start", "h1", "h2"])
 
@@ -326,18 +375,18 @@ def repeated_spans(docs: DataFrame, length: int, words: int, most_in_task: int,
     rows = scan.select("doc_id", "c1", "c2", "n_bytes", "sha")
     contents = scan.groupBy("c1", "c2").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("rep"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("n_words").alias("n_words"))
     contents = stored(contents, "contents")
-    flat = scan.select("c1", "c2", F.explode(F.arrays_zip("pos", "kg", "ctx")).alias("a"), "n_bytes", "n_words").withColumn("kind", F.col("a.kg").bitwiseAND(F.lit(1)).cast("int"))
-    flat = flat.select("a.kg", "a.ctx", "kind", "c1", "c2", "a.pos", by_kind(F.col("n_bytes"), F.col("n_words") * WORD).alias("n"))
-    # most k-grams occur once: a Bloom filter of the others keeps those places from every shuffle
+    # most k-grams occur once: a bitmap of the others keeps those places from every shuffle
     total = scan.agg(F.coalesce(F.sum(F.size("pos")), F.lit(0))).first()[0]
-    filters, cells = repeat_filters(flat.select("kg"), "kg", total, n=1)
-    flat = maybe_repeated(flat, "kg", filters, cells).where("_ls_maybe").drop("_ls_maybe")
+    cells = _n_cells(total)
+    twice = _twice(scan.select(F.explode("kg").alias("kg")).select(F.shiftright("kg", 1).bitwiseAND(F.lit(cells - 1)).alias("cell")), cells)
+    places = scan.select("c1", "c2", "pos", "kg", "ctx", "n_bytes", "n_words")
+    flat = places.mapInArrow(partial(_places, twice=twice), "kg long, ctx long, kind int, c1 long, c2 long, pos long, n long")
     place = F.xxhash64("c1", "c2", "pos")
-    classes = flat.groupBy("kg", "ctx").agg(F.count("*").alias("m"), (F.min(place) != F.max(place)).alias("again"), F.min(F.struct("c1", "c2", "pos")).alias("at"))
+    classes = flat.groupBy("kg", "ctx").agg(F.count("*").alias("m"), (F.min(place) != F.max(place)).alias("again"), *[F.first(c).alias(c) for c in ("c1", "c2", "pos")])  # of one row: none is null
     classes = stored(classes, "classes")
     shared = stored(classes.groupBy("kg").agg(F.count("*").alias("q")).where("q > 1"), "shared-grams")
     reps = lookup(classes, shared, "kg", "q", classes.count()).where("q IS NOT NULL")
-    reps = stored(reps.select("kg", "ctx", "q", "at.c1", "at.c2", "at.pos"), "class-places")
+    reps = stored(reps.select("kg", "ctx", "q", "c1", "c2", "pos"), "class-places")
 
     # places whose whole surroundings occur again
     found = lookup(flat, classes.where("again").select("kg", "ctx", "m"), ["kg", "ctx"], "m", total).where("m IS NOT NULL")
@@ -383,12 +432,8 @@ def repeated_spans(docs: DataFrame, length: int, words: int, most_in_task: int,
         for kind, (size, gram, step) in of_kind.items():
             hot = every.where(F.col("kind") == kind).drop("kind")
             n = hot.count()
-            cells = 1 << 15
-            while cells < min(8 * ((size - gram) // step + 1) * n, 1 << 29):
-                cells *= 2
-            cell = hot.mapInArrow(partial(_cells, length=size, step=step, cells=cells), "cell long").groupBy("cell").count().where("count > 1").select(F.col("cell") + 1)
-            cell = cell.toDF("cell").groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
-            twice = hot.sparkSession.sparkContext.broadcast(_bits(cell.toArrow(), cells))  # a bit for each cell, 64 MB at most
+            cells = _n_cells(((size - gram) // step + 1) * n)
+            twice = _twice(hot.mapInArrow(partial(_cells, length=size, step=step, cells=cells), "cell long"), cells)
             strings = hot.mapInArrow(partial(_windows, length=size, step=step, twice=twice), "c1 long, c2 long, start long, h1 long, h2 long")
             place = F.xxhash64("c1", "c2", "start")
             again = strings.groupBy("h1", "h2").agg(F.count("*").alias("n"), (F.min(place) != F.max(place)).alias("again")).where("again").select("h1", "h2", "n")
