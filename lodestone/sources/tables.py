@@ -22,11 +22,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="lodestone-"))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet into the shared folder and read back: cuts lineage and survives lost executors."""
+#: Spark's own setting: the shuffle files of a query go when it has ended.
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """df, written as Parquet into the shared folder and read back: cuts lineage and survives lost executors.
+
+    With `release`, the shuffle files that made it go once it is written; the session's setting is put back.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_RELEASE, "false")
+    if release:
+        spark.conf.set(_RELEASE, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if release:
+            spark.conf.set(_RELEASE, before)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
