@@ -169,11 +169,16 @@ def _scan(docs: DataFrame, length: int, words_of: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, c1 long, c2 long, n_bytes long, n_words long, sha string, pos array<long>, kg array<long>, ctx array<long>")
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """stored(); shuffles hold several times the tables that they make, so they go once a table is written."""
+    return stored(df, name, release=True)
+
+
 def _twice(cells_hit: DataFrame, cells: int):
     """A broadcast bitmap of the cells (column cell) that are hit more than once: a bit for each of at most 2^29 cells, 64 MB."""
     twice = cells_hit.groupBy("cell").count().where("count > 1").select((F.col("cell") + 1).alias("cell"))
     bits = twice.groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
-    return cells_hit.sparkSession.sparkContext.broadcast(_bits(bits.toArrow(), cells))
+    return cells_hit.sparkSession.sparkContext.broadcast(_bits(_kept(bits, "cells").toArrow(), cells))
 
 
 def _n_cells(n: int) -> int:
@@ -204,7 +209,7 @@ def _places(batches: Iterator[pa.RecordBatch], twice) -> Iterator[pa.RecordBatch
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (c1, c2, rep and more) with the text of rep's row of docs. A Bloom filter of rep keeps other texts from the shuffle."""
-    wanted = stored(wanted, "wanted")
+    wanted = _kept(wanted, "wanted")
     filters, cells = repeat_filters(wanted.select("rep"), "rep", wanted.count(), cells_per_row=16, n=1, least=1)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,7 +362,7 @@ def repeated_bytes(docs: DataFrame, length: int = 400, words: int = WORDS, id_co
         "c1", "c2", "copies", F.when(whole, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(whole, F.lit(1).cast("long")).otherwise(F.col("n_spans")).alias("n_spans"),
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256"), F.when(all_words, F.col("n_words")).otherwise(F.col("n_repeated_words")).alias("n_repeated_words"),
     ).where("n_removed > 0 OR n_repeated_words > 0")
-    out = lookup(rows, stored(results, "removed"), ["c1", "c2"], "copies", rows.count())
+    out = lookup(rows, _kept(results, "removed"), ["c1", "c2"], "copies", rows.count())
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_removed", "n_spans")]
     return out.select("doc_id", "n_bytes", *counts, F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.coalesce("n_repeated_words", F.lit(0)).alias("n_repeated_words"))
 
@@ -371,10 +376,10 @@ def repeated_spans(docs: DataFrame, length: int, words: int, most_in_task: int,
     """
     of_kind = _kinds(length, words)
     by_kind = lambda a, b: F.when(F.col("kind") == 0, a).otherwise(b)
-    scan = stored(_scan(docs, length, words), "anchors")
+    scan = _kept(_scan(docs, length, words), "anchors")
     rows = scan.select("doc_id", "c1", "c2", "n_bytes", "sha")
     contents = scan.groupBy("c1", "c2").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("rep"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("n_words").alias("n_words"))
-    contents = stored(contents, "contents")
+    contents = _kept(contents, "contents")
     # most k-grams occur once: a bitmap of the others keeps those places from every shuffle
     total = scan.agg(F.coalesce(F.sum(F.size("pos")), F.lit(0))).first()[0]
     cells = _n_cells(total)
@@ -383,10 +388,10 @@ def repeated_spans(docs: DataFrame, length: int, words: int, most_in_task: int,
     flat = places.mapInArrow(partial(_places, twice=twice), "kg long, ctx long, kind int, c1 long, c2 long, pos long, n long")
     place = F.xxhash64("c1", "c2", "pos")
     classes = flat.groupBy("kg", "ctx").agg(F.count("*").alias("m"), (F.min(place) != F.max(place)).alias("again"), *[F.first(c).alias(c) for c in ("c1", "c2", "pos")])  # of one row: none is null
-    classes = stored(classes, "classes")
-    shared = stored(classes.groupBy("kg").agg(F.count("*").alias("q")).where("q > 1"), "shared-grams")
+    classes = _kept(classes, "classes")
+    shared = _kept(classes.groupBy("kg").agg(F.count("*").alias("q")).where("q > 1"), "shared-grams")
     reps = lookup(classes, shared, "kg", "q", classes.count()).where("q IS NOT NULL")
-    reps = stored(reps.select("kg", "ctx", "q", "c1", "c2", "pos"), "class-places")
+    reps = _kept(reps.select("kg", "ctx", "q", "c1", "c2", "pos"), "class-places")
 
     # places whose whole surroundings occur again
     found = lookup(flat, classes.where("again").select("kg", "ctx", "m"), ["kg", "ctx"], "m", total).where("m IS NOT NULL")
@@ -428,7 +433,7 @@ def repeated_spans(docs: DataFrame, length: int, words: int, most_in_task: int,
     # k-grams with more places than a task may hold: count their strings by hash, first in cells, then those in cells hit twice
     beyond = reps.where(F.col("q") > most_in_task)
     if beyond.head(1):
-        every = stored(near(beyond).dropDuplicates(["c1", "c2", "kind", "pos"]).select("c1", "c2", "kind", "pos", "right", "left"), "hot-places")
+        every = _kept(near(beyond).dropDuplicates(["c1", "c2", "kind", "pos"]).select("c1", "c2", "kind", "pos", "right", "left"), "hot-places")
         for kind, (size, gram, step) in of_kind.items():
             hot = every.where(F.col("kind") == kind).drop("kind")
             n = hot.count()
@@ -437,18 +442,18 @@ def repeated_spans(docs: DataFrame, length: int, words: int, most_in_task: int,
             strings = hot.mapInArrow(partial(_windows, length=size, step=step, twice=twice), "c1 long, c2 long, start long, h1 long, h2 long")
             place = F.xxhash64("c1", "c2", "start")
             again = strings.groupBy("h1", "h2").agg(F.count("*").alias("n"), (F.min(place) != F.max(place)).alias("again")).where("again").select("h1", "h2", "n")
-            again = stored(again, "repeated-strings")
+            again = _kept(again, "repeated-strings")
             if again.count() <= most_known:
                 got = again.select("h1", "h2").toArrow()
                 order = np.argsort(got.column("h1").to_numpy())
                 known = hot.sparkSession.sparkContext.broadcast((got.column("h1").to_numpy()[order], got.column("h2").to_numpy()[order]))
                 counted = hot.mapInArrow(partial(_runs, length=size, step=step, known=known), span)
             else:
-                strings = stored(strings, "strings")
+                strings = _kept(strings, "strings")
                 found = lookup(strings, again, ["h1", "h2"], "n", strings.count()).where("n IS NOT NULL")
                 counted = found.select("c1", "c2", "start", (F.col("start") + size).alias("end")).distinct()
             sorted_ = sorted_.unionByName(counted.withColumn("kind", F.lit(kind)))
-    return rows, contents, stored(certain.unionByName(sorted_), "spans")
+    return rows, contents, _kept(certain.unionByName(sorted_), "spans")
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
