@@ -49,7 +49,10 @@ def _d(c):
 
 
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """voxel_id, ix, iy, iz, density, probability, grade, domain and cell centres on a 25 m grid of 20 x 10 cells a level."""
+    """voxel_id, ix, iy, iz, density, probability, grade, domain and cell centres on a 25 m grid of 20 x 10 cells a level.
+
+    Joins of voxels shuffle unless the other side is said to be small: a file of a million of them can be below Spark's size for a broadcast.
+    """
     p = F.col("p_partkey")
     grade = _d(p * 17 % 97) / 50.0
     iy, iz = F.expr("p_partkey DIV 20") % 10, F.expr("p_partkey DIV 200")
@@ -58,7 +61,7 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
         (2.6 + 1.6 * _d(F.col("p_size") * 37 % 101) / 100.0).alias("density"), (_d(p * 53 % 101) / 100.0).alias("probability"),
         grade.alias("grade"), F.when(grade > 0.6, 1).otherwise(0).alias("domain"),
         (_d(p % 20) * 25 + 12.5).alias("x"), (_d(iy) * 25 + 12.5).alias("y"), (_d(iz) * 25 + 12.5).alias("z"),
-    )
+    ).hint("merge")
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
