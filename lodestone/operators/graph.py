@@ -15,19 +15,21 @@ from lodestone.sources.tables import stored
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node that it reaches) for every node of edges (src, dst) but the least ones.
 
-    Large-star and small-star steps in turn, equi-joins and aggregates, until nothing changes. Each step's edges are stored.
+    Large-star and small-star steps in turn, equi-joins and aggregates, until nothing changes. Each step's edges are stored;
+    joins shuffle, as files of regular numbers are far smaller than their rows.
     """
-    cur = stored(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges")
+    kept = lambda df: stored(df.distinct(), "edges").hint("merge")
+    cur = kept(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")))
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = None
     while seen != (now := mark(cur)):
         seen = now
-        both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v"))).hint("merge")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        wide = stored(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        wide = kept(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         low = wide.groupBy("u").agg(F.min("v").alias("m"))
         tight = wide.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        cur = stored(tight.unionByName(low.withColumnRenamed("m", "v")).distinct(), "edges")
+        cur = kept(tight.unionByName(low.withColumnRenamed("m", "v")))
     return cur.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
@@ -57,7 +59,7 @@ def joint_bodies(cells: DataFrame, a: str, b: str, size: float, volume: float, t
     ends = cells.agg(*[f(c).alias(f"_{n}{c}") for c in (a, b) for n, f in (("mid", lambda c: F.percentile(c, 0.5)), ("top", F.max))])
     excess = lambda c: F.when(F.col(f"_top{c}") > F.col(f"_mid{c}"), F.greatest((F.col(c) - F.col(f"_mid{c}")) / (F.col(f"_top{c}") - F.col(f"_mid{c}")), F.lit(0.0))).otherwise(0.0)
     mask = cells.join(F.broadcast(ends)).where(F.sqrt(excess(a) ** 2 + excess(b) ** 2) > threshold).select("voxel_id", "x", "y", "z", a, b)  # ends is one row
-    mask = stored(mask, "mask")
+    mask = stored(mask, "mask").hint("merge")
     own = mask.join(labelled(mask.select("voxel_id"), radius_edges(mask, factor * size)), "voxel_id")
     varies = (F.max(a) > F.min(a)) & (F.max(b) > F.min(b))
     stats = [F.avg(c).alias(c) for c in "xyz"] + [f(c).alias(f"{n}_{m}") for n, c in (("a", a), ("b", b)) for m, f in (("mean", F.avg), ("max", F.max))]
