@@ -79,10 +79,35 @@ def maximum_closure(profit: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.
                 break
 
 
+#: Rows up to which one side of a join is broadcast (16 MB of keys), counted before.
+FEW_ROWS = 1 << 20
+
+
+def _counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """df with the way it is joined: broadcast if it has few rows, else shuffled."""
+    n = df.count()
+    return (F.broadcast(df) if n <= FEW_ROWS else df.hint("merge")), n
+
+
+def needed(blocks: DataFrame, arcs: DataFrame) -> DataFrame:
+    """scenario, voxel_id of the blocks with a profit and all that they need, directly or not: no other block is ever mined.
+
+    Level by level: a join of the last level's blocks with the arcs (src, dst), until nothing is new.
+    """
+    every = stored(blocks.where("profit > 0").select("scenario", "voxel_id"), "needed")
+    last, n = _counted(every)
+    while n:
+        level = arcs.join(last.withColumnRenamed("voxel_id", "src"), "src").select("scenario", F.col("dst").alias("voxel_id")).distinct()
+        level = stored(level.join(every.hint("merge"), ["scenario", "voxel_id"], "left_anti"), "needed")
+        every = every.unionByName(level)
+        last, n = _counted(level)
+    return every
+
+
 def pits(blocks: DataFrame, arcs: DataFrame) -> DataFrame:
     """scenario, voxel_id of the blocks mined in each scenario (blocks: scenario, voxel_id, profit; arcs: src, dst for all).
 
-    A scenario is one task's: blocks are bounded by the grid limit of 200,000 cells, scenarios spread over the cluster.
+    A scenario's blocks that might be mined (see needed()) are one task's; the others, however many, never meet.
     """
 
     def solve(key, own: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
@@ -91,9 +116,11 @@ def pits(blocks: DataFrame, arcs: DataFrame) -> DataFrame:
         mined = maximum_closure(own.profit.to_numpy(), np.searchsorted(ids, edges.src.to_numpy()), np.searchsorted(ids, edges.dst.to_numpy()))
         return pd.DataFrame({"scenario": own.scenario[mined], "voxel_id": ids[mined]})
 
-    scenarios = blocks.select("scenario").distinct()
-    every = scenarios.withColumnRenamed("scenario", "case_id").join(arcs).withColumnRenamed("case_id", "of")  # one row for each scenario
-    return blocks.groupBy("scenario").cogroup(every.groupBy("of")).applyInPandas(solve, "scenario int, voxel_id long")
+    arcs = stored(arcs, "arcs").hint("merge")
+    kept, _ = _counted(stored(needed(blocks, arcs), "needed"))
+    own = blocks.select("scenario", "voxel_id", "profit").join(kept, ["scenario", "voxel_id"])
+    of = arcs.join(kept.select("scenario", F.col("voxel_id").alias("src")), "src").select(F.col("scenario").alias("of"), "src", "dst")
+    return own.groupBy("scenario").cogroup(of.groupBy("of")).applyInPandas(solve, "scenario int, voxel_id long")
 
 
 def _sums_by_range(ranged: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
