@@ -124,8 +124,8 @@ class Blocks:
             if size:
                 yield block(held)
 
-        inside = self.spark.createDataFrame(pa.table({"voxel_id": pa.array(ids, pa.int64())}))
-        rows = kernel.join(data.select("obs_id", "d", "sigma"), "obs_id").join(inside, "voxel_id", "left_semi")
+        inside = self.spark.createDataFrame(pa.table({"voxel_id": pa.array(ids, pa.int64())})).hint("merge")
+        rows = kernel.hint("merge").join(data.select("obs_id", "d", "sigma"), "obs_id").join(inside, "voxel_id", "left_semi")
         rows = rows.select(F.col("obs_id").cast("long"), F.col("voxel_id").cast("long"), (F.col("val") / F.col("sigma")).cast("double").alias("val"), (F.col("d") / F.col("sigma")).cast("double").alias("d"))
         dealt = rows.repartition("obs_id").sortWithinPartitions("obs_id", "voxel_id")
         self.frame = stored(dealt.mapInArrow(pack, "starts binary, cells binary, numbers binary, data binary, n long"), "kernel-blocks")
@@ -155,7 +155,88 @@ class Blocks:
             own = found.setdefault(r.case, {})
             own[r.name] = np.frombuffer(r.value)
         for i in sorted(found):
-            yield [cases[i]], {k: v.reshape(len(v), 1) if len(v) == n else v for k, v in found[i].items()}
+            yield [cases[i]], {k: v.reshape(len(v), 1) if k == "m" and len(v) == n else v for k, v in found[i].items()}
+
+
+#: Cells that a solve takes in beyond those where it begins, at first, and groups of neighbouring ids that cells are chosen by.
+LEAST, GROUPS = 1 << 16, 4096
+
+
+class Overflow(Exception):
+    """More crosses the border of a part than the tolerance allows."""
+
+
+class Part:
+    """The cells of a grid near those that data or bounds move; the others stay at 0 as long as what crosses the border is below the tolerance.
+
+    Cells are chosen by groups of ids. The border's edges count in full for the cells inside, as if the cells beyond were
+    held at 0; overflow() tells what they would feel, and grown() is a larger part. A part of all groups is the grid itself.
+    """
+
+    def __init__(self, cells: DataFrame, edges: DataFrame, seeds: DataFrame, joined: bool = True, least: int | None = None):
+        """cells: voxel_id, w; edges: src, dst; seeds: voxel_id. Not joined: no cell feels another one, so the seeds' groups do."""
+        low, high = cells.agg(F.min("voxel_id"), F.max("voxel_id")).first()
+        self.low, self.width = low or 0, max(1, -(-((high or 0) - (low or 0) + 1) // GROUPS))
+        self.cells, self.edges, self.extra = cells, edges, LEAST if least is None else least
+        count = lambda df: {r[0]: r[1] for r in df.groupBy(self._group("voxel_id").alias("g")).agg(F.count("*")).collect()}  # noqa: E731  # GROUPS rows
+        self.sizes, self.beside = count(cells), {}
+        begun = count(seeds)
+        self.begun = {g for g in begun if g in self.sizes}
+        if joined and len(self.begun) < len(self.sizes):
+            for a, b in edges.select(self._group("src").alias("a"), self._group("dst").alias("b")).where("a <> b").distinct().limit(GROUPS * 64).collect():
+                self.beside.setdefault(a, set()).add(b)
+                self.beside.setdefault(b, set()).add(a)
+        self.joined = joined
+        self._choose()
+
+    def _group(self, column: str):
+        return F.floor((F.col(column).cast("long") - self.low) / self.width).cast("int")
+
+    def _choose(self) -> None:
+        chosen, ring = set(self.begun), set(self.begun)
+        wanted = sum(self.sizes[g] for g in chosen) + (self.extra if self.joined else 0)
+        while ring and sum(self.sizes[g] for g in chosen) < wanted:
+            ring = {b for g in ring for b in self.beside.get(g, ()) if b in self.sizes} - chosen
+            chosen |= ring
+        self.groups = chosen
+        self.whole = len(chosen) == len(self.sizes)
+        self.size = sum(self.sizes[g] for g in chosen)
+
+    def grown(self) -> Part:
+        self.extra *= 4
+        before = self.size
+        self._choose()
+        if self.size == before:  # nothing borders on it
+            self.groups, self.whole, self.size = set(self.sizes), True, sum(self.sizes.values())
+        return self
+
+    def inside(self, df: DataFrame, *columns: str) -> DataFrame:
+        return df if self.whole else df.where(functools.reduce(lambda a, b: a & b, [self._group(c).isin(sorted(self.groups)) for c in columns]))
+
+    def outside(self, df: DataFrame) -> DataFrame:
+        return df.where(F.lit(False) if self.whole else ~self._group("voxel_id").isin(sorted(self.groups)))
+
+    def border(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places in ids, ids beyond, w beyond) of the edges that leave the part."""
+        if self.whole or not self.joined:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        own = lambda c: self._group(c).isin(sorted(self.groups))
+        turned = F.when(own("src"), F.struct(F.col("src").alias("a"), F.col("dst").alias("voxel_id"))).otherwise(F.struct(F.col("dst").alias("a"), F.col("src").alias("voxel_id")))
+        left = F.broadcast(self.edges.where(own("src") != own("dst")).select(F.inline(F.array(turned))))  # the border's edges
+        got = left.join(self.cells.select("voxel_id", F.col("w").cast("double")), "voxel_id").select(F.col("a").cast("long"), F.col("voxel_id").cast("long"), "w").toArrow()
+        a, b, w = (got.column(i).to_numpy() for i in range(3))
+        known = np.isin(a, ids)
+        return np.searchsorted(ids, a[known]), b[known], w[known]
+
+
+def overflow(border: tuple[np.ndarray, np.ndarray, np.ndarray], m: np.ndarray, scaled: bool = False) -> np.ndarray:
+    """The norm, for each column of m (cells, cases), of its sums over the border's edges by cell beyond (over its w if scaled)."""
+    at, beyond, w = border
+    if not len(at):
+        return np.zeros(m.shape[1])
+    ids, cell = np.unique(beyond, return_inverse=True)
+    sums = np.stack([np.bincount(cell, m[at, k] / (w if scaled else 1.0), len(ids)) for k in range(m.shape[1])], 1)
+    return np.linalg.norm(sums, axis=0)
 
 
 def cell_ids(cells: DataFrame) -> np.ndarray:
