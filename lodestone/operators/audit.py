@@ -36,13 +36,14 @@ def _without(df: DataFrame, zone: str = "zone", bound: str = "bound") -> DataFra
     return df.withColumn(zone, F.explode(F.array(F.col(zone), F.lit("all")))).withColumn(bound, F.explode(F.array(F.col(bound), F.lit("both"))))
 
 
-def saturation_counterfactuals(model: DataFrame, kernel: DataFrame, data: DataFrame, low: float, high: float, eps: float = 1e-5) -> DataFrame:
+def saturation_counterfactuals(model: DataFrame, kernel: DataFrame, data: DataFrame, low: float, high: float, eps: float = 1e-5, places: DataFrame | None = None) -> DataFrame:
     """zone, bound and what the model would lose without that class of saturated cells, as a cube of zone and bound.
 
     model: voxel_id, core, density, contrast; data: obs_id, d, sigma. A cell is saturated within eps of low or high.
     Columns: n, percent (of the zone's cells), mass, mass_fraction, forward_fraction (norm of the class's own response over
     that of all), delta_rms_percent, chi2, chi2_without, delta_chi2_percent, decision. The responses of the classes are
     summed in one pass of the kernel; a class that is gone is their difference. Classes without cells have no row.
+    With places (obs_id, place) the kernel's rows are those of places, whose responses all their sensors share.
     """
     zone = F.when(F.col("core"), "core").otherwise("padding")
     bound = F.when(F.col("density") <= low + eps, "low").when(F.col("density") >= high - eps, "high").otherwise("inside")
@@ -50,7 +51,9 @@ def saturation_counterfactuals(model: DataFrame, kernel: DataFrame, data: DataFr
     zones = cells.select(F.explode(F.array("zone", F.lit("all"))).alias("zone")).groupBy("zone").agg(F.count("*").alias("cells"))
     mass = cells.agg(F.sum(F.abs("contrast")).alias("mass_total"))
     counted = _without(cells.where("bound <> 'inside'")).groupBy("zone", "bound").agg(F.count("*").alias("n"), F.sum(F.abs("contrast")).alias("mass"))
-    parts = kernel.join(cells, "voxel_id").groupBy("obs_id", "zone", "bound").agg(F.sum(F.col("val") * F.col("contrast")).alias("p"))
+    parts = kernel.hint("merge").join(cells, "voxel_id").groupBy("obs_id", "zone", "bound").agg(F.sum(F.col("val") * F.col("contrast")).alias("p"))
+    if places is not None:
+        parts = parts.withColumnRenamed("obs_id", "place").join(places, "place").drop("place")
     whole = parts.groupBy("obs_id").agg(F.sum("p").alias("all"))
     lost = _without(parts.where("bound <> 'inside'")).groupBy("zone", "bound", "obs_id").agg(F.sum("p").alias("p"))
     # sensors that a class doesn't reach keep their residual: their sum comes from all sensors, less that of those reached
@@ -79,7 +82,9 @@ def run_scores(factors: list[DataFrame], runs: DataFrame) -> DataFrame:
     weight = reduce(lambda c, kv: c.when(F.col("factor") == kv[0], kv[1]), WEIGHTS.items(), F.when(F.lit(False), 0.0))
     value = F.least(F.greatest("value", F.lit(0.0)), F.lit(1.0))
     every = reduce(DataFrame.unionByName, [f.select("run", "factor", "value") for f in factors]).where("value IS NOT NULL")
-    sums = every.groupBy("run").agg(F.sum(value * weight).alias("_top"), F.sum(weight).alias("weight"))
+    # each factor for itself, then added in the order of WEIGHTS: no sum depends on the order of rows
+    own = lambda c: [F.coalesce(F.sum(F.when(F.col("factor") == f, c)), F.lit(0.0)) for f in WEIGHTS]
+    sums = every.groupBy("run").agg(reduce(lambda a, b: a + b, own(value * weight)).alias("_top"), reduce(lambda a, b: a + b, own(weight)).alias("weight"))
     level, doubt = F.upper(F.coalesce("level", F.lit("LOW"))), F.least(F.greatest(F.coalesce("uncertainty", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
     low = F.coalesce("uncertainty", F.lit(0.0)) < UNCERTAIN
     gate = lambda k: F.when(level == "GOOD", GATES["GOOD"][k]).when(level == "MEDIUM", GATES["MEDIUM"][k]).when(low, GATE_LOW[k]).otherwise(GATE_BAD[k])

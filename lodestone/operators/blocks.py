@@ -20,6 +20,8 @@ from lodestone.sources.tables import stored
 #: Numbers of a kernel that a task holds (some 50 MB), and cells times cases whose vectors the driver and tasks hold.
 MOST_KERNEL, MOST_CELLS = 1 << 22, 1 << 22
 BLOCK = 1 << 18
+#: Rows of a kernel up to which a task holds their matrix (128 MB).
+MOST_ROWS = 1 << 12
 
 
 class Arrays:
@@ -62,6 +64,37 @@ class Arrays:
         return np.array([sum(float(((block[3] - self._rows(block, x[:, k])) ** 2).sum()) for block in self.blocks) for k in range(x.shape[1])])
 
 
+    def preconditioner(self, diagonal: np.ndarray, scale: np.ndarray | None = None) -> Callable[[np.ndarray], np.ndarray] | None:
+        """r -> (diagonal + S G'G S)^-1 r for vectors, S = diag(scale), by the matrix of the rows (Woodbury); None beyond MOST_ROWS rows or without a positive diagonal.
+
+        What is left to conjugate gradients is the rest of the matrix, however strong the data are. A cell of infinite diagonal is held.
+        """
+        if sum(len(b[0]) for b in self.blocks) > MOST_ROWS or not (diagonal > 0).all():
+            return None
+        scale = np.ones(self.n) if scale is None else scale
+        ids = np.unique(np.concatenate([b[1] for b in self.blocks])) if self.blocks else np.zeros(0, np.int64)
+        rows = np.concatenate([np.full(stop - start, i) for i, (start, stop) in enumerate((a, z) for b in self._offsets() for a, z in b)]) if len(ids) else np.zeros(0, np.int64)
+        n, cells, values = int(rows.max(initial=-1)) + 1, np.concatenate([b[1] for b in self.blocks] or [ids]), np.concatenate([b[2] for b in self.blocks] or [np.zeros(0)])
+        values = values * scale[cells]
+        small, at = np.eye(n), np.searchsorted(ids, cells)
+        for low in range(0, len(ids), 4096):
+            own = (at >= low) & (at < low + 4096)
+            g = np.zeros((n, min(4096, len(ids) - low)))
+            np.add.at(g, (rows[own], at[own] - low), values[own])
+            small += (g / diagonal[ids[low : low + 4096]]) @ g.T
+        inverse = np.linalg.inv(small)
+
+        def apply(r: np.ndarray) -> np.ndarray:
+            z = r / diagonal
+            y = inverse @ np.bincount(rows, values * z[cells], n)
+            return z - np.bincount(cells, values * y[rows], self.n) / diagonal
+
+        return apply
+
+    def _offsets(self) -> list[list[tuple[int, int]]]:
+        return [list(zip(b[0], np.append(b[0][1:], len(b[1])), strict=True)) for b in self.blocks]
+
+
 class Passes:
     """The same, each as one job over a table of blocks."""
 
@@ -88,6 +121,10 @@ class Passes:
         self.passes += 1
         return np.broadcast_to(self._sum(Arrays.times, x), x.size).reshape(x.shape)
 
+    def preconditioner(self, diagonal: np.ndarray, scale: np.ndarray | None = None) -> None:
+        """None: the rows are no one's."""
+        return None
+
     def start(self) -> np.ndarray:
         return np.broadcast_to(self._sum(lambda a, _: a.start()), 3 * self.n).reshape(3, self.n)
 
@@ -298,22 +335,23 @@ def added(x: np.ndarray, weight: np.ndarray, smooth: np.ndarray, edges: tuple, p
     return out
 
 
-def diagonal_of(squares: np.ndarray, weight: np.ndarray, smooth: np.ndarray, edges: tuple, penalty: tuple) -> np.ndarray:
+def diagonal_of(squares: np.ndarray, weight: np.ndarray, smooth: np.ndarray, edges: tuple, penalty: tuple, empty: float = 1.0) -> np.ndarray:
     n = len(squares)
     degree = np.bincount(edges[0], minlength=n) + np.bincount(edges[1], minlength=n)
     mi, mj, mq = penalty
     out = squares[:, None] + weight + smooth[None, :] * degree[:, None] + np.bincount(mi[mi == mj], mq[mi == mj], n)[:, None]
-    return np.where(out > 0, out, 1.0)
+    return np.where(out > 0, out, empty)
 
 
 # --- solvers: `times` is the whole matrix of the normal equations ---
 
 
-def conjugate_gradients(times: Callable, rhs: np.ndarray, diagonal: np.ndarray, iterations: int, tolerance: float) -> np.ndarray:
-    """x with times(x) = rhs for each column, scaled by the diagonal, to a relative residual of tolerance."""
+def conjugate_gradients(times: Callable, rhs: np.ndarray, diagonal: np.ndarray, iterations: int, tolerance: float, solve: Callable | None = None) -> np.ndarray:
+    """x with times(x) = rhs for each column, scaled by the diagonal or by solve(r, column), to a relative residual of tolerance."""
+    scaled = (lambda r: r / diagonal) if solve is None else (lambda r: np.stack([solve(r[:, k], k) for k in range(r.shape[1])], 1))
     x, r = np.zeros_like(rhs), rhs.copy()
     first = np.linalg.norm(r, axis=0)
-    z = r / diagonal
+    z = scaled(r)
     p, rz = z.copy(), (r * z).sum(0)
     for _ in range(iterations):
         if (np.linalg.norm(r, axis=0) <= tolerance * first).all():
@@ -322,30 +360,33 @@ def conjugate_gradients(times: Callable, rhs: np.ndarray, diagonal: np.ndarray,
         pq = (p * q).sum(0)
         alpha = np.divide(rz, pq, out=np.zeros_like(rz), where=pq > 0)
         x, r = x + alpha * p, r - alpha * q
-        z = r / diagonal
+        z = scaled(r)
         rz, old = (r * z).sum(0), rz
         p = z + np.divide(rz, old, out=np.zeros_like(rz), where=old > 0) * p
     raise ArithmeticError(f"no convergence in {iterations} iterations")
 
 
-def within_bounds(times: Callable, rhs: np.ndarray, diagonal: np.ndarray, lower: np.ndarray, upper: np.ndarray, tolerance: float = 1e-9, passes: int = 5000) -> np.ndarray:
+def within_bounds(times: Callable, rhs: np.ndarray, diagonal: np.ndarray, lower: np.ndarray, upper: np.ndarray, tolerance: float = 1e-9, passes: int = 5000, prepared: Callable | None = None) -> np.ndarray:
     """The x between lower and upper that is least for x' N x / 2 - rhs' x, N = times; vectors.
 
     Projected conjugate gradients with an active set: cells at a bound whose slope keeps them there, and cells whose
     bounds are equal, are held; the others move by conjugate gradients, and the step is cut back into the box until the
     objective falls. It ends when no cell that may move has a slope (scaled by the diagonal) above tolerance.
+    prepared(free), if given, is r -> about N^-1 r on the cells that are free; the diagonal otherwise.
     """
     scale = diagonal**-0.5
     x = np.clip(np.zeros_like(rhs), lower, upper)
     slope, used = times(x) - rhs, 1
     least = tolerance * max(np.linalg.norm(rhs * scale), 1e-300)
-    before = None
+    before, solve = None, lambda r: r / diagonal
     while used < passes:
         free = ((x > lower) | (slope < 0)) & ((x < upper) | (slope > 0)) & (lower < upper)
         if np.linalg.norm(np.where(free, slope, 0) * scale) <= least:
             return x
+        if prepared is not None and (before is None or (before != free).any()):
+            solve = prepared(free)
         d, r = np.zeros_like(x), np.where(free, -slope, 0)
-        z = r / diagonal
+        z = solve(r)
         p, rz = z.copy(), r @ z
         # the same cells free as before: this is the last face, solve it out
         goal = max(least**2 / 16, 0.0 if before is not None and (before == free).all() else 0.01 * rz)
@@ -355,7 +396,7 @@ def within_bounds(times: Callable, rhs: np.ndarray, diagonal: np.ndarray, lower:
             used += 1
             alpha = rz / (p @ q)
             d, r = d + alpha * p, r - alpha * q
-            z = r / diagonal
+            z = solve(r)
             rz, old = r @ z, rz
             p = z + rz / old * p
         step = 1.0
@@ -372,11 +413,12 @@ def within_bounds(times: Callable, rhs: np.ndarray, diagonal: np.ndarray, lower:
     raise ArithmeticError(f"no convergence in {passes} products")
 
 
-def shifted(times: Callable, rhs: np.ndarray, shifts: np.ndarray, iterations: int = 2000, tolerance: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
+def shifted(times: Callable, rhs: np.ndarray, shifts: np.ndarray, iterations: int = 2000, tolerance: float = 1e-8, finish: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(x, condition): x[:, j] with (A + shifts[j]) x = rhs, all from the Krylov space of one right-hand side; A x = times(x).
 
     An iteration is one product with A, however many shifts. condition[j] is the root of the ratio of the extreme Ritz
-    values of A + shifts[j]: that of the kernel stacked on the damping, as far as the data see it.
+    values of A + shifts[j]: that of the kernel stacked on the damping, as far as the data see it. Shifts that the space
+    doesn't hold after `iterations` come from finish(shift), if given.
     """
     order = np.argsort(shifts)
     base, more = shifts[order[0]], shifts[order] - shifts[order[0]]
@@ -404,7 +446,10 @@ def shifted(times: Callable, rhs: np.ndarray, shifts: np.ndarray, iterations: in
         main = r + alpha * main
         last, zeta, beta_before = np.where(open_, zeta, last), np.where(open_, ahead, zeta), beta
         open_ &= np.abs(zeta) * rr**0.5 > tolerance * first
-    if open_.any() and rr:
+    if open_.any() and rr and finish is not None:
+        for j in np.flatnonzero(open_):
+            x[:, j] = finish(base + more[j])
+    elif open_.any() and rr:
         raise ArithmeticError(f"no convergence in {iterations} iterations")
     inverse = 1 / np.array(alphas) if alphas else np.ones(1)
     ritz = np.linalg.eigvalsh(np.diag(inverse + np.append(0.0, np.array(betas[:-1]) * inverse[:-1]) if alphas else inverse) + sum((np.diag(np.sqrt(betas[:-1]) * inverse[:-1], s) for s in (1, -1)), np.zeros((len(inverse), len(inverse)))))

@@ -47,7 +47,9 @@ def kernel_column_norms(spark, sf_dir):
 
 @query("observable_domain", f"WITH {_KERNEL}, n AS (SELECT voxel_id, sum(val * val) AS s FROM kernel GROUP BY voxel_id), k AS (SELECT voxel_id FROM n WHERE s > CAST(1e-6 AS DOUBLE) * (SELECT max(s) FROM n)) SELECT voxel_id, density FROM v_voxels SEMI JOIN k USING (voxel_id)")
 def observable_domain(spark, sf_dir):
-    n = _kernel(spark, sf_dir).groupBy("voxel_id").agg(F.sum(F.col("val") ** 2).alias("s"))
+    at = S.places(A.sensors(spark, sf_dir), "obs_id", ["x_m", "y_m", "z_m"])  # the sensors at a place have equal rows
+    k = S.gravity_kernel(at, A.voxels(spark, sf_dir), SIZE, CUTOFF).hint("merge").join(at.select("obs_id", "n"), "obs_id")
+    n = k.groupBy("voxel_id").agg(F.sum(F.col("n") * F.col("val") ** 2).alias("s"))
     kept = n.join(F.broadcast(n.agg(F.max("s").alias("most")))).where("s > 1e-6 * most").select("voxel_id")
     return A.voxels(spark, sf_dir).join(kept, "voxel_id", "left_semi").select("voxel_id", "density")
 

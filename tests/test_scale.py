@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.operators import graph, mine
+from lodestone.operators import audit, graph, inversion, mine
+from lodestone.operators import blocks as B
 from lodestone.operators import spatial as S
 
 
@@ -50,3 +51,76 @@ def test_blocks_that_no_profit_needs_reach_no_task(spark, monkeypatch):
     want = np.flatnonzero(mine.maximum_closure(np.array([r[2] for r in rows]), src, dst)).tolist()
     assert sorted(r.voxel_id for r in mine.pits(blocks, df).collect()) == want
     assert mine.pits(blocks.where("profit < 0"), df).count() == 0
+
+
+def _line(spark, n=300, sensors=6):
+    """A line of n cells, of which sensors see the first 12, at three places of two sensors each."""
+    rng = np.random.default_rng(8)
+    g = np.zeros((sensors, n))
+    g[:, :12] = 2 * np.repeat(rng.normal(size=(sensors // 2, 12)), 2, 0)
+    d = g @ rng.normal(size=n) + 0.1 * rng.normal(size=sensors)
+    kernel = spark.createDataFrame([(i, j, float(g[i, j])) for i in range(sensors) for j in range(12)], "obs_id long, voxel_id long, val double")
+    data = spark.createDataFrame([(i, float(x), 0.5 + i / 10) for i, x in enumerate(d)], "obs_id long, d double, sigma double")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "src long, dst long")
+    return g, d, 0.5 + np.arange(sensors) / 10, kernel, data, edges
+
+
+def test_parts_of_a_grid_give_the_models_of_all_of_it(spark):
+    """A part that begins too small grows until its model is that of the whole line; cells beyond have a row each."""
+    n = 300
+    g, d, sigma, kernel, data, edges = _line(spark, n)
+    cells = spark.createDataFrame([(i, 1.0) for i in range(n)], "voxel_id long, w double")
+    lap = sum((np.outer(v, v) for v in (np.eye(n)[i] - np.eye(n)[i + 1] for i in range(n - 1))), np.zeros((n, n)))
+    gw = g / sigma[:, None]
+    want = 0.2 + np.linalg.solve(gw.T @ gw + 0.25 * np.eye(n) + 0.49 * lap, gw.T @ (d / sigma - 0.2 * gw.sum(1)))
+    got = [r.m for r in inversion.regularised(kernel, data, cells, edges, [(0, 0.5, 0.7, 0.2)], least=2).orderBy("voxel_id").collect()]
+    assert len(got) == n and np.allclose(got, want, atol=1e-7) and got[-1] == 0.2
+    part = B.Part(cells, edges, kernel.select("voxel_id").distinct(), True, 8)
+    assert part.size == 20 and part.grown().size == 44 and not part.whole
+    limits = cells.selectExpr("voxel_id", "w", "IF(voxel_id = 60, 0.3, -0.4D) AS lower", "IF(voxel_id = 60, 0.3, 0.5D) AS upper", "0D AS target")
+    small, all_ = ([r.m for r in inversion.bounded(kernel, data, limits, edges, 0.5, 0.7, least=k).orderBy("voxel_id").collect()] for k in (4, 1000))
+    assert np.allclose(small, all_, atol=1e-7) and small[60] == 0.3
+    small, all_ = (inversion.krylov_cases(kernel, data, cells, edges, 0.7, [0.3, 2.0], least=k) for k in (4, 1000))
+    of = lambda t: {(r.case_id, r.voxel_id): r.m for r in t.collect()}
+    a, b = of(small[0]), of(all_[0])
+    assert len(a) == 2 * n and all(abs(a[k] - b[k]) < 1e-6 for k in b)
+    # sensors at one place stand for one with their weighted mean
+    one = inversion.stacked(data.withColumn("place", F.expr("obs_id DIV 2 * 2")), "place")
+    got = [r.m for r in inversion.regularised(kernel.where("obs_id % 2 = 0"), one, cells, edges, [(0, 0.5, 0.7, 0.2)]).orderBy("voxel_id").collect()]
+    assert np.allclose(got, want, atol=1e-7)
+
+
+def test_strong_data_converge_by_the_matrix_of_rows():
+    """Data 10^7 times the damping: conjugate gradients with the rows' matrix in few steps, also on some cells only."""
+    rng = np.random.default_rng(3)
+    n, rows = 80, 7
+    g = 1e4 * rng.normal(size=(rows, n)) * rng.random((rows, n)) ** 8
+    rest = 1e-3 * (0.1 + rng.random(n))
+    block = (np.arange(rows) * n, np.tile(np.arange(n, dtype=np.int32), rows), g.ravel(), np.zeros(rows))
+    operator = B.Arrays(n, [tuple(x.tobytes() for x in block)])
+    matrix, rhs = g.T @ g + np.diag(rest), g.T @ rng.normal(size=rows)
+    solve = operator.preconditioner(rest)
+    x = B.conjugate_gradients(lambda p: matrix @ p, rhs[:, None], np.diag(matrix)[:, None].copy(), 12, 1e-8, lambda r, _: solve(r))
+    assert np.linalg.norm(matrix @ x[:, 0] - rhs) <= 2e-8 * np.linalg.norm(rhs)
+    free = np.arange(n) % 3 > 0
+    part = operator.preconditioner(np.where(free, rest, np.inf))(np.where(free, rhs, 0.0))
+    assert np.allclose(part[~free], 0) and np.allclose(part[free], np.linalg.solve(matrix[np.ix_(free, free)], rhs[free]), atol=1e-3 * np.abs(part).max())
+
+
+def test_a_gaussian_body_is_recovered(spark):
+    from lodestone.plans import all_queries as registry
+
+    row = registry.QUERIES["gaussian_recovery"](spark, "/root/testdata/sf0.01").first()
+    assert row.pearson > 0.9 and row.misfit_percent < 1
+
+
+def test_evidence_does_not_depend_on_the_order_of_factors(spark):
+    names = ["anomaly_intensity", "depth_accessibility", "core_coherence", "structural_gradient", "msx_support", "satellite_support"]
+    values = [0.1, 0.7, 0.3, 0.9, 0.35, 0.6]
+    rows = [spark.createDataFrame([(r, n, v) for r in range(50)], "run long, factor string, value double").repartition(k + 1) for k, (n, v) in enumerate(zip(names, values, strict=True))]
+    runs = spark.createDataFrame([(r, "GOOD", 0.0) for r in range(50)], "run long, level string, uncertainty double")
+    top, weight = 0.0, 0.0
+    for n, v in zip(names, values, strict=True):
+        top, weight = top + v * audit.WEIGHTS[n], weight + audit.WEIGHTS[n]
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        assert {r.evidence for r in audit.run_scores(order, runs).collect()} == {top / weight}
