@@ -90,6 +90,45 @@ def test_parts_of_a_grid_give_the_models_of_all_of_it(spark):
     assert np.allclose(got, want, atol=1e-7)
 
 
+def test_parts_of_many_groups_are_one_expression(spark, monkeypatch):
+    """A filter on 3000 groups of cells: few calls of the JVM, and the cells of those groups."""
+    cells = spark.range(8192).select(F.col("id").alias("voxel_id"), F.lit(1.0).alias("w"))
+    part = B.Part(cells, cells.selectExpr("voxel_id AS src", "voxel_id + 1 AS dst"), cells.where("voxel_id < 6000").select("voxel_id"), False)
+    client, calls = spark.sparkContext._gateway._gateway_client, []
+    send = client.send_command
+    monkeypatch.setattr(client, "send_command", lambda *a, **b: calls.append(1) or send(*a, **b))
+    inside, outside = part.inside(cells, "voxel_id"), part.outside(cells)
+    assert len(part.groups) == 3000 and len(calls) < 200
+    assert inside.agg(F.count("*"), F.max("voxel_id")).first()[:] == (6000, 5999) and outside.count() == 2192
+
+
+def test_rounds_of_two_physics_go_on_the_cells_near_their_kernels(spark, monkeypatch):
+    """joint() beginning with few cells of a long column of voxels: models and history of the whole of it, on far fewer cells."""
+    n, rng = 4 * 100, np.random.default_rng(5)
+    at = [(i, i % 2, i // 2 % 2, i // 4) for i in range(n)]
+    cells = spark.createDataFrame([(*a, 1.0) for a in at], "voxel_id long, ix long, iy long, iz long, w double")
+    edges = S.face_edges(cells).select("src", "dst")
+    physics = []
+    for lower, upper in ((-0.6, 1.6), (0.0, None)):
+        g = rng.normal(size=(6, 40))
+        kernel = spark.createDataFrame([(i, j, float(g[i, j])) for i in range(6) for j in range(40)], "obs_id long, voxel_id long, val double")
+        data = spark.createDataFrame([(i, float(x), 0.3) for i, x in enumerate(g @ rng.random(40))], "obs_id long, d double, sigma double")
+        physics.append((kernel, data, 3.0, 1.0, lower, upper))
+    penalised, penalty = [], inversion.cross_penalty
+
+    def counted(own, *args):
+        penalised.append(own.count())
+        return penalty(own, *args)
+
+    monkeypatch.setattr(inversion, "cross_penalty", counted)
+    (small, told), (all_, want) = (inversion.joint(cells, physics, edges, 25.0, 5.0, 1, least=k) for k in (60, 1 << 20))
+    assert max(penalised[: len(penalised) // 2]) < n and penalised[-1] == n
+    a, b = ({r.voxel_id: (r.a, r.b) for r in m.collect()} for m in (small, all_))
+    assert len(a) == len(b) == n and all(np.allclose(a[k], b[k], atol=1e-7) for k in b) and a[n - 1] == (0.0, 0.0)
+    one, other = ([tuple(r)[:6] for r in t.orderBy("round").collect()] for t in (told, want))
+    assert len(one) == len(other) and all(np.allclose(*[[x or 0.0 for x in r] for r in p], rtol=1e-5) for p in zip(one, other, strict=True))
+
+
 def test_strong_data_converge_by_the_matrix_of_rows():
     """Data 10^7 times the damping: conjugate gradients with the rows' matrix in few steps, also on some cells only."""
     rng = np.random.default_rng(3)
