@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.profile import numbered
-from lodestone.operators.spatial import within_radius
+from lodestone.operators.spatial import dealt, within_radius
 from lodestone.sources.tables import stored
 
 
@@ -68,10 +68,15 @@ def joint_bodies(cells: DataFrame, a: str, b: str, size: float, volume: float, t
 
 
 def precedence_arcs(blocks: DataFrame, dx: float, dy: float, angle: float) -> DataFrame:
-    """src, dst: every block needs those one level up (iy - 1) within dy / tan(angle) sideways. Blocks have voxel_id, ix, iy, iz."""
+    """src, dst: every block needs those one level up (iy - 1) within dy / tan(angle) sideways. Blocks have voxel_id, ix, iy, iz.
+
+    Blocks are counted first, so that a task's share of their copies stays the same however many there are.
+    """
     reach = dy / math.tan(math.radians(angle))
     k = int(reach // dx)
     around = [(i, j) for i in range(-k, k + 1) for j in range(-k, k + 1) if (i * dx) ** 2 + (j * dx) ** 2 <= reach * reach + 1e-9]
     kernel = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in around])
     asked = blocks.select(F.col("voxel_id").alias("src"), "ix", "iy", "iz", F.explode(kernel).alias("k")).select("src", (F.col("ix") + F.col("k.i")).alias("ix"), (F.col("iy") - 1).alias("iy"), (F.col("iz") + F.col("k.j")).alias("iz"))
-    return asked.join(blocks.select(F.col("voxel_id").alias("dst"), "ix", "iy", "iz"), ["ix", "iy", "iz"]).select("src", "dst")
+    above = blocks.select(F.col("voxel_id").alias("dst"), "ix", "iy", "iz")
+    keys, rows = ["ix", "iy", "iz"], blocks.count() * len(around)
+    return dealt(asked, rows, keys).join(dealt(above, rows, keys), keys).select("src", "dst")

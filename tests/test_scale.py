@@ -40,6 +40,13 @@ def test_components_never_broadcast_their_edges(spark):
     assert "BroadcastHashJoin" not in plan
 
 
+def test_a_task_of_the_precedence_arcs_keeps_its_size(spark):
+    """800,000 blocks, of which Spark's bytes tell little: no task makes more arcs than its share of the copies."""
+    blocks = spark.range(800_000).selectExpr("id AS voxel_id", "id % 100 AS ix", "id DIV 100 % 80 AS iy", "id DIV 8000 AS iz")
+    made = [r[1] for r in graph.precedence_arcs(blocks, 25.0, 25.0, 40.0).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == 79 * (100 * 100 + 4 * 99 * 100) and max(made) < 600_000
+
+
 def test_blocks_that_no_profit_needs_reach_no_task(spark, monkeypatch):
     """Of 3 columns of 50 blocks only what lies above a profit is handed to the maximum flow; the pits are those of all blocks."""
     rows = [(1, 50 * c + i, 9.0 if (c, i) in ((0, 3), (1, 1)) else -1.0) for c in range(3) for i in range(50)]
