@@ -44,6 +44,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_file_order(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """key and columns of a table() with all rows of a key in one task, in the order of their file (files by path), so that a sum of a key has one result, however the files are split."""
+    placed = rows.select(key, *columns, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"))
+    return placed.repartition(key).sortWithinPartitions(key, "_path", "_row").drop("_path", "_row")
+
+
 def _d(c):
     return c.cast("double")
 

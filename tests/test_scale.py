@@ -170,3 +170,30 @@ def test_evidence_does_not_depend_on_the_order_of_factors(spark):
         top, weight = top + v * audit.WEIGHTS[n], weight + audit.WEIGHTS[n]
     for order in (rows, rows[::-1], rows[3:] + rows[:3]):
         assert {r.evidence for r in audit.run_scores(order, runs).collect()} == {top / weight}
+
+
+def test_gates_do_not_depend_on_the_split_of_a_file(spark, tmp_path):
+    """Lines of an order that lie in several tasks are summed as in one: a mean of 0.5 or a digit below it gives another gate."""
+    import duckdb
+    import pyarrow.parquet as pq
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    for t in ("orders", "lineitem"):
+        pq.write_table(pq.read_table(f"/root/testdata/sf0.01/{t}.parquet"), tmp_path / f"{t}.parquet", row_group_size=3000)
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    small = {"spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        out = entry.queries()["favorability_of_runs"](spark, f"file://{tmp_path}").select("run", "multiplier", "cap", "score", "level")
+        got = {r.run: r[1:] for r in out.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = {r[0]: r[1:] for r in con.execute(f"SELECT run, multiplier, cap, score, level FROM ({entry.oracle_sql()['favorability_of_runs']})").fetchall()}
+    assert got.keys() == want.keys()
+    assert [k for k in want if abs(got[k][0] - want[k][0]) > 1e-8 or got[k][1] != want[k][1] or abs(got[k][2] - want[k][2]) > 1e-8 or got[k][3] != want[k][3]] == []
