@@ -1,14 +1,17 @@
 """BPE encoding and decoding by a distinct-word table.
 
-Texts are split into words in Spark tasks, each distinct word is encoded once, and the ids come back
-by position. Words of the table that fit in a proven size are broadcast, the most frequent first;
-the others come back through a join on the words of each text. Decoding joins ids with the pieces of
-the vocabulary, a table whose size is the tokenizer's own.
+Texts are split into words in Spark tasks, each distinct word that recurs is encoded once, and the ids
+come back by position. Words of the table that fit in a proven size are broadcast, the most frequent
+first; of the others a task encodes each where it meets it, which takes less than a join of every text
+with a rare word. Decoding joins ids with the pieces of the vocabulary, a table whose size is the
+tokenizer's own.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,25 +25,30 @@ from pyspark.sql import types as T
 from lodestone.llm.common import slices, stored
 from lodestone.llm.tokenizers_io import default_path, load
 
-# The pattern of the tokenizer's file, for characters below U+0180.
+# The pattern of the tokenizer's file, for characters below U+0180. Plain letters come first, as most words have no others.
 _LETTERS = "a-zªµºß-öø-ſ"
-_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9²³¹¼½¾]|[^\s{_LETTERS}0-9²³¹¼½¾]+")
-# Characters for which str.lower() and the pattern may differ from the library.
-_OTHER = re.compile("[\x1c-\x1fİƀ-\U0010ffff]|<\\|(?:startoftext|endoftext)\\|>")
+_WORD = re.compile(rf"[a-z]++(?![{_LETTERS}])|[{_LETTERS}]+|[0-9²³¹¼½¾]|'s|'t|'re|'ve|'m|'ll|'d|[^\s{_LETTERS}0-9²³¹¼½¾]+")
+# Characters for which str.lower() and the pattern may differ from the library, and its special strings.
+_ODD = re.compile("[\x1c-\x1fİƀ-\U0010ffff]")
+_SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 _SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
 
 
+def _other(text: str) -> bool:
+    return "<|" in text and any(x in text for x in _SPECIAL) or _ODD.search(text) is not None
+
+
 def words_of(text: str) -> list[str]:
     """Parts of text whose encodings, one after another, are the text's.
 
     They are the tokenizer's own words in lower case. Where a run between white space holds a special
     string or a character that the pattern above doesn't cover, the run as it is.
     """
-    if not _OTHER.search(text):
+    if not _other(text):
         return _WORD.findall(text.lower())
     out: list[str] = []
     for run in _SPACE.split(text):
-        if _OTHER.search(run):
+        if _other(run):
             out.append(run)
         elif run:
             out += _WORD.findall(run.lower())
@@ -48,7 +56,7 @@ def words_of(text: str) -> list[str]:
 
 
 def key_of(word: str) -> int:
-    """Of 64 bits; two words of one key in a table are found and told apart by encode_table()."""
+    """Of 64 bits; a Table tells two words of one key apart."""
     return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
@@ -71,7 +79,7 @@ def distinct_words(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def encode_table(words: DataFrame, path: str) -> DataFrame:
-    """word, n, key, ids (binary: little-endian unsigned 32-bit): every distinct word encoded once."""
+    """word, n, key, ids (binary: little-endian unsigned 32-bit): each of words encoded once."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
@@ -84,46 +92,73 @@ def encode_table(words: DataFrame, path: str) -> DataFrame:
 
 
 class Table:
-    """Words' ids as flat arrays: sorted keys, where each one's ids begin, the ids as 16 or 32 bits."""
-
-    def __init__(self, keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray):
-        order = np.argsort(keys, kind="stable")
-        starts = np.cumsum(lengths) - lengths
-        self.keys, self.starts, self.lengths, self.ids = keys[order], starts[order].astype(np.uint32), lengths[order].astype(np.uint32), ids
-        self.cache: dict[str, int] = {}
-
-    def find(self, word: str) -> int:
-        """The row of word, -1 if it has none."""
-        at = self.cache.get(word)
-        if at is None:
-            if len(self.cache) > 100_000:
-                self.cache.clear()
-            key = key_of(word)
-            i = int(np.searchsorted(self.keys, key))
-            at = self.cache[word] = i if i < len(self.keys) and self.keys[i] == key else -1
-        return at
-
-    def gather(self, rows: np.ndarray) -> np.ndarray:
-        n = self.lengths[rows].astype(np.int64)
-        at = np.repeat(self.starts[rows] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return self.ids[at].astype("<u4")
-
-    def __getstate__(self):
-        return self.__dict__ | {"cache": {}}
-
-
-def _fetch(table: DataFrame, parts: int = 4) -> Table:
-    """Collects a table whose size has been checked, a part of the keys at a time, so that the driver holds it hardly more than once."""
-    keys, lengths, ids = [], [], []
-    for part in range(parts):
-        for batch in table.where(F.pmod("key", F.lit(parts)) == part).select("key", "ids").toArrow().to_batches():
-            got = batch.column(1).cast(pa.binary())
-            offsets = np.frombuffer(got.buffers()[1], np.int32)[got.offset : got.offset + len(got) + 1] if len(got) else np.zeros(1, np.int32)
-            data = np.frombuffer(got.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view("<u4") if offsets[-1] > offsets[0] else np.zeros(0, np.uint32)
-            keys.append(batch.column(0).to_numpy().copy())
-            lengths.append(np.diff(offsets) // 4)
-            ids.append(data.astype(np.uint16) if not len(data) or data.max() < 1 << 16 else data.copy())
-    return Table(*[np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, lengths, ids)])
+    """Words and their ids, sorted by key: flat arrays of the keys, of where each one's ids and letters (UTF-8) begin, and of ids and letters themselves."""
+
+    def __init__(self, keys: bytes, n_ids: np.ndarray, ids: bytes, n_letters: np.ndarray, letters: bytes):
+        begins = lambda n: array("I", np.concatenate([[0], np.cumsum(n)]).astype(np.uint32).tobytes())
+        self.keys, self.id_at, self.letter_at, self.ids, self.letters = array("q", keys), begins(n_ids * 4), begins(n_letters), ids, letters
+
+    def find(self, word: str) -> bytes | None:
+        """The ids of word, little-endian and of 32 bits; None if it isn't here."""
+        key, letters = key_of(word), word.encode("utf-8", "surrogatepass")
+        i = bisect_left(self.keys, key)
+        while i < len(self.keys) and self.keys[i] == key:
+            if self.letters[self.letter_at[i] : self.letter_at[i + 1]] == letters:
+                return self.ids[self.id_at[i] : self.id_at[i + 1]]
+            i += 1
+        return None
+
+
+#: Bytes of a word in a Table, besides its letters and ids.
+_ROW = 16
+
+
+def _fetch(table: DataFrame) -> Table:
+    """Collects a table whose size has been checked, a quarter of the keys at a time, so that the driver holds it hardly more than once."""
+
+    def flat(column: pa.Array) -> tuple[np.ndarray, bytes]:
+        column = column.cast(pa.binary())
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+        return np.diff(offsets), column.buffers()[2][offsets[0] : offsets[-1]].to_pybytes() if offsets[-1] > offsets[0] else b""
+
+    keys, n_ids, ids, n_letters, letters = [], [np.zeros(0, np.int32)], [], [np.zeros(0, np.int32)], []
+    for quarter in range(-2, 2):
+        for batch in table.where(F.shiftright("key", 62) == quarter).select("key", "ids", "word").toArrow().sort_by("key").to_batches():
+            keys.append(batch.column(0).to_numpy().tobytes())
+            for column, n, data in ((batch.column(1), n_ids, ids), (batch.column(2), n_letters, letters)):
+                lengths, got = flat(column)
+                n.append(lengths)
+                data.append(got)
+    return Table(b"".join(keys), np.concatenate(n_ids) // 4, b"".join(ids), np.concatenate(n_letters), b"".join(letters))
+
+
+#: Words of the table that a worker remembers, in two halves, and the characters of the longest of them.
+REMEMBERED, LONGEST = 1 << 18, 64
+
+
+class Known(dict):
+    """word -> its ids, little-endian and of 32 bits: from the table, or else by the tokenizer.
+
+    A worker remembers words of the table until half of REMEMBERED others have come since; those that recur stay.
+    """
+
+    def __init__(self, table: Table, path: str):
+        super().__init__()
+        self.table, self.path, self.before = table, path, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.table.find(word)
+            if ids is None:
+                return np.array(load(self.path).encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            if len(word) > LONGEST:
+                return ids
+        if len(self) * 2 >= REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
 
 
 def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, table_bytes: int = 64 << 20, decode: bool = False) -> DataFrame:
@@ -131,61 +166,29 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     With decode, also text: the ids decoded as by bpe_decode(), in the same pass.
 
-    Of the word table, as many words as take table_bytes, the most frequent first, are broadcast.
-    A text with other words gets those through a join on (word); both give the same ids.
+    Of the table of words that occur twice or more, as many as take table_bytes, the most frequent first,
+    are broadcast. Other words are encoded in the task that meets them; both give the same ids.
     """
     spark, path = docs.sparkSession, tokenizer_path or default_path()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    table = stored(encode_table(distinct_words(rows, "text"), path), "words")
-    twice = table.groupBy("key").count().where("count > 1").select("key")  # keys that stand for two words
-    clash = bool(twice.head(1))
-    unique = (table.join(twice, "key", "left_anti") if clash else table).withColumn("often", F.floor(F.log2("n")).cast("int"))
-    held, least, whole = 0, 64, True
-    for often, size in unique.groupBy("often").agg(F.sum(F.octet_length("ids") / 2 + 14)).orderBy(F.desc("often")).collect():  # a row for each power of two
+    table = stored(encode_table(distinct_words(rows, "text").where("n > 1"), path), "words").withColumn("often", F.floor(F.log2("n")).cast("int"))
+    held, least = 0, 64
+    for often, size in table.groupBy("often").agg(F.sum(F.octet_length("ids") + F.octet_length("word") + _ROW)).orderBy(F.desc("often")).collect():  # a row for each power of two
         if held + size > table_bytes:
-            whole = False
             break
         held, least = held + size, often
     pieces = spark.sparkContext.broadcast(Pieces(path)) if decode else None
-    shared = spark.sparkContext.broadcast(_fetch(unique.where(F.col("often") >= least)))
-
-    wanted = ["ids", "text"] if decode else ["ids"]
-    id_type = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("ids", T.BinaryType()), T.StructField("text", T.StringType()), T.StructField("missing", T.ArrayType(T.StringType()))])
+    shared = spark.sparkContext.broadcast(Known(_fetch(table.where(F.col("often") >= least)), path))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = shared.value.__getitem__
         for batch in slices(batches):
-            ids, left, missing = [], [], []
-            for text in batch.column(1).to_pylist():
-                words = words_of(text)
-                at = np.fromiter((known.find(w) for w in words), np.int64, len(words))
-                lost = np.flatnonzero(at < 0)
-                ids.append(None if len(lost) else known.gather(at).tobytes())
-                left.append(text if len(lost) else pieces.value.text(np.frombuffer(ids[-1], "<u4")) if decode else None)
-                missing.append(list({words[i] for i in lost}) if len(lost) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(left, pa.string()), pa.array(missing, pa.list_(pa.string()))], ["id", "ids", "text", "missing"])
-
-    def encode_left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in slices(batches):
-            ids = []
-            for text, more in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                own = {m["word"]: m["ids"] for m in more}
-                ids.append(b"".join(own[w] if w in own else known.gather(np.array([known.find(w)])).tobytes() for w in words_of(text)))
-            texts = [pieces.value.text(np.frombuffer(i, "<u4")) if decode else None for i in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["id", "ids", "text"])
-
-    done = rows.mapInArrow(encode, schema)
-    if whole and not clash:
-        return done.select(F.col("id").alias(id_col), *wanted)
-    done = stored(done.withColumn("row", F.monotonically_increasing_id()), "encoded")
-    left = done.where("missing IS NOT NULL")
-    asked = left.select("row", F.explode("missing").alias("word"))
-    found = asked.join(table.select("word", "ids"), "word").groupBy("row").agg(F.collect_list(F.struct("word", "ids")).alias("more"))
-    back = left.select("row", "id", "text").join(found, "row").select("id", "text", "more")
-    out = done.where("missing IS NULL").select("id", "ids", "text").unionByName(back.mapInArrow(encode_left, T.StructType(schema.fields[:3])))
-    return out.select(F.col("id").alias(id_col), *wanted)
+            ids = [b"".join(map(known, words_of(text))) for text in batch.column(1).to_pylist()]
+            texts = [pa.array([pieces.value.text(np.frombuffer(i, "<u4")) for i in ids], pa.string())] if decode else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), *texts], ["id", "ids", "text"][: 2 + decode])
+
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("ids", T.BinaryType()), *([T.StructField("text", T.StringType())] if decode else [])])
+    return rows.mapInArrow(encode, schema).select(F.col("id").alias(id_col), *schema.names[1:])
 
 
 class Pieces:

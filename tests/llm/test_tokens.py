@@ -108,3 +108,33 @@ def test_splices_of_odd_strings():
     for _ in range(400):
         text = "".join(rng.choice(PARTS) for _ in range(rng.randrange(20, 120)))
         assert token_counts.count_huge(tokenizer, text, rng.choice([16, 24, 40]), rng.choice([4, 8, 16])) == len(tokenizer.encode(text, add_special_tokens=False).ids), text
+
+
+@pytest.mark.parametrize("table_bytes", [0, 3000])
+def test_texts_with_rare_words_are_read_once_more_only(spark, monkeypatch, table_bytes):
+    """Beyond the broadcast table, no text is stored, joined or split again: only the words table is stored, and the plan has no join."""
+    df = hard(spark).unionByName(docs(spark, [(100 + i, _random(i, 60) + " " + prose(i, 50)) for i in range(40)]))
+    names, stored = [], bpe.stored
+    monkeypatch.setattr(bpe, "stored", lambda table, name, *more: (names.append(name), stored(table, name, *more))[1])
+    out = bpe.bpe_encode(df, table_bytes=table_bytes)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert names == ["words"] and "Join" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_words_of_one_key_are_told_apart(monkeypatch):
+    monkeypatch.setattr(bpe, "key_of", lambda word: len(word))
+    words = ["é", "b", "ab", "cd", "xyz"]
+    letters, ids = [w.encode() for w in words], [[1], [2, 70000], [], [4], [5, 6]]
+    table = bpe.Table(np.array([len(w) for w in words]).tobytes(), np.array([len(i) for i in ids]), np.array(sum(ids, []), "<u4").tobytes(), np.array([len(w) for w in letters]), b"".join(letters))
+    assert [table.find(w) for w in words] == [np.array(i, "<u4").tobytes() for i in ids]
+    assert [table.find(w) for w in ("a", "ef", "xyzz", "")] == [None] * 4
+
+
+def test_a_worker_forgets_words_that_do_not_recur(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 8)
+    words = sorted((f"w{i}" for i in range(40)), key=bpe.key_of)
+    table = bpe.Table(np.array([bpe.key_of(w) for w in words]).tobytes(), np.ones(40, int), np.arange(40).astype("<u4").tobytes(), np.array([len(w) for w in words]), "".join(words).encode())
+    known = bpe.Known(table, default_path())
+    for w in words * 2:
+        assert known[w] == np.array([words.index(w)], "<u4").tobytes() and known[words[0]] == bytes(4) and len(known) <= 4
+    assert np.frombuffer(known["quite unknown"], "<u4").tolist() == load(default_path()).encode("quite unknown", add_special_tokens=False).ids
